@@ -1 +1,89 @@
-"""Catalog entries (filled in below)."""
+"""Catalog: keyed-hash randomness, DP releases, pseudonyms."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gatewatch.functions.noise import hmac_blocks, noisy_display, pseudonymise, uniform
+from gatewatch.operators import anomaly as N
+from gatewatch.operators import audit as A
+from gatewatch.plans import sqlgen as S
+from gatewatch.plans.catalog import register
+from gatewatch.plans.sqlgen import FAILED, LOGONS, with_le
+from gatewatch.sources import login_events
+
+FAM = "privacy"
+DEMO_KEY = b"gatewatch-demo-hmac-key-32bytes!"
+
+register("hash_uniform", with_le() + f"""
+SELECT event_id, round({S.uniform('event_id', 42, 'u')}, 9) AS u FROM le""", FAM)(
+    lambda spark, d: login_events(spark, d).select(
+        "event_id", F.round(uniform("event_id", 42, "u"), 9).alias("u")))
+
+register("dp_failed_counts", with_le(FAILED) + f"""
+SELECT user_id, {S.half_up('count + ' + S.laplace('user_id', 0.5, 42))} AS noisy_count FROM c""", FAM)(
+    lambda spark, d: N.dp_counts(A.failed_per_user(login_events(spark, d)), 0.5, 42))
+
+register("dp_gaussian_counts", with_le(FAILED) + f"""
+SELECT user_id, {S.half_up('count + ' + S.std_normal('user_id', 42, 'gaussian') + ' * ' + repr(__import__('gatewatch.functions.noise', fromlist=['x']).gaussian_sigma(0.5, 1e-5)))} AS noisy_count FROM c""", FAM)(
+    lambda spark, d: N.dp_gaussian_counts(A.failed_per_user(login_events(spark, d)), 0.5, 1e-5, 42))
+
+register("dp_threshold", with_le(FAILED) + f"""
+, n AS (SELECT user_id, {S.half_up('count + ' + S.laplace('user_id', 1.0, 42))} AS noisy_count FROM c)
+SELECT user_id, noisy_count, noisy_count >= 12 AS anomalous FROM n""", FAM)(
+    lambda spark, d: N.dp_threshold(A.failed_per_user(login_events(spark, d)), 1.0, 12, 42))
+
+register("dp_logon_threshold", with_le(LOGONS) + f"""
+, n AS (SELECT user_id, {S.half_up('count + ' + S.laplace('user_id', 1.0, 42))} AS noisy_count FROM c)
+SELECT user_id, noisy_count, noisy_count >= 30 AS anomalous FROM n""", FAM)(
+    lambda spark, d: N.dp_threshold(A.logons_per_user(login_events(spark, d)), 1.0, 30, 42))
+
+register("dp_recent_failed", with_le("""
+c AS (SELECT user_id, COUNT(*) AS count FROM le
+      WHERE NOT success AND event_time >= (SELECT MAX(event_time) FROM le) - INTERVAL 7 DAY
+      GROUP BY user_id)""") + f"""
+, n AS (SELECT user_id, {S.half_up('count + ' + S.laplace('user_id', 1.0, 42))} AS noisy_count FROM c)
+SELECT user_id, noisy_count, noisy_count >= 4 AS anomalous FROM n""", FAM)(
+    lambda spark, d: N.dp_recent(login_events(spark, d), 1.0, 4, "7 days", 42))
+
+register("dp_recent_logons", with_le("""
+c AS (SELECT user_id, COUNT(*) AS count FROM le
+      WHERE activity = 'Logon' AND event_time >= (SELECT MAX(event_time) FROM le) - INTERVAL 7 DAY
+      GROUP BY user_id)""") + f"""
+, n AS (SELECT user_id, {S.half_up('count + ' + S.laplace('user_id', 2.0, 42))} AS noisy_count FROM c)
+SELECT user_id, noisy_count, noisy_count >= 7 AS anomalous FROM n""", FAM)(
+    lambda spark, d: N.dp_recent(login_events(spark, d), 2.0, 7, "7 days", 42, logons=True))
+
+
+def _display_sql(method: str) -> str:
+    from gatewatch.functions.noise import gaussian_sigma
+
+    scale = "least(greatest(count / 1000.0, 1.0), 10.0)"
+    if method == "gaussian":
+        noise = f"({S.std_normal('user_id', 42, 'display.gaussian')} * {gaussian_sigma(1.0, 1e-5)!r} * {scale})"
+    else:
+        u = f"(0.5 - {S.uniform('user_id', 42, 'display.laplace')})"
+        noise = f"(({scale} / 1.0) * sign({u}) * ln(1.0 - 2.0 * abs({u})))"
+    return with_le(FAILED) + f"""
+SELECT user_id, least(greatest({S.half_up('count + ' + noise)}, 0), 200000) AS display_count FROM c"""
+
+
+for _m in ("laplace", "gaussian"):
+    register(f"noisy_display_{_m}", _display_sql(_m), FAM)(
+        (lambda m: lambda spark, d: A.failed_per_user(login_events(spark, d)).select(
+            "user_id", noisy_display("count", "user_id", 1.0, 42, m).alias("display_count")))(_m))
+
+_IPAD, _OPAD = hmac_blocks(DEMO_KEY)
+
+register("pseudonymise_ip", with_le() + f"""
+SELECT event_id, sha256(unhex('{_OPAD}') || unhex(sha256(unhex('{_IPAD}') || encode(ip)))) AS ip
+FROM le""", FAM)(
+    lambda spark, d: pseudonymise(login_events(spark, d).select("event_id", "ip"), "ip", DEMO_KEY))
+
+register("pseudonym_cardinality", with_le() + f"""
+SELECT COUNT(DISTINCT ip) AS distinct_ips,
+       COUNT(DISTINCT sha256(unhex('{_OPAD}') || unhex(sha256(unhex('{_IPAD}') || encode(ip))))) AS distinct_tokens
+FROM le""", FAM)(
+    lambda spark, d: (lambda le: le.select(F.count_distinct("ip").alias("distinct_ips")).crossJoin(
+        pseudonymise(le.select("ip"), "ip", DEMO_KEY, "tok").select(
+            F.count_distinct("tok").alias("distinct_tokens"))))(login_events(spark, d)))

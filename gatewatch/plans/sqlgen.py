@@ -52,3 +52,22 @@ def half_up(x: str) -> str:
 
 def r6(x: str) -> str:
     return f"round({x}, 6)"
+
+
+def logistic(x_sql: str, weights=None) -> str:
+    from gatewatch.operators.scoring import LOGISTIC_WEIGHTS
+
+    w = weights or LOGISTIC_WEIGHTS
+    return f"(1.0 / (1.0 + exp(-({float(w[0])!r} + {float(w[1])!r} * ({x_sql})))))"
+
+
+def stump(x_sql: str) -> str:
+    from gatewatch.operators.scoring import STUMP_TREES
+
+    votes = " + ".join(f"(CASE WHEN ({x_sql}) <= {float(t)!r} THEN {le} ELSE {gt} END)"
+                       for t, le, gt in STUMP_TREES)
+    return f"(CASE WHEN ({votes}) * 2 > {len(STUMP_TREES)} THEN 1 ELSE 0 END)"
+
+
+FAILED = "c AS (SELECT user_id, COUNT(*) AS count FROM le WHERE NOT success GROUP BY user_id)"
+LOGONS = "c AS (SELECT user_id, COUNT(*) AS count FROM le WHERE activity = 'Logon' GROUP BY user_id)"
