@@ -43,7 +43,12 @@ def laplace(key_sql: str, eps, seed, stream: str = "laplace", sensitivity: float
 def std_normal(key_sql: str, seed, stream: str = "normal") -> str:
     u1 = uniform(key_sql, seed, f"{stream}.1")
     u2 = uniform(key_sql, seed, f"{stream}.2")
-    return f"(sqrt(-2.0 * ln({u1})) * cos({2.0 * math.pi!r} * {u2}))"
+    return f"(sqrt(-2.0 * ln({u1})) * cos({dbl(2.0 * math.pi)} * {u2}))"
+
+
+def dbl(x: float) -> str:
+    """A double literal parsed exactly (DuckDB reads plain decimals as DECIMAL)."""
+    return f"CAST('{float(x)!r}' AS DOUBLE)"
 
 
 def half_up(x: str) -> str:
