@@ -102,25 +102,33 @@ register("noise_flip_rate", _fliprate_sql(), FAM)(
     lambda spark, d: SC.noise_flip_rate(_scores(spark, d), "prob_attack", _EPS, 0.1))
 
 
-def _flags_sql(limit: int = 100) -> str:
-    from gatewatch.plans.q_audit import _TOP_USERS
-
+def flags_ctes(limit: int = 100, sfx: str = "") -> str:
+    """CTEs (after the ``le`` adapter) ending in ``fl{sfx}``: per top-N user,
+    every detector flag."""
     lap = S.laplace("user_id", 1.0, 42, "detectors.laplace")
     gau = S.std_normal("user_id", 42, "detectors.gaussian")
     ml = S.laplace("user_id", 1.0, 42, "detectors.ml")
-    return with_le(_TOP_USERS.format(n=limit)) + f"""
-, s AS (SELECT avg(count) AS m, stddev_pop(count) AS sd FROM f)
-, j AS (SELECT u.user_id, u.is_attack_ip, CAST(COALESCE(f.count, 0) AS DOUBLE) AS cnt
-        FROM u LEFT JOIN f ON u.user_id = f.user_id)
-, x AS (SELECT j.*, cnt + {lap} AS lap, cnt + {gau} AS gau,
-               CASE WHEN s.sd IS NULL OR s.sd = 0 THEN 0.0 ELSE (cnt - s.m) / s.sd END AS z,
+    u, f, s, j, x = (n + sfx for n in ("u", "f", "s", "j", "x"))
+    return f"""{u} AS (SELECT user_id, COUNT(*) AS total, COALESCE(BOOL_OR(is_attack), false) AS is_attack_ip
+      FROM le GROUP BY user_id ORDER BY total DESC, user_id ASC LIMIT {limit}),
+{f} AS (SELECT user_id, COUNT(*) AS count FROM le WHERE NOT success GROUP BY user_id
+      ORDER BY count DESC, user_id ASC LIMIT {limit}),
+{s} AS (SELECT avg(count) AS m, stddev_pop(count) AS sd FROM {f}),
+{j} AS (SELECT {u}.user_id, {u}.is_attack_ip, CAST(COALESCE({f}.count, 0) AS DOUBLE) AS cnt
+        FROM {u} LEFT JOIN {f} ON {u}.user_id = {f}.user_id),
+{x} AS (SELECT {j}.*, cnt + {lap} AS lap, cnt + {gau} AS gau,
+               CASE WHEN {s}.sd IS NULL OR {s}.sd = 0 THEN 0.0 ELSE (cnt - {s}.m) / {s}.sd END AS z,
                cnt + {ml} AS dpc
-        FROM j, s)
-SELECT user_id, is_attack_ip, lap >= 3 AS laplace_anomaly, gau >= 3 AS gaussian_anomaly,
+        FROM {j}, {s}),
+fl{sfx} AS (SELECT user_id, is_attack_ip, lap >= 3 AS laplace_anomaly, gau >= 3 AS gaussian_anomaly,
        abs(z) >= 2 AS zscore_anomaly, lap >= 5 AS anomaly_detection_5, lap >= 10 AS anomaly_detection_10,
        {S.logistic('cnt')} >= 0.5 AS logreg_pred, {S.stump('cnt')} = 1 AS rf_pred,
        {S.logistic('dpc')} >= 0.5 AS logreg_dp_pred, {S.stump('dpc')} = 1 AS rf_dp_pred
-FROM x"""
+FROM {x})"""
+
+
+def _flags_sql(limit: int = 100) -> str:
+    return with_le(flags_ctes(limit)) + "SELECT * FROM fl"
 
 
 register("detector_flags", _flags_sql(100), FAM)(
