@@ -1 +1,171 @@
-"""Catalog entries (filled in below)."""
+"""Catalog: supervised and unsupervised detectors (no SQL oracle; these are
+iterative fits -- checked by row counts here and by brute-force tests)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gatewatch.models import iforest as IF
+from gatewatch.models import lof as LOF
+from gatewatch.models import supervised as M
+from gatewatch.operators import evaluate as EV
+from gatewatch.operators import features as FT
+from gatewatch.operators import scoring as SC
+from gatewatch.operators import audit as A
+from gatewatch.plans.catalog import register
+from gatewatch.sources import login_events
+from gatewatch.sources import readers as R
+from gatewatch.sources import sinks as SK
+from gatewatch.sources.tables import load_table
+
+FAM = "models"
+FEATS = list(M.BASE_FEATURES)
+
+
+def _split(spark, d):
+    feats = FT.split_flag(FT.universal_features(login_events(spark, d)))
+    return feats.where("split = 'train'").drop("split"), feats.where("split = 'test'").drop("split")
+
+
+def _smote(spark, d):
+    train, _ = _split(spark, d)
+    return EV.class_distribution(M.smote(train, FEATS))
+
+
+register("smote_balance", None, FAM)(_smote)
+
+
+def _lr(spark, d):
+    train, test = _split(spark, d)
+    m = M.fit_logistic(train, FEATS)
+    return M.predict_proba(m, test, FEATS, "logreg").select("user_id", "logreg_prob", "logreg_pred", "is_attack_ip")
+
+
+register("logistic_regression", None, FAM)(_lr)
+
+
+def _rf(spark, d):
+    train, test = _split(spark, d)
+    m = M.fit_forest(train, FEATS, n_trees=100)
+    return M.predict_proba(m, test, FEATS, "rf").select("user_id", "rf_prob", "rf_pred", "is_attack_ip")
+
+
+register("random_forest", None, FAM)(_rf)
+
+
+def _export(spark, d):
+    train, test = _split(spark, d)
+    return M.score_and_export(train, test, FEATS)
+
+
+register("score_and_export", None, FAM)(_export)
+
+
+def _base_metrics(spark, d):
+    return EV.metrics(EV.confusion(_export(spark, d), "is_attack_ip", ["logreg_pred", "rf_pred"]))
+
+
+register("supervised_metrics", None, FAM)(_base_metrics)
+
+
+def _meta_inputs(spark, d):
+    le = login_events(spark, d)
+    feats = FT.universal_features(le)
+    split = FT.split_flag(feats)
+    train, test = split.where("split = 'train'").drop("split"), split.where("split = 'test'").drop("split")
+    fit_on = M.smote(train, FEATS)
+    lr = M.fit_logistic(fit_on, FEATS)
+    rf = M.fit_forest(fit_on, FEATS, n_trees=100)
+    scored = M.predict_proba(rf, M.predict_proba(lr, feats, FEATS, "logreg"), FEATS, "rf")
+    return scored.join(FT.session_features(le), "user_id")
+
+
+META_FEATURES = ["logreg_prob", "rf_prob", "failed_count", "login_freq", "unique_ips", "avg_rtt",
+                 "success_count", "failed_success_ratio", "unusual_login_hour", "is_new_ip", "is_new_device",
+                 "consecutive_failed_attempts", "recent_failed_5m", "recent_failed_30m", "recent_failed_24h",
+                 "avg_failed_gap", "unique_devices"]
+
+
+def _meta(spark, d):
+    from gatewatch.session import shared_dir
+
+    shared_dir(spark)
+    x = _meta_inputs(spark, d).checkpoint()
+    split = FT.split_flag(x, seed=7)  # the meta stage draws its own split
+    train, test = split.where("split = 'train'"), split.where("split = 'test'")
+    out = M.calibrated_boosting(train, test, META_FEATURES)
+    return SK.publish_meta(out, 0.1)
+
+
+register("calibrated_boosting", None, FAM)(_meta)
+
+
+def _meta_dp(spark, d):
+    meta = _meta(spark, d)
+    return SC.dp_probability(meta, "meta_prob", 250.0, 0.1)
+
+
+def _linux_aug(spark, d):
+    lin = R.normalise_rba(R.normalise_linux(R.linux_raw_from_events(load_table(spark, d, "events"))))
+    return FT.augment_overlap(FT.impute_mean(FT.universal_features(lin, key="ip", label="any")))
+
+
+def _stacking(spark, d):
+    split = FT.split_flag(_linux_aug(spark, d))
+    train, test = split.where("split = 'train'"), split.where("split = 'test'")
+    s = M.stacking(M.smote(train.drop("split"), FEATS), test, FEATS)
+    return EV.metrics(EV.confusion(SC.flip_predictions(s, "stack_pred", 0.0003, out_col="stack_dp_pred"),
+                                   "is_attack_ip", ["stack_pred", "stack_dp_pred"]))
+
+
+register("stacking_linux", None, FAM)(_stacking)
+
+
+def _iforest(spark, d):
+    train, _ = _split(spark, d)
+    allf = FT.universal_features(login_events(spark, d))
+    return IF.isolation_forest(train, allf, FEATS).join(allf.select("user_id", "is_attack_ip"), "user_id")
+
+
+register("isolation_forest", None, FAM)(_iforest)
+
+
+def _lof(spark, d):
+    train, _ = _split(spark, d)
+    allf = FT.universal_features(login_events(spark, d))
+    return LOF.lof_scores(train, allf, "user_id", FEATS, k=20, contamination=0.05) \
+        .join(allf.select("user_id", "is_attack_ip"), "user_id")
+
+
+register("local_outlier_factor", None, FAM)(_lof)
+
+
+def _unsup(spark, d):
+    iso = _iforest(spark, d).select("user_id", "iso_pred", "is_attack_ip")
+    lof = _lof(spark, d).select("user_id", "lof_pred")
+    return SK.publish_unsupervised(iso.join(lof, "user_id", "full_outer"))
+
+
+register("unsupervised_publish", None, FAM)(_unsup)
+
+
+def _unsup_metrics(spark, d):
+    return EV.metrics(EV.confusion(_unsup(spark, d), "is_attack_ip", ["iso_pred", "lof_pred"]))
+
+
+register("unsupervised_metrics", None, FAM)(_unsup_metrics)
+
+
+def _top_risk(spark, d):
+    return A.top_k(_iforest(spark, d), 100, col="if_score")
+
+
+register("top_risk_targets", None, FAM)(_top_risk)
+
+
+def _trials(spark, d):
+    train, test = _split(spark, d)
+    return M.hyperparameter_trials(M.smote(train, FEATS), test, FEATS)
+
+
+register("hyperparameter_trials", None, FAM)(_trials)
