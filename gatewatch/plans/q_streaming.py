@@ -1 +1,36 @@
-"""Catalog entries (filled in below)."""
+"""Catalog: streaming windows and alerts (run to completion, read back)."""
+
+from __future__ import annotations
+
+from gatewatch.plans.catalog import register
+from gatewatch.session import scratch_path
+from gatewatch.streaming import alerts as ST
+
+FAM = "streaming"
+
+
+def _windows_sql(threshold: int | None = None) -> str:
+    having = f"HAVING COUNT(*) >= {threshold}" if threshold else ""
+    return f"""WITH f AS (SELECT CAST(user_id AS VARCHAR) AS user_id, ts FROM events WHERE event_type = 'error'),
+w AS (SELECT user_id, time_bucket(INTERVAL 5 MINUTE, ts) - j * INTERVAL 5 MINUTE AS ws FROM f, range(6) r(j)),
+c AS (SELECT user_id, ws AS window_start, ws + INTERVAL 30 MINUTE AS window_end, COUNT(*) AS count
+      FROM w GROUP BY user_id, ws {having})
+SELECT * FROM c WHERE window_end <= (SELECT MAX(ts) FROM f) - INTERVAL 10 MINUTE"""
+
+
+def _stream_windows(spark, d):
+    out = scratch_path(spark, "stream-windows")
+    counts = ST.windowed_failed_counts(ST.login_stream(spark, d))
+    ST.run_available(counts, out, scratch_path(spark, "stream-windows-ckpt"))
+    return spark.read.parquet(out)
+
+
+register("stream_failed_windows", _windows_sql(), FAM)(_stream_windows)
+
+
+def _stream_alerts(spark, d):
+    path = ST.run_alerts(spark, d, threshold=2)
+    return spark.read.parquet(path).drop("batch_id")
+
+
+register("stream_threshold_alerts", _windows_sql(2), FAM)(_stream_alerts)
