@@ -11,6 +11,8 @@ Rules kept: names are trimmed *before* the existence check; registering an
 existing name is rejected; the first registration into an empty users
 table gets ``ADMIN``, later ones ``USER``; role / suspend / activate on an
 unknown user are ignored; deleting ``admin`` is refused (service rule).
+Emptying the table again in the middle of a batch does not hand out a second
+``ADMIN`` (only the batch's first registration can be the first user).
 """
 
 from __future__ import annotations
@@ -44,8 +46,8 @@ def apply_user_actions(users: DataFrame, actions: DataFrame, protect_admin: bool
                         F.lit(True).alias("init"))
     # one-row facts: is the users table empty, and which registration is the first ever
     n_users = users.agg(F.count(F.lit(1)).alias("n_users"))
-    first_reg = summ.join(init.select("username"), "username", "left_anti") \
-        .agg(F.min("reg_seq").alias("first_reg"))
+    # the first registration of the batch lands in the (possibly) empty table
+    first_reg = acts.where(F.col("action") == "register").agg(F.min("seq").alias("first_reg"))
     j = (summ.join(init, "username", "full_outer")
          .crossJoin(F.broadcast(n_users)).crossJoin(F.broadcast(first_reg)))
     kept_init = F.coalesce(F.col("init"), F.lit(False)) & F.col("last_d").isNull()

@@ -28,7 +28,7 @@ reg AS (SELECT a.username, MIN(CASE WHEN action = 'register' AND (last_d IS NULL
 cr AS (SELECT username, arg_max(role, seq) AS cr_role, MAX(seq) AS cr_seq FROM acts WHERE action = 'change_role' GROUP BY username),
 su AS (SELECT username, arg_max(action = 'suspend', seq) AS su_v, MAX(seq) AS su_seq FROM acts
        WHERE action IN ('suspend', 'activate') GROUP BY username),
-fr AS (SELECT MIN(reg_seq) AS first_reg FROM reg),
+fr AS (SELECT MIN(seq) AS first_reg FROM acts WHERE action = 'register'),
 final AS (
   SELECT reg.username,
          CASE WHEN cr.cr_seq > reg.reg_seq THEN cr.cr_role
