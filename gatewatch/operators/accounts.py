@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatewatch.sources.tables import props_k
+
 USERS_SCHEMA = ("user_id bigint, username string, email string, password_hash string, "
                 "role string, suspended boolean")
 ACTIONS_SCHEMA = "seq bigint, action string, username string, role string"
@@ -79,7 +81,7 @@ def actions_from_events(le: DataFrame) -> DataFrame:
     register, error -> suspend, click -> activate, purchase -> change_role
     (or delete when k < 10); views carry no action. Some names are padded
     with spaces (k % 17 = 0) to exercise trimming."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = props_k()
     name = F.when(k % 17 == 0, F.concat(F.lit("  "), F.col("user_id").cast("string"), F.lit(" "))) \
         .otherwise(F.col("user_id").cast("string"))
     action = (F.when(F.col("event_type") == "signup", F.lit("register"))

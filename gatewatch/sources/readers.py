@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from gatewatch.sources.tables import props_k
 from pyspark.sql import types as T
 
 from gatewatch.functions.noise import uniform
@@ -99,7 +101,7 @@ def normalise_linux(raw: DataFrame, seed=42, key: str = "gw_row") -> DataFrame:
 
 def linux_raw_from_events(events: DataFrame) -> DataFrame:
     """The driver's events as a raw Linux auth log (fixed mapping)."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = props_k()
     return events.select(
         F.col("event_id").alias("gw_row"), F.col("ts").cast("string").alias("timestamp"),
         F.concat(F.lit("10.0.0."), k.cast("string")).alias("source_ip"), F.lit("srv1").alias("server"),
