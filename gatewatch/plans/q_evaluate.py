@@ -150,3 +150,17 @@ register("threshold_sweep", with_le(UF) + f"""
     lambda spark, d: EV.threshold_sweep(
         FT.universal_features(login_events(spark, d)).select(
             SC.logistic_score(["failed_count"]).alias("score"), "is_attack_ip"), "score", "is_attack_ip"))
+
+
+def _percent(spark, d):
+    from gatewatch.functions.scalar import percent
+
+    m = EV.metrics(EV.confusion(_flags(spark, d), "is_attack_ip", DET))
+    return m.select("detector", *[percent(c, 1).alias(f"{c}_pct") for c in ("precision", "recall", "f1", "accuracy")])
+
+
+register("metrics_percent", _flags_body() + f", {CONF_CTE}, mm AS (" + METRICS_SELECT.format(src="cf") + """)
+SELECT detector, CAST(floor(precision * 1000.0 + 0.5) AS BIGINT) / 10.0 AS precision_pct,
+       CAST(floor(recall * 1000.0 + 0.5) AS BIGINT) / 10.0 AS recall_pct,
+       CAST(floor(f1 * 1000.0 + 0.5) AS BIGINT) / 10.0 AS f1_pct,
+       CAST(floor(accuracy * 1000.0 + 0.5) AS BIGINT) / 10.0 AS accuracy_pct FROM mm""", FAM)(_percent)

@@ -148,3 +148,20 @@ SELECT uf.user_id, uf.login_freq - uf.failed_count AS success_count,
 FROM uf LEFT JOIN lf USING (user_id) LEFT JOIN cf USING (user_id) LEFT JOIN rc USING (user_id)
         LEFT JOIN ag USING (user_id) LEFT JOIN ud USING (user_id)""", FAM)(
     lambda spark, d: FT.session_features(login_events(spark, d)))
+
+register("top_scored_users", with_le(UF) + """
+SELECT * FROM uf ORDER BY failed_count DESC, user_id ASC LIMIT 100""", FAM)(
+    lambda spark, d: __import__("gatewatch.operators.audit", fromlist=["x"]).top_k(
+        FT.universal_features(login_events(spark, d)), 100, col="failed_count"))
+
+
+def _coerced(spark, d):
+    feats = FT.universal_features(login_events(spark, d))
+    as_text = feats.select("user_id", *[F.col(c).cast("string").alias(c) for c in
+                                        ("failed_count", "login_freq", "unique_ips", "avg_rtt")])
+    return FT.coerce_and_drop(as_text, ["failed_count", "login_freq", "unique_ips", "avg_rtt"])
+
+
+register("coerce_features", with_le(UF) + """
+SELECT user_id, CAST(failed_count AS DOUBLE) AS failed_count, CAST(login_freq AS DOUBLE) AS login_freq,
+       CAST(unique_ips AS DOUBLE) AS unique_ips, avg_rtt FROM uf WHERE avg_rtt IS NOT NULL""", FAM)(_coerced)

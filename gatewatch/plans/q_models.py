@@ -169,3 +169,15 @@ def _trials(spark, d):
 
 
 register("hyperparameter_trials", None, FAM)(_trials)
+
+
+def _meta_comparison(spark, d):
+    """The meta-model block of the metrics comparison: the top-100 stored
+    results by failed count, exact ``meta_pred`` and the DP variant
+    (Laplace b = 1/250 on ``meta_prob``, re-thresholded at 0.1)."""
+    top = A.top_k(_meta(spark, d), 100, col="failed_count")
+    dp = SC.dp_probability(top, "meta_prob", 250.0, 0.1).withColumnRenamed("noisy_pred", "meta_dp_pred")
+    return EV.metrics(EV.confusion(dp, "is_attack_ip", ["meta_pred", "meta_dp_pred"]))
+
+
+register("meta_metrics_comparison", None, FAM)(_meta_comparison)

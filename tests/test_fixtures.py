@@ -285,3 +285,44 @@ def test_split_and_fold_proportions(spark):
     assert share["train"] == pytest.approx(0.7, abs=0.015)
     folds = [r["count"] for r in FT.fold_ids(df).groupBy("fold").count().collect()]
     assert len(folds) == 5 and min(folds) > 3700
+
+
+def test_readers_app_cert_rba(spark, scratch):
+    app = os.path.join(scratch, "app.csv")
+    with open(app, "w") as f:
+        f.write("id,username,ip_address,success,created_at\n1,alice,,false,2024-01-01 10:00:00\n"
+                "2,bob,1.2.3.4,true,2024-01-01 10:05:00\n")
+    le = R.read_app_logs(spark, app, fmt="csv")
+    got = {r["user_id"]: r["ip"] for r in le.collect()}
+    assert got == {"alice": "UNKNOWN", "bob": "1.2.3.4"}
+    assert A.failed_per_user(le).collect()[0]["user_id"] == "alice"
+    cert = os.path.join(scratch, "cert.csv")
+    with open(cert, "w") as f:
+        f.write("id,cert_event_id,event_time,username,pc,activity\n1,e1,2024-01-01 10:00:00,ann,PC-1,Logon\n"
+                "2,e2,2024-01-01 11:00:00,ann,PC-1,Logoff\n3,e3,2024-01-01 11:30:00,ann,PC-2,Logon\n")
+    c = R.read_cert_logs(spark, cert)
+    assert A.logons_per_user(c).collect()[0]["count"] == 2
+    assert A.recent_logons_per_user(c, "1 hour").collect()[0]["count"] == 1
+    assert A.recent_logons_per_user(c, "1 hour", all_activity=True).collect()[0]["count"] == 2
+    rba = os.path.join(scratch, "rba.csv")
+    with open(rba, "w") as f:
+        f.write("User ID,IP Address,Login Successful,Round-Trip Time [ms],Is Attack IP\n"
+                "7,1.1.1.1,False,100.5,0\n7,1.1.1.2,1,,1\n8,2.2.2.2,True,50,False\n")
+    feats = {r["user_id"]: r for r in FT.universal_features(R.read_rba(spark, rba)).collect()}
+    assert feats["7"]["failed_count"] == 1 and feats["7"]["unique_ips"] == 2
+    assert feats["7"]["avg_rtt"] == 100.5 and feats["7"]["is_attack_ip"] == 0
+    assert R.normalise_header("Round-Trip Time [ms]") == "round-trip_time_[ms]"
+
+
+def test_ingest_stream_logs_every_attempt(spark, scratch):
+    from gatewatch.streaming.alerts import ingest_login_attempts
+
+    src = os.path.join(scratch, "in")
+    os.makedirs(src)
+    with open(os.path.join(src, "a.json"), "w") as f:
+        f.write('{"username": "a", "ip_address": null, "success": false}\n'
+                '{"username": "a", "ip_address": "9.9.9.9", "success": true}\n')
+    out = os.path.join(scratch, "log")
+    ingest_login_attempts(spark, src, "username string, ip_address string, success boolean", out)
+    got = sorted((r["ip_address"], r["success"]) for r in spark.read.parquet(out).collect())
+    assert got == [("9.9.9.9", True), ("UNKNOWN", False)]
