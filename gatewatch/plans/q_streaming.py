@@ -30,7 +30,7 @@ register("stream_failed_windows", _windows_sql(), FAM)(_stream_windows)
 
 def _stream_alerts(spark, d):
     path = ST.run_alerts(spark, d, threshold=2)
-    return spark.read.parquet(path).drop("batch_id")
+    return ST.read_alerts(spark, path).drop("batch_id")
 
 
 register("stream_threshold_alerts", _windows_sql(2), FAM)(_stream_alerts)

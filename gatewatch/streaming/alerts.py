@@ -87,6 +87,20 @@ def run_alerts(spark: SparkSession, table_dir: str, threshold: int, out: str | N
     return out
 
 
+ALERT_SCHEMA = "user_id string, window_start timestamp_ntz, window_end timestamp_ntz, count bigint, batch_id int"
+
+
+def read_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """Alerts written by the batch sink; a sink that never received a row
+    (no window reached the threshold) reads as an empty table."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hpath):
+        return spark.createDataFrame([], ALERT_SCHEMA)
+    return spark.read.schema(ALERT_SCHEMA).parquet(path)
+
+
 def ingest_login_attempts(spark: SparkSession, src_dir: str, schema: str, out: str,
                           checkpoint: str | None = None, fmt: str = "json") -> None:
     """Every attempt is logged (success or not); NULL ip -> 'UNKNOWN'."""
