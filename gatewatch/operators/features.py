@@ -113,19 +113,19 @@ def recent_failed_counts(le: DataFrame, widths: Mapping[str, int] | None = None,
     wmax = max(widths.values())
     b_us = int((bucket_seconds or wmax) * 1_000_000)
     reach = math.ceil(wmax * 1_000_000 / b_us)
-    base = le.select("event_id", USER, "event_time", failed_flag().alias("gw_failed"),
+    base = le.select("event_id", USER, "event_time", failed_flag().alias("gw_f"),
                      F.floor(epoch_us() / F.lit(b_us)).alias("gw_b"))
-    probes = base.select("event_id", USER, "event_time", "gw_b", F.lit(0).alias("gw_hit"))
-    builds = (base.where("gw_failed")
-              .select(F.lit(None).cast("bigint").alias("event_id"), USER, "event_time",
-                      F.explode(F.sequence(F.col("gw_b"), F.col("gw_b") + F.lit(reach))).alias("gw_b"),
-                      F.lit(1).alias("gw_hit")))
-    both = probes.unionByName(builds)
-    cols = [F.expr(f"sum(gw_hit) OVER (PARTITION BY {USER}, gw_b ORDER BY event_time "
+    probes = base.withColumn("gw_probe", F.lit(True))
+    # failed rows also visit the next `reach` buckets (own bucket: counted as probes)
+    copies = (base.where("gw_f")
+              .select(F.lit(None).cast("bigint").alias("event_id"), USER, "event_time", "gw_f",
+                      F.explode(F.sequence(F.col("gw_b") + 1, F.col("gw_b") + F.lit(reach))).alias("gw_b"))
+              .withColumn("gw_probe", F.lit(False)))
+    both = probes.unionByName(copies)
+    cols = [F.expr(f"sum(CAST(gw_f AS INT)) OVER (PARTITION BY {USER}, gw_b ORDER BY event_time "
                    f"RANGE BETWEEN INTERVAL {int(w)} SECONDS PRECEDING AND CURRENT ROW)")
             .cast("bigint").alias(name) for name, w in widths.items()]
-    return (both.select("event_id", USER, F.col("gw_hit"), *cols)
-            .where(F.col("gw_hit") == 0).drop("gw_hit"))
+    return both.select("event_id", USER, "gw_probe", *cols).where("gw_probe").drop("gw_probe")
 
 
 # ------------------------------------------------------------- W2
@@ -297,20 +297,113 @@ def last_event_flags(le: DataFrame) -> DataFrame:
                     F.col("l.is_new_device").alias("is_new_device")))
 
 
-def session_features(le: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
-    """The 11 session features per user, computed from raw events.
-
-    ``recent_failed_*`` per user is the peak over the user's events (the
-    busiest window), the other features as named."""
-    base = universal_features(le)
-    ratio = base.select(USER, (F.col("login_freq") - F.col("failed_count")).alias("success_count"),
-                        safe_ratio(F.col("failed_count"),
-                                   F.col("login_freq") - F.col("failed_count")).alias("failed_success_ratio"))
-    recent = (recent_failed_counts(le).groupBy(USER)
-              .agg(*[F.max(c).alias(c) for c in ("recent_failed_5m", "recent_failed_30m", "recent_failed_24h")]))
-    parts = [ratio, last_event_flags(le), consecutive_failed(le, chunk_seconds), recent,
-             avg_failed_gap(le, chunk_seconds), unique_devices(le)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, USER, "left")
+def session_features(le: DataFrame, chunk_seconds: int = DAY, widths: Mapping[str, int] | None = None,
+                     include_universal: bool = False) -> DataFrame:
+    """The 11 session features per user from raw events, in two passes.
+
+    Pass 1 -- one shuffle by (user, day chunk), one sort: failed rows of the
+    previous ``ceil(w_max / chunk)`` chunks join each chunk as copies, so the
+    same window partition serves W1 (RANGE frames over event time) and the
+    W2/W3 running state (ROWS frames over the chunk's own rows). A per-chunk
+    summary carries run lengths, gap sums, the latest event and the
+    universal-feature partial sums; the summaries (bounded by the time span
+    / chunk width per user) are folded per user.
+
+    Pass 2 -- one stacked aggregate over (user, ip | device): distinct counts
+    and the newest first-sighting per user, which equals the latest event
+    exactly when the latest event's ip (device) is new.
+
+    ``recent_failed_*`` per user is the peak over the user's events; the
+    other features as named. ``include_universal`` adds login_freq,
+    failed_count, unique_ips, avg_rtt and the majority label."""
+    widths = dict(widths or {"recent_failed_5m": 300, "recent_failed_30m": 1800,
+                             "recent_failed_24h": DAY})
+    wmax = max(widths.values())
+    b_us = int(chunk_seconds) * 1_000_000
+    reach = math.ceil(wmax / chunk_seconds)
+    ev = le.where(F.col(USER).isNotNull()).select(
+        USER, "event_id", "event_time", "ip", "device", "rtt_ms", "is_attack", failed_flag().alias("f"),
+        F.coalesce(~F.col("success"), F.lit(False)).alias("gw_fc"), epoch_us().alias("us"),
+        unusual_hour("event_time").alias("uh"))
+    ev = ev.withColumn("b", F.floor(F.col("us") / F.lit(b_us)))
+    probes = ev.withColumn("hit", F.lit(0))
+    copies = (ev.where("f").select(USER, "event_time", "us", F.lit(True).alias("f"),
+                                   F.explode(F.sequence(F.col("b") + 1, F.col("b") + F.lit(reach))).alias("b"))
+              .withColumn("hit", F.lit(1)))
+    both = probes.unionByName(copies, allowMissingColumns=True)
+    rows_spec = f"PARTITION BY {USER}, b ORDER BY event_time, event_id"
+    run = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    w = (both
+         .withColumn("prn", F.expr(f"count(CASE WHEN hit = 0 THEN 1 END) OVER ({rows_spec} {run})"))
+         .withColumn("last_nf", F.expr(f"max(CASE WHEN hit = 0 AND NOT f THEN prn END) OVER ({rows_spec} {run})"))
+         .withColumn("prev_fail", F.expr(f"max(CASE WHEN hit = 0 AND f THEN us END) OVER ({rows_spec} "
+                                         f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")))
+    for name, sec in widths.items():
+        w = w.withColumn(name, F.expr(
+            f"sum(CAST(f AS INT)) OVER (PARTITION BY {USER}, b ORDER BY event_time "
+            f"RANGE BETWEEN INTERVAL {int(sec)} SECONDS PRECEDING AND CURRENT ROW)").cast("bigint"))
+    p = w.where(F.col("hit") == 0)
+    minute = F.lit(60_000_000)
+    gap = F.when(F.col("f") & F.col("prev_fail").isNotNull(), F.floor((F.col("us") - F.col("prev_fail")) / minute))
+    chunks = p.groupBy(USER, "b").agg(
+        F.count(F.lit(1)).alias("len"),
+        F.max(F.when(F.col("f"), F.col("prn") - F.coalesce(F.col("last_nf"), F.lit(0))).otherwise(0)).alias("maxrun"),
+        F.min(F.when(~F.col("f"), F.col("prn"))).alias("first_nf"),
+        F.max(F.when(~F.col("f"), F.col("prn"))).alias("last_nf_all"),
+        F.sum(gap).alias("gsum"), F.count(gap).alias("gcnt"),
+        F.min(F.when(F.col("f"), F.col("us"))).alias("first_fail"),
+        F.max(F.when(F.col("f"), F.col("us"))).alias("last_fail"),
+        F.count_if("gw_fc").alias("failed_cnt"),
+        F.sum(F.col("rtt_ms").cast("decimal(18,6)")).alias("rtt_sum"), F.count("rtt_ms").alias("rtt_n"),
+        F.sum(F.col("is_attack").cast("int")).alias("lab_sum"), F.count("is_attack").alias("lab_n"),
+        *[F.max(n).alias(n) for n in widths],
+        F.max(F.struct("event_time", "event_id", "uh")).alias("last"))
+    chunks = chunks.withColumn("prev_last", F.expr(
+        f"max(last_fail) OVER (PARTITION BY {USER} ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"))
+    border = F.when(F.col("first_fail").isNotNull() & F.col("prev_last").isNotNull(),
+                    F.floor((F.col("first_fail") - F.col("prev_last")) / minute))
+    summ = F.struct(F.col("b").alias("chunk"), F.col("len").cast("bigint").alias("len"),
+                    (F.coalesce(F.col("first_nf"), F.col("len") + 1) - 1).cast("bigint").alias("prefix"),
+                    (F.col("len") - F.coalesce(F.col("last_nf_all"), F.lit(0))).cast("bigint").alias("suffix"),
+                    F.col("maxrun").cast("bigint").alias("maxrun"), F.col("first_nf").isNull().alias("full"))
+    per_user = chunks.groupBy(USER).agg(
+        F.sort_array(F.collect_list(summ)).alias("chunks"),
+        (F.coalesce(F.sum("gsum"), F.lit(0)) + F.coalesce(F.sum(border), F.lit(0))).alias("gap_tot"),
+        (F.sum("gcnt") + F.count(border)).alias("gap_n"),
+        F.sum("len").alias("login_freq"), F.sum("failed_cnt").alias("failed_count"),
+        (F.sum("rtt_sum").cast("double") / F.sum("rtt_n")).alias("avg_rtt"),
+        F.when(F.sum("lab_sum") * 2 > F.sum("lab_n"), F.lit(1)).otherwise(F.lit(0)).alias("is_attack_ip"),
+        *[F.max(n).alias(n) for n in widths],
+        F.max("last").alias("last"))
+    init = F.struct(F.lit(0).cast("bigint").alias("cur"), F.lit(0).cast("bigint").alias("best"))
+
+    def step(acc, x):
+        joined = acc["cur"] + x["len"]
+        return F.struct(F.when(x["full"], joined).otherwise(x["suffix"]).alias("cur"),
+                        F.greatest(acc["best"], x["maxrun"],
+                                   F.when(x["full"], joined).otherwise(acc["cur"] + x["prefix"])).alias("best"))
+
+    kinds = ev.select(USER, F.struct("event_time", "event_id").alias("t"),
+                      F.expr("stack(2, 'ip', ip, 'device', device) AS (kind, val)"))
+    firsts = kinds.groupBy(USER, "kind", "val").agg(F.min("t").alias("first"))
+    seen = firsts.groupBy(USER).agg(
+        F.count_if(F.col("kind") == "ip").alias("unique_ips"),
+        F.count_if(F.col("kind") == "device").alias("unique_devices"),
+        F.max(F.when(F.col("kind") == "ip", F.col("first"))).alias("ip_newest"),
+        F.max(F.when(F.col("kind") == "device", F.col("first"))).alias("dev_newest"))
+    last_t = F.struct(F.col("last.event_time").alias("event_time"), F.col("last.event_id").alias("event_id"))
+    out = per_user.join(seen, USER, "left").select(
+        USER,
+        (F.col("login_freq") - F.col("failed_count")).alias("success_count"),
+        safe_ratio(F.col("failed_count"), F.col("login_freq") - F.col("failed_count")).alias("failed_success_ratio"),
+        F.col("last.uh").alias("unusual_login_hour"),
+        (F.col("ip_newest") == last_t).cast("int").alias("is_new_ip"),
+        (F.col("dev_newest") == last_t).cast("int").alias("is_new_device"),
+        F.aggregate("chunks", init, step, lambda a: a["best"]).alias("consecutive_failed_attempts"),
+        *[F.col(n) for n in widths],
+        F.when(F.coalesce(F.col("gap_n"), F.lit(0)) == 0, F.lit(0.0))
+        .otherwise(F.col("gap_tot") / F.col("gap_n")).alias("avg_failed_gap"),
+        "unique_devices",
+        *([F.col("login_freq"), F.col("failed_count"), F.col("unique_ips"), F.col("avg_rtt"), F.col("is_attack_ip")]
+          if include_universal else []))
     return out

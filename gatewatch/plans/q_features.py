@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gatewatch.operators import features as FT
 from gatewatch.plans import sqlgen as S
-from gatewatch.plans.catalog import register
+from gatewatch.plans.catalog import REGISTRY, register
 from gatewatch.plans.sqlgen import with_le
 from gatewatch.sources import login_events
 
@@ -165,3 +165,6 @@ def _coerced(spark, d):
 register("coerce_features", with_le(UF) + """
 SELECT user_id, CAST(failed_count AS DOUBLE) AS failed_count, CAST(login_freq AS DOUBLE) AS login_freq,
        CAST(unique_ips AS DOUBLE) AS unique_ips, avg_rtt FROM uf WHERE avg_rtt IS NOT NULL""", FAM)(_coerced)
+
+register("session_features_hour_chunks", REGISTRY["session_features"].sql, FAM)(
+    lambda spark, d: FT.session_features(login_events(spark, d), chunk_seconds=3600))
