@@ -41,6 +41,8 @@ def uniform(keys, seed, stream: str | None = None) -> Column:
 def laplace_noise(keys, epsilon, seed, stream: str = "laplace",
                   sensitivity: float = 1.0) -> Column:
     """``b * sign(u) * ln(1 - 2|u|)`` with ``u = 0.5 - U`` and ``b = s/eps``."""
+    if not isinstance(epsilon, Column):
+        _validate_eps(epsilon)
     u = F.lit(0.5) - uniform(keys, seed, stream)
     b = F.lit(float(sensitivity)) / (epsilon if isinstance(epsilon, Column) else F.lit(float(epsilon)))
     return b * F.signum(u) * F.log(F.lit(1.0) - F.lit(2.0) * F.abs(u))

@@ -29,11 +29,19 @@ def logons_only(le: DataFrame) -> DataFrame:
     return le.where(F.col("activity") == F.lit("Logon"))
 
 
+def _prune(le: DataFrame, start: Column) -> DataFrame:
+    """On a log partitioned by ``event_date`` add the implied date bound, so
+    only the partitions that can hold recent rows are listed and read."""
+    if "event_date" in le.columns:
+        return le.where(F.col("event_date") >= F.to_date(start))
+    return le
+
+
 def since(le: DataFrame, as_of, width: str = "30 minutes",
           time_col: str = "event_time") -> DataFrame:
     """``time >= as_of - width`` with no upper bound (as the reference)."""
     start = F.lit(as_of).cast("timestamp_ntz") - _interval(width)
-    return le.where(F.col(time_col) >= start)
+    return _prune(le, start).where(F.col(time_col) >= start)
 
 
 def since_max(le: DataFrame, width: str = "30 minutes",
@@ -42,8 +50,14 @@ def since_max(le: DataFrame, width: str = "30 minutes",
 
     The max is an uncorrelated scalar subquery: Spark runs it once and
     filters with the resulting literal (no join, no broadcast of data)."""
-    anchor = le.select(F.max(time_col)).scalar()
-    return le.where(F.col(time_col) >= anchor - _interval(width))
+    if "event_date" in le.columns and time_col == "event_time":
+        # date-partitioned log: the max lies in the newest date partition, so
+        # the anchor reads one partition instead of the whole time column
+        last_day = le.select(F.max("event_date")).scalar()
+        anchor = le.where(F.col("event_date") == last_day).select(F.max(time_col)).scalar()
+    else:
+        anchor = le.select(F.max(time_col)).scalar()
+    return _prune(le, anchor - _interval(width)).where(F.col(time_col) >= anchor - _interval(width))
 
 
 def suppress_outliers(counts: DataFrame, cap: int = 50000, col: str = "count") -> DataFrame:

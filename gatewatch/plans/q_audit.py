@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gatewatch.operators import audit as A
 from gatewatch.operators import paging
-from gatewatch.plans.catalog import register
+from gatewatch.plans.catalog import REGISTRY, register
 from gatewatch.plans.sqlgen import with_le
 from gatewatch.sources import login_events
 
@@ -131,3 +131,15 @@ SELECT user_id, count, (SELECT COUNT(*) FROM c) AS total_elements,
        3 AS page_number, 10 AS page_size
 FROM c ORDER BY user_id ASC LIMIT 10 OFFSET 30""", FAM)(
     lambda spark, d: paging.page0(A.failed_per_user(login_events(spark, d)), page=3, size=10))
+
+
+def _partitioned_recent(spark, d):
+    from gatewatch.session import scratch_path
+    from gatewatch.sources import readers, sinks
+
+    path = scratch_path(spark, "event-log")
+    sinks.write_event_log(login_events(spark, d), path, mode="overwrite")
+    return A.recent_failed_per_user(readers.read_event_log(spark, path), "24 hours")
+
+
+register("recent_failed_partitioned_log", REGISTRY["recent_failed_per_user"].sql, FAM)(_partitioned_recent)

@@ -151,3 +151,8 @@ def load_metrics_json(spark: SparkSession, path: str) -> DataFrame:
                      *[(F.col(f"`{m}`.`{f}`") if f in df.schema[m].dataType.fieldNames()
                         else F.lit(None)).cast("double").alias(f) for f in fields]) for m in models]
     return df.select(F.inline(F.array(*cols)))
+
+
+def read_event_log(spark: SparkSession, path: str) -> DataFrame:
+    """A log written by ``sinks.write_event_log`` (keeps ``event_date``)."""
+    return spark.read.parquet(path)

@@ -48,3 +48,10 @@ def publish_unsupervised(df: DataFrame) -> DataFrame:
     return df.select(F.coalesce(F.col("user_id").cast("string"), F.lit("")).alias("user_id"),
                      *[F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(c)
                        for c in ("iso_pred", "lof_pred", "is_attack_ip")])
+
+
+def write_event_log(le: DataFrame, path: str, mode: str = "append") -> None:
+    """Canonical login log partitioned by ``event_date``: recent-window
+    filters (F3/F4) then prune to the last few date partitions."""
+    (le.withColumn("event_date", F.to_date("event_time"))
+     .write.mode(mode).partitionBy("event_date").parquet(path))

@@ -64,3 +64,39 @@ def test_lookup_join_broadcasts_bounded_side(spark):
 def test_top_k_uses_take_ordered(spark):
     p = _plan(A.top_failed(login_events(spark, SF_SMALL), 10))
     assert "TakeOrderedAndProject" in p
+
+
+def test_recent_window_prunes_date_partitions(spark, scratch):
+    from gatewatch.sources import readers, sinks
+
+    sinks.write_event_log(login_events(spark, SF_SMALL), f"{scratch}/log", mode="overwrite")
+    log = readers.read_event_log(spark, f"{scratch}/log")
+    df = A.recent_failed_per_user(log, "24 hours")
+    df.collect()
+    p = _plan(df)
+    assert "PartitionFilters: [isnotnull(event_date" in p and "event_date" in p
+    df2 = A.recent_failed_per_user(log, "24 hours", as_of="2024-01-02 00:00:00")
+    assert "PartitionFilters: [isnotnull(event_date" in _plan(df2)
+
+
+def test_windows_partition_by_time_as_well_as_user(spark):
+    # skew safety: no window is partitioned by the user alone over raw events
+    le = login_events(spark, SF_SMALL)
+    for df in (FT.recent_failed_counts(le), FT.consecutive_failed(le), FT.avg_failed_gap(le),
+               FT.session_features(le)):
+        p = _plan(df)
+        for line in p.splitlines():
+            if "Window [" in line and "windowspecdefinition(user_id" in line:
+                spec = line.split("windowspecdefinition(", 1)[1]
+                keys = spec.split(",")[:2]
+                assert any(k.strip().startswith(("chunk", "gw_b", "b#", "event_time", "b")) for k in keys[1:]), line
+
+
+def test_epsilon_validated():
+    import pytest as _pt
+    from gatewatch.functions.noise import gaussian_sigma, laplace_noise
+
+    with _pt.raises(ValueError):
+        laplace_noise("user_id", 0.0, 42)
+    with _pt.raises(ValueError):
+        gaussian_sigma(1.0, 1.5)
