@@ -22,17 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Q_CHUNK = 512
-R_BLOCK = 8192
+BLOCK_BYTES = 64 * 1024 * 1024  # cap on one (chunk x block x features) difference tensor
 
 
 def _topk_block(q: np.ndarray, qid: np.ndarray, r: np.ndarray, rid: np.ndarray, k: int,
                 exclude_self: bool):
     """Top-k (ids, dists) of each query row among ``r`` (exact, tie -> ref order)."""
     n = len(q)
+    r_block = max(64, BLOCK_BYTES // (max(n, 1) * max(q.shape[1], 1) * 8))
     best_d = np.full((n, 0), np.inf)
     best_i = np.empty((n, 0), dtype=object)
-    for s in range(0, len(r), R_BLOCK):
-        rb, ib = r[s:s + R_BLOCK], rid[s:s + R_BLOCK]
+    for s in range(0, len(r), r_block):
+        rb, ib = r[s:s + r_block], rid[s:s + r_block]
         d2 = ((q[:, None, :] - rb[None, :, :]) ** 2).sum(axis=2)
         d = np.sqrt(d2)
         if exclude_self:
@@ -47,15 +48,16 @@ def _topk_block(q: np.ndarray, qid: np.ndarray, r: np.ndarray, rid: np.ndarray,
 
 
 def _kernel(ref_ids, ref_x, id_col, feat_cols, k, exclude_self):
+    """``mapInPandas`` body; ``ref_ids`` / ``ref_x`` are broadcast variables."""
     def run(batches):
+        rid, rx = ref_ids.value, ref_x.value
         for pdf in batches:
             if pdf.empty:
                 continue
             x = pdf[list(feat_cols)].to_numpy(dtype=np.float64)
             ids = pdf[id_col].to_numpy()
             for s in range(0, len(pdf), Q_CHUNK):
-                bi, bd = _topk_block(x[s:s + Q_CHUNK], ids[s:s + Q_CHUNK], ref_x.value if hasattr(ref_x, "value") else ref_x,
-                                     ref_ids.value if hasattr(ref_ids, "value") else ref_ids, k, exclude_self)
+                bi, bd = _topk_block(x[s:s + Q_CHUNK], ids[s:s + Q_CHUNK], rx, rid, k, exclude_self)
                 finite = np.isfinite(bd)
                 yield pd.DataFrame({
                     id_col: ids[s:s + Q_CHUNK],

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gatewatch.operators import audit as A
 from gatewatch.operators import features as FT
 from gatewatch.plans import sqlgen as S
 from gatewatch.plans.catalog import REGISTRY, register
@@ -151,8 +152,7 @@ FROM uf LEFT JOIN lf USING (user_id) LEFT JOIN cf USING (user_id) LEFT JOIN rc U
 
 register("top_scored_users", with_le(UF) + """
 SELECT * FROM uf ORDER BY failed_count DESC, user_id ASC LIMIT 100""", FAM)(
-    lambda spark, d: __import__("gatewatch.operators.audit", fromlist=["x"]).top_k(
-        FT.universal_features(login_events(spark, d)), 100, col="failed_count"))
+    lambda spark, d: A.top_k(FT.universal_features(login_events(spark, d)), 100, col="failed_count"))
 
 
 def _coerced(spark, d):

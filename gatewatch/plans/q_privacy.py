@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gatewatch.functions.noise import hmac_blocks, noisy_display, pseudonymise, uniform
+from gatewatch.functions.noise import gaussian_sigma, hmac_blocks, noisy_display, pseudonymise, uniform
 from gatewatch.operators import anomaly as N
 from gatewatch.operators import audit as A
 from gatewatch.plans import sqlgen as S
@@ -25,7 +25,7 @@ SELECT user_id, {S.half_up('count + ' + S.laplace('user_id', 0.5, 42))} AS noisy
     lambda spark, d: N.dp_counts(A.failed_per_user(login_events(spark, d)), 0.5, 42))
 
 register("dp_gaussian_counts", with_le(FAILED) + f"""
-SELECT user_id, {S.half_up('count + ' + S.std_normal('user_id', 42, 'gaussian') + ' * ' + repr(__import__('gatewatch.functions.noise', fromlist=['x']).gaussian_sigma(0.5, 1e-5)))} AS noisy_count FROM c""", FAM)(
+SELECT user_id, {S.half_up('count + ' + S.std_normal('user_id', 42, 'gaussian') + ' * ' + S.dbl(gaussian_sigma(0.5, 1e-5)))} AS noisy_count FROM c""", FAM)(
     lambda spark, d: N.dp_gaussian_counts(A.failed_per_user(login_events(spark, d)), 0.5, 1e-5, 42))
 
 register("dp_threshold", with_le(FAILED) + f"""
