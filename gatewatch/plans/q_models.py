@@ -181,3 +181,32 @@ def _meta_comparison(spark, d):
 
 
 register("meta_metrics_comparison", None, FAM)(_meta_comparison)
+
+
+def _linux_evaluation(spark, d):
+    """The Linux auth-log evaluation, computed honestly: per-IP features with
+    overlap noise, 70/30 split, SMOTE, then LR (balanced), RF (100 trees,
+    depth 3, balanced), RF+LR stacking, isolation forest (contamination =
+    attack share, fit on the test rows as the reference does) and novelty
+    LOF (fit on train); every model also with randomised-response flips."""
+    feats = _linux_aug(spark, d)
+    contamination = EV.contamination(feats).first()[0]
+    split = M.materialise(FT.split_flag(feats))
+    train, test = split.where("split = 'train'").drop("split"), split.where("split = 'test'").drop("split")
+    fit_on = M.smote(train, FEATS)
+    lr, rf = M.parallel(lambda job: job(), [lambda: M.fit_logistic(fit_on, FEATS),
+                                            lambda: M.fit_forest(fit_on, FEATS, n_trees=100, max_depth=3)])
+    scored = M.predict_proba(rf, M.predict_proba(lr, test, FEATS, "lr"), FEATS, "rf")
+    stack = M.stacking(fit_on, test, FEATS).select("user_id", "stack_pred")
+    iso = IF.isolation_forest(test, test, FEATS, contamination=contamination).select("user_id", "iso_pred")
+    lof = LOF.lof_scores(train, test, "user_id", FEATS, k=20, contamination=contamination) \
+        .select("user_id", "lof_pred")
+    allp = scored.join(stack, "user_id").join(iso, "user_id").join(lof, "user_id")
+    preds = ["lr_pred", "rf_pred", "stack_pred", "iso_pred", "lof_pred"]
+    for p in preds:
+        allp = SC.flip_predictions(allp, p, 0.0003, out_col=p.replace("_pred", "_dp_pred"))
+    names = preds + [p.replace("_pred", "_dp_pred") for p in preds]
+    return EV.metrics(EV.confusion(allp, "is_attack_ip", names))
+
+
+register("linux_evaluation", None, FAM)(_linux_evaluation)
