@@ -71,7 +71,7 @@ def detector_flags(le: DataFrame, limit: int = 100, seed=42, ml_epsilon: float =
     fixed logistic and stump models on the exact count and on a separate
     Laplace(eps=``ml_epsilon``) draw."""
     joined = A.users_with_failed(le, limit)
-    failed_top = A.top_failed(le, limit)
+    failed_top = A.top_failed_from(A.user_activity(le), limit)
     stats = failed_top.agg(F.avg("count").alias("gw_mean"), F.stddev_pop("count").alias("gw_sd"))
     cnt = F.col("count").cast("double")
     lap = cnt + laplace_noise(USER, 1.0, seed, "detectors.laplace")

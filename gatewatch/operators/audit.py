@@ -159,14 +159,29 @@ def top_active_users(le: DataFrame, limit: int = 100) -> DataFrame:
     return top_k(activity_with_label(le), limit, col="total")
 
 
+def user_activity(le: DataFrame) -> DataFrame:
+    """Events, failures and the any-label per user: the one aggregate both
+    top-N sides of J1 are cut from (each side keeps only the columns it
+    needs after column pruning)."""
+    return le.groupBy(USER).agg(F.count(F.lit(1)).alias("total"),
+                                F.count_if(~F.col("success")).alias("failed"),
+                                label_any(le).alias("is_attack_ip"))
+
+
+def top_failed_from(activity: DataFrame, limit: int = 100) -> DataFrame:
+    """T1 on a ``user_activity`` frame (users without failures are absent)."""
+    return top_k(activity.where(F.col("failed") > 0).select(USER, F.col("failed").alias("count")), limit)
+
+
 def users_with_failed(le: DataFrame, limit: int = 100) -> DataFrame:
     """Top-N users by activity LEFT JOIN top-N users by failures.
 
     Both sides are truncated separately, so a user outside the second top-N
     counts as 0. The right side is at most ``limit`` rows -- a proven bound --
     so broadcasting it is safe at any data size."""
-    users = top_active_users(le, limit)
-    failed = top_failed(le, limit)
+    act = user_activity(le)
+    users = top_k(act.select(USER, "total", "is_attack_ip"), limit, col="total")
+    failed = top_failed_from(act, limit)
     return (users.join(F.broadcast(failed), USER, "left")
             .select(USER, "total", "is_attack_ip",
                     F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count")))
