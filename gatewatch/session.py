@@ -36,14 +36,17 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder for checkpoints and intermediate tables.
 
     Read from ``spark.checkpoint.dir`` (what the cluster names). Only when it
-    is unset -- local runs and tests -- a fresh scratch folder is created and
-    registered, so lineage cuts never land on an executor-local disk on a
-    real cluster.
+    is unset on a ``local[...]`` master -- local runs and tests -- a fresh
+    scratch folder is created and registered; on a cluster an unset value is
+    an error, so lineage cuts never land on a machine-local disk.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc_dir = spark.sparkContext.getCheckpointDir()
     path = sc_dir or conf_dir
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
+                               "(checkpoints and intermediate tables must survive executor loss)")
         path = tempfile.mkdtemp(prefix="gatewatch-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not sc_dir:
