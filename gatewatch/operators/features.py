@@ -147,6 +147,21 @@ def consecutive_failed(le: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
     return _consecutive_from_rows(rows, spec)
 
 
+def longest_run(chunks: Column) -> Column:
+    """Fold time-ordered chunk summaries ``(len, prefix, suffix, maxrun, full)``
+    into the longest run: an associative run-length monoid evaluated on the
+    JVM by ``aggregate`` (no Python, no per-row state across tasks)."""
+    init = F.struct(F.lit(0).cast("bigint").alias("cur"), F.lit(0).cast("bigint").alias("best"))
+
+    def step(acc, x):
+        joined = acc["cur"] + x["len"]
+        return F.struct(F.when(x["full"], joined).otherwise(x["suffix"]).alias("cur"),
+                        F.greatest(acc["best"], x["maxrun"],
+                                   F.when(x["full"], joined).otherwise(acc["cur"] + x["prefix"])).alias("best"))
+
+    return F.aggregate(chunks, init, step, lambda a: a["best"])
+
+
 def _consecutive_from_rows(rows: DataFrame, spec: str) -> DataFrame:
     # pass 1: row number inside the chunk
     numbered = rows.withColumn("rn", F.expr(f"row_number() OVER ({spec})"))
@@ -169,19 +184,9 @@ def _consecutive_from_rows(rows: DataFrame, spec: str) -> DataFrame:
                  (F.col("len") - F.coalesce(F.col("last_nf_all"), F.lit(0))).cast("bigint").alias("suffix"),
                  F.col("maxrun").cast("bigint").alias("maxrun"),
                  F.col("first_nf").isNull().alias("full")).alias("s"))
-    init = F.struct(F.lit(0).cast("bigint").alias("cur"), F.lit(0).cast("bigint").alias("best"))
-
-    def step(acc, x):
-        joined = acc["cur"] + x["len"]
-        cur = F.when(x["full"], joined).otherwise(x["suffix"])
-        best = F.greatest(acc["best"], x["maxrun"],
-                          F.when(x["full"], joined).otherwise(acc["cur"] + x["prefix"]))
-        return F.struct(cur.alias("cur"), best.alias("best"))
-
     return (summ.groupBy(USER)
             .agg(F.sort_array(F.collect_list("s")).alias("chunks"))
-            .select(USER, F.aggregate("chunks", init, step, lambda a: a["best"])
-                    .alias("consecutive_failed_attempts")))
+            .select(USER, longest_run(F.col("chunks")).alias("consecutive_failed_attempts")))
 
 
 # ------------------------------------------------------------- W3
@@ -375,13 +380,6 @@ def session_features(le: DataFrame, chunk_seconds: int = DAY, widths: Mapping[st
         F.when(F.sum("lab_sum") * 2 > F.sum("lab_n"), F.lit(1)).otherwise(F.lit(0)).alias("is_attack_ip"),
         *[F.max(n).alias(n) for n in widths],
         F.max("last").alias("last"))
-    init = F.struct(F.lit(0).cast("bigint").alias("cur"), F.lit(0).cast("bigint").alias("best"))
-
-    def step(acc, x):
-        joined = acc["cur"] + x["len"]
-        return F.struct(F.when(x["full"], joined).otherwise(x["suffix"]).alias("cur"),
-                        F.greatest(acc["best"], x["maxrun"],
-                                   F.when(x["full"], joined).otherwise(acc["cur"] + x["prefix"])).alias("best"))
 
     kinds = ev.select(USER, F.struct("event_time", "event_id").alias("t"),
                       F.expr("stack(2, 'ip', ip, 'device', device) AS (kind, val)"))
@@ -399,7 +397,7 @@ def session_features(le: DataFrame, chunk_seconds: int = DAY, widths: Mapping[st
         F.col("last.uh").alias("unusual_login_hour"),
         (F.col("ip_newest") == last_t).cast("int").alias("is_new_ip"),
         (F.col("dev_newest") == last_t).cast("int").alias("is_new_device"),
-        F.aggregate("chunks", init, step, lambda a: a["best"]).alias("consecutive_failed_attempts"),
+        longest_run(F.col("chunks")).alias("consecutive_failed_attempts"),
         *[F.col(n) for n in widths],
         F.when(F.coalesce(F.col("gap_n"), F.lit(0)) == 0, F.lit(0.0))
         .otherwise(F.col("gap_tot") / F.col("gap_n")).alias("avg_failed_gap"),

@@ -32,7 +32,19 @@ def _smote(spark, d):
     return EV.class_distribution(M.smote(train, FEATS))
 
 
-register("smote_balance", None, FAM)(_smote)
+def _smote_sql() -> str:
+    from gatewatch.plans import sqlgen as S
+    from gatewatch.plans.q_features import UF
+
+    return S.with_le(UF) + f"""
+, tr AS (SELECT * FROM uf WHERE {S.uniform('user_id', 42, 'split')} < 0.7)
+, cc AS (SELECT is_attack_ip, COUNT(*) AS c FROM tr GROUP BY is_attack_ip)
+SELECT is_attack_ip, (SELECT MAX(c) FROM cc) AS n FROM cc"""
+
+
+# SMOTE's row values are random draws, but its contract -- both classes end
+# at the majority count of the training split -- is SQL-checkable.
+register("smote_balance", _smote_sql(), FAM)(_smote)
 
 
 def _lr(spark, d):

@@ -100,3 +100,32 @@ def test_epsilon_validated():
         laplace_noise("user_id", 0.0, 42)
     with _pt.raises(ValueError):
         gaussian_sigma(1.0, 1.5)
+
+
+def test_stream_drops_rows_behind_the_watermark(spark, scratch):
+    import os
+    import pandas as pd
+
+    src = f"{scratch}/src"
+    os.makedirs(src)
+    schema = spark.read.parquet(f"{SF_SMALL}/events.parquet").schema
+
+    def put(name, rows):
+        pdf = pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "event_type", "value", "props"])
+        pdf["ts"] = pd.to_datetime(pdf["ts"])
+        spark.createDataFrame(pdf, schema).coalesce(1).write.mode("overwrite").parquet(f"{src}/{name}")
+
+    put("b1", [(1, "2024-01-01 10:00:00", 7, "error", 1.0, '{"k": 1}'),
+               (2, "2024-01-01 12:00:00", 7, "error", 1.0, '{"k": 1}')])
+    stream = (spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(src))
+    from gatewatch.sources.tables import adapt_events
+    counts = ST.windowed_failed_counts(adapt_events(stream).withColumn("event_ts", ST.ntz_to_ts("event_time")),
+                                       "30 minutes", "30 minutes", "10 minutes")
+    ST.run_available(counts, f"{scratch}/out", f"{scratch}/ck")
+    put("b2", [(3, "2024-01-01 10:05:00", 7, "error", 1.0, '{"k": 1}'),   # late: window closed
+               (4, "2024-01-01 13:00:00", 7, "error", 1.0, '{"k": 1}')])
+    ST.run_available(counts, f"{scratch}/out", f"{scratch}/ck")
+    got = [(str(r["window_start"]), r["count"]) for r in spark.read.parquet(f"{scratch}/out").collect()]
+    # the late row neither changed the closed window nor re-opened it
+    assert [g for g in got if g[0] == "2024-01-01 10:00:00"] == [("2024-01-01 10:00:00", 1)]
+    assert ("2024-01-01 12:00:00", 1) in got          # closed once the watermark passed 12:30
