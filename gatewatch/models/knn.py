@@ -5,11 +5,10 @@ points with NumPy in bounded blocks (query chunk x reference block), keeping
 a running top-k, so task memory is O(chunk * block) whatever the sizes.
 
 The reference set travels as a broadcast only when its row count -- checked
-with a count, not assumed -- is under ``max_broadcast_rows``. Beyond that it
-is split into hash blocks that are each under the bound; every block is
-scored in turn and the per-block top-k lists are merged per query with an
-aggregate, which stays exact (the global top-k is inside the union of the
-per-block top-k lists).
+with a count, not assumed -- is under ``max_broadcast_rows``. Beyond that the
+exact kd-tree partitioned search of :mod:`gatewatch.models.kdtree` takes
+over: bounded leaves, each query visiting only the leaves that can hold a
+closer neighbour.
 """
 
 from __future__ import annotations
@@ -76,20 +75,12 @@ def knn(queries: DataFrame, ref: DataFrame, id_col: str, feat_cols: Sequence[str
     r = ref.select(F.col(id_col).cast("string").alias(id_col), *[F.col(c).cast("double") for c in feat_cols])
     schema = f"`{id_col}` string, nbr_ids array<string>, nbr_dists array<double>"
     n_ref = r.count()
-    n_blocks = max(1, -(-n_ref // max_broadcast_rows))
-    parts = []
-    for b in range(n_blocks):
-        block = r if n_blocks == 1 else r.where(F.pmod(F.xxhash64(id_col), F.lit(n_blocks)) == b)
-        pdf = block.toPandas()  # bounded: at most ~max_broadcast_rows rows
-        ids = spark.sparkContext.broadcast(pdf[id_col].to_numpy())
-        xs = spark.sparkContext.broadcast(pdf[list(feat_cols)].to_numpy(dtype=np.float64))
-        parts.append(q.mapInPandas(_kernel(ids, xs, id_col, feat_cols, k, exclude_self), schema))
-    if n_blocks == 1:
-        return parts[0]
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    pairs = allp.select(id_col, F.arrays_zip(F.col("nbr_dists").alias("d"), F.col("nbr_ids").alias("i")).alias("z"))
-    merged = (pairs.groupBy(id_col).agg(F.flatten(F.collect_list("z")).alias("z"))  # <= n_blocks * k per query
-              .select(id_col, F.slice(F.array_sort("z"), 1, k).alias("z")))
-    return merged.select(id_col, F.col("z.i").alias("nbr_ids"), F.col("z.d").alias("nbr_dists"))
+    if n_ref > max_broadcast_rows:
+        from gatewatch.models.kdtree import knn_kdtree
+
+        return knn_kdtree(queries, ref, id_col, feat_cols, k, exclude_self,
+                          leaf_rows=max(4 * k, max_broadcast_rows // 8))
+    pdf = r.toPandas()  # bounded: checked above
+    ids = spark.sparkContext.broadcast(pdf[id_col].to_numpy())
+    xs = spark.sparkContext.broadcast(pdf[list(feat_cols)].to_numpy(dtype=np.float64))
+    return q.mapInPandas(_kernel(ids, xs, id_col, feat_cols, k, exclude_self), schema)

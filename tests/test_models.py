@@ -48,7 +48,7 @@ def brute_lof(train, data, k):
     return lrd[qi].mean(1) / lrd_q
 
 
-@pytest.mark.parametrize("max_rows", [10_000, 120])  # broadcast path and exact blocked path
+@pytest.mark.parametrize("max_rows", [10_000, 120, 40])  # broadcast path and the kd-tree path
 def test_knn_exact(spark, outliers, max_rows):
     pdf = planted()
     x = pdf[FEATS].to_numpy()
@@ -148,3 +148,49 @@ def test_calibrated_boosting_probabilities(spark, outliers):
     assert out["meta_prob"].between(0, 1).all()
     y = out["is_attack_ip"].to_numpy()
     assert out["meta_prob"].to_numpy()[y == 1].mean() > out["meta_prob"].to_numpy()[y == 0].mean() + 0.3
+
+
+@pytest.mark.parametrize("leaf_rows,sample_rows", [(30, 10_000), (50, 120)])
+def test_kdtree_knn_exact_with_heavy_duplicates(spark, leaf_rows, sample_rows):
+    from gatewatch.models.kdtree import knn_kdtree
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 3))
+    x[:200] = [1.0, 2.0, 3.0]           # a third of all rows share one vector
+    ids = np.array([f"p{i}" for i in range(len(x))])
+    pdf = pd.DataFrame(x, columns=["a", "b", "c"]); pdf.insert(0, "id", ids)
+    df = spark.createDataFrame(pdf)
+    got = knn_kdtree(df, df, "id", ["a", "b", "c"], 7, exclude_self=True, leaf_rows=leaf_rows,
+                     sample_rows=sample_rows).toPandas().set_index("id").loc[ids]
+    _, bd = brute_knn(x, x, 7, True)
+    assert np.allclose(np.vstack(got["nbr_dists"].to_numpy()), bd)
+    # non-self queries against a reference set
+    q = spark.createDataFrame(pd.DataFrame({"id": [f"q{i}" for i in range(50)], "a": rng.normal(size=50),
+                                            "b": rng.normal(size=50), "c": rng.normal(size=50)}))
+    got_q = knn_kdtree(q, df, "id", ["a", "b", "c"], 5, leaf_rows=leaf_rows, sample_rows=sample_rows) \
+        .toPandas().set_index("id").loc[[f"q{i}" for i in range(50)]]
+    qx = q.toPandas()[["a", "b", "c"]].to_numpy()
+    _, qd = brute_knn(qx, x, 5, False)
+    assert np.allclose(np.vstack(got_q["nbr_dists"].to_numpy()), qd)
+
+
+def test_kdtree_leaves_are_bounded():
+    from gatewatch.models.kdtree import grow, route
+
+    rng = np.random.default_rng(0)
+    x = np.vstack([np.zeros((3000, 2)), rng.normal(size=(6000, 2))])  # one third identical
+    h = rng.integers(0, 2 ** 63, size=len(x)).astype(np.uint64)
+    t = grow(x, h, 500)
+    sizes = np.bincount(route(t, x, h))
+    assert sizes.max() <= 500
+
+
+def test_lof_on_kdtree_path_matches_brute_force(spark, outliers):
+    pdf = planted()
+    train_ids = set(pdf["user_id"][::2])
+    train = outliers.where(F.col("user_id").isin(list(train_ids)))
+    got = LOF.lof_scores(train, outliers, "user_id", FEATS, k=20, max_broadcast_rows=60).toPandas() \
+        .set_index("user_id")
+    tr = pdf[pdf["user_id"].isin(train_ids)][FEATS].to_numpy()
+    want = brute_lof(tr, pdf[FEATS].to_numpy(), 20)
+    assert np.allclose(got.loc[pdf["user_id"], "lof"].to_numpy(), want, rtol=1e-6)
