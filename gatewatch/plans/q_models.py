@@ -222,3 +222,18 @@ def _linux_evaluation(spark, d):
 
 
 register("linux_evaluation", None, FAM)(_linux_evaluation)
+
+
+def _unsup_report(spark, d):
+    return EV.classification_report(EV.confusion(_unsup(spark, d), "is_attack_ip", ["iso_pred", "lof_pred"]))
+
+
+register("unsupervised_report", None, FAM)(_unsup_report)
+
+
+def _meta_report(spark, d):
+    meta = _meta(spark, d).withColumn("meta_pred_05", (F.col("meta_prob") >= 0.5).cast("int"))
+    return EV.classification_report(EV.confusion(meta, "is_attack_ip", ["meta_pred_05", "meta_pred"]))
+
+
+register("meta_classification_report", None, FAM)(_meta_report)
