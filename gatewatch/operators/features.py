@@ -91,10 +91,12 @@ def unique_devices(le: DataFrame) -> DataFrame:
 
 def class_weights(df: DataFrame, label: str = "is_attack_ip", out: str = "weight") -> DataFrame:
     """M2: balanced weights ``n / (k * n_c)``; the class table has k rows."""
+    from pyspark.sql import Window
+
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("gw_nc"))
-    tot = counts.agg(F.sum("gw_nc").alias("gw_n"), F.count(F.lit(1)).alias("gw_k"))
-    w = counts.crossJoin(tot).select(
-        label, (F.col("gw_n") / (F.col("gw_k") * F.col("gw_nc"))).alias(out))
+    every = Window.partitionBy()  # over the class table: one row per class
+    w = counts.select(label, (F.sum("gw_nc").over(every)
+                              / (F.count(F.lit(1)).over(every) * F.col("gw_nc"))).alias(out))
     return df.join(F.broadcast(w), label, "left")
 
 
@@ -289,17 +291,33 @@ def augment_overlap(feats: DataFrame, seed=42, key: str = USER) -> DataFrame:
 
 
 # ------------------------------------------------------------- session
+def newest_first_sightings(ev: DataFrame) -> DataFrame:
+    """Per user: distinct ips and devices, and the newest first sighting of
+    each kind -- one stacked (user, kind, value) aggregate, no join back."""
+    kinds = ev.select(USER, F.struct("event_time", "event_id").alias("t"),
+                      F.expr("stack(2, 'ip', ip, 'device', device) AS (kind, val)"))
+    firsts = kinds.groupBy(USER, "kind", "val").agg(F.min("t").alias("first"))
+    return firsts.groupBy(USER).agg(
+        F.count_if(F.col("kind") == "ip").alias("unique_ips"),
+        F.count_if(F.col("kind") == "device").alias("unique_devices"),
+        F.max(F.when(F.col("kind") == "ip", F.col("first"))).alias("ip_newest"),
+        F.max(F.when(F.col("kind") == "device", F.col("first"))).alias("dev_newest"))
+
+
 def last_event_flags(le: DataFrame) -> DataFrame:
     """Per user, flags of the *latest* login: unusual hour (F8) and whether
-    its ip / device is new (F11 with previous = history)."""
-    firsts = first_sightings(le)
-    ev = le.select("event_id", USER, "event_time", unusual_hour("event_time").alias("uh"))
-    j = ev.join(firsts.drop(USER), "event_id")
-    last = F.max_by(F.struct("uh", "is_new_ip", "is_new_device"), F.struct("event_time", "event_id"))
-    return (j.groupBy(USER).agg(last.alias("l"))
-            .select(USER, F.col("l.uh").alias("unusual_login_hour"),
-                    F.col("l.is_new_ip").alias("is_new_ip"),
-                    F.col("l.is_new_device").alias("is_new_device")))
+    its ip / device is new (F11 with previous = history). The latest event's
+    ip is new exactly when the newest first-sighting of any of the user's
+    ips is that event, so two aggregates answer it without a join back to
+    the events."""
+    last = le.groupBy(USER).agg(F.max(F.struct("event_time", "event_id", unusual_hour("event_time")
+                                               .alias("uh"))).alias("last"))
+    seen = newest_first_sightings(le)
+    last_t = F.struct(F.col("last.event_time").alias("event_time"), F.col("last.event_id").alias("event_id"))
+    return last.join(seen, USER).select(
+        USER, F.col("last.uh").alias("unusual_login_hour"),
+        (F.col("ip_newest") == last_t).cast("int").alias("is_new_ip"),
+        (F.col("dev_newest") == last_t).cast("int").alias("is_new_device"))
 
 
 def session_features(le: DataFrame, chunk_seconds: int = DAY, widths: Mapping[str, int] | None = None,
@@ -381,14 +399,7 @@ def session_features(le: DataFrame, chunk_seconds: int = DAY, widths: Mapping[st
         *[F.max(n).alias(n) for n in widths],
         F.max("last").alias("last"))
 
-    kinds = ev.select(USER, F.struct("event_time", "event_id").alias("t"),
-                      F.expr("stack(2, 'ip', ip, 'device', device) AS (kind, val)"))
-    firsts = kinds.groupBy(USER, "kind", "val").agg(F.min("t").alias("first"))
-    seen = firsts.groupBy(USER).agg(
-        F.count_if(F.col("kind") == "ip").alias("unique_ips"),
-        F.count_if(F.col("kind") == "device").alias("unique_devices"),
-        F.max(F.when(F.col("kind") == "ip", F.col("first"))).alias("ip_newest"),
-        F.max(F.when(F.col("kind") == "device", F.col("first"))).alias("dev_newest"))
+    seen = newest_first_sightings(ev)
     last_t = F.struct(F.col("last.event_time").alias("event_time"), F.col("last.event_id").alias("event_id"))
     out = per_user.join(seen, USER, "left").select(
         USER,
