@@ -156,3 +156,37 @@ def load_metrics_json(spark: SparkSession, path: str) -> DataFrame:
 def read_event_log(spark: SparkSession, path: str) -> DataFrame:
     """A log written by ``sinks.write_event_log`` (keeps ``event_date``)."""
     return spark.read.parquet(path)
+
+
+def read_jdbc_logs(spark: SparkSession, url: str, table: str, properties: dict,
+                   partition_column: str = "id", num_partitions: int | None = None,
+                   lower_bound: int | None = None, upper_bound: int | None = None,
+                   kind: str = "app") -> DataFrame:
+    """S1/S2 from a relational database: a partitioned JDBC read (one range of
+    ``partition_column`` per task, so no single connection pulls the table),
+    with Spark pushing the log filters and the column projection into SQL.
+    Without bounds the table is read as one partition -- fine for small
+    tables only. ``kind`` picks the app or the insider-threat column mapping.
+
+    Not exercised in this repository's tests: no database may run here."""
+    opts = dict(properties)
+    if num_partitions and lower_bound is not None and upper_bound is not None:
+        df = spark.read.jdbc(url, table, column=partition_column, lowerBound=lower_bound,
+                             upperBound=upper_bound, numPartitions=num_partitions, properties=opts)
+    else:
+        df = spark.read.jdbc(url, table, properties=opts)
+    if kind == "cert":
+        return df.select(F.col("id").alias("event_id"), F.col("username").alias("user_id"),
+                         F.lit(None).cast("string").alias("ip"), F.col("pc").alias("device"),
+                         F.lit(None).cast("boolean").alias("success"), "activity",
+                         F.col("event_time").cast("timestamp_ntz").alias("event_time"),
+                         F.lit(None).cast("double").alias("rtt_ms"),
+                         F.lit(None).cast("boolean").alias("is_attack"), F.lit("cert").alias("source"))
+    attack = F.col("is_attack_ip") if "is_attack_ip" in df.columns else F.lit(None).cast("boolean")
+    return df.select(F.col("id").alias("event_id"), F.col("username").alias("user_id"),
+                     F.coalesce("ip_address", F.lit("UNKNOWN")).alias("ip"),
+                     F.lit(None).cast("string").alias("device"), "success",
+                     F.lit(None).cast("string").alias("activity"),
+                     F.col("created_at").cast("timestamp_ntz").alias("event_time"),
+                     F.lit(None).cast("double").alias("rtt_ms"), attack.alias("is_attack"),
+                     F.lit(kind).alias("source"))
