@@ -98,15 +98,21 @@ META_FEATURES = ["logreg_prob", "rf_prob", "failed_count", "login_freq", "unique
                  "avg_failed_gap", "unique_devices"]
 
 
-def _meta(spark, d):
-    from gatewatch.session import shared_dir
+_META_RESULTS: dict = {}
 
-    shared_dir(spark)
-    x = _meta_inputs(spark, d).checkpoint()
-    split = FT.split_flag(x, seed=7)  # the meta stage draws its own split
-    train, test = split.where("split = 'train'"), split.where("split = 'test'")
-    out = M.calibrated_boosting(train, test, META_FEATURES)
-    return SK.publish_meta(out, 0.1)
+
+def _meta(spark, d):
+    """Published meta-model results for the table folder ``d``. The fitted
+    model's output is materialised once per session in the shared folder
+    (like a stored results table) and reused by the reports built on it."""
+    key = (id(spark), d)
+    if key not in _META_RESULTS:
+        x = M.materialise(_meta_inputs(spark, d))
+        split = FT.split_flag(x, seed=7)  # the meta stage draws its own split
+        train, test = split.where("split = 'train'"), split.where("split = 'test'")
+        out = M.calibrated_boosting(train, test, META_FEATURES)
+        _META_RESULTS[key] = M.materialise(SK.publish_meta(out, 0.1))
+    return _META_RESULTS[key]
 
 
 register("calibrated_boosting", None, FAM)(_meta)
