@@ -243,3 +243,19 @@ def _meta_report(spark, d):
 
 
 register("meta_classification_report", None, FAM)(_meta_report)
+
+
+def _metrics_comparison(spark, d):
+    """The whole metrics comparison, every block computed (none literal):
+    rule / DP / fixed-model detectors on the top-100 users, the meta model
+    and its DP variant on the stored results, and the Linux evaluation,
+    merged by model name (J5; a later table wins on a clash)."""
+    from gatewatch.operators import anomaly as N
+
+    rules = EV.metrics(EV.confusion(N.detector_flags(login_events(spark, d), 100), "is_attack_ip", N.DETECTORS))
+    meta = _meta_comparison(spark, d)
+    linux = _linux_evaluation(spark, d).withColumn("detector", F.concat(F.lit("linux_"), F.col("detector")))
+    return EV.merge_metrics(rules, meta, linux)
+
+
+register("metrics_comparison", None, FAM)(_metrics_comparison)
