@@ -116,26 +116,39 @@ def linux_raw_from_events(events: DataFrame) -> DataFrame:
 
 def read_results_json(spark: SparkSession, path: str, schema: T.StructType = RESULT_SCHEMA) -> DataFrame:
     """Results as JSON lines, a bare array, or ``{"results": [...]}``.
-    A missing path gives an empty frame with the schema."""
+    A missing path gives an empty frame with the schema. The shape is told
+    from the first non-empty line (no inference pass over the data); the
+    data is then read once with the explicit schema."""
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(hpath):
         return spark.createDataFrame([], schema)
-    wrapped = T.StructType([T.StructField("results", T.ArrayType(schema))])
-    probe = spark.read.option("multiLine", True).json(path)
-    if "results" in probe.columns:
+    shape = _json_shape(spark, path)
+    if shape == "wrapped":
+        wrapped = T.StructType([T.StructField("results", T.ArrayType(schema))])
         return (spark.read.option("multiLine", True).schema(wrapped).json(path)
                 .select(F.explode("results").alias("r")).select("r.*"))
-    # bare arrays (multiLine) and JSON lines both read as one row per element
-    multi = spark.read.option("multiLine", True).schema(schema).json(path)
-    lines = spark.read.schema(schema).json(path)
-    return lines if _is_json_lines(spark, path) else multi
+    if shape == "array":
+        return spark.read.option("multiLine", True).schema(schema).json(path)
+    return spark.read.schema(schema).json(path)
 
 
-def _is_json_lines(spark: SparkSession, path: str) -> bool:
+def _json_shape(spark: SparkSession, path: str) -> str:
+    """'array' | 'wrapped' | 'lines' from the first non-empty line."""
+    import json
+
     first = spark.read.text(path).where(F.length(F.trim("value")) > 0).limit(1).collect()
-    return bool(first) and not first[0][0].lstrip().startswith("[")
+    if not first:
+        return "lines"
+    line = first[0][0].strip()
+    if line.startswith("["):
+        return "array"
+    try:
+        obj = json.loads(line)
+    except ValueError:
+        return "wrapped"  # a pretty-printed object spans lines: the wrapped document
+    return "wrapped" if isinstance(obj, dict) and "results" in obj else "lines"
 
 
 def load_metrics_json(spark: SparkSession, path: str) -> DataFrame:

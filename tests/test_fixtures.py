@@ -244,7 +244,13 @@ def test_results_json_shapes(spark, scratch):
         json.dump({"results": rows, "metrics": {"LR": {"accuracy": 1.0}}}, f, indent=2)
     with open(bare, "w") as f:
         json.dump(rows, f, indent=2)
-    for p in (wrapped, bare):
+    one_line = os.path.join(scratch, "o.json")
+    with open(one_line, "w") as f:
+        json.dump({"results": rows}, f)
+    lines = os.path.join(scratch, "l.json")
+    with open(lines, "w") as f:
+        f.write("\n".join(json.dumps(r) for r in rows) + "\n")
+    for p in (wrapped, bare, one_line, lines):
         got = R.read_results_json(spark, p).collect()
         assert len(got) == 1 and got[0]["user_id"] == "u1" and got[0]["rf_pred"] == 1
     assert R.read_results_json(spark, os.path.join(scratch, "missing.json")).count() == 0
