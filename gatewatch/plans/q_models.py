@@ -39,11 +39,15 @@ def _smote_sql() -> str:
     return S.with_le(UF) + f"""
 , tr AS (SELECT * FROM uf WHERE {S.uniform('user_id', 42, 'split')} < 0.7)
 , cc AS (SELECT is_attack_ip, COUNT(*) AS c FROM tr GROUP BY is_attack_ip)
-SELECT is_attack_ip, (SELECT MAX(c) FROM cc) AS n FROM cc"""
+SELECT is_attack_ip,
+       CASE WHEN (SELECT COUNT(*) FROM cc) < 2 OR (SELECT MIN(c) FROM cc) <= 1 THEN c  -- nothing to interpolate
+            ELSE (SELECT MAX(c) FROM cc) END AS n
+FROM cc"""
 
 
 # SMOTE's row values are random draws, but its contract -- both classes end
-# at the majority count of the training split -- is SQL-checkable.
+# at the majority count of the training split, unless the minority has at
+# most one row (then the data passes unchanged) -- is SQL-checkable.
 register("smote_balance", _smote_sql(), FAM)(_smote)
 
 
