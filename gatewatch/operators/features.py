@@ -222,20 +222,23 @@ def avg_failed_gap(le: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
 # ------------------------------------------------------------- W4, F8, F11
 def first_sightings(le: DataFrame) -> DataFrame:
     """Per event, is this the user's first (user, ip) / (user, device)?
-    First = minimum (event_time, event_id) per pair: a partial+final
-    aggregate (skew-safe) joined back on the pair."""
-    order = F.struct("event_time", "event_id")
-    ipf = le.groupBy(F.col(USER).alias("gw_u1"), F.col("ip").alias("gw_ip")) \
-        .agg(F.min(order).alias("ip_first"))
-    dvf = le.groupBy(F.col(USER).alias("gw_u2"), F.col("device").alias("gw_dev")) \
-        .agg(F.min(order).alias("dev_first"))
-    ev = le.select("event_id", USER, "ip", "device", "event_time")
-    # null-safe keys: a NULL ip / device is its own pair, as in SQL PARTITION BY
-    j = (ev.join(ipf, ev[USER].eqNullSafe(ipf["gw_u1"]) & ev["ip"].eqNullSafe(ipf["gw_ip"]), "left")
-         .join(dvf, ev[USER].eqNullSafe(dvf["gw_u2"]) & ev["device"].eqNullSafe(dvf["gw_dev"]), "left"))
-    return j.select("event_id", USER,
-                    (F.col("ip_first.event_id") == F.col("event_id")).cast("int").alias("is_new_ip"),
-                    (F.col("dev_first.event_id") == F.col("event_id")).cast("int").alias("is_new_device"))
+
+    First = minimum (event_time, event_id) per pair. One stacked
+    (user, kind, value) partial+final aggregate finds the first-sighting
+    events; they are regrouped by ``event_id`` (a table no larger than the
+    number of distinct pairs) and the events join it once on ``event_id`` --
+    a unique, evenly spread key, so the one shuffle of the event rows is
+    never skewed by a hot user or ip. A NULL ip / device is its own pair."""
+    kinds = le.select(USER, F.struct("event_time", "event_id").alias("t"),
+                      F.expr("stack(2, 'ip', ip, 'device', device) AS (kind, val)"))
+    firsts = (kinds.groupBy(USER, "kind", "val").agg(F.min("t").alias("first"))
+              .select(F.col("first.event_id").alias("event_id"), "kind"))
+    flags = firsts.groupBy("event_id").agg(
+        F.max((F.col("kind") == "ip").cast("int")).alias("gw_ip"),
+        F.max((F.col("kind") == "device").cast("int")).alias("gw_dev"))
+    return (le.select("event_id", USER).join(flags, "event_id", "left")
+            .select("event_id", USER, F.coalesce("gw_ip", F.lit(0)).alias("is_new_ip"),
+                    F.coalesce("gw_dev", F.lit(0)).alias("is_new_device")))
 
 
 def is_new(current, previous) -> Column:
