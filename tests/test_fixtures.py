@@ -332,3 +332,29 @@ def test_ingest_stream_logs_every_attempt(spark, scratch):
     ingest_login_attempts(spark, src, "username string, ip_address string, success boolean", out)
     got = sorted((r["ip_address"], r["success"]) for r in spark.read.parquet(out).collect())
     assert got == [("9.9.9.9", True), ("UNKNOWN", False)]
+
+
+def test_paging_edges_and_keyset(spark):
+    from gatewatch.operators import paging
+
+    df = spark.createDataFrame([(f"u{i:02d}", i) for i in range(25)], "user_id string, count bigint")
+    p3 = paging.page(df, ["user_id"], page=3, size=10).collect()
+    assert [r["user_id"] for r in p3] == [f"u{i:02d}" for i in range(20, 25)] and p3[0]["total"] == 25
+    assert paging.page(df, ["user_id"], page=9, size=10).count() == 0
+    assert paging.page(df, ["user_id"], page=0, size=10).count() == 10  # from = max(0, ...)
+    z = paging.page0(df, page=2, size=10).collect()
+    assert len(z) == 5 and z[0]["total_pages"] == 3 and z[0]["page_number"] == 2
+    after = [r["user_id"] for r in paging.page_after(df, "user_id", "u19", 3).collect()]
+    assert after == ["u20", "u21", "u22"]
+
+
+def test_sweep_recall_falls_and_flip_rate_falls_with_epsilon(spark):
+    scores = spark.createDataFrame([(f"u{i}", i / 100.0, int(i > 60)) for i in range(100)],
+                                   "user_id string, score double, label int")
+    sw = sorted(EV.threshold_sweep(scores, "score", "label").collect(), key=lambda r: r["threshold"])
+    recalls = [r["recall"] for r in sw]
+    assert recalls == sorted(recalls, reverse=True) and recalls[0] == 1.0
+    probs = spark.createDataFrame([(f"u{i}", 0.08) for i in range(4000)], "user_id string, p double")
+    rates = {r["epsilon"]: r["flip_rate"] for r in SC.noise_flip_rate(probs, "p", [50.0, 100.0, 400.0], 0.1).collect()}
+    assert rates[50.0] > rates[100.0] > rates[400.0]
+    assert rates[50.0] == pytest.approx(0.5 * math.exp(-0.02 * 50), abs=0.03)  # P(Laplace > 0.02), b = 1/eps
