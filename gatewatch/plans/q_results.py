@@ -126,3 +126,44 @@ def _split_roundtrip(spark, d):
 register("write_split_csv", with_le(UF) + f"""
 SELECT *, CASE WHEN {S.uniform('user_id', 42, 'split')} < 0.7 THEN 'train' ELSE 'test' END AS split FROM uf""", FAM)(
     _split_roundtrip)
+
+
+def _app_csv(spark, d):
+    le = login_events(spark, d)
+    path = scratch_path(spark, "app-log-csv")
+    (le.select(F.col("event_id").alias("id"), F.col("user_id").alias("username"), F.col("ip").alias("ip_address"),
+               "success", F.col("event_time").alias("created_at"))
+     .write.option("header", True).csv(path))
+    from gatewatch.operators import audit as A
+    return A.failed_per_user(R.read_app_logs(spark, path, fmt="csv"))
+
+
+def _cert_csv(spark, d):
+    le = login_events(spark, d)
+    path = scratch_path(spark, "cert-log-csv")
+    (le.select(F.col("event_id").alias("id"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("cert_event_id"),
+               "event_time", F.col("user_id").alias("username"), F.col("device").alias("pc"), "activity")
+     .write.option("header", True).csv(path))
+    from gatewatch.operators import audit as A
+    return A.logons_per_user(R.read_cert_logs(spark, path))
+
+
+def _rba_csv(spark, d):
+    le = login_events(spark, d)
+    path = scratch_path(spark, "rba-csv")
+    (le.select(F.col("user_id").alias("User ID"), F.col("ip").alias("IP Address"),
+               F.col("success").alias("Login Successful"), F.col("rtt_ms").alias("Round-Trip Time [ms]"),
+               F.col("is_attack").cast("int").alias("Is Attack IP"))
+     .write.option("header", True).csv(path))
+    return FT.universal_features(R.read_rba(spark, path))
+
+
+def _reg_reader_queries():
+    from gatewatch.plans.catalog import REGISTRY
+
+    register("app_log_csv_source", REGISTRY["failed_per_user"].sql, FAM)(_app_csv)
+    register("cert_log_csv_source", REGISTRY["logons_per_user"].sql, FAM)(_cert_csv)
+    register("rba_csv_source", REGISTRY["universal_features"].sql, FAM)(_rba_csv)
+
+
+_reg_reader_queries()
