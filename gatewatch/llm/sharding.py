@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatewatch.llm.frames import spare
+
 MAX_SLOTS = 1 << 22
 
 
@@ -62,6 +64,8 @@ def assign_shards(df: DataFrame, key: str, shards: list[str], slots: int = 65_53
     spark = df.sparkSession
     table = lookup_table(shards, slots)
     places = spark.createDataFrame([(i, shards[s]) for i, s in enumerate(table.tolist())], "_slot int, _shard string")
-    out = df.withColumn("_slot", slot_of(F.col(key), slots))
+    at, name = spare(df, "_slot"), spare(df, "_shard")
+    places = places.toDF(at, name)
+    out = df.withColumn(at, slot_of(F.col(key), slots))
     rest = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("slot", "shard")]
-    return out.join(F.broadcast(places), "_slot", "left").select(*rest, F.col("_slot").alias("slot"), F.col("_shard").alias("shard"))
+    return out.join(F.broadcast(places), at, "left").select(*rest, F.col(at).alias("slot"), F.col(name).alias("shard"))

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatewatch.llm.frames import spare
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: keys of a node that no label or segment can have
 PATHS, RULES = 0, 1
@@ -119,5 +121,5 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str]], default: str
             yield pd.DataFrame(out, columns=["rule", "verdict"])
 
     out = pages.withColumns({"host": host, "path": path})
-    j = out.withColumn("_judged", judge("host", "path"))
-    return j.withColumns({"rule": F.col("_judged.rule"), "verdict": F.col("_judged.verdict")}).drop("_judged")
+    j = spare(out, "_judged")
+    return out.withColumn(j, judge("host", "path")).withColumns({c: F.col(f"{j}.{c}") for c in ("rule", "verdict")}).drop(j)
