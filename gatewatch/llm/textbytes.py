@@ -83,8 +83,10 @@ def word_table() -> np.ndarray:
     return t
 
 
-def words(buf: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Every word of a chunk: ``(start, end, row, hash)``; words never cross rows."""
+def words(buf: np.ndarray, off: np.ndarray, table: np.ndarray, beginnings: tuple[int, ...] = ()) -> tuple:
+    """Every word of a chunk: ``(start, end, row, hash)``; words never cross rows.
+    With ``beginnings``, also for each of these lengths in bytes the pair
+    (numbers of the longer words, hashes of their first bytes)."""
     low = table[buf]
     on = low > 0
     n = len(buf)
@@ -98,9 +100,17 @@ def words(buf: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndarr
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     total = np.zeros(n + 1, U64)
     np.cumsum((low.astype(U64) + U64(1)) * powers(BASE, n), out=total[1:])
-    h = (total[end] - total[start]) * powers(BASE_INV, n)[start]
+    back = powers(BASE_INV, n)
+    h = (total[end] - total[start]) * back[start]
     row = np.searchsorted(off, start, "right") - 1
-    return start, end, row, mix64(h)
+    if not beginnings:
+        return start, end, row, mix64(h)
+    parts = []
+    for k in beginnings:
+        at = np.flatnonzero(end - start > k)
+        b = start[at]
+        parts.append((at, mix64((total[b + k] - total[b]) * back[b] + U64(k))))
+    return start, end, row, mix64(h), parts
 
 
 def word_hash(word: bytes) -> int:

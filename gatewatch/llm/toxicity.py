@@ -1,13 +1,14 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
-A linear model on word presence learns from confirmed toxic texts (P) and
+A linear model on the presence of words and word beginnings learns from confirmed toxic texts (P) and
 unlabelled texts (U) with the class-prior-corrected risk
 
     prior * E_P[loss(+)] + max(0, E_U[loss(-)] - prior * E_P[loss(-)])
 
 whose second part is kept from going negative (there the step is turned
-round). Words are hashed to 2**20 slots; the slots used are those whose share
-differs between P and U by more than ``min_z`` standard errors.
+round). Words, and their first 3 to 8 bytes, are hashed to 2**20 slots; the
+slots used are those whose share in P exceeds that in U by ``min_z`` standard
+errors and, with the prior taken off U, is ``min_ratio`` times that in clean text.
 
 Sampling bounds (the only sampled part): at most ``max_positive`` toxic and
 ``max_unlabelled`` unlabelled texts, those with the smallest id hash. Whole
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from gatewatch.llm.textbytes import text_chunks, word_table, words
 
 SLOT_BITS = 20
+BEGINNINGS = (3, 4, 5, 6, 7, 8)
 
 
 @dataclass
@@ -57,19 +59,21 @@ class ToxicModel:
 
 
 def word_slots(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per chunk: rows, and row and slot of every word."""
+    """Per chunk: rows, and row and slot of every word and word beginning."""
     table = word_table()
     for lo, hi, buf, off in text_chunks(column):
-        _, _, row, h = words(buf, off, table)
+        _, _, row, h, parts = words(buf, off, table, BEGINNINGS)
+        h = np.concatenate([h, *(x for _, x in parts)])
+        row = np.concatenate([row, *(row[at] for at, _ in parts)])
         yield hi - lo, row, (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 400, rate: float = 0.1,
-             ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 1000, rate: float = 0.1,
+             ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Full-batch Adam on the non-negative PU logistic risk of 0/1 rows."""
     p, u = (np.c_[x, np.ones(len(x))].astype(np.float64) for x in (pos, unl))
     w = np.zeros(p.shape[1])
-    m, v = np.zeros_like(w), np.zeros_like(w)
+    m, v, mean = np.zeros_like(w), np.zeros_like(w), np.zeros_like(w)
     keep = np.r_[np.full(len(w) - 1, ridge), 0.0]
     for t in range(1, steps + 1):
         zp, zu = p @ w, u @ w
@@ -80,7 +84,9 @@ def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 400, r
         g = (gain + slope if negative >= 0 else -slope) + keep * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-9)
-    return w[:-1], float(w[-1])
+        if t > steps // 2:  # the mean of the later steps: turned steps make single ones jump
+            mean += w / (steps - steps // 2)
+    return mean[:-1], float(mean[-1])
 
 
 def _slots_of(rows: DataFrame) -> list[np.ndarray]:
@@ -99,7 +105,7 @@ def _slots_of(rows: DataFrame) -> list[np.ndarray]:
 
 def train(docs: DataFrame, labels: DataFrame, may_learn: Callable[[Column], Column] | None = None,
           prior: float | None = None, max_positive: int = 4000, max_unlabelled: int = 8000,
-          max_features: int = 4096, min_z: float = 5.0) -> ToxicModel:
+          max_features: int = 1024, min_z: float = 4.0, min_ratio: float = 10.0) -> ToxicModel:
     """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
     ``may_learn`` says for a doc_id whether its label may be used. ``prior``
@@ -128,10 +134,12 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Callable[[Column], Colu
     n_p, n_u = len(slots[0]), len(slots[1])
     both = (share[0] + share[1] + 1) / (n_p + n_u + 2)
     z = (share[0] / n_p - share[1] / n_u) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
-    best = np.argsort(-np.abs(z), kind="stable")[:max_features]
-    best = best[np.abs(z[best]) > min_z]
+    clean = np.maximum(share[1] / n_u - prior * share[0] / n_p, 0) / (1 - prior)
+    z[clean * min_ratio > share[0] / n_p] = 0
+    best = np.argsort(-z, kind="stable")[:max_features]
+    best = best[z[best] > min_z]
     if not len(best):
-        best = np.argsort(-np.abs(z), kind="stable")[:64]
+        best = np.argsort(-z, kind="stable")[:16]
     feature = np.full(1 << SLOT_BITS, -1, np.int16)
     feature[best] = np.arange(len(best))
     x = []
