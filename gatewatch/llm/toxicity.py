@@ -68,23 +68,27 @@ def word_slots(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         yield hi - lo, row, (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 1000, rate: float = 0.1,
-             ridge: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Full-batch Adam on the non-negative PU logistic risk of 0/1 rows."""
-    p, u = (np.c_[x, np.ones(len(x))].astype(np.float64) for x in (pos, unl))
+def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05,
+             ridge: float | None = None) -> tuple[np.ndarray, float]:
+    """Adam on the non-negative PU logistic risk of 0/1 rows. Features are
+    evidence for the positive class, so weights stay at 0 or more; the mean of
+    the later half of the steps is taken, as turned steps make single ones jump."""
+    p, u = (np.c_[x, np.ones(len(x))].astype(np.float32) for x in (pos, unl))
     w = np.zeros(p.shape[1])
     m, v, mean = np.zeros_like(w), np.zeros_like(w), np.zeros_like(w)
-    keep = np.r_[np.full(len(w) - 1, ridge), 0.0]
+    keep = np.r_[np.full(len(w) - 1, 0.1 / len(p) if ridge is None else ridge), 0.0]
+    w[-1] = np.log(prior / (1 - prior))
     for t in range(1, steps + 1):
         zp, zu = p @ w, u @ w
-        sp, su = 1 / (1 + np.exp(-np.clip(zp, -60, 60))), 1 / (1 + np.exp(-np.clip(zu, -60, 60)))
+        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
         gain = -prior * p.T @ (1 - sp) / len(p)
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         slope = u.T @ su / len(u) - prior * p.T @ sp / len(p)
         g = (gain + slope if negative >= 0 else -slope) + keep * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-9)
-        if t > steps // 2:  # the mean of the later steps: turned steps make single ones jump
+        w[:-1] = np.maximum(w[:-1], 0)
+        if t > steps // 2:
             mean += w / (steps - steps // 2)
     return mean[:-1], float(mean[-1])
 
@@ -105,7 +109,7 @@ def _slots_of(rows: DataFrame) -> list[np.ndarray]:
 
 def train(docs: DataFrame, labels: DataFrame, may_learn: Callable[[Column], Column] | None = None,
           prior: float | None = None, max_positive: int = 4000, max_unlabelled: int = 8000,
-          max_features: int = 1024, min_z: float = 4.0, min_ratio: float = 10.0) -> ToxicModel:
+          max_features: int = 512, min_z: float = 5.0, min_ratio: float = 100.0) -> ToxicModel:
     """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
     ``may_learn`` says for a doc_id whether its label may be used. ``prior``
