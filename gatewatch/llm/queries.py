@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewatch.llm import decontaminate as decon
-from gatewatch.llm import mixing, sharding, simhash, toxicity, url_filter
+from gatewatch.llm import mixing, sharding, simhash, suffix_dedup, toxicity, url_filter
 from gatewatch.sources.tables import load_table
 
 QUERIES: dict = {}
@@ -74,3 +74,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load_table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     return sharding.assign_shards(docs, "doc_id", SHARDS)
+
+
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_passages(load_table(spark, sf_dir, "documents"), length=50)
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
+                        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
