@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gatewatch.llm import chat_format
 from gatewatch.llm import decontaminate as decon
 from gatewatch.llm import mixing, sharding, simhash, suffix_dedup, toxicity, url_filter
 from gatewatch.sources.tables import load_table
@@ -81,3 +82,54 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.repeated_passages(load_table(spark, sf_dir, "documents"), length=50)
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
                         F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = load_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
+    return chat_format.read_back(chat_format.format_conversations(turns.unionByName(extra)))
+
+
+_ESCAPED = r"""regexp_replace(coalesce(text, ''), '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g')"""
+ORACLES["op6_chat_format"] = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+       CAST(sum(length(role) + length({_ESCAPED}) + 9) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id"""
+
+_AFTER = "CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END"
+_RULES = ", ".join(f"('{v}', '{r}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}')" for v, r in URL_RULES)
+ORACLES["op1_url_filter"] = f"""
+WITH r(verdict, rule, rule_host, rule_path) AS (VALUES {_RULES}),
+u AS (SELECT page_id, url, regexp_extract({_AFTER}, '^[^?#]*') AS rest FROM pages),
+p AS (SELECT page_id, row_number() OVER () AS n,
+             translate(regexp_extract(coalesce(rest, ''), '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(coalesce(rest, ''), '/.*$', 0, 's') AS path FROM u),
+m AS (SELECT p.*, r.rule, r.verdict, row_number() OVER (PARTITION BY n ORDER BY length(rule_host) DESC, length(rule_path) DESC) AS k
+      FROM p LEFT JOIN r ON (p.host = rule_host OR ends_with(p.host, '.' || rule_host)) AND starts_with(p.path, rule_path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1"""
+
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+ORACLES["op8_decontaminate"] = f"""
+WITH i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, array_to_string(list_slice(w, s, s + 9), ' ') AS g, least(len(w), 10) AS m
+        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM i WHERE len(w) > 0)),
+d AS (SELECT doc_id, row_number() OVER () AS n, {_WORDS} AS w FROM documents),
+sizes AS (SELECT DISTINCT m FROM win),
+g AS (SELECT n, m, s, array_to_string(list_slice(w, s, s + m - 1), ' ') AS g
+      FROM (SELECT n, m, w, unnest(range(1, len(w) - m + 2)) AS s FROM d, sizes WHERE len(w) >= m)),
+hits AS (SELECT g.n, g.s, g.m, win.item FROM g JOIN win ON g.g = win.g AND g.m = win.m),
+hit_words AS (SELECT n, count(DISTINCT x) AS n_hit FROM (SELECT DISTINCT n, unnest(range(s, s + m)) AS x FROM hits) GROUP BY n),
+hit_items AS (SELECT n, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT n, item FROM hits) GROUP BY n)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words USING (n) LEFT JOIN hit_items USING (n)"""
