@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gatewatch.llm import chat_format
 from gatewatch.llm import decontaminate as decon
-from gatewatch.llm import mixing, sharding, simhash, suffix_dedup, toxicity, url_filter
+from gatewatch.llm import fingerprint, mixing, sharding, simhash, suffix_dedup, toxicity, url_filter
 from gatewatch.sources.tables import load_table
 
 QUERIES: dict = {}
@@ -133,3 +133,8 @@ hit_items AS (SELECT n, count(*) AS n_items, string_agg(item, ',' ORDER BY item)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit_words USING (n) LEFT JOIN hit_items USING (n)"""
+
+
+@query
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edited(load_table(spark, sf_dir, "documents"))
