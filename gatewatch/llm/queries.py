@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gatewatch.llm import chat_format
 from gatewatch.llm import decontaminate as decon
-from gatewatch.llm import fingerprint, mixing, sharding, simhash, suffix_dedup, toxicity, url_filter
+from gatewatch.llm import fingerprint, mixing, secrets, sharding, simhash, suffix_dedup, toxicity, url_filter
 from gatewatch.sources.tables import load_table
 
 QUERIES: dict = {}
@@ -138,3 +138,8 @@ FROM d LEFT JOIN hit_words USING (n) LEFT JOIN hit_items USING (n)"""
 @query
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edited(load_table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(load_table(spark, sf_dir, "documents"))
