@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from gatewatch.plans.catalog import register
 from gatewatch.session import scratch_path
+from gatewatch.sources.tables import load_table, props_k
 from gatewatch.streaming import alerts as ST
 
 FAM = "streaming"
@@ -33,4 +36,23 @@ def _stream_alerts(spark, d):
     return ST.read_alerts(spark, path).drop("batch_id")
 
 
+def _ingest(spark, d):
+    """Raw attempts (every fifth address missing) as JSON files, ingested by a stream."""
+    src, out = scratch_path(spark, "attempts"), scratch_path(spark, "ingested")
+    k = props_k()
+    load_table(spark, d, "events").select(
+        "event_id", F.col("user_id").cast("string").alias("username"),
+        F.when(k % 5 != 0, F.concat(F.lit("10.0.0."), k.cast("string"))).alias("ip_address"),
+        (F.col("event_type") != "error").alias("success")).write.json(src)
+    schema = "event_id bigint, username string, ip_address string, success boolean"
+    ST.ingest_login_attempts(spark, src, schema, out)
+    return spark.read.schema(schema).parquet(out)
+
+
+register("ingest_login_attempts", """
+SELECT event_id, CAST(user_id AS VARCHAR) AS username,
+       CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) % 5 = 0 THEN 'UNKNOWN'
+            ELSE '10.0.0.' || json_extract_string(props, '$.k') END AS ip_address,
+       event_type <> 'error' AS success FROM events""", FAM)(_ingest)
+
 register("stream_threshold_alerts", _windows_sql(2), FAM)(_stream_alerts)

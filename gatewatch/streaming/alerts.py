@@ -35,11 +35,13 @@ def ts_to_ntz(c: Column) -> Column:
 
 def login_stream(spark: SparkSession, table_dir: str, table: str = "events",
                  max_files_per_trigger: int | None = None) -> DataFrame:
-    schema = spark.read.parquet(f"{table_dir.rstrip('/')}/{table}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
+    """The table may be one file or a folder of part files: a pattern that
+    only it matches stands for both (a plain path must be a folder)."""
+    base = table_dir.rstrip("/")
+    r = spark.readStream.schema(spark.read.parquet(f"{base}/{table}.parquet").schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return adapt_events(r.parquet(table_dir)).withColumn("event_ts", ntz_to_ts("event_time"))
+    return adapt_events(r.parquet(f"{base}/{table}[.]parquet")).withColumn("event_ts", ntz_to_ts("event_time"))
 
 
 def windowed_failed_counts(stream: DataFrame, window: str = "30 minutes", slide: str = "5 minutes",

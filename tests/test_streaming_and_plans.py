@@ -48,7 +48,7 @@ def test_failed_filter_is_pushed_and_columns_pruned(spark):
 
 def test_no_cartesian_or_python_in_sql_operators(spark):
     le = login_events(spark, SF_SMALL)
-    plans = [N.detector_flags(le), N.zscore_flags(A.failed_per_user(le), 2.0),
+    plans = [N.detector_flags(le, 100, 42), N.zscore_flags(A.failed_per_user(le), 2.0),
              FT.session_features(le), FT.recent_failed_counts(le), A.users_with_failed(le)]
     for df in plans:
         p = _plan(df)
@@ -129,3 +129,15 @@ def test_stream_drops_rows_behind_the_watermark(spark, scratch):
     # the late row neither changed the closed window nor re-opened it
     assert [g for g in got if g[0] == "2024-01-01 10:00:00"] == [("2024-01-01 10:00:00", 1)]
     assert ("2024-01-01 12:00:00", 1) in got          # closed once the watermark passed 12:30
+
+
+def test_stream_reads_a_table_that_is_a_folder(spark, scratch):
+    """The same events as one file and as a folder of part files."""
+    from gatewatch.plans.catalog import load_all
+    from tests.conftest import SF_SMALL
+
+    spark.read.parquet(f"{SF_SMALL}/events.parquet").repartition(5).write.parquet(f"{scratch}/events.parquet")
+    build = load_all()["stream_failed_windows"].build
+    a, b = build(spark, SF_SMALL), build(spark, scratch)
+    assert a.count() > 0
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
