@@ -1,9 +1,8 @@
 """Isolation forest (M7; Liu, Ting & Zhou 2008).
 
-* Sample: every tree needs ``psi = min(256, n)`` training rows. A keyed-hash
-  pre-sample of about ``4 * trees * psi`` rows (bounded, independent of n) is
-  exploded per tree and the ``psi`` smallest per-tree hash keys are kept --
-  sampling without replacement per tree, partition-independent.
+* Sample: every tree takes the ``psi = min(256, n)`` training rows with the
+  smallest (row, tree) hash -- without replacement per tree, independent of
+  partitioning and of the number of rows.
 * Build: ``groupBy(tree).applyInPandas`` grows one tree per group from its
   psi rows (NumPy, seeded per tree) -> node table.
 * Score: the node table (at most trees * (2 psi - 1) rows: a bounded model,
@@ -23,7 +22,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatewatch.functions.noise import uniform
 
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, "
                "leaf_size int, depth int")
@@ -39,11 +37,21 @@ def c_factor(n) -> np.ndarray:
     return out
 
 
-def _grow(feat_cols, seed, psi):
+def _tree_hash(own: np.ndarray, tree: int, seed: int) -> np.ndarray:
+    """A non-negative hash of (row hash, tree, seed)."""
+    with np.errstate(over="ignore"):
+        h = own ^ (np.uint64(tree + 1) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (h ^ (h >> np.uint64(31))) >> np.uint64(1)
+
+
+def _grow(feat_cols, seed, psi, key):
     height_limit = int(math.ceil(math.log2(max(psi, 2))))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["gw_tree"].iloc[0])
+        pdf = pdf.sort_values(["gw_h", key]).head(psi)  # of the tasks' smallest, the smallest
         x = pdf[list(feat_cols)].to_numpy(dtype=np.float64)
         rng = np.random.default_rng([int(seed), tree])
         rows = []
@@ -77,27 +85,39 @@ def fit(train: DataFrame, feat_cols: Sequence[str], n_trees: int = 150, max_samp
         seed=42, key: str = "user_id") -> tuple[pd.DataFrame, int]:
     """-> (node table as pandas, psi). The node table is the bounded model.
 
-    Small inputs (n <= 2 * trees * psi): every row is a candidate for every
-    tree and each tree keeps its psi smallest per-(row, tree) hash keys --
-    per-tree sampling without replacement, trees overlap as in the paper.
-    Large inputs: a keyed-hash pre-sample of about 2 * trees * psi rows, each
-    assigned to one tree by hash; each tree keeps psi of its rows. The work
-    and the data moved are bounded by trees * psi whatever n is."""
-    from pyspark.sql import Window
-
+    One sampling law at every size: tree ``t`` takes the ``psi`` rows with the
+    smallest hash of (row, tree), so trees are independent samples without
+    replacement that may overlap, as in the paper. Each task keeps only its
+    own ``psi`` smallest per tree before the shuffle, so a tree's group holds
+    ``psi`` rows a task at most and the data moved does not grow with rows."""
     n = train.count()
     psi = int(min(max_samples, n))
-    base = train.select(key, *[F.col(c).cast("double") for c in feat_cols])
-    if n <= 2 * n_trees * psi:
-        per_tree = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("gw_tree"))
-    else:
-        frac = 2.0 * n_trees * psi / n
-        per_tree = (base.where(uniform(key, seed, "if.pre") < F.lit(frac))
-                    .withColumn("gw_tree", F.floor(uniform(key, seed, "if.assign") * n_trees).cast("int")))
-    ranked = (per_tree.withColumn("gw_u", uniform([F.col(key), F.col("gw_tree")], seed, "if.tree"))
-              .withColumn("gw_r", F.row_number().over(Window.partitionBy("gw_tree").orderBy("gw_u", key))))
-    sample = ranked.where(F.col("gw_r") <= psi).drop("gw_r", "gw_u")
-    nodes = sample.groupBy("gw_tree").applyInPandas(_grow(feat_cols, seed, psi), NODE_SCHEMA)
+    feats = list(feat_cols)
+    kind = train.schema[key].dataType.simpleString()
+
+    def smallest(batches):
+        """Per tree, the psi rows of this partition with the smallest hashes."""
+        kept = None
+        for pdf in batches:
+            rows = pdf if kept is None else pd.concat([kept[0], pdf], ignore_index=True)
+            own = pd.util.hash_pandas_object(rows[key].astype(str), index=False).to_numpy()
+            use, picks = np.zeros(len(rows), bool), []
+            for t in range(n_trees):
+                h = _tree_hash(own, t, seed)
+                at = np.argpartition(h, psi - 1)[:psi] if len(h) > psi else np.arange(len(h))
+                use[at] = True
+                picks.append((at, h[at]))
+            place = np.cumsum(use) - 1
+            kept = rows[use].reset_index(drop=True), [(place[at], h) for at, h in picks]
+        if kept is not None:
+            for t, (at, h) in enumerate(kept[1]):
+                yield kept[0].iloc[at].assign(gw_tree=np.int32(t), gw_h=h.astype(np.int64))
+
+    schema = f"`{key}` {kind}, " + ", ".join(f"`{c}` double" for c in feats)
+    sample = train.select(key, *[F.col(c).cast("double").alias(c) for c in feats]) \
+        .mapInPandas(smallest, schema + ", gw_tree int, gw_h bigint")
+
+    nodes = sample.groupBy("gw_tree").applyInPandas(_grow(feat_cols, seed, psi, key), NODE_SCHEMA)
     return nodes.toPandas(), psi
 
 

@@ -1,20 +1,10 @@
-"""Exact k-NN at scale by kd-tree partitioning (no all-pairs, bounded groups).
-
-1. A kd-tree is grown on the driver from a bounded keyed-hash sample of the
-   reference set (median splits on the widest dimension). A node whose
-   points are all identical is split by a bit of the row-id hash instead, so
-   even a third of all rows sharing one feature vector ends up in bounded
-   leaves. The tree (leaf regions) is a small model, broadcast to tasks.
-2. Reference and query rows are routed to leaves (``mapInPandas``).
-3. Phase 1: per leaf, each query's k nearest among that leaf's reference
-   rows (``cogroup`` + ``applyInPandas``) give a radius r_q.
-4. Phase 2: a query visits only the other leaves whose region is strictly
-   closer than r_q (leaves at exactly r_q could only add ties).
-5. Per query, the phase-1 and phase-2 candidate lists (each at most k per
-   leaf) are merged and cut to k -- exact up to tie order.
-
-Every group holds one leaf of reference rows plus the queries routed to it;
-leaf size is bounded by construction, not by hope.
+"""A kd-tree over distinct points, grown until every leaf is small.
+
+``grow`` splits a sample at medians of the widest dimension. ``fit`` counts
+all points per leaf and splits every leaf that still holds more than
+``leaf_rows`` by a sample of its own rows, so the bound holds for the points
+and not only for the sample. Points must be distinct, so a leaf can always be
+split. The tree is a model of about ``2 n / leaf_rows`` nodes, broadcast.
 """
 
 from __future__ import annotations
@@ -22,159 +12,107 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatewatch.functions.noise import uniform
-
 LEAF = -1
-HASH_SPLIT = -2
-
-
-def grow(x: np.ndarray, h: np.ndarray, cap: int) -> dict:
-    """Tree over sample rows ``x`` (hash bits ``h``) with leaves of <= cap
-    sample rows. Leaf regions are the split half-spaces (unbounded at the
-    outside), so any point routed to a leaf lies in its region."""
-    d = x.shape[1]
-    feat, thr, left, right, leaf_of = [], [], [], [], []
-    lo_l, hi_l = [], []
-
-    def node(idx, lo, hi, depth):
-        me = len(feat)
-        feat.append(LEAF); thr.append(0.0); left.append(-1); right.append(-1); leaf_of.append(-1)
-        sub = x[idx]
-        if len(idx) <= cap or depth >= 60:
-            leaf_of[me] = len(lo_l)
-            lo_l.append(lo.copy()); hi_l.append(hi.copy())
-            return me
-        spread = sub.max(axis=0) - sub.min(axis=0)
-        f = int(np.argmax(spread))
-        if spread[f] == 0:
-            bit = (h[idx] >> np.uint64(depth % 64)) & np.uint64(1)
-            feat[me] = HASH_SPLIT; thr[me] = float(depth % 64)
-            a, b = idx[bit == 0], idx[bit == 1]
-            if len(a) == 0 or len(b) == 0:  # unsplittable: accept an oversized leaf of identical rows
-                feat[me] = LEAF
-                leaf_of[me] = len(lo_l)
-                lo_l.append(lo.copy()); hi_l.append(hi.copy())
-                return me
-            left[me] = node(a, lo, hi, depth + 1)
-            right[me] = node(b, lo, hi, depth + 1)
-            return me
-        t = float(np.median(sub[:, f]))
-        go = sub[:, f] < t
-        if not go.any():
-            t = float(np.min(sub[:, f][sub[:, f] > sub[:, f].min()]))
-            go = sub[:, f] < t
-        feat[me] = f; thr[me] = t
-        hi_left, lo_right = hi.copy(), lo.copy()
-        hi_left[f], lo_right[f] = t, t
-        left[me] = node(idx[go], lo, hi_left, depth + 1)
-        right[me] = node(idx[~go], lo_right, hi, depth + 1)
-        return me
-
-    node(np.arange(len(x)), np.full(d, -np.inf), np.full(d, np.inf), 0)
-    return {"feat": np.array(feat), "thr": np.array(thr), "left": np.array(left), "right": np.array(right),
-            "leaf": np.array(leaf_of), "lo": np.array(lo_l).reshape(-1, d), "hi": np.array(hi_l).reshape(-1, d)}
-
-
-def route(tree: dict, x: np.ndarray, h: np.ndarray) -> np.ndarray:
-    cur = np.zeros(len(x), dtype=np.int64)
-    while True:
-        f = tree["feat"][cur]
-        active = f != LEAF
-        if not active.any():
-            return tree["leaf"][cur]
-        ia = np.flatnonzero(active)
-        fa, ca = f[ia], cur[ia]
-        go_left = np.empty(len(ia), dtype=bool)
-        hs = fa == HASH_SPLIT
-        if hs.any():
-            bits = (h[ia[hs]] >> tree["thr"][ca[hs]].astype(np.uint64)) & np.uint64(1)
-            go_left[hs] = bits == 0
-        sp = ~hs
-        if sp.any():
-            go_left[sp] = x[ia[sp], fa[sp]] < tree["thr"][ca[sp]]
-        cur[ia] = np.where(go_left, tree["left"][ca], tree["right"][ca])
-
-
-def _hash(col: str):
-    return F.xxhash64(F.col(col))
-
-
-def knn_kdtree(queries: DataFrame, ref: DataFrame, id_col: str, feat_cols: Sequence[str], k: int,
-               exclude_self: bool = False, leaf_rows: int = 20_000, sample_rows: int = 200_000,
-               seed=42) -> DataFrame:
-    """Same contract as :func:`gatewatch.models.knn.knn`."""
-    from gatewatch.models.knn import _topk_block
-
-    spark = queries.sparkSession
-    feats = list(feat_cols)
-    prep = lambda df: df.select(F.col(id_col).cast("string").alias(id_col),
-                                *[F.col(c).cast("double").alias(c) for c in feats],
-                                _hash(id_col).alias("gw_h"))
-    r, q = prep(ref), prep(queries)
-    n_ref = r.count()
-    frac = min(1.0, sample_rows / max(n_ref, 1))
-    samp = (r.where(uniform(id_col, seed, "kd.sample") < F.lit(frac)) if frac < 1.0 else r).toPandas()
-    cap = max(2 * k + 2, int(leaf_rows * frac))
-    tree = grow(samp[feats].to_numpy(np.float64), samp["gw_h"].to_numpy().astype(np.uint64), cap)
-    btree = spark.sparkContext.broadcast(tree)
-
-    def to_leaf(batches):
-        t = btree.value
-        for pdf in batches:
-            if pdf.empty:
+
+
+class Tree:
+    """Parallel lists of nodes: split feature (or LEAF), threshold, children, region."""
+
+    def __init__(self, dims: int) -> None:
+        self.feat, self.thr, self.left, self.right = [LEAF], [0.0], [-1], [-1]
+        self.lo, self.hi = [np.full(dims, -np.inf)], [np.full(dims, np.inf)]
+
+    def grow(self, node: int, x: np.ndarray, cap: int) -> None:
+        """Split ``node`` until its leaves hold at most ``cap`` rows of ``x``."""
+        todo = [(node, x)]
+        while todo:
+            me, x = todo.pop()
+            spread = x.max(axis=0) - x.min(axis=0) if len(x) else np.zeros(1)
+            if len(x) <= cap or not spread.max() > 0:
                 continue
-            pdf = pdf.copy()
-            pdf["leaf"] = route(t, pdf[feats].to_numpy(np.float64), pdf["gw_h"].to_numpy().astype(np.uint64))
-            yield pdf
-
-    base_schema = f"`{id_col}` string, " + ", ".join(f"`{c}` double" for c in feats) + ", gw_h bigint"
-    r_l = r.mapInPandas(to_leaf, base_schema + ", leaf bigint")
-    q_l = q.mapInPandas(to_leaf, base_schema + ", leaf bigint")
-    out_schema = f"`{id_col}` string, nbr_ids array<string>, nbr_dists array<double>"
-
-    def local(qdf: pd.DataFrame, rdf: pd.DataFrame) -> pd.DataFrame:
-        if qdf.empty or rdf.empty:
-            n = len(qdf)
-            return pd.DataFrame({id_col: qdf[id_col].to_numpy() if n else np.array([], dtype=object),
-                                 "nbr_ids": pd.Series([[] for _ in range(n)], dtype=object),
-                                 "nbr_dists": pd.Series([[] for _ in range(n)], dtype=object)})
-        bi, bd = _topk_block(qdf[feats].to_numpy(np.float64), qdf[id_col].to_numpy(),
-                             rdf[feats].to_numpy(np.float64), rdf[id_col].to_numpy(), k, exclude_self)
-        fin = np.isfinite(bd)
-        return pd.DataFrame({id_col: qdf[id_col].to_numpy(), "nbr_ids": [list(i[m]) for i, m in zip(bi, fin)],
-                             "nbr_dists": [list(v[m]) for v, m in zip(bd, fin)]})
-
-    phase1 = q_l.groupBy("leaf").cogroup(r_l.groupBy("leaf")).applyInPandas(local, out_schema)
-    radius = phase1.select(id_col, F.when(F.size("nbr_dists") >= k, F.element_at("nbr_dists", -1))
-                           .otherwise(F.lit(float("inf"))).alias("gw_r"))
-
-    def visits(batches):
-        t = btree.value
-        lo, hi = t["lo"], t["hi"]
-        rows = max(1, (64 * 1024 * 1024) // (8 * max(1, lo.shape[0] * lo.shape[1])))  # bounded tensor
-        for batch in batches:
-            for s0 in range(0, len(batch), rows):
-                pdf = batch.iloc[s0:s0 + rows]
-                x = pdf[feats].to_numpy(np.float64)
-                gap = np.maximum(np.maximum(lo[None, :, :] - x[:, None, :], x[:, None, :] - hi[None, :, :]), 0.0)
-                md = np.sqrt((gap ** 2).sum(axis=2))
-                hit = md < pdf["gw_r"].to_numpy()[:, None]
-                hit[np.arange(len(pdf)), pdf["leaf"].to_numpy()] = False
-                qi, li = np.nonzero(hit)
-                if len(qi) == 0:
-                    continue
-                sel = pdf.iloc[qi].drop(columns=["leaf", "gw_r"]).reset_index(drop=True)
-                sel["leaf"] = li.astype(np.int64)
-                yield sel
-
-    q2 = q_l.join(radius, id_col).mapInPandas(visits, base_schema + ", leaf bigint")
-    phase2 = q2.groupBy("leaf").cogroup(r_l.groupBy("leaf")).applyInPandas(local, out_schema)
-    both = phase1.unionByName(phase2).select(
-        id_col, F.arrays_zip(F.col("nbr_dists").alias("d"), F.col("nbr_ids").alias("i")).alias("z"))
-    merged = (both.groupBy(id_col).agg(F.flatten(F.collect_list("z")).alias("z"))  # <= k per visited leaf
-              .select(id_col, F.slice(F.array_sort("z"), 1, k).alias("z")))
-    return merged.select(id_col, F.col("z.i").alias("nbr_ids"), F.col("z.d").alias("nbr_dists"))
+            f = int(np.argmax(spread))
+            t = float(np.median(x[:, f]))
+            if not (x[:, f] < t).any():
+                t = float(x[:, f][x[:, f] > x[:, f].min()].min())
+            go = x[:, f] < t
+            self.feat[me], self.thr[me] = f, t
+            for side, rows in (("left", x[go]), ("right", x[~go])):
+                lo, hi = self.lo[me].copy(), self.hi[me].copy()
+                (hi if side == "left" else lo)[f] = t
+                child = len(self.feat)
+                self.feat.append(LEAF)
+                self.thr.append(0.0)
+                self.left.append(-1)
+                self.right.append(-1)
+                self.lo.append(lo)
+                self.hi.append(hi)
+                getattr(self, side)[me] = child
+                todo.append((child, rows))
+
+    def route(self, x: np.ndarray) -> np.ndarray:
+        """The leaf (node number) of every row."""
+        out = np.zeros(len(x), np.int64)
+        todo = [(0, np.arange(len(x)))]
+        while todo:
+            node, rows = todo.pop()
+            if not len(rows):
+                continue
+            if self.feat[node] == LEAF:
+                out[rows] = node
+                continue
+            go = x[rows, self.feat[node]] < self.thr[node]
+            todo += [(self.left[node], rows[go]), (self.right[node], rows[~go])]
+        return out
+
+    def near(self, x: np.ndarray, radius: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(leaf, rows whose ball reaches it); only branches that are reached are looked at."""
+        found, todo = [], [(0, np.arange(len(x)))]
+        while todo:
+            node, rows = todo.pop()
+            gap = np.maximum(np.maximum(self.lo[node] - x[rows], x[rows] - self.hi[node]), 0.0)
+            rows = rows[np.sqrt((gap ** 2).sum(axis=1)) <= radius[rows]]
+            if not len(rows):
+                continue
+            if self.feat[node] == LEAF:
+                found.append((node, rows))
+            else:
+                todo += [(self.left[node], rows), (self.right[node], rows)]
+        return found
+
+
+def with_leaf(df: DataFrame, tree, feats: Sequence[str]) -> DataFrame:
+    """``df`` with ``leaf``; ``tree`` is a broadcast ``Tree``."""
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(leaf=tree.value.route(pdf[list(feats)].to_numpy(np.float64)))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInPandas(run, schema + ", leaf bigint")
+
+
+def fit(points: DataFrame, feats: Sequence[str], leaf_rows: int, sample_rows: int = 50_000) -> Tree:
+    """Rounds of (sample the oversized leaves, split them, count again)."""
+    sc, feats = points.sparkSession.sparkContext, list(feats)
+    tree = Tree(len(feats))
+    big = {0: points.count()}
+    draw = F.pmod(F.xxhash64(*feats), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    while big := {leaf: n for leaf, n in big.items() if n > leaf_rows}:
+        shared = sc.broadcast(tree)
+        share = min(1.0, sample_rows / sum(big.values()))
+        routed = with_leaf(points.select(*feats), shared, feats).where(F.col("leaf").isin(list(big)))
+        sample = routed.where(draw < share).toPandas()
+        for leaf, rows in sample.groupby("leaf"):
+            cap = max(1, int(leaf_rows * len(rows) / big[leaf] / 2))
+            tree.grow(int(leaf), rows[feats].to_numpy(np.float64), cap)
+        shared = sc.broadcast(tree)
+        counts = with_leaf(points.select(*feats), shared, feats).groupBy("leaf").count().where(F.col("count") > leaf_rows).collect()
+        now = {r["leaf"]: r["count"] for r in counts}
+        if now == big:  # a sample that met too few rows: draw more
+            if share == 1.0:
+                break
+            sample_rows *= 4
+        big = now
+    return tree

@@ -1,14 +1,16 @@
 """Exact k-nearest neighbours of query rows among a reference set.
 
-Queries stay distributed; each task scores its rows against the reference
-points with NumPy in bounded blocks (query chunk x reference block), keeping
-a running top-k, so task memory is O(chunk * block) whatever the sizes.
-
-The reference set travels as a broadcast only when its row count -- checked
-with a count, not assumed -- is under ``max_broadcast_rows``. Beyond that the
-exact kd-tree partitioned search of :mod:`gatewatch.models.kdtree` takes
-over: bounded leaves, each query visiting only the leaves that can hold a
-closer neighbour.
+One method at every size. Equal reference points become one point with its
+``k + 1`` smallest ids, equal query points one query, so copies cost nothing.
+The points are dealt to the leaves of a kd-tree whose leaves are all bounded
+(:mod:`gatewatch.models.kdtree`):
+
+1. every query looks for neighbours in its own leaf, which gives a radius;
+2. it visits the other leaves that its ball reaches, found down the tree;
+3. its candidate lists are merged.
+
+Neighbours are ordered by (distance, id), also across leaves. A group holds
+one leaf of points and at most about ``leaf_rows`` queries.
 """
 
 from __future__ import annotations
@@ -17,70 +19,96 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-Q_CHUNK = 512
-BLOCK_BYTES = 64 * 1024 * 1024  # cap on one (chunk x block x features) difference tensor
-
-
-def _topk_block(q: np.ndarray, qid: np.ndarray, r: np.ndarray, rid: np.ndarray, k: int,
-                exclude_self: bool):
-    """Top-k (ids, dists) of each query row among ``r`` (exact, tie -> ref order)."""
-    n = len(q)
-    r_block = max(64, BLOCK_BYTES // (max(n, 1) * max(q.shape[1], 1) * 8))
-    best_d = np.full((n, 0), np.inf)
-    best_i = np.empty((n, 0), dtype=object)
-    for s in range(0, len(r), r_block):
-        rb, ib = r[s:s + r_block], rid[s:s + r_block]
-        d2 = ((q[:, None, :] - rb[None, :, :]) ** 2).sum(axis=2)
-        d = np.sqrt(d2)
-        if exclude_self:
-            d = np.where(qid[:, None] == ib[None, :], np.inf, d)
-        cand_d = np.concatenate([best_d, d], axis=1)
-        cand_i = np.concatenate([best_i, np.broadcast_to(ib, d.shape)], axis=1)
-        kk = min(k, cand_d.shape[1])
-        order = np.argsort(cand_d, axis=1, kind="stable")[:, :kk]
-        best_d = np.take_along_axis(cand_d, order, axis=1)
-        best_i = np.take_along_axis(cand_i, order, axis=1)
-    return best_i, best_d
-
-
-def _kernel(ref_ids, ref_x, id_col, feat_cols, k, exclude_self):
-    """``mapInPandas`` body; ``ref_ids`` / ``ref_x`` are broadcast variables."""
-    def run(batches):
-        rid, rx = ref_ids.value, ref_x.value
+from gatewatch.models import kdtree
+
+LEAF_ROWS = 4096
+BLOCK_BYTES = 32 << 20  # of one block of differences
+
+
+def _nearest(q: np.ndarray, x: np.ndarray, ids: list, k: int) -> tuple[list, list]:
+    """Per query the ``k`` (distance, id) smallest among points that hold several ids each."""
+    out_i, out_d = [], []
+    step = max(1, BLOCK_BYTES // (8 * max(1, x.size)))
+    for s in range(0, len(q), step):
+        d = np.sqrt(((q[s:s + step, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+        cut = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.inf)
+        for row, c in zip(d, cut):
+            best = sorted((row[j], i) for j in np.flatnonzero(row <= c) for i in ids[j])[:k]
+            out_d.append([float(v) for v, _ in best])
+            out_i.append([i for _, i in best])
+    return out_i, out_d
+
+
+def _search(queries: DataFrame, points: DataFrame, feats: list[str], k: int, leaf_rows: int) -> DataFrame:
+    """``queries`` (feats, leaf) against the points of their leaf: feats, i, d.
+    Leaves with many queries are searched in several groups."""
+    sc = queries.sparkSession.sparkContext
+    # one number per leaf: bounded like the tree
+    chunks = sc.broadcast({r["leaf"]: -(-r["count"] // leaf_rows) for r in queries.groupBy("leaf").count().collect()})
+
+    def spread(batches):
         for pdf in batches:
-            if pdf.empty:
-                continue
-            x = pdf[list(feat_cols)].to_numpy(dtype=np.float64)
-            ids = pdf[id_col].to_numpy()
-            for s in range(0, len(pdf), Q_CHUNK):
-                bi, bd = _topk_block(x[s:s + Q_CHUNK], ids[s:s + Q_CHUNK], rx, rid, k, exclude_self)
-                finite = np.isfinite(bd)
-                yield pd.DataFrame({
-                    id_col: ids[s:s + Q_CHUNK],
-                    "nbr_ids": [list(i[f]) for i, f in zip(bi, finite)],
-                    "nbr_dists": [list(d[f]) for d, f in zip(bd, finite)],
-                })
-    return run
+            n = pdf["leaf"].map(chunks.value).fillna(0).astype(int)
+            rep = pdf.loc[pdf.index.repeat(n)]
+            yield rep.assign(chunk=rep.groupby(level=0).cumcount().astype("int64"))
+
+    def own(batches):
+        for pdf in batches:
+            h = pd.util.hash_pandas_object(pdf[feats], index=False).to_numpy()
+            yield pdf.assign(chunk=(h % pdf["leaf"].map(chunks.value).to_numpy(np.uint64)).astype(np.int64))
+
+    base = ", ".join(f"`{f}` double" for f in feats)
+    q = queries.mapInPandas(own, base + ", leaf bigint, chunk bigint")
+    p = points.mapInPandas(spread, base + ", ids array<string>, leaf bigint, chunk bigint")
+
+    def local(qdf: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        i, d = _nearest(qdf[feats].to_numpy(np.float64), pdf[feats].to_numpy(np.float64), [list(x) for x in pdf["ids"]], k) \
+            if len(qdf) and len(pdf) else ([[]] * len(qdf), [[]] * len(qdf))
+        return qdf[feats].assign(i=pd.Series(i, dtype=object, index=qdf.index), d=pd.Series(d, dtype=object, index=qdf.index))
+
+    return q.groupBy("leaf", "chunk").cogroup(p.groupBy("leaf", "chunk")) \
+        .applyInPandas(local, base + ", i array<string>, d array<double>")
 
 
 def knn(queries: DataFrame, ref: DataFrame, id_col: str, feat_cols: Sequence[str], k: int,
-        exclude_self: bool = False, max_broadcast_rows: int = 250_000) -> DataFrame:
-    """``id_col, nbr_ids array<string>, nbr_dists array<double>`` per query row
-    (neighbours sorted by distance). Ids are compared as strings."""
-    spark = queries.sparkSession
-    q = queries.select(F.col(id_col).cast("string").alias(id_col), *[F.col(c).cast("double") for c in feat_cols])
-    r = ref.select(F.col(id_col).cast("string").alias(id_col), *[F.col(c).cast("double") for c in feat_cols])
-    schema = f"`{id_col}` string, nbr_ids array<string>, nbr_dists array<double>"
-    n_ref = r.count()
-    if n_ref > max_broadcast_rows:
-        from gatewatch.models.kdtree import knn_kdtree
-
-        return knn_kdtree(queries, ref, id_col, feat_cols, k, exclude_self,
-                          leaf_rows=max(4 * k, max_broadcast_rows // 8))
-    pdf = r.toPandas()  # bounded: checked above
-    ids = spark.sparkContext.broadcast(pdf[id_col].to_numpy())
-    xs = spark.sparkContext.broadcast(pdf[list(feat_cols)].to_numpy(dtype=np.float64))
-    return q.mapInPandas(_kernel(ids, xs, id_col, feat_cols, k, exclude_self), schema)
+        exclude_self: bool = False, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """``id_col, nbr_ids array<string>, nbr_dists array<double>`` per query row,
+    neighbours by (distance, id). Ids are compared as strings. ``leaf_rows``
+    changes the work, not the result."""
+    from gatewatch.models.supervised import materialise
+
+    feats = list(feat_cols)
+    prep = lambda df: df.select(F.col(id_col).cast("string").alias(id_col), *[F.col(c).cast("double").alias(c) for c in feats])
+    q_rows, r_rows = materialise(prep(queries)), prep(ref)
+    need = k + 1 if exclude_self else k
+    first = Window.partitionBy(*feats).orderBy(id_col)
+    points = materialise(r_rows.withColumn("gw_n", F.row_number().over(first)).where(F.col("gw_n") <= need)
+                         .groupBy(*feats).agg(F.array_sort(F.collect_list(id_col)).alias("ids")))
+    tree = queries.sparkSession.sparkContext.broadcast(kdtree.fit(points, feats, max(leaf_rows, 2)))
+    placed = materialise(kdtree.with_leaf(points, tree, feats))
+    asked = materialise(kdtree.with_leaf(q_rows.select(*feats).distinct(), tree, feats))
+    near = materialise(_search(asked, placed, feats, need, leaf_rows))
+    radius = F.when(F.size("d") >= need, F.element_at("d", -1)).otherwise(F.lit(float("inf")))
+
+    def visits(batches):
+        for pdf in batches:
+            x = pdf[feats].to_numpy(np.float64)
+            home = tree.value.route(x)
+            for leaf, rows in tree.value.near(x, pdf["r"].to_numpy(np.float64)):
+                rows = rows[home[rows] != leaf]
+                if len(rows):
+                    yield pdf.iloc[rows][feats].assign(leaf=np.int64(leaf))
+
+    base = ", ".join(f"`{f}` double" for f in feats)
+    lists = near
+    if len(tree.value.feat) > 1:  # else there is no other leaf
+        away = materialise(near.select(*feats, radius.alias("r")).mapInPandas(visits, base + ", leaf bigint"))
+        lists = near.unionByName(_search(away, placed, feats, need, leaf_rows))
+    merged = lists.select(*feats, F.arrays_zip("d", "i").alias("z")).groupBy(*feats) \
+        .agg(F.slice(F.array_sort(F.flatten(F.collect_list("z"))), 1, need).alias("z"))
+    z = F.filter("z", lambda e: e["i"] != F.col(id_col)) if exclude_self else F.col("z")
+    return q_rows.join(merged, feats).withColumn("z", F.slice(z, 1, k)) \
+        .select(id_col, F.col("z.i").alias("nbr_ids"), F.col("z.d").alias("nbr_dists"))

@@ -61,7 +61,7 @@ def fit_forest(train: DataFrame, feats: Sequence[str], label: str = LABEL, n_tre
 def predict_proba(model, df: DataFrame, feats: Sequence[str], prefix: str) -> DataFrame:
     """Adds ``{prefix}_prob`` (P(class 1)) and ``{prefix}_pred`` (prob >= .5)."""
     out = model.transform(assemble(df, feats, "features"))
-    prob = vector_to_array("probability")[1]
+    prob = F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0))  # one-class fits have no class 1
     return (out.withColumn(f"{prefix}_prob", prob)
             .withColumn(f"{prefix}_pred", (F.col(f"{prefix}_prob") >= 0.5).cast("int"))
             .drop("features", "rawPrediction", "probability", "prediction"))

@@ -48,11 +48,11 @@ def brute_lof(train, data, k):
     return lrd[qi].mean(1) / lrd_q
 
 
-@pytest.mark.parametrize("max_rows", [10_000, 120, 40])  # broadcast path and the kd-tree path
-def test_knn_exact(spark, outliers, max_rows):
+@pytest.mark.parametrize("leaf_rows", [10_000, 120, 40])
+def test_knn_exact(spark, outliers, leaf_rows):
     pdf = planted()
     x = pdf[FEATS].to_numpy()
-    got = knn(outliers, outliers, "user_id", FEATS, 5, exclude_self=True, max_broadcast_rows=max_rows).toPandas()
+    got = knn(outliers, outliers, "user_id", FEATS, 5, exclude_self=True, leaf_rows=leaf_rows).toPandas()
     got = got.set_index("user_id").loc[pdf["user_id"]]
     _, bd = brute_knn(x, x, 5, True)
     assert np.allclose(np.vstack(got["nbr_dists"].to_numpy()), bd)
@@ -150,47 +150,71 @@ def test_calibrated_boosting_probabilities(spark, outliers):
     assert out["meta_prob"].to_numpy()[y == 1].mean() > out["meta_prob"].to_numpy()[y == 0].mean() + 0.3
 
 
-@pytest.mark.parametrize("leaf_rows,sample_rows", [(30, 10_000), (50, 120)])
-def test_kdtree_knn_exact_with_heavy_duplicates(spark, leaf_rows, sample_rows):
-    from gatewatch.models.kdtree import knn_kdtree
-
+@pytest.mark.parametrize("leaf_rows", [30, 100, 4096])
+def test_knn_exact_with_heavy_duplicates_and_ties(spark, leaf_rows):
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(600, 3))
-    x[:200] = [1.0, 2.0, 3.0]           # a third of all rows share one vector
+    x = np.round(rng.normal(size=(600, 3)), 1)  # a coarse grid: many equal distances
+    x[:200] = [1.0, 2.0, 3.0]                   # a third of all rows share one vector
     ids = np.array([f"p{i}" for i in range(len(x))])
-    pdf = pd.DataFrame(x, columns=["a", "b", "c"]); pdf.insert(0, "id", ids)
-    df = spark.createDataFrame(pdf)
-    got = knn_kdtree(df, df, "id", ["a", "b", "c"], 7, exclude_self=True, leaf_rows=leaf_rows,
-                     sample_rows=sample_rows).toPandas().set_index("id").loc[ids]
-    _, bd = brute_knn(x, x, 7, True)
-    assert np.allclose(np.vstack(got["nbr_dists"].to_numpy()), bd)
-    # non-self queries against a reference set
-    q = spark.createDataFrame(pd.DataFrame({"id": [f"q{i}" for i in range(50)], "a": rng.normal(size=50),
-                                            "b": rng.normal(size=50), "c": rng.normal(size=50)}))
-    got_q = knn_kdtree(q, df, "id", ["a", "b", "c"], 5, leaf_rows=leaf_rows, sample_rows=sample_rows) \
-        .toPandas().set_index("id").loc[[f"q{i}" for i in range(50)]]
-    qx = q.toPandas()[["a", "b", "c"]].to_numpy()
-    _, qd = brute_knn(qx, x, 5, False)
-    assert np.allclose(np.vstack(got_q["nbr_dists"].to_numpy()), qd)
-
-
-def test_kdtree_leaves_are_bounded():
-    from gatewatch.models.kdtree import grow, route
+    pdf = pd.DataFrame(x, columns=["a", "b", "c"])
+    pdf.insert(0, "id", ids)
+    df = spark.createDataFrame(pdf).repartition(5)
+    got = knn(df, df, "id", ["a", "b", "c"], 7, exclude_self=True, leaf_rows=leaf_rows).toPandas().set_index("id").loc[ids]
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+    for i in range(len(x)):
+        want = sorted((d[i, j], ids[j]) for j in range(len(x)) if j != i)[:7]
+        assert list(got.iloc[i]["nbr_ids"]) == [n for _, n in want]
+        assert np.allclose(got.iloc[i]["nbr_dists"], [v for v, _ in want])
+    q = spark.createDataFrame(pd.DataFrame({"id": [f"q{i}" for i in range(50)], **{c: np.round(rng.normal(size=50), 1) for c in "abc"}}))
+    got_q = knn(q, df, "id", ["a", "b", "c"], 5, leaf_rows=leaf_rows).toPandas().set_index("id")
+    for r in q.toPandas().itertuples():
+        dq = np.sqrt(((x - np.array([r.a, r.b, r.c])) ** 2).sum(-1))
+        assert list(got_q.loc[r.id, "nbr_ids"]) == [n for _, n in sorted(zip(dq, ids))[:5]]
+
+
+def test_knn_of_few_and_no_points(spark):
+    df = spark.createDataFrame([("a", 0.0), ("b", 1.0)], "id string, x double")
+    got = {r.id: r.nbr_ids for r in knn(df, df, "id", ["x"], 5, exclude_self=True).collect()}
+    assert got == {"a": ["b"], "b": ["a"]}
+
+
+@pytest.mark.parametrize("n", [4_000, 16_000])
+def test_kdtree_leaves_are_bounded_at_any_size(spark, n):
+    """The sample stays the same while the points grow."""
+    from gatewatch.models import kdtree
 
     rng = np.random.default_rng(0)
-    x = np.vstack([np.zeros((3000, 2)), rng.normal(size=(6000, 2))])  # one third identical
-    h = rng.integers(0, 2 ** 63, size=len(x)).astype(np.uint64)
-    t = grow(x, h, 500)
-    sizes = np.bincount(route(t, x, h))
-    assert sizes.max() <= 500
-
-
-def test_lof_on_kdtree_path_matches_brute_force(spark, outliers):
-    pdf = planted()
-    train_ids = set(pdf["user_id"][::2])
-    train = outliers.where(F.col("user_id").isin(list(train_ids)))
-    got = LOF.lof_scores(train, outliers, "user_id", FEATS, k=20, max_broadcast_rows=60).toPandas() \
-        .set_index("user_id")
-    tr = pdf[pdf["user_id"].isin(train_ids)][FEATS].to_numpy()
-    want = brute_lof(tr, pdf[FEATS].to_numpy(), 20)
-    assert np.allclose(got.loc[pdf["user_id"], "lof"].to_numpy(), want, rtol=1e-6)
+    pts = spark.createDataFrame(pd.DataFrame(rng.normal(size=(n, 2)) ** 3, columns=["a", "b"]))
+    tree = kdtree.fit(pts, ["a", "b"], leaf_rows=200, sample_rows=500)
+    shared = spark.sparkContext.broadcast(tree)
+    sizes = [r["count"] for r in kdtree.with_leaf(pts, shared, ["a", "b"]).groupBy("leaf").count().collect()]
+    assert sum(sizes) == n and max(sizes) <= 200
+
+
+def test_forest_sample_is_the_smallest_hashes_however_partitioned(spark, outliers):
+    a, psi = IF.fit(outliers.repartition(1), FEATS, n_trees=5, max_samples=64)
+    b, _ = IF.fit(outliers.repartition(9), FEATS, n_trees=5, max_samples=64)
+    assert psi == 64
+    pd.testing.assert_frame_equal(a.sort_values(["tree", "node"], ignore_index=True), b.sort_values(["tree", "node"], ignore_index=True))
+    assert (a[a.feature < 0].groupby("tree").leaf_size.sum() == 64).all()
+
+
+def test_one_class_fit_gives_probability_zero(spark, outliers):
+    benign = outliers.where("is_attack_ip = 0")
+    for m in (M.fit_forest(benign, FEATS, n_trees=3), M.fit_logistic(benign, FEATS)):
+        rows = M.predict_proba(m, outliers, FEATS, "x").select("x_prob", "x_pred").distinct().collect()
+        assert [(round(r.x_prob, 6), r.x_pred) for r in rows] == [(0.0, 0)]
+
+
+def test_base_probabilities_are_held_out(spark):
+    """Random labels: a model that has seen a row's label would know it."""
+    from gatewatch.plans.q_models import _held_out_probs
+
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame(rng.normal(size=(300, 4)), columns=FEATS)
+    pdf.insert(0, "user_id", [f"u{i}" for i in range(300)])
+    pdf["is_attack_ip"] = (rng.random(300) < 0.4).astype(int)
+    got = _held_out_probs(spark.createDataFrame(pdf)).toPandas()
+    assert sorted(got.user_id) == sorted(pdf.user_id)
+    gap = got[got.is_attack_ip == 1].rf_prob.mean() - got[got.is_attack_ip == 0].rf_prob.mean()
+    assert abs(gap) < 0.1
