@@ -8,7 +8,9 @@ answers for one query. Every draw here is a keyed hash instead:
 
 so a draw depends only on (seed, stream, key), survives retries, and is
 reproducible in the SQL oracle. ``U`` lies strictly inside (0, 1).
-In production the seed is the release secret and must change per release.
+The seed is a secret that every release takes as an argument, and what is
+released (``release_stream``) is part of the draw, so the noise of two
+releases of overlapping data is independent and does not cancel.
 """
 
 from __future__ import annotations
@@ -38,6 +40,11 @@ def uniform(keys, seed, stream: str | None = None) -> Column:
     return (n + F.lit(0.5)) / F.lit(TWO_52)
 
 
+def release_stream(mechanism: str, release: str, epsilon: float) -> str:
+    """The draw of one release: mechanism, what is released, privacy budget."""
+    return f"{mechanism}|{release}|{float(epsilon)!r}"
+
+
 def laplace_noise(keys, epsilon, seed, stream: str = "laplace",
                   sensitivity: float = 1.0) -> Column:
     """``b * sign(u) * ln(1 - 2|u|)`` with ``u = 0.5 - U`` and ``b = s/eps``."""

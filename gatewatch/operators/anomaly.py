@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatewatch.functions.noise import laplace_noise, gaussian_noise, std_normal
+from gatewatch.functions.noise import gaussian_noise, laplace_noise, release_stream, std_normal
 from gatewatch.functions.scalar import half_up
 from gatewatch.operators import audit as A
 from gatewatch.operators.scoring import logistic_score, stump_vote
@@ -31,39 +31,43 @@ def zscore_flags(counts: DataFrame, threshold: float, top_n: int | None = None,
         .otherwise((F.col(col) - F.col("gw_mean")) / F.col("gw_sd"))
     return (base.crossJoin(F.broadcast(stats))
             .withColumn("gw_z", z)
-            .select(USER, col, F.round("gw_z", 6).alias("zscore"),
+            .select(USER, col, F.col("gw_z").alias("zscore"),
                     (F.abs(F.col("gw_z")) >= F.lit(float(threshold))).alias("anomalous")))
 
 
-def dp_counts(counts: DataFrame, epsilon: float, seed=42, col: str = "count") -> DataFrame:
-    """Half-up rounded Laplace-noised count per user."""
-    noisy = half_up(F.col(col) + laplace_noise(USER, epsilon, seed))
+def dp_counts(counts: DataFrame, epsilon: float, seed, release: str, col: str = "count") -> DataFrame:
+    """Half-up rounded Laplace-noised count per user. ``release`` names
+    what is released (statistic, window, as-of): with the epsilon it is part
+    of the draw, so the noise of two releases never cancels."""
+    noisy = half_up(F.col(col) + laplace_noise(USER, epsilon, seed, release_stream("laplace", release, epsilon)))
     return counts.select(USER, noisy.alias("noisy_count"))
 
 
-def dp_gaussian_counts(counts: DataFrame, epsilon: float, delta: float = 1e-5, seed=42,
+def dp_gaussian_counts(counts: DataFrame, epsilon: float, delta: float, seed, release: str,
                        col: str = "count") -> DataFrame:
     """P2 applied to counts: half-up rounded Gaussian-noised count."""
-    noisy = half_up(F.col(col) + gaussian_noise(USER, epsilon, delta, seed))
+    noisy = half_up(F.col(col) + gaussian_noise(USER, epsilon, delta, seed, release_stream("gaussian", release, epsilon)))
     return counts.select(USER, noisy.alias("noisy_count"))
 
 
-def dp_threshold(counts: DataFrame, epsilon: float, threshold, seed=42,
+def dp_threshold(counts: DataFrame, epsilon: float, threshold, seed, release: str,
                  col: str = "count") -> DataFrame:
     """P5: noisy count and ``noisy >= t`` flag."""
-    return dp_counts(counts, epsilon, seed, col).withColumn(
+    return dp_counts(counts, epsilon, seed, release, col).withColumn(
         "anomalous", F.col("noisy_count") >= F.lit(threshold))
 
 
-def dp_recent(le: DataFrame, epsilon: float, threshold, width: str = "1 hour",
-              seed=42, logons: bool = False, all_activity: bool = False) -> DataFrame:
-    """P5 over the max-anchored recent window (A3 or A4)."""
+def dp_recent(le: DataFrame, epsilon: float, threshold, width: str, seed, as_of: str = "latest",
+              logons: bool = False, all_activity: bool = False) -> DataFrame:
+    """P5 over the max-anchored recent window (A3 or A4). ``as_of`` names
+    the state of the log; a later state is another release."""
     counts = (A.recent_logons_per_user(le, width, all_activity) if logons
               else A.recent_failed_per_user(le, width))
-    return dp_threshold(counts, epsilon, threshold, seed)
+    what = ("activity" if all_activity else "logons") if logons else "failed"
+    return dp_threshold(counts, epsilon, threshold, seed, f"{what}|{width}|{as_of}")
 
 
-def detector_flags(le: DataFrame, limit: int = 100, seed=42, ml_epsilon: float = 1.0) -> DataFrame:
+def detector_flags(le: DataFrame, limit: int, seed, ml_epsilon: float = 1.0, as_of: str = "latest") -> DataFrame:
     """P9 + fixed scorers: per top-``limit`` user, every detector's flag.
 
     Laplace (b=1) >= 3 / >= 5 / >= 10 share one draw; Gaussian (sd=1) >= 3;
@@ -74,11 +78,11 @@ def detector_flags(le: DataFrame, limit: int = 100, seed=42, ml_epsilon: float =
     failed_top = A.top_failed_from(A.user_activity(le), limit)
     stats = failed_top.agg(F.avg("count").alias("gw_mean"), F.stddev_pop("count").alias("gw_sd"))
     cnt = F.col("count").cast("double")
-    lap = cnt + laplace_noise(USER, 1.0, seed, "detectors.laplace")
-    gau = cnt + std_normal(USER, seed, "detectors.gaussian")
+    lap = cnt + laplace_noise(USER, 1.0, seed, release_stream("detectors.laplace", as_of, 1.0))
+    gau = cnt + std_normal(USER, seed, release_stream("detectors.gaussian", as_of, 1.0))
     z = F.when(F.col("gw_sd").isNull() | (F.col("gw_sd") == 0), F.lit(0.0)) \
         .otherwise((cnt - F.col("gw_mean")) / F.col("gw_sd"))
-    dp_cnt = cnt + laplace_noise(USER, ml_epsilon, seed, "detectors.ml")
+    dp_cnt = cnt + laplace_noise(USER, ml_epsilon, seed, release_stream("detectors.ml", as_of, ml_epsilon))
     return (joined.crossJoin(F.broadcast(stats))
             .select(USER, F.col("is_attack_ip"),
                     (lap >= 3).alias("laplace_anomaly"),

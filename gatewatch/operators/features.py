@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatewatch.functions.noise import std_normal, uniform
@@ -91,7 +91,6 @@ def unique_devices(le: DataFrame) -> DataFrame:
 
 def class_weights(df: DataFrame, label: str = "is_attack_ip", out: str = "weight") -> DataFrame:
     """M2: balanced weights ``n / (k * n_c)``; the class table has k rows."""
-    from pyspark.sql import Window
 
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("gw_nc"))
     every = Window.partitionBy()  # over the class table: one row per class
@@ -143,8 +142,8 @@ def consecutive_failed(le: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
     all-failed) come from one window on (user, chunk); an ordered fold of
     the summaries per user -- an associative run-length monoid evaluated by
     ``aggregate`` on the JVM -- joins runs across chunk borders."""
-    rows = le.select(USER, "event_id", "event_time", failed_flag().alias("f"),
-                     _chunk(chunk_seconds).alias("chunk"))
+    rows = le.where(F.col(USER).isNotNull()).select(USER, "event_id", "event_time", failed_flag().alias("f"),
+                                                    _chunk(chunk_seconds).alias("chunk"))
     spec = f"PARTITION BY {USER}, chunk ORDER BY event_time, event_id"
     return _consecutive_from_rows(rows, spec)
 
@@ -197,7 +196,7 @@ def avg_failed_gap(le: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
     (fewer than two failures -> 0). Gaps inside a chunk come from ``lag``
     over (user, chunk); the gap across a chunk border from ``lag`` over the
     per-(user, chunk) summaries, which are few per user."""
-    fails = le.where(failed_flag()).select(USER, "event_id", "event_time",
+    fails = le.where(failed_flag() & F.col(USER).isNotNull()).select(USER, "event_id", "event_time",
                                            epoch_us().alias("us"), _chunk(chunk_seconds).alias("chunk"))
     spec = f"PARTITION BY {USER}, chunk ORDER BY event_time, event_id"
     gaps = fails.withColumn("prev_us", F.expr(f"lag(us) OVER ({spec})"))
@@ -213,7 +212,7 @@ def avg_failed_gap(le: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
                       + F.coalesce(F.sum(F.floor((F.col("first_us") - F.col("prev_last")) / minute)), F.lit(0)))
                      .alias("tot"),
                      (F.sum("gcnt") + F.count("prev_last")).alias("n")))
-    users = le.select(USER).distinct()
+    users = le.where(F.col(USER).isNotNull()).select(USER).distinct()
     return (users.join(per_user, USER, "left")
             .select(USER, F.when(F.coalesce(F.col("n"), F.lit(0)) == 0, F.lit(0.0))
                     .otherwise(F.col("tot") / F.col("n")).alias("avg_failed_gap")))
@@ -241,6 +240,13 @@ def first_sightings(le: DataFrame) -> DataFrame:
                     F.coalesce("gw_dev", F.lit(0)).alias("is_new_device")))
 
 
+def success_ratio(df: DataFrame) -> DataFrame:
+    """``success_count`` as given, else ``login_freq - failed_count``,
+    and ``failed_success_ratio`` over it."""
+    ok = F.col("success_count") if "success_count" in df.columns else F.col("login_freq") - F.col("failed_count")
+    return df.withColumn("success_count", ok).withColumn("failed_success_ratio", safe_ratio(F.col("failed_count"), F.col("success_count")))
+
+
 def is_new(current, previous) -> Column:
     """1 when ``current`` is not in the ``previous`` array."""
     cur = F.col(current) if isinstance(current, str) else current
@@ -249,28 +255,61 @@ def is_new(current, previous) -> Column:
 
 
 # ------------------------------------------------------------- W5, W6
-def split_flag(df: DataFrame, key: str = USER, train: float = 0.7, seed=42) -> DataFrame:
-    """Keyed-hash split, ``U < train`` -> train. Per-row, so class shares
-    are kept in expectation inside each class (stratified by construction of
-    an independent draw); partition-independent and retry-stable."""
-    return df.withColumn("split", F.when(uniform(key, seed, "split") < F.lit(train), F.lit("train"))
-                         .otherwise(F.lit("test")))
+STRATA_BUCKETS = 1024
+
+
+def _rank_in_label(df: DataFrame, key: str, seed, stream: str, label: str | None) -> DataFrame:
+    """``df`` with ``gw_rank`` (1..n by keyed hash, then key, inside the row's
+    label) and ``gw_n`` (rows of the label). Ranks are counted inside (label,
+    hash bucket) and shifted by the counts of the buckets before, so no task
+    sorts a whole label; the count table has ``STRATA_BUCKETS`` rows a label."""
+    lab = F.col(label) if label and label in df.columns else F.lit(0)
+    rows = df.withColumn("gw_u", uniform(key, seed, stream)).withColumn("gw_l", lab.cast("string")) \
+        .withColumn("gw_b", F.floor(F.col("gw_u") * STRATA_BUCKETS).cast("int"))
+    sizes = rows.groupBy("gw_l", "gw_b").agg(F.count(F.lit(1)).alias("gw_c"))
+    ahead = Window.partitionBy("gw_l").orderBy("gw_b").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select(F.col("gw_l").alias("gw_l2"), F.col("gw_b").alias("gw_b2"),
+                         F.coalesce(F.sum("gw_c").over(ahead), F.lit(0)).alias("gw_ahead"),
+                         F.sum("gw_c").over(Window.partitionBy("gw_l")).alias("gw_n"))
+    local = rows.withColumn("gw_rank", F.row_number().over(Window.partitionBy("gw_l", "gw_b").orderBy("gw_u", key)))
+    return local.join(F.broadcast(shift), F.col("gw_l").eqNullSafe(F.col("gw_l2")) & (F.col("gw_b") == F.col("gw_b2"))) \
+        .withColumn("gw_rank", F.col("gw_rank") + F.col("gw_ahead"))
+
+
+_RANKING = ["gw_u", "gw_l", "gw_b", "gw_l2", "gw_b2", "gw_ahead", "gw_rank", "gw_n"]
+
+
+def split_flag(df: DataFrame, key: str = USER, train: float = 0.7, seed=42, label: str | None = "is_attack_ip") -> DataFrame:
+    """Stratified split. Inside each label (null is one) the rows are
+    ranked by keyed hash and the first ``round(train * n)`` are train, so every
+    label keeps its share within one row; partition-independent and
+    retry-stable. Without a label column all rows are one stratum."""
+    ranked = _rank_in_label(df, key, seed, "split", label)
+    return ranked.withColumn("split", F.when(F.col("gw_rank") <= F.floor(F.col("gw_n") * train + 0.5), "train")
+                             .otherwise("test")).drop(*_RANKING)
 
 
-def fold_ids(df: DataFrame, key: str = USER, k: int = 5, seed=42) -> DataFrame:
-    """Keyed-hash fold id in ``[0, k)``."""
-    return df.withColumn("fold", F.floor(uniform(key, seed, "fold") * F.lit(k)).cast("int"))
+def fold_ids(df: DataFrame, key: str = USER, k: int = 5, seed=42, label: str | None = "is_attack_ip") -> DataFrame:
+    """Stratified fold id in ``[0, k)``: the rank inside the label modulo
+    ``k``, so a label's folds differ by one row at most."""
+    ranked = _rank_in_label(df, key, seed, "fold", label)
+    return ranked.withColumn("fold", ((F.col("gw_rank") - 1) % k).cast("int")).drop(*_RANKING)
 
 
 # ------------------------------------------------------------- P13
 def poisson_cdf(lam: float, eps: float = 1e-17) -> list[float]:
+    """Cumulative probabilities until the rest is below a double's precision:
+    the table grows with ``lam``; a ``lam`` whose exp(-lam) is no longer a
+    normal double raises."""
+    if not 0 <= lam <= 700:
+        raise ValueError("0 <= lam <= 700")
     out, p, c, k = [], math.exp(-lam), 0.0, 0
     while True:
         c += p
         out.append(c)
         k += 1
         p *= lam / k
-        if 1.0 - c < eps or k > 200:
+        if 1.0 - c < eps or (p < eps and k > lam):
             return out
 
 
@@ -308,11 +347,12 @@ def newest_first_sightings(ev: DataFrame) -> DataFrame:
 
 
 def last_event_flags(le: DataFrame) -> DataFrame:
-    """Per user, flags of the *latest* login: unusual hour (F8) and whether
+    """Per named user, flags of the *latest* login: unusual hour (F8) and whether
     its ip / device is new (F11 with previous = history). The latest event's
     ip is new exactly when the newest first-sighting of any of the user's
     ips is that event, so two aggregates answer it without a join back to
     the events."""
+    le = le.where(F.col(USER).isNotNull())
     last = le.groupBy(USER).agg(F.max(F.struct("event_time", "event_id", unusual_hour("event_time")
                                                .alias("uh"))).alias("last"))
     seen = newest_first_sightings(le)

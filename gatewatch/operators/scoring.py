@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatewatch.functions.noise import gaussian_noise, laplace_noise, uniform
+from gatewatch.functions.noise import gaussian_noise, laplace_noise, release_stream, uniform
 
 # Fixed values that must equal the reference's shipped "pre-trained" models.
 # Logistic weights: bias, then failed_count, login_freq, unique_ips, 4th feature.
@@ -42,7 +42,7 @@ def stump_vote(x, trees=STUMP_TREES) -> Column:
 def fixed_logistic(counts: DataFrame, col: str = "count") -> DataFrame:
     p = logistic_score([F.col(col)])
     return counts.select(USER, F.col(col).cast("double").alias("failed_count"),
-                         F.round(p, 6).alias("prob_attack"), (p >= 0.5).alias("predicted_attack"))
+                         p.alias("prob_attack"), (p >= 0.5).alias("predicted_attack"))
 
 
 def fixed_stumps(counts: DataFrame, col: str = "count") -> DataFrame:
@@ -50,48 +50,50 @@ def fixed_stumps(counts: DataFrame, col: str = "count") -> DataFrame:
                          (stump_vote(F.col(col)) == 1).alias("predicted_attack"))
 
 
-def _noisy(col: str, method: str, epsilon: float, delta: float, seed) -> Column:
+def _noisy(col: str, method: str, epsilon: float, delta: float, seed, release: str) -> Column:
+    stream = release_stream(f"score.{method}", release, epsilon)
     if method == "gaussian":
-        return F.col(col) + gaussian_noise(USER, epsilon, delta, seed, "score.gaussian")
-    return F.col(col) + laplace_noise(USER, epsilon, seed, "score.laplace")
+        return F.col(col) + gaussian_noise(USER, epsilon, delta, seed, stream)
+    return F.col(col) + laplace_noise(USER, epsilon, seed, stream)
 
 
-def dp_logistic(counts: DataFrame, method: str = "laplace", epsilon: float = 1.0,
-                delta: float = 1e-5, seed=42, col: str = "count") -> DataFrame:
+def dp_logistic(counts: DataFrame, seed, release: str, method: str = "laplace", epsilon: float = 1.0,
+                delta: float = 1e-5, col: str = "count") -> DataFrame:
     """Unrounded noisy count -> fixed logistic -> ``p >= 0.5``."""
-    noisy = _noisy(col, method, epsilon, delta, seed)
+    noisy = _noisy(col, method, epsilon, delta, seed, release)
     p = logistic_score([noisy])
-    return counts.select(USER, F.round(noisy, 6).alias("failed_count_noisy"),
-                         F.round(p, 6).alias("prob_attack"), (p >= 0.5).alias("predicted_attack"))
+    return counts.select(USER, noisy.alias("failed_count_noisy"),
+                         p.alias("prob_attack"), (p >= 0.5).alias("predicted_attack"))
 
 
-def dp_stumps(counts: DataFrame, method: str = "laplace", epsilon: float = 1.0,
-              delta: float = 1e-5, seed=42, col: str = "count") -> DataFrame:
+def dp_stumps(counts: DataFrame, seed, release: str, method: str = "laplace", epsilon: float = 1.0,
+              delta: float = 1e-5, col: str = "count") -> DataFrame:
     """Unrounded noisy count -> stump vote."""
-    noisy = _noisy(col, method, epsilon, delta, seed)
-    return counts.select(USER, F.round(noisy, 6).alias("failed_count_noisy"),
+    noisy = _noisy(col, method, epsilon, delta, seed, release)
+    return counts.select(USER, noisy.alias("failed_count_noisy"),
                          (stump_vote(noisy) == 1).alias("predicted_attack"))
 
 
-def dp_probability(scores: DataFrame, prob_col: str, epsilon: float = 250.0,
-                   threshold: float = 0.1, seed=42, key: str = USER) -> DataFrame:
+def dp_probability(scores: DataFrame, prob_col: str, seed, release: str, epsilon: float = 250.0,
+                   threshold: float = 0.1, key: str = USER) -> DataFrame:
     """P10: Laplace(b = 1/eps) on a probability, re-thresholded."""
-    noisy = F.col(prob_col) + laplace_noise(key, epsilon, seed, "prob.laplace")
-    return scores.withColumn("noisy_prob", F.round(noisy, 6)) \
+    noisy = F.col(prob_col) + laplace_noise(key, epsilon, seed, release_stream("prob.laplace", release, epsilon))
+    return scores.withColumn("noisy_prob", noisy) \
         .withColumn("noisy_pred", (noisy >= F.lit(threshold)).cast("int"))
 
 
-def flip_predictions(df: DataFrame, pred_col: str, p: float = 0.0003, seed=42,
-                     key: str = USER, out_col: str | None = None) -> DataFrame:
+def flip_predictions(df: DataFrame, pred_col: str, seed, p: float = 0.0003, key: str = USER,
+                     out_col: str | None = None) -> DataFrame:
     """Randomised response -- flip each 0/1 prediction independently
-    with probability ``p`` (eps = ln((1-p)/p))."""
-    flipped = F.when(uniform(key, seed, "flip") < F.lit(p), F.lit(1) - F.col(pred_col)) \
+    with probability ``p`` (eps = ln((1-p)/p)); each prediction column has
+    its own draw."""
+    flipped = F.when(uniform(key, seed, release_stream("flip", pred_col, p)) < F.lit(p), F.lit(1) - F.col(pred_col)) \
         .otherwise(F.col(pred_col))
     return df.withColumn(out_col or pred_col, flipped.cast("int"))
 
 
 def noise_flip_rate(scores: DataFrame, prob_col: str, epsilons: Sequence[float],
-                    threshold: float = 0.1, seed=42, key: str = USER) -> DataFrame:
+                    threshold: float, seed, key: str = USER) -> DataFrame:
     """Share of scored rows whose ``>= t`` decision changes under P10,
     per epsilon. The epsilon list is a literal array exploded per row (a
     Generate, not a join); one aggregate per epsilon."""
@@ -104,4 +106,4 @@ def noise_flip_rate(scores: DataFrame, prob_col: str, epsilons: Sequence[float],
     return (exploded.withColumn("flip", flip)
             .groupBy("epsilon")
             .agg(F.count(F.lit(1)).alias("n"), F.sum("flip").cast("bigint").alias("flips"),
-                 F.round(F.avg("flip"), 6).alias("flip_rate")))
+                 F.avg("flip").alias("flip_rate")))

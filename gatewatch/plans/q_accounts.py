@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from gatewatch.operators import accounts as AC
 from gatewatch.operators import anomaly as N
 from gatewatch.operators import audit as A
@@ -46,8 +48,18 @@ def _users(spark, d):
 
 register("apply_user_actions", f"WITH {ACTS}\nSELECT * FROM final", FAM)(_users)
 
-register("list_users", f"WITH {ACTS}\nSELECT * FROM final", FAM)(
-    lambda spark, d: AC.list_users(_users(spark, d)))
+
+def _hashed_users(spark, d):
+    """The customers as a users table that holds password hashes."""
+    return load_table(spark, d, "customer").select(
+        F.col("c_custkey").cast("bigint").alias("user_id"), F.col("c_name").alias("username"),
+        F.concat("c_name", F.lit("@example.com")).alias("email"), F.sha2("c_name", 256).alias("password_hash"),
+        F.lit("USER").alias("role"), (F.col("c_custkey") % 5 == 0).alias("suspended"))
+
+
+register("list_users", """
+SELECT CAST(c_custkey AS BIGINT) AS user_id, c_name AS username, c_name || '@example.com' AS email, 'USER' AS role,
+       c_custkey % 5 = 0 AS suspended FROM customer""", FAM)(lambda spark, d: AC.list_users(_hashed_users(spark, d)))
 
 
 def _candidates(spark, d):

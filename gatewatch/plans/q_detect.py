@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from gatewatch.operators import anomaly as N
 from gatewatch.operators import audit as A
 from gatewatch.operators import scoring as SC
@@ -13,6 +15,11 @@ from gatewatch.sources import login_events
 FAM = "detect"
 
 
+def _r6(df, *cols):
+    """Doubles to six places, for the comparison only."""
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
 def _z_sql(base_cte: str, t: float, top: int | None = None) -> str:
     src = "c" if top is None else "b"
     extra = "" if top is None else f", b AS (SELECT * FROM c ORDER BY count DESC, user_id ASC LIMIT {top})"
@@ -24,16 +31,16 @@ SELECT user_id, count, round(z, 6) AS zscore, abs(z) >= {float(t)} AS anomalous
 
 
 register("zscore_flags", _z_sql(FAILED, 2.0), FAM)(
-    lambda spark, d: N.zscore_flags(A.failed_per_user(login_events(spark, d)), 2.0))
+    lambda spark, d: _r6(N.zscore_flags(A.failed_per_user(login_events(spark, d)), 2.0), "zscore"))
 register("zscore_logons", _z_sql(LOGONS, 1.5), FAM)(
-    lambda spark, d: N.zscore_flags(A.logons_per_user(login_events(spark, d)), 1.5))
+    lambda spark, d: _r6(N.zscore_flags(A.logons_per_user(login_events(spark, d)), 1.5), "zscore"))
 register("top_zscore", _z_sql(FAILED, 1.5, 50), FAM)(
-    lambda spark, d: N.zscore_flags(A.failed_per_user(login_events(spark, d)), 1.5, top_n=50))
+    lambda spark, d: _r6(N.zscore_flags(A.failed_per_user(login_events(spark, d)), 1.5, top_n=50), "zscore"))
 
 register("fixed_logistic", with_le(FAILED) + f"""
 SELECT user_id, CAST(count AS DOUBLE) AS failed_count, round({S.logistic('count')}, 6) AS prob_attack,
        {S.logistic('count')} >= 0.5 AS predicted_attack FROM c""", FAM)(
-    lambda spark, d: SC.fixed_logistic(A.failed_per_user(login_events(spark, d))))
+    lambda spark, d: _r6(SC.fixed_logistic(A.failed_per_user(login_events(spark, d))), "prob_attack"))
 
 register("fixed_stumps", with_le(FAILED) + f"""
 SELECT user_id, CAST(count AS DOUBLE) AS failed_count, {S.stump('count')} = 1 AS predicted_attack FROM c""", FAM)(
@@ -41,11 +48,9 @@ SELECT user_id, CAST(count AS DOUBLE) AS failed_count, {S.stump('count')} = 1 AS
 
 
 def _noisy_sql(method: str) -> str:
-    from gatewatch.functions.noise import gaussian_sigma
-
     if method == "gaussian":
-        return f"(count + {S.std_normal('user_id', 42, 'score.gaussian')} * {gaussian_sigma(1.0, 1e-5)!r})"
-    return f"(count + {S.laplace('user_id', 1.0, 42, 'score.laplace')})"
+        return f"(count + {S.std_normal('user_id', 42, 'score.gaussian|failed|all|1.0')} * sqrt(2.0 * ln(1.25 / 0.00001)))"
+    return f"(count + {S.laplace('user_id', 1.0, 42, 'score.laplace|failed|all|1.0')})"
 
 
 for _m in ("laplace", "gaussian"):
@@ -54,11 +59,11 @@ for _m in ("laplace", "gaussian"):
 , n AS (SELECT user_id, {_x} AS x FROM c)
 SELECT user_id, round(x, 6) AS failed_count_noisy, round({S.logistic('x')}, 6) AS prob_attack,
        {S.logistic('x')} >= 0.5 AS predicted_attack FROM n""", FAM)(
-        (lambda m: lambda spark, d: SC.dp_logistic(A.failed_per_user(login_events(spark, d)), m))(_m))
+        (lambda m: lambda spark, d: _r6(SC.dp_logistic(A.failed_per_user(login_events(spark, d)), 42, "failed|all", m), "failed_count_noisy", "prob_attack"))(_m))
     register(f"dp_stumps_{_m}", with_le(FAILED) + f"""
 , n AS (SELECT user_id, {_x} AS x FROM c)
 SELECT user_id, round(x, 6) AS failed_count_noisy, {S.stump('x')} = 1 AS predicted_attack FROM n""", FAM)(
-        (lambda m: lambda spark, d: SC.dp_stumps(A.failed_per_user(login_events(spark, d)), m))(_m))
+        (lambda m: lambda spark, d: _r6(SC.dp_stumps(A.failed_per_user(login_events(spark, d)), 42, "failed|all", m), "failed_count_noisy"))(_m))
 
 
 def _scores(spark, d):
@@ -66,20 +71,21 @@ def _scores(spark, d):
 
 
 register("dp_probability", with_le(FAILED) + f"""
-, p AS (SELECT user_id, CAST(count AS DOUBLE) AS failed_count, round({S.logistic('count')}, 6) AS prob_attack,
+, p AS (SELECT user_id, CAST(count AS DOUBLE) AS failed_count, {S.logistic('count')} AS prob_attack,
                {S.logistic('count')} >= 0.5 AS predicted_attack FROM c)
-, n AS (SELECT *, prob_attack + {S.laplace('user_id', 250.0, 42, 'prob.laplace')} AS np FROM p)
-SELECT user_id, failed_count, prob_attack, predicted_attack, round(np, 6) AS noisy_prob,
+, n AS (SELECT *, prob_attack + {S.laplace('user_id', 250.0, 42, 'prob.laplace|failed|all|250.0')} AS np FROM p)
+SELECT user_id, failed_count, round(prob_attack, 6) AS prob_attack, predicted_attack, round(np, 6) AS noisy_prob,
        CAST(np >= 0.1 AS INTEGER) AS noisy_pred FROM n""", FAM)(
-    lambda spark, d: SC.dp_probability(_scores(spark, d), "prob_attack", 250.0, 0.1))
+    lambda spark, d: _r6(SC.dp_probability(_scores(spark, d), "prob_attack", 42, "failed|all", 250.0, 0.1),
+                               "prob_attack", "noisy_prob"))
 
 register("flip_predictions", with_le(FAILED) + f"""
 , p AS (SELECT user_id, {S.stump('count')} AS pred FROM c)
-SELECT user_id, CAST(CASE WHEN {S.uniform('user_id', 42, 'flip')} < 0.3 THEN 1 - pred ELSE pred END AS INTEGER) AS pred
+SELECT user_id, CAST(CASE WHEN {S.uniform('user_id', 42, 'flip|pred|0.3')} < 0.3 THEN 1 - pred ELSE pred END AS INTEGER) AS pred
 FROM p""", FAM)(
     lambda spark, d: SC.flip_predictions(
         A.failed_per_user(login_events(spark, d)).select("user_id", SC.stump_vote("count").alias("pred")),
-        "pred", p=0.3))
+        "pred", 42, p=0.3))
 
 _EPS = (50.0, 100.0, 150.0, 200.0, 300.0, 400.0)
 _EPS_VALUES = ", ".join(f"({i}, {e!r})" for i, e in enumerate(_EPS))
@@ -89,7 +95,7 @@ def _fliprate_sql() -> str:
     key = "concat_ws('|', user_id, CAST(eps_idx AS VARCHAR))"
     u = f"(0.5 - {S.uniform(key, 42, 'fliprate')})"
     return with_le(FAILED) + f"""
-, p AS (SELECT user_id, round({S.logistic('count')}, 6) AS prob_attack FROM c)
+, p AS (SELECT user_id, {S.logistic('count')} AS prob_attack FROM c)
 , e AS (SELECT * FROM (VALUES {_EPS_VALUES}) t(eps_idx, epsilon))
 , x AS (SELECT epsilon, CAST(((prob_attack + (1.0 / epsilon) * sign({u}) * ln(1.0 - 2.0 * abs({u}))) >= 0.1)
                               <> (prob_attack >= 0.1) AS INTEGER) AS flip
@@ -99,15 +105,15 @@ SELECT CAST(epsilon AS DOUBLE) AS epsilon, COUNT(*) AS n, CAST(SUM(flip) AS BIGI
 
 
 register("noise_flip_rate", _fliprate_sql(), FAM)(
-    lambda spark, d: SC.noise_flip_rate(_scores(spark, d), "prob_attack", _EPS, 0.1))
+    lambda spark, d: _r6(SC.noise_flip_rate(_scores(spark, d), "prob_attack", _EPS, 0.1, 42), "flip_rate"))
 
 
 def flags_ctes(limit: int = 100, sfx: str = "") -> str:
     """CTEs (after the ``le`` adapter) ending in ``fl{sfx}``: per top-N user,
     every detector flag."""
-    lap = S.laplace("user_id", 1.0, 42, "detectors.laplace")
-    gau = S.std_normal("user_id", 42, "detectors.gaussian")
-    ml = S.laplace("user_id", 1.0, 42, "detectors.ml")
+    lap = S.laplace("user_id", 1.0, 42, "detectors.laplace|latest|1.0")
+    gau = S.std_normal("user_id", 42, "detectors.gaussian|latest|1.0")
+    ml = S.laplace("user_id", 1.0, 42, "detectors.ml|latest|1.0")
     u, f, s, j, x = (n + sfx for n in ("u", "f", "s", "j", "x"))
     return f"""{u} AS (SELECT user_id, COUNT(*) AS total, COALESCE(BOOL_OR(is_attack), false) AS is_attack_ip
       FROM le GROUP BY user_id ORDER BY total DESC, user_id ASC LIMIT {limit}),
@@ -132,4 +138,4 @@ def _flags_sql(limit: int = 100) -> str:
 
 
 register("detector_flags", _flags_sql(100), FAM)(
-    lambda spark, d: N.detector_flags(login_events(spark, d), 100))
+    lambda spark, d: N.detector_flags(login_events(spark, d), 100, 42))

@@ -48,7 +48,7 @@ FROM {src}"""
 
 
 def _flags(spark, d):
-    return N.detector_flags(login_events(spark, d), 100)
+    return N.detector_flags(login_events(spark, d), 100, 42)
 
 
 register("detector_confusion", _flags_body() + f", {CONF_CTE}\nSELECT detector, CAST(tp AS BIGINT) AS tp, "
@@ -103,8 +103,8 @@ SELECT CASE WHEN COUNT_IF(is_attack_ip = 1) = 0 THEN 1.0
 
 def _merge(spark, d):
     le = login_events(spark, d)
-    wide = EV.metrics(EV.confusion(N.detector_flags(le, 100), "is_attack_ip", DET))
-    narrow = EV.metrics(EV.confusion(N.detector_flags(le, 40), "is_attack_ip", DET[:4]))
+    wide = EV.metrics(EV.confusion(N.detector_flags(le, 100, 42), "is_attack_ip", DET))
+    narrow = EV.metrics(EV.confusion(N.detector_flags(le, 40, 42), "is_attack_ip", DET[:4]))
     return EV.merge_metrics(wide, narrow)
 
 
@@ -126,7 +126,7 @@ register("metrics_union", _metrics_union_sql(), FAM)(_merge)
 register("detector_agreement", with_le(UF, "fc AS (SELECT user_id, COUNT(*) AS count FROM le WHERE NOT success GROUP BY user_id)") + f"""
 , s AS (SELECT avg(count) AS m, stddev_pop(count) AS sd FROM fc)
 , z AS (SELECT user_id, CAST(abs(CASE WHEN sd IS NULL OR sd = 0 THEN 0.0 ELSE (count - m) / sd END) >= 1.0 AS INTEGER) AS zscore FROM fc, s)
-, dp AS (SELECT user_id, CAST({S.half_up('count + ' + S.laplace('user_id', 1.0, 42))} >= 12 AS INTEGER) AS dp_threshold FROM fc)
+, dp AS (SELECT user_id, CAST({S.half_up('count + ' + S.laplace('user_id', 1.0, 42, 'laplace|failed|all|1.0'))} >= 12 AS INTEGER) AS dp_threshold FROM fc)
 , st AS (SELECT user_id, {S.stump('count')} AS stumps FROM fc)
 SELECT uf.user_id, uf.is_attack_ip, COALESCE(z.zscore, 0) AS zscore, COALESCE(dp.dp_threshold, 0) AS dp_threshold,
        COALESCE(st.stumps, 0) AS stumps,
@@ -134,7 +134,7 @@ SELECT uf.user_id, uf.is_attack_ip, COALESCE(z.zscore, 0) AS zscore, COALESCE(dp
 FROM uf LEFT JOIN z USING (user_id) LEFT JOIN dp USING (user_id) LEFT JOIN st USING (user_id)""", FAM)(
     lambda spark, d: (lambda le: EV.agreement(
         {"zscore": N.zscore_flags(A.failed_per_user(le), 1.0).select("user_id", F.col("anomalous").alias("zscore")),
-         "dp_threshold": N.dp_threshold(A.failed_per_user(le), 1.0, 12).withColumnRenamed("anomalous", "dp_threshold"),
+         "dp_threshold": N.dp_threshold(A.failed_per_user(le), 1.0, 12, 42, "failed|all").withColumnRenamed("anomalous", "dp_threshold"),
          "stumps": A.failed_per_user(le).select("user_id", SC.stump_vote("count").alias("stumps"))},
         FT.universal_features(le).select("user_id", "is_attack_ip")))(login_events(spark, d)))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from gatewatch.operators import audit as A
@@ -34,11 +36,16 @@ register("universal_features_any", with_le() + _uf_sql(label="any"), FAM)(
 register("universal_features_by_ip", with_le() + _uf_sql("ip", "any"), FAM)(
     lambda spark, d: FT.universal_features(login_events(spark, d), key="ip", label="any"))
 
-register("impute_mean", with_le(UF) + """
+_GAPS = UF.replace("uf AS (", "uf0 AS (")
+
+register("impute_mean", with_le(_GAPS) + """
+, uf AS (SELECT user_id, login_freq, failed_count, unique_ips, is_attack_ip,
+                CASE WHEN CAST(user_id AS BIGINT) % 7 <> 0 THEN avg_rtt END AS avg_rtt FROM uf0)
 , m AS (SELECT AVG(avg_rtt) AS fill FROM uf)
 SELECT user_id, login_freq, failed_count, unique_ips, round(COALESCE(avg_rtt, fill), 6) AS avg_rtt, is_attack_ip
 FROM uf, m""", FAM)(
-    lambda spark, d: FT.impute_mean(FT.universal_features(login_events(spark, d)))
+    lambda spark, d: FT.impute_mean(FT.universal_features(login_events(spark, d).withColumn(
+        "rtt_ms", F.when(F.col("user_id").cast("bigint") % 7 != 0, F.col("rtt_ms")))))
     .withColumn("avg_rtt", F.round("avg_rtt", 6)))
 
 register("unique_devices", with_le() + """
@@ -59,7 +66,7 @@ register("recent_failed_counts_fine_buckets", with_le() + f"SELECT event_id, use
 W2_CTE = f"""o AS (SELECT user_id, {FAILED} AS f,
         row_number() OVER (PARTITION BY user_id ORDER BY event_time, event_id)
         - row_number() OVER (PARTITION BY user_id, {FAILED} ORDER BY event_time, event_id) AS g
-      FROM le),
+      FROM le WHERE user_id IS NOT NULL),
 r AS (SELECT user_id, f, g, COUNT(*) AS n FROM o GROUP BY user_id, f, g),
 cf AS (SELECT user_id, CAST(COALESCE(MAX(CASE WHEN f THEN n END), 0) AS BIGINT) AS consecutive_failed_attempts
        FROM r GROUP BY user_id)"""
@@ -71,9 +78,9 @@ register("consecutive_failed_hour_chunks", with_le(W2_CTE) + "SELECT * FROM cf",
 
 W3_CTE = f"""fl AS (SELECT user_id, epoch_us(event_time) AS us,
                lag(epoch_us(event_time)) OVER (PARTITION BY user_id ORDER BY event_time, event_id) AS p
-        FROM le WHERE {FAILED}),
+        FROM le WHERE {FAILED} AND user_id IS NOT NULL),
 gs AS (SELECT user_id, SUM(floor((us - p) / 60000000)) AS tot, COUNT(p) AS n FROM fl GROUP BY user_id),
-gu AS (SELECT DISTINCT user_id FROM le),
+gu AS (SELECT DISTINCT user_id FROM le WHERE user_id IS NOT NULL),
 ag AS (SELECT gu.user_id, CASE WHEN COALESCE(n, 0) = 0 THEN 0.0 ELSE tot / n END AS avg_failed_gap
        FROM gu LEFT JOIN gs ON gu.user_id IS NOT DISTINCT FROM gs.user_id)"""
 
@@ -94,19 +101,35 @@ LAST_CTE = f"""w4 AS (SELECT event_id, user_id, event_time,
                CASE WHEN hour(event_time) < 6 OR hour(event_time) > 22 THEN 1 ELSE 0 END AS uh,
                CAST(row_number() OVER (PARTITION BY user_id, ip ORDER BY event_time, event_id) = 1 AS INTEGER) AS is_new_ip,
                CAST(row_number() OVER (PARTITION BY user_id, device ORDER BY event_time, event_id) = 1 AS INTEGER) AS is_new_device
-        FROM le),
+        FROM le WHERE user_id IS NOT NULL),
 lw AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_time DESC, event_id DESC) AS rr FROM w4),
 lf AS (SELECT user_id, uh AS unusual_login_hour, is_new_ip, is_new_device FROM lw WHERE rr = 1)"""
 
 register("last_event_flags", with_le(LAST_CTE) + "SELECT * FROM lf", FAM)(
     lambda spark, d: FT.last_event_flags(login_events(spark, d)))
 
-register("split_flag", with_le(UF) + f"""
-SELECT *, CASE WHEN {S.uniform('user_id', 42, 'split')} < 0.7 THEN 'train' ELSE 'test' END AS split FROM uf""", FAM)(
+SPLIT_SQL = f"""SELECT uf.*, CASE WHEN row_number() OVER (PARTITION BY is_attack_ip ORDER BY {S.uniform('user_id', 42, 'split')}, user_id)
+                 <= floor(0.7 * COUNT(*) OVER (PARTITION BY is_attack_ip) + 0.5) THEN 'train' ELSE 'test' END AS split FROM uf"""
+
+register("split_flag", with_le(UF) + SPLIT_SQL, FAM)(
     lambda spark, d: FT.split_flag(FT.universal_features(login_events(spark, d))))
 
+
+def _split_shares(spark, d):
+    """The contract of W5 and W6: rows of each label by split and by fold."""
+    feats = FT.universal_features(login_events(spark, d))
+    both = FT.split_flag(FT.fold_ids(feats))
+    off = F.greatest(*[F.count_if(F.col("fold") == i) for i in range(5)]) - F.least(*[F.count_if(F.col("fold") == i) for i in range(5)])
+    train = F.count_if(F.col("split") == "train")
+    return both.groupBy("is_attack_ip").agg(F.count(F.lit(1)).alias("n"), (F.abs(train - F.count(F.lit(1)) * 0.7) < 1).alias("train_is_70_percent"),
+                                            (off <= 1).alias("folds_are_even"))
+
+
+register("split_shares", with_le(UF) + """
+SELECT is_attack_ip, COUNT(*) AS n, true AS train_is_70_percent, true AS folds_are_even FROM uf GROUP BY is_attack_ip""", FAM)(_split_shares)
+
 register("fold_ids", with_le(UF) + f"""
-SELECT *, CAST(floor({S.uniform('user_id', 42, 'fold')} * 5) AS INTEGER) AS fold FROM uf""", FAM)(
+SELECT *, CAST((row_number() OVER (PARTITION BY is_attack_ip ORDER BY {S.uniform('user_id', 42, 'fold')}, user_id) - 1) % 5 AS INTEGER) AS fold FROM uf""", FAM)(
     lambda spark, d: FT.fold_ids(FT.universal_features(login_events(spark, d))))
 
 
@@ -114,7 +137,8 @@ def _aug_sql() -> str:
     def normal(stream, mu, sd):
         return f"({float(mu)} + {float(sd)} * {S.std_normal('user_id', 42, stream)})"
     u = S.uniform("user_id", 42, "aug.ips")
-    pois = " + ".join(f"(CASE WHEN {S.dbl(c)} < {u} THEN 1 ELSE 0 END)" for c in FT.poisson_cdf(2.0))
+    knots = [sum(math.exp(-2.0) * 2.0 ** i / math.factorial(i) for i in range(k + 1)) for k in range(30)]
+    pois = " + ".join(f"(CASE WHEN {S.dbl(c)} < {u} THEN 1 ELSE 0 END)" for c in knots)
     return with_le(UF) + f"""
 SELECT user_id,
        CAST(floor(greatest(login_freq + {normal('aug.login', 10, 15)}, 0.0)) AS BIGINT) AS login_freq,
@@ -157,14 +181,37 @@ SELECT * FROM uf ORDER BY failed_count DESC, user_id ASC LIMIT 100""", FAM)(
 
 def _coerced(spark, d):
     feats = FT.universal_features(login_events(spark, d))
-    as_text = feats.select("user_id", *[F.col(c).cast("string").alias(c) for c in
-                                        ("failed_count", "login_freq", "unique_ips", "avg_rtt")])
+    n = F.col("user_id").cast("bigint") % 5
+    as_text = feats.select("user_id", "failed_count", "login_freq",
+                           F.when(n == 0, "n/a").when(n == 1, "").otherwise(F.col("unique_ips").cast("string")).alias("unique_ips"),
+                           F.when(n == 2, None).otherwise(F.col("avg_rtt").cast("string")).alias("avg_rtt"))
+    as_text = as_text.withColumns({c: F.col(c).cast("string") for c in ("failed_count", "login_freq")})
     return FT.coerce_and_drop(as_text, ["failed_count", "login_freq", "unique_ips", "avg_rtt"])
 
 
 register("coerce_features", with_le(UF) + """
 SELECT user_id, CAST(failed_count AS DOUBLE) AS failed_count, CAST(login_freq AS DOUBLE) AS login_freq,
-       CAST(unique_ips AS DOUBLE) AS unique_ips, avg_rtt FROM uf WHERE avg_rtt IS NOT NULL""", FAM)(_coerced)
+       CAST(unique_ips AS DOUBLE) AS unique_ips, avg_rtt FROM uf
+WHERE avg_rtt IS NOT NULL AND CAST(user_id AS BIGINT) % 5 NOT IN (0, 1, 2)""", FAM)(_coerced)
+
+register("given_success_count", with_le(UF) + """
+SELECT user_id, login_freq - 1 AS success_count,
+       failed_count / CASE WHEN login_freq - 1 = 0 THEN 1 ELSE login_freq - 1 END AS failed_success_ratio FROM uf""", FAM)(
+    lambda spark, d: FT.success_ratio(FT.universal_features(login_events(spark, d))
+                                      .withColumn("success_count", F.col("login_freq") - 1))
+    .select("user_id", "success_count", "failed_success_ratio"))
+
+
+def _given_arrays(spark, d):
+    k = F.regexp_extract("ip", r"(\d+)$", 1).cast("int")
+    before = F.array(*[F.concat(F.lit("10.0.0."), ((k * m) % 100).cast("string")) for m in (3, 11, 51)])
+    return login_events(spark, d).select("event_id", FT.is_new("ip", before).alias("is_new_ip"))
+
+
+register("given_arrays", with_le() + """
+, kk AS (SELECT event_id, ip, CAST(regexp_extract(ip, '(\\d+)$', 1) AS INTEGER) AS k FROM le)
+SELECT event_id, CASE WHEN list_contains(['10.0.0.' || (k * 3) % 100, '10.0.0.' || (k * 11) % 100, '10.0.0.' || (k * 51) % 100], ip)
+       THEN 0 ELSE 1 END AS is_new_ip FROM kk""", FAM)(_given_arrays)
 
 register("session_features_hour_chunks", REGISTRY["session_features"].sql, FAM)(
     lambda spark, d: FT.session_features(login_events(spark, d), chunk_seconds=3600))

@@ -3,6 +3,9 @@ iterative fits -- checked by row counts here and by brute-force tests)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewatch.models import iforest as IF
@@ -34,10 +37,10 @@ def _smote(spark, d):
 
 def _smote_sql() -> str:
     from gatewatch.plans import sqlgen as S
-    from gatewatch.plans.q_features import UF
+    from gatewatch.plans.q_features import SPLIT_SQL, UF
 
     return S.with_le(UF) + f"""
-, tr AS (SELECT * FROM uf WHERE {S.uniform('user_id', 42, 'split')} < 0.7)
+, tr AS (SELECT * FROM ({SPLIT_SQL}) WHERE split = 'train')
 , cc AS (SELECT is_attack_ip, COUNT(*) AS c FROM tr GROUP BY is_attack_ip)
 SELECT is_attack_ip,
        CASE WHEN (SELECT COUNT(*) FROM cc) < 2 OR (SELECT MIN(c) FROM cc) <= 1 THEN c  -- nothing to interpolate
@@ -84,49 +87,50 @@ def _base_metrics(spark, d):
 register("supervised_metrics", None, FAM)(_base_metrics)
 
 
+def _held_out_probs(feats, folds: int = 5):
+    """``feats`` with base-model probabilities that no row's own label reached:
+    per stratified fold, both models are fitted on the other folds."""
+    rows = M.materialise(FT.fold_ids(feats, k=folds, seed=11))
+
+    def one(f):
+        fit_on = M.smote(rows.where(F.col("fold") != f).drop("fold"), FEATS)
+        held = rows.where(F.col("fold") == f).drop("fold")
+        lr, rf = M.fit_logistic(fit_on, FEATS), M.fit_forest(fit_on, FEATS, n_trees=100)
+        return M.predict_proba(rf, M.predict_proba(lr, held, FEATS, "logreg"), FEATS, "rf")
+
+    return reduce(DataFrame.unionByName, M.parallel(one, range(folds)))
+
+
 def _meta_inputs(spark, d):
     le = login_events(spark, d)
-    feats = FT.universal_features(le)
-    split = FT.split_flag(feats)
-    train, test = split.where("split = 'train'").drop("split"), split.where("split = 'test'").drop("split")
-    fit_on = M.smote(train, FEATS)
-    lr = M.fit_logistic(fit_on, FEATS)
-    rf = M.fit_forest(fit_on, FEATS, n_trees=100)
-    scored = M.predict_proba(rf, M.predict_proba(lr, feats, FEATS, "logreg"), FEATS, "rf")
-    return scored.join(FT.session_features(le), "user_id")
+    return _held_out_probs(FT.universal_features(le)).join(FT.session_features(le), "user_id")
 
 
+# The meta model's input names.
 META_FEATURES = ["logreg_prob", "rf_prob", "failed_count", "login_freq", "unique_ips", "avg_rtt",
                  "success_count", "failed_success_ratio", "unusual_login_hour", "is_new_ip", "is_new_device",
                  "consecutive_failed_attempts", "recent_failed_5m", "recent_failed_30m", "recent_failed_24h",
                  "avg_failed_gap", "unique_devices"]
 
 
-_META_RESULTS: dict = {}
+def _meta_scored(spark, d):
+    """Every user's meta result and the split: the boosting is fitted on the
+    stratified train rows and scores all rows, which are all published; reports
+    on held-out rows take ``split = 'test'``."""
+    x = M.materialise(_meta_inputs(spark, d))
+    rows = FT.split_flag(x, seed=7)
+    out = M.calibrated_boosting(rows.where("split = 'train'"), rows, META_FEATURES)
+    split = rows.select("user_id", "split")
+    return SK.publish_meta(M.materialise(out), 0.1).join(split, "user_id")
 
 
 def _meta(spark, d):
-    """Published meta-model results for the table folder ``d``. The fitted
-    model's output is materialised once per session in the shared folder
-    (like a stored results table) and reused by the reports built on it."""
-    key = (id(spark), d)
-    if key not in _META_RESULTS:
-        x = M.materialise(_meta_inputs(spark, d))
-        split = FT.split_flag(x, seed=7)  # the meta stage draws its own split
-        train, test = split.where("split = 'train'"), split.where("split = 'test'")
-        out = M.calibrated_boosting(train, test, META_FEATURES)
-        _META_RESULTS[key] = M.materialise(SK.publish_meta(out, 0.1))
-    return _META_RESULTS[key]
+    return _meta_scored(spark, d).drop("split")
 
 
 register("calibrated_boosting", None, FAM)(_meta)
 
 
-def _meta_dp(spark, d):
-    meta = _meta(spark, d)
-    return SC.dp_probability(meta, "meta_prob", 250.0, 0.1)
-
-
 def _linux_aug(spark, d):
     lin = R.normalise_rba(R.normalise_linux(R.linux_raw_from_events(load_table(spark, d, "events"))))
     return FT.augment_overlap(FT.impute_mean(FT.universal_features(lin, key="ip", label="any")))
@@ -136,26 +140,36 @@ def _stacking(spark, d):
     split = FT.split_flag(_linux_aug(spark, d))
     train, test = split.where("split = 'train'"), split.where("split = 'test'")
     s = M.stacking(M.smote(train.drop("split"), FEATS), test, FEATS)
-    return EV.metrics(EV.confusion(SC.flip_predictions(s, "stack_pred", 0.0003, out_col="stack_dp_pred"),
+    return EV.metrics(EV.confusion(SC.flip_predictions(s, "stack_pred", 42, 0.0003, out_col="stack_dp_pred"),
                                    "is_attack_ip", ["stack_pred", "stack_dp_pred"]))
 
 
 register("stacking_linux", None, FAM)(_stacking)
 
 
-def _iforest(spark, d):
-    train, _ = _split(spark, d)
-    allf = FT.universal_features(login_events(spark, d))
-    return IF.isolation_forest(train, allf, FEATS).join(allf.select("user_id", "is_attack_ip"), "user_id")
+SIX = [*FEATS, "logreg_prob", "rf_prob"]
+
+
+def _six_features(spark, d):
+    """The unsupervised detectors' inputs, written once: the four features and
+    the two base probabilities, here the fixed models' (F16, F17), with the split."""
+    feats = FT.universal_features(login_events(spark, d))
+    scored = feats.withColumn("logreg_prob", SC.logistic_score([F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in FEATS])) \
+        .withColumn("rf_prob", SC.stump_vote("failed_count").cast("double"))
+    return M.materialise(FT.split_flag(scored))
+
+
+def _iforest(spark, d, feats=None):
+    allf = _six_features(spark, d) if feats is None else feats
+    return IF.isolation_forest(allf.where("split = 'train'"), allf, SIX).join(allf.select("user_id", "is_attack_ip"), "user_id")
 
 
 register("isolation_forest", None, FAM)(_iforest)
 
 
-def _lof(spark, d):
-    train, _ = _split(spark, d)
-    allf = FT.universal_features(login_events(spark, d))
-    return LOF.lof_scores(train, allf, "user_id", FEATS, k=20, contamination=0.05) \
+def _lof(spark, d, feats=None):
+    allf = _six_features(spark, d) if feats is None else feats
+    return LOF.lof_scores(allf.where("split = 'train'"), allf, "user_id", SIX, k=20, contamination=0.05) \
         .join(allf.select("user_id", "is_attack_ip"), "user_id")
 
 
@@ -163,8 +177,9 @@ register("local_outlier_factor", None, FAM)(_lof)
 
 
 def _unsup(spark, d):
-    iso = _iforest(spark, d).select("user_id", "iso_pred", "is_attack_ip")
-    lof = _lof(spark, d).select("user_id", "lof_pred")
+    feats = _six_features(spark, d)
+    iso = _iforest(spark, d, feats).select("user_id", "iso_pred", "is_attack_ip")
+    lof = _lof(spark, d, feats).select("user_id", "lof_pred")
     return SK.publish_unsupervised(iso.join(lof, "user_id", "full_outer"))
 
 
@@ -198,7 +213,7 @@ def _meta_comparison(spark, d):
     results by failed count, exact ``meta_pred`` and the DP variant
     (Laplace b = 1/250 on ``meta_prob``, re-thresholded at 0.1)."""
     top = A.top_k(_meta(spark, d), 100, col="failed_count")
-    dp = SC.dp_probability(top, "meta_prob", 250.0, 0.1).withColumnRenamed("noisy_pred", "meta_dp_pred")
+    dp = SC.dp_probability(top, "meta_prob", 42, "meta|latest", 250.0, 0.1).withColumnRenamed("noisy_pred", "meta_dp_pred")
     return EV.metrics(EV.confusion(dp, "is_attack_ip", ["meta_pred", "meta_dp_pred"]))
 
 
@@ -226,7 +241,7 @@ def _linux_evaluation(spark, d):
     allp = scored.join(stack, "user_id").join(iso, "user_id").join(lof, "user_id")
     preds = ["lr_pred", "rf_pred", "stack_pred", "iso_pred", "lof_pred"]
     for p in preds:
-        allp = SC.flip_predictions(allp, p, 0.0003, out_col=p.replace("_pred", "_dp_pred"))
+        allp = SC.flip_predictions(allp, p, 42, 0.0003, out_col=p.replace("_pred", "_dp_pred"))
     names = preds + [p.replace("_pred", "_dp_pred") for p in preds]
     return EV.metrics(EV.confusion(allp, "is_attack_ip", names))
 
@@ -242,7 +257,7 @@ register("unsupervised_report", None, FAM)(_unsup_report)
 
 
 def _meta_report(spark, d):
-    meta = _meta(spark, d).withColumn("meta_pred_05", (F.col("meta_prob") >= 0.5).cast("int"))
+    meta = _meta_scored(spark, d).where("split = 'test'").withColumn("meta_pred_05", (F.col("meta_prob") >= 0.5).cast("int"))
     return EV.classification_report(EV.confusion(meta, "is_attack_ip", ["meta_pred_05", "meta_pred"]))
 
 

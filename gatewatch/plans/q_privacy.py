@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gatewatch.functions.noise import gaussian_sigma, hmac_blocks, noisy_display, pseudonymise, uniform
+from gatewatch.functions.noise import noisy_display, pseudonymise, uniform
 from gatewatch.operators import anomaly as N
 from gatewatch.operators import audit as A
 from gatewatch.plans import sqlgen as S
@@ -21,28 +21,28 @@ SELECT event_id, round({S.uniform('event_id', 42, 'u')}, 9) AS u FROM le""", FAM
         "event_id", F.round(uniform("event_id", 42, "u"), 9).alias("u")))
 
 register("dp_failed_counts", with_le(FAILED) + f"""
-SELECT user_id, {S.half_up('count + ' + S.laplace('user_id', 0.5, 42))} AS noisy_count FROM c""", FAM)(
-    lambda spark, d: N.dp_counts(A.failed_per_user(login_events(spark, d)), 0.5, 42))
+SELECT user_id, {S.half_up('count + ' + S.laplace('user_id', 0.5, 42, 'laplace|failed|all|0.5'))} AS noisy_count FROM c""", FAM)(
+    lambda spark, d: N.dp_counts(A.failed_per_user(login_events(spark, d)), 0.5, 42, "failed|all"))
 
 register("dp_gaussian_counts", with_le(FAILED) + f"""
-SELECT user_id, {S.half_up('count + ' + S.std_normal('user_id', 42, 'gaussian') + ' * ' + S.dbl(gaussian_sigma(0.5, 1e-5)))} AS noisy_count FROM c""", FAM)(
-    lambda spark, d: N.dp_gaussian_counts(A.failed_per_user(login_events(spark, d)), 0.5, 1e-5, 42))
+SELECT user_id, {S.half_up('count + ' + S.std_normal('user_id', 42, 'gaussian|failed|all|0.5') + ' * (sqrt(2.0 * ln(1.25 / 0.00001)) / 0.5)')} AS noisy_count FROM c""", FAM)(
+    lambda spark, d: N.dp_gaussian_counts(A.failed_per_user(login_events(spark, d)), 0.5, 1e-5, 42, "failed|all"))
 
 register("dp_threshold", with_le(FAILED) + f"""
-, n AS (SELECT user_id, {S.half_up('count + ' + S.laplace('user_id', 1.0, 42))} AS noisy_count FROM c)
+, n AS (SELECT user_id, {S.half_up('count + ' + S.laplace('user_id', 1.0, 42, 'laplace|failed|all|1.0'))} AS noisy_count FROM c)
 SELECT user_id, noisy_count, noisy_count >= 12 AS anomalous FROM n""", FAM)(
-    lambda spark, d: N.dp_threshold(A.failed_per_user(login_events(spark, d)), 1.0, 12, 42))
+    lambda spark, d: N.dp_threshold(A.failed_per_user(login_events(spark, d)), 1.0, 12, 42, "failed|all"))
 
 register("dp_logon_threshold", with_le(LOGONS) + f"""
-, n AS (SELECT user_id, {S.half_up('count + ' + S.laplace('user_id', 1.0, 42))} AS noisy_count FROM c)
+, n AS (SELECT user_id, {S.half_up('count + ' + S.laplace('user_id', 1.0, 42, 'laplace|logons|all|1.0'))} AS noisy_count FROM c)
 SELECT user_id, noisy_count, noisy_count >= 30 AS anomalous FROM n""", FAM)(
-    lambda spark, d: N.dp_threshold(A.logons_per_user(login_events(spark, d)), 1.0, 30, 42))
+    lambda spark, d: N.dp_threshold(A.logons_per_user(login_events(spark, d)), 1.0, 30, 42, "logons|all"))
 
 register("dp_recent_failed", with_le("""
 c AS (SELECT user_id, COUNT(*) AS count FROM le
       WHERE NOT success AND event_time >= (SELECT MAX(event_time) FROM le) - INTERVAL 7 DAY
       GROUP BY user_id)""") + f"""
-, n AS (SELECT user_id, {S.half_up('count + ' + S.laplace('user_id', 1.0, 42))} AS noisy_count FROM c)
+, n AS (SELECT user_id, {S.half_up('count + ' + S.laplace('user_id', 1.0, 42, 'laplace|failed|7 days|latest|1.0'))} AS noisy_count FROM c)
 SELECT user_id, noisy_count, noisy_count >= 4 AS anomalous FROM n""", FAM)(
     lambda spark, d: N.dp_recent(login_events(spark, d), 1.0, 4, "7 days", 42))
 
@@ -50,17 +50,15 @@ register("dp_recent_logons", with_le("""
 c AS (SELECT user_id, COUNT(*) AS count FROM le
       WHERE activity = 'Logon' AND event_time >= (SELECT MAX(event_time) FROM le) - INTERVAL 7 DAY
       GROUP BY user_id)""") + f"""
-, n AS (SELECT user_id, {S.half_up('count + ' + S.laplace('user_id', 2.0, 42))} AS noisy_count FROM c)
+, n AS (SELECT user_id, {S.half_up('count + ' + S.laplace('user_id', 2.0, 42, 'laplace|logons|7 days|latest|2.0'))} AS noisy_count FROM c)
 SELECT user_id, noisy_count, noisy_count >= 7 AS anomalous FROM n""", FAM)(
     lambda spark, d: N.dp_recent(login_events(spark, d), 2.0, 7, "7 days", 42, logons=True))
 
 
 def _display_sql(method: str) -> str:
-    from gatewatch.functions.noise import gaussian_sigma
-
     scale = "least(greatest(count / 1000.0, 1.0), 10.0)"
     if method == "gaussian":
-        noise = f"({S.std_normal('user_id', 42, 'display.gaussian')} * {gaussian_sigma(1.0, 1e-5)!r} * {scale})"
+        noise = f"({S.std_normal('user_id', 42, 'display.gaussian')} * sqrt(2.0 * ln(1.25 / 0.00001)) * {scale})"
     else:
         u = f"(0.5 - {S.uniform('user_id', 42, 'display.laplace')})"
         noise = f"(({scale} / 1.0) * sign({u}) * ln(1.0 - 2.0 * abs({u})))"
@@ -73,7 +71,9 @@ for _m in ("laplace", "gaussian"):
         (lambda m: lambda spark, d: A.failed_per_user(login_events(spark, d)).select(
             "user_id", noisy_display("count", "user_id", 1.0, 42, m).alias("display_count")))(_m))
 
-_IPAD, _OPAD = hmac_blocks(DEMO_KEY)
+# RFC 2104: the key padded to 64 bytes, xor 0x36 and xor 0x5c
+_PADDED = DEMO_KEY + bytes(64 - len(DEMO_KEY))
+_IPAD, _OPAD = ("".join(f"{b ^ x:02x}" for b in _PADDED) for x in (0x36, 0x5C))
 
 register("pseudonymise_ip", with_le() + f"""
 SELECT event_id, sha256(unhex('{_OPAD}') || unhex(sha256(unhex('{_IPAD}') || encode(ip)))) AS ip

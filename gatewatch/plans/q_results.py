@@ -11,7 +11,7 @@ from gatewatch.operators import scoring as SC
 from gatewatch.plans import sqlgen as S
 from gatewatch.plans.catalog import register
 from gatewatch.plans.q_evaluate import _flags_body, CONF_CTE, METRICS_SELECT, DET
-from gatewatch.plans.q_features import UF, _uf_sql
+from gatewatch.plans.q_features import SPLIT_SQL, UF, _uf_sql
 from gatewatch.plans.sqlgen import with_le
 from gatewatch.session import scratch_path
 from gatewatch.sources import login_events
@@ -67,7 +67,7 @@ register("results_json_roundtrip", with_le() + _uf_sql(), FAM)(_json_roundtrip)
 
 
 def _metrics_roundtrip(spark, d):
-    m = EV.metrics(EV.confusion(N.detector_flags(login_events(spark, d), 100), "is_attack_ip", DET))
+    m = EV.metrics(EV.confusion(N.detector_flags(login_events(spark, d), 100, 42), "is_attack_ip", DET))
     path = scratch_path(spark, "metrics-json")
     SK.write_json_lines(m.coalesce(1), path)  # one small file: #detectors rows
     back = R.load_metrics_json(spark, path)
@@ -109,7 +109,7 @@ def _append_overwrite(spark, d):
 
 
 register("append_and_replace_sinks", with_le(UF) + f"""
-, sp AS (SELECT *, CASE WHEN {S.uniform('user_id', 42, 'split')} < 0.7 THEN 'train' ELSE 'test' END AS split FROM uf)
+, sp AS ({SPLIT_SQL})
 SELECT *, 'append' AS sink FROM sp
 UNION ALL SELECT *, 'overwrite' AS sink FROM sp WHERE split = 'test'""", FAM)(_append_overwrite)
 
@@ -124,7 +124,7 @@ def _split_roundtrip(spark, d):
 
 
 register("write_split_csv", with_le(UF) + f"""
-SELECT *, CASE WHEN {S.uniform('user_id', 42, 'split')} < 0.7 THEN 'train' ELSE 'test' END AS split FROM uf""", FAM)(
+{SPLIT_SQL}""", FAM)(
     _split_roundtrip)
 
 

@@ -35,12 +35,12 @@ def uniform(key_sql: str, seed, stream: str | None = None) -> str:
     return f"((CAST(CAST(('0x' || substr({h}, 1, 13)) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0)"
 
 
-def laplace(key_sql: str, eps, seed, stream: str = "laplace", sensitivity: float = 1.0) -> str:
+def laplace(key_sql: str, eps, seed, stream: str, sensitivity: float = 1.0) -> str:
     u = f"(0.5 - {uniform(key_sql, seed, stream)})"
     return f"(({float(sensitivity)} / {float(eps)}) * sign({u}) * ln(1.0 - 2.0 * abs({u})))"
 
 
-def std_normal(key_sql: str, seed, stream: str = "normal") -> str:
+def std_normal(key_sql: str, seed, stream: str) -> str:
     u1 = uniform(key_sql, seed, f"{stream}.1")
     u2 = uniform(key_sql, seed, f"{stream}.2")
     return f"(sqrt(-2.0 * ln({u1})) * cos({dbl(2.0 * math.pi)} * {u2}))"
@@ -55,23 +55,15 @@ def half_up(x: str) -> str:
     return f"CAST(floor(({x}) + 0.5) AS BIGINT)"
 
 
-def r6(x: str) -> str:
-    return f"round({x}, 6)"
-
-
-def logistic(x_sql: str, weights=None) -> str:
-    from gatewatch.operators.scoring import LOGISTIC_WEIGHTS
-
-    w = weights or LOGISTIC_WEIGHTS
-    return f"(1.0 / (1.0 + exp(-({float(w[0])!r} + {float(w[1])!r} * ({x_sql})))))"
+def logistic(x_sql: str) -> str:
+    """Bias -5 and weight 0.5 of the first feature (fixed values)."""
+    return f"(1.0 / (1.0 + exp(-(-5.0 + 0.5 * ({x_sql})))))"
 
 
 def stump(x_sql: str) -> str:
-    from gatewatch.operators.scoring import STUMP_TREES
-
-    votes = " + ".join(f"(CASE WHEN ({x_sql}) <= {float(t)!r} THEN {le} ELSE {gt} END)"
-                       for t, le, gt in STUMP_TREES)
-    return f"(CASE WHEN ({votes}) * 2 > {len(STUMP_TREES)} THEN 1 ELSE 0 END)"
+    """Majority of three stumps (fixed values)."""
+    return (f"(CASE WHEN CAST(({x_sql}) > 9 AS INTEGER) + CAST(({x_sql}) > 25 AS INTEGER)"
+            f" + CAST(({x_sql}) <= 11 AS INTEGER) >= 2 THEN 1 ELSE 0 END)")
 
 
 FAILED = "c AS (SELECT user_id, COUNT(*) AS count FROM le WHERE NOT success GROUP BY user_id)"

@@ -1 +1 @@
-from gatewatch.sources.tables import load_table, login_events, cert_events
+from gatewatch.sources.tables import load_table, login_events

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gatewatch.sources.tables import props_k
@@ -75,7 +75,12 @@ def read_rba(spark: SparkSession, path: str) -> DataFrame:
 
 
 def normalise_rba(df: DataFrame) -> DataFrame:
-    return df.select(F.monotonically_increasing_id().alias("event_id"),
+    """``event_id`` is a hash of the row and, among equal rows, its number, so
+    it does not depend on how the file is read."""
+    content = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    nth = F.row_number().over(Window.partitionBy("gw_row_hash").orderBy("gw_row_hash"))
+    df = df.withColumn("gw_row_hash", content)
+    return df.select(F.xxhash64("gw_row_hash", nth).alias("event_id"),
                      F.col("user_id").cast("string").alias("user_id"),
                      F.col("ip_address").alias("ip"), F.lit(None).cast("string").alias("device"),
                      _bool01("login_successful").alias("success"), F.lit(None).cast("string").alias("activity"),
@@ -115,40 +120,25 @@ def linux_raw_from_events(events: DataFrame) -> DataFrame:
 
 
 def read_results_json(spark: SparkSession, path: str, schema: T.StructType = RESULT_SCHEMA) -> DataFrame:
-    """Results as JSON lines, a bare array, or ``{"results": [...]}``.
-    A missing path gives an empty frame with the schema. The shape is told
-    from the first non-empty line (no inference pass over the data); the
-    data is then read once with the explicit schema."""
+    """Results as JSON lines, bare arrays or ``{"results": [...]}``
+    documents, told row by row: a line may hold any of the three. Files whose
+    documents span lines (some line does not parse alone) are read as whole
+    documents; one file's shape says nothing of another's. A missing path gives
+    an empty frame with the schema."""
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(hpath):
         return spark.createDataFrame([], schema)
-    shape = _json_shape(spark, path)
-    if shape == "wrapped":
-        wrapped = T.StructType([T.StructField("results", T.ArrayType(schema))])
-        return (spark.read.option("multiLine", True).schema(wrapped).json(path)
-                .select(F.explode("results").alias("r")).select("r.*"))
-    if shape == "array":
-        return spark.read.option("multiLine", True).schema(schema).json(path)
-    return spark.read.schema(schema).json(path)
-
-
-def _json_shape(spark: SparkSession, path: str) -> str:
-    """'array' | 'wrapped' | 'lines' from the first non-empty line."""
-    import json
-
-    first = spark.read.text(path).where(F.length(F.trim("value")) > 0).limit(1).collect()
-    if not first:
-        return "lines"
-    line = first[0][0].strip()
-    if line.startswith("["):
-        return "array"
-    try:
-        obj = json.loads(line)
-    except ValueError:
-        return "wrapped"  # a pretty-printed object spans lines: the wrapped document
-    return "wrapped" if isinstance(obj, dict) and "results" in obj else "lines"
+    wide = T.StructType([*schema, T.StructField("results", T.ArrayType(schema)), T.StructField("gw_bad", T.StringType())])
+    lines = spark.read.schema(wide).option("columnNameOfCorruptRecord", "gw_bad").json(path).withColumn("gw_file", F.input_file_name())
+    split = [r[0] for r in lines.where("gw_bad IS NOT NULL").select("gw_file", "results").groupBy("gw_file").agg(F.count("results")).collect()]
+    rows = lines.where(~F.col("gw_file").isin(split)) if split else lines
+    if split:
+        whole = spark.read.schema(T.StructType(wide.fields[:-1])).option("multiLine", True).json(split)
+        rows = rows.select(*whole.columns).unionByName(whole)
+    one = F.array(F.struct(*[F.col(f"`{f.name}`") for f in schema]))
+    return rows.select(F.explode(F.coalesce("results", one)).alias("r")).select("r.*")
 
 
 def load_metrics_json(spark: SparkSession, path: str) -> DataFrame:

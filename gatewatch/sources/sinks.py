@@ -50,8 +50,10 @@ def publish_unsupervised(df: DataFrame) -> DataFrame:
                        for c in ("iso_pred", "lof_pred", "is_attack_ip")])
 
 
-def write_event_log(le: DataFrame, path: str, mode: str = "append") -> None:
+def write_event_log(le: DataFrame, path: str, mode: str = "append", files_per_date: int = 8) -> None:
     """Canonical login log partitioned by ``event_date``: recent-window
-    filters (F3/F4) then prune to the last few date partitions."""
+    filters (F3/F4) then prune to the last few date partitions. Rows are dealt
+    by date and a salt first, so a date has at most ``files_per_date`` files."""
     (le.withColumn("event_date", F.to_date("event_time"))
+     .repartition("event_date", F.pmod(F.xxhash64("event_id"), F.lit(files_per_date)))
      .write.mode(mode).partitionBy("event_date").parquet(path))

@@ -284,13 +284,70 @@ def test_merge_metrics_later_wins(spark):
     assert got == {"x": 1.0, "y": 9.0}
 
 
-def test_split_and_fold_proportions(spark):
-    df = spark.range(20000).select(F.col("id").cast("string").alias("user_id"))
-    s = FT.split_flag(df).groupBy("split").count().collect()
-    share = {r["split"]: r["count"] / 20000 for r in s}
-    assert share["train"] == pytest.approx(0.7, abs=0.015)
-    folds = [r["count"] for r in FT.fold_ids(df).groupBy("fold").count().collect()]
-    assert len(folds) == 5 and min(folds) > 3700
+def test_split_and_folds_are_stratified(spark):
+    df = spark.range(20_000).select(F.col("id").cast("string").alias("user_id"),
+                                    F.when(F.col("id") % 37 == 0, 1).when(F.col("id") % 101 == 0, None).otherwise(0).alias("is_attack_ip"))
+    both = FT.split_flag(FT.fold_ids(df)).groupBy("is_attack_ip")
+    for r in both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("split") == "train").alias("t")).collect():
+        assert abs(r["t"] - 0.7 * r["n"]) < 1
+    folds = {}
+    for r in both.pivot("fold").count().collect():
+        folds[r[0]] = [r[str(i)] for i in range(5)]
+    assert len(folds) == 3 and all(max(v) - min(v) <= 1 for v in folds.values())
+    a = {tuple(r) for r in FT.split_flag(df.repartition(7)).collect()}
+    assert a == {tuple(r) for r in FT.split_flag(df.coalesce(1)).collect()}
+    plain = FT.split_flag(spark.range(100).select(F.col("id").cast("string").alias("user_id")))
+    assert plain.where("split = 'train'").count() == 70
+
+
+def test_noise_of_two_releases_does_not_cancel(spark):
+    counts = spark.range(2000).select(F.col("id").cast("string").alias("user_id"), F.lit(50).alias("count"))
+    whole = N.dp_counts(counts, 1.0, 7, "failed|all").withColumnRenamed("noisy_count", "a")
+    week = N.dp_counts(counts.withColumn("count", F.lit(20)), 1.0, 7, "failed|7 days").withColumnRenamed("noisy_count", "b")
+    gap = [r["a"] - r["b"] for r in whole.join(week, "user_id").collect()]
+    assert sum(g == 30 for g in gap) / len(gap) < 0.4 and abs(sum(gap) / len(gap) - 30) < 0.3
+    again = [r["noisy_count"] for r in N.dp_counts(counts, 1.0, 7, "failed|all").orderBy("user_id").collect()]
+    assert again == [r["a"] for r in whole.orderBy("user_id").collect()]
+    with pytest.raises(TypeError):
+        N.dp_counts(counts, 1.0)
+
+
+def test_null_users_are_dropped_by_window_detectors(spark):
+    le = canonical(spark, [(1, None, "a", False, "2024-01-01 00:00:00", False), (2, None, "a", False, "2024-01-01 00:10:00", False),
+                           (3, "u", "a", False, "2024-01-01 00:00:00", False), (4, "u", "a", False, "2024-01-01 00:10:00", False)])
+    assert [tuple(r) for r in FT.avg_failed_gap(le).collect()] == [("u", 10.0)]
+    assert [r[0] for r in FT.consecutive_failed(le).collect()] == ["u"]
+    assert [r[0] for r in FT.last_event_flags(le).collect()] == ["u"]
+
+
+def test_results_json_shapes_per_file(spark, scratch):
+    from gatewatch.sources import readers as R
+
+    one = [f.name for f in R.RESULT_SCHEMA][0]
+    row = lambda v: '{"%s": "%s"}' % (one, v)
+    for name, text in (("a.json", row("a1") + "\n" + row("a2") + "\n"), ("b.json", "[" + row("b1") + "," + row("b2") + "]\n"),
+                       ("c.json", '{"results": [' + row("c1") + "]}\n"), ("d.json", '{\n "results": [\n' + row("d1") + ",\n" + row("d2") + "\n]}\n"),
+                       ("e.json", "[\n" + row("e1") + ",\n" + row("e2") + "\n]\n"), ("f.json", '{"results": []}\n')):
+        with open(os.path.join(scratch, name), "w") as f:
+            f.write(text)
+    got = sorted(r[0] for r in R.read_results_json(spark, scratch).collect())
+    assert got == ["a1", "a2", "b1", "b2", "c1", "d1", "d2", "e1", "e2"]
+
+
+def test_rba_event_ids_do_not_depend_on_partitioning(spark):
+    from gatewatch.sources import readers as R
+
+    raw = spark.createDataFrame([("u", "1.1.1.1", "true", "1.5", "false")] * 3 + [("v", "1.1.1.2", "true", "2", "true")],
+                                "user_id string, ip_address string, login_successful string, `round-trip_time_[ms]` string, is_attack_ip string")
+    ids = [sorted(r["event_id"] for r in R.normalise_rba(raw.repartition(n)).collect()) for n in (1, 4)]
+    assert ids[0] == ids[1] and len(set(ids[0])) == 4
+
+
+def test_poisson_table_covers_large_means():
+    cdf = FT.poisson_cdf(400.0)
+    assert len(cdf) > 400 and cdf[-1] == pytest.approx(1.0, abs=1e-12)
+    with pytest.raises(ValueError):
+        FT.poisson_cdf(1e4)
 
 
 def test_readers_app_cert_rba(spark, scratch):
@@ -355,6 +412,6 @@ def test_sweep_recall_falls_and_flip_rate_falls_with_epsilon(spark):
     recalls = [r["recall"] for r in sw]
     assert recalls == sorted(recalls, reverse=True) and recalls[0] == 1.0
     probs = spark.createDataFrame([(f"u{i}", 0.08) for i in range(4000)], "user_id string, p double")
-    rates = {r["epsilon"]: r["flip_rate"] for r in SC.noise_flip_rate(probs, "p", [50.0, 100.0, 400.0], 0.1).collect()}
+    rates = {r["epsilon"]: r["flip_rate"] for r in SC.noise_flip_rate(probs, "p", [50.0, 100.0, 400.0], 0.1, 42).collect()}
     assert rates[50.0] > rates[100.0] > rates[400.0]
     assert rates[50.0] == pytest.approx(0.5 * math.exp(-0.02 * 50), abs=0.03)  # P(Laplace > 0.02), b = 1/eps
