@@ -172,7 +172,11 @@ def isolation_forest(train: DataFrame, data: DataFrame, feat_cols: Sequence[str]
                      seed=42) -> DataFrame:
     """Fit on ``train``, score ``data``: ``key, if_score, iso_pred``."""
     nodes, psi = fit(train, feat_cols, n_trees, max_samples, seed, key)
-    cut = score(train, nodes, psi, feat_cols, key).agg(
-        F.percentile_approx("if_score", 1.0 - float(contamination), 100000).alias("gw_cut"))
-    return (score(data, nodes, psi, feat_cols, key).crossJoin(F.broadcast(cut))
-            .select(key, "if_score", (F.col("if_score") > F.col("gw_cut")).cast("int").alias("iso_pred")))
+    scored = score(data, nodes, psi, feat_cols, key)
+    return cut_flags(score(train, nodes, psi, feat_cols, key), scored, "if_score", contamination, "iso_pred").select(key, "if_score", "iso_pred")
+
+
+def cut_flags(train: DataFrame, data: DataFrame, col: str, contamination: float, out: str) -> DataFrame:
+    """``data`` with ``out`` = 1 above the ``1 - contamination`` percentile of ``train``'s scores."""
+    cut = train.agg(F.percentile_approx(col, 1.0 - float(contamination), 100000).alias("gw_cut"))
+    return data.crossJoin(F.broadcast(cut)).withColumn(out, (F.col(col) > F.col("gw_cut")).cast("int")).drop("gw_cut")

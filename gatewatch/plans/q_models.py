@@ -15,7 +15,9 @@ from gatewatch.operators import evaluate as EV
 from gatewatch.operators import features as FT
 from gatewatch.operators import scoring as SC
 from gatewatch.operators import audit as A
+from gatewatch.plans import sqlgen as SQ
 from gatewatch.plans.catalog import register
+from gatewatch.plans.q_features import SPLIT_SQL, UF as UF_SQL
 from gatewatch.sources import login_events
 from gatewatch.sources import readers as R
 from gatewatch.sources import sinks as SK
@@ -173,7 +175,102 @@ def _lof(spark, d, feats=None):
         .join(allf.select("user_id", "is_attack_ip"), "user_id")
 
 
-register("local_outlier_factor", None, FAM)(_lof)
+# Contracts of fitted models: the keys, probabilities in [0, 1], predictions at
+# the threshold on every row, and for the regression a vanishing gradient.
+def _contract(df, prob, pred, t=0.5):
+    return df.select("user_id", F.col(prob).between(0, 1).alias("prob_ok"),
+                     (F.col(pred) == (F.col(prob) >= t).cast("int")).alias("pred_ok"))
+
+
+_TEST_KEYS = SQ.with_le(UF_SQL) + f"""
+SELECT user_id, true AS prob_ok, true AS pred_ok FROM ({SPLIT_SQL}) WHERE split = 'test'"""
+_ALL_KEYS = SQ.with_le(UF_SQL) + "SELECT user_id, true AS prob_ok, true AS pred_ok FROM uf"
+
+register("logistic_contract", _TEST_KEYS, FAM)(lambda spark, d: _contract(_lr(spark, d), "logreg_prob", "logreg_pred"))
+register("forest_contract", _TEST_KEYS, FAM)(lambda spark, d: _contract(_rf(spark, d), "rf_prob", "rf_pred"))
+register("export_contract", _TEST_KEYS, FAM)(lambda spark, d: _contract(_export(spark, d), "rf_prob", "rf_pred"))
+register("meta_contract", _ALL_KEYS, FAM)(lambda spark, d: _contract(_meta(spark, d), "meta_prob", "meta_pred", 0.1))
+
+
+def _gradient(spark, d):
+    """Per coefficient: is the penalised, weighted loss flat there?"""
+    train = M.materialise(_split(spark, d)[0])
+    m = M.fit_logistic(train, FEATS)
+    rows = FT.class_weights(train, M.LABEL, "w").withColumns({c: F.col(c).cast("double") for c in FEATS})
+    z = sum((F.lit(float(b)) * F.col(c) for b, c in zip(m.coefficients, FEATS)), F.lit(float(m.intercept)))
+    gap = F.col("w") * (F.lit(1.0) / (F.lit(1.0) + F.exp(-z)) - F.col(M.LABEL))
+    one = {**{c: F.col(c) for c in FEATS}, "intercept": F.lit(1.0)}
+    beta = dict(zip(FEATS, m.coefficients), intercept=0.0)
+    sums = rows.agg(*[(F.abs(F.sum(gap * x) + F.lit(float(beta[c]))) < 1e-3 * F.sum(F.col("w") * F.abs(x))).alias(c) for c, x in one.items()])
+    return sums.unpivot([], list(one), "coefficient", "gradient_is_zero")
+
+
+register("logistic_gradient", "SELECT unnest(['failed_count', 'login_freq', 'unique_ips', 'avg_rtt', 'intercept']) AS coefficient, "
+         "COUNT(*) > 0 AS gradient_is_zero FROM events", FAM)(_gradient)
+
+register("forest_share", SQ.with_le(UF_SQL) + f"""
+SELECT COUNT(*) AS n, true AS share_ok FROM ({SPLIT_SQL}) WHERE split = 'train'""", FAM)(
+    lambda spark, d: (lambda f: _iforest(spark, d, f).join(f.where("split = 'train'").select("user_id"), "user_id").agg(
+        F.count(F.lit(1)).alias("n"), (F.abs(F.avg("iso_pred") - 0.05) <= F.lit(1.5) / F.count(F.lit(1)) + 0.005).alias("share_ok")))(_six_features(spark, d)))
+
+
+def _lof_sql() -> str:
+    """Exact neighbours by a self-join, then the definition (k = 20, 5 percent)."""
+    from gatewatch.plans import sqlgen as S
+    from gatewatch.plans.q_features import SPLIT_SQL, UF
+
+    gap = " + ".join(f"(q.f{i} - t.f{i}) * (q.f{i} - t.f{i})" for i in range(6))
+    linear = "0.5 * failed_count + 0.2 * login_freq + 0.1 * unique_ips + 0.05 * coalesce(avg_rtt, 0)"
+    return S.with_le(UF) + f"""
+, x AS (SELECT user_id, is_attack_ip, split, CAST(failed_count AS DOUBLE) AS f0, CAST(login_freq AS DOUBLE) AS f1,
+               CAST(unique_ips AS DOUBLE) AS f2, avg_rtt AS f3, 1.0 / (1.0 + exp(-(-5.0 + {linear}))) AS f4,
+               CAST({S.stump('failed_count')} AS DOUBLE) AS f5 FROM ({SPLIT_SQL}))
+, t AS (SELECT * FROM x WHERE split = 'train')
+, k AS (SELECT greatest(1, least(20, COUNT(*) - 1)) AS k FROM t)
+, dt AS (SELECT q.user_id AS q, t.user_id AS o, sqrt({gap}) AS d,
+                row_number() OVER (PARTITION BY q.user_id ORDER BY sqrt({gap}), t.user_id) AS n FROM t q JOIN t ON q.user_id <> t.user_id)
+, nt AS (SELECT q, o, d FROM dt, k WHERE n <= k)
+, kd AS (SELECT q, MAX(d) AS kdist FROM nt GROUP BY q)
+, lt AS (SELECT nt.q, 1.0 / (AVG(greatest(d, kdist)) + 1e-10) AS lrd FROM nt JOIN kd ON kd.q = nt.o GROUP BY nt.q)
+, ft AS (SELECT nt.q, AVG(o.lrd) / MAX(s.lrd) AS lof FROM nt JOIN lt o ON o.q = nt.o JOIN lt s ON s.q = nt.q GROUP BY nt.q)
+, cut AS (SELECT quantile_disc(-lof, 0.05) AS c FROM ft)
+, da AS (SELECT q.user_id AS q, t.user_id AS o, sqrt({gap}) AS d,
+                row_number() OVER (PARTITION BY q.user_id ORDER BY sqrt({gap}), t.user_id) AS n FROM x q, t)
+, na AS (SELECT q, o, d FROM da, k WHERE n <= k)
+, la AS (SELECT na.q, 1.0 / (AVG(greatest(d, kdist)) + 1e-10) AS lrd FROM na JOIN kd ON kd.q = na.o GROUP BY na.q)
+, fa AS (SELECT na.q, AVG(o.lrd) / MAX(s.lrd) AS lof FROM na JOIN lt o ON o.q = na.o JOIN la s ON s.q = na.q GROUP BY na.q)
+SELECT fa.q AS user_id, round(lof, 6) AS lof, CAST(-lof < c AS INTEGER) AS lof_pred, is_attack_ip
+FROM fa JOIN x ON x.user_id = fa.q, cut"""
+
+
+register("local_outlier_factor", _lof_sql(), FAM)(lambda spark, d: _lof(spark, d).withColumn("lof", F.round("lof", 6)))
+
+
+def _fixed_scores(spark, d):
+    feats = FT.universal_features(login_events(spark, d))
+    return feats.select("user_id", "failed_count", "is_attack_ip", SC.logistic_score([F.col("failed_count")]).alias("score"),
+                        SC.stump_vote("failed_count").alias("vote"))
+
+
+# F18 on fixed scores: rows above the 95th percentile of the score.
+register("percentile_cut", """{LE}
+, s AS (SELECT user_id, {LOGISTIC} AS score FROM uf), c AS (SELECT quantile_disc(score, 0.95) AS cut FROM s)
+SELECT user_id, CAST(score > cut AS INTEGER) AS outlier FROM s, c""".replace("{LE}", SQ.with_le(UF_SQL)).replace("{LOGISTIC}", SQ.logistic("failed_count")), FAM)(
+    lambda spark, d: IF.cut_flags(_fixed_scores(spark, d), _fixed_scores(spark, d), "score", 0.05, "outlier").select("user_id", "outlier"))
+
+# T7 and S11 on fixed scores.
+register("top_risk_fixed", SQ.with_le(UF_SQL) + f"""
+SELECT user_id, round({SQ.logistic("failed_count")}, 6) AS score, is_attack_ip FROM uf
+ORDER BY failed_count DESC, user_id ASC LIMIT 100""", FAM)(
+    lambda spark, d: A.top_k(_fixed_scores(spark, d), 100, col="failed_count").select("user_id", F.round("score", 6).alias("score"), "is_attack_ip"))
+
+register("unsupervised_publish_fixed", SQ.with_le(UF_SQL) + f"""
+, v AS (SELECT user_id, {SQ.stump("failed_count")} AS vote, is_attack_ip FROM uf)
+SELECT user_id, vote AS iso_pred, CASE WHEN CAST(user_id AS BIGINT) % 3 = 0 THEN 0 ELSE 1 - vote END AS lof_pred, is_attack_ip FROM v""", FAM)(
+    lambda spark, d: (lambda s: SK.publish_unsupervised(
+        s.select("user_id", F.col("vote").alias("iso_pred"), "is_attack_ip").join(
+            s.where(F.col("user_id").cast("bigint") % 3 != 0).select("user_id", (1 - F.col("vote")).alias("lof_pred")), "user_id", "full_outer")))(
+        _fixed_scores(spark, d)))
 
 
 def _unsup(spark, d):
