@@ -41,8 +41,9 @@ def _lrd_from(nbrs: DataFrame, kdist: DataFrame, id_col: str) -> DataFrame:
 
 
 def lof_scores(train: DataFrame, data: DataFrame, id_col: str, feat_cols: Sequence[str],
-               k: int = 20, contamination: float = 0.05) -> DataFrame:
-    """``id_col, lof, lof_pred`` for every row of ``data``."""
+               k: int = 20, contamination: float = 0.05, novelty: bool = True) -> DataFrame:
+    """``id_col, lof, lof_pred`` for every row of ``data``. Without ``novelty``
+    the rows of ``train`` are judged themselves, ``data`` being the same rows."""
     from gatewatch.models.supervised import materialise
 
     n_train = train.count()
@@ -59,6 +60,9 @@ def lof_scores(train: DataFrame, data: DataFrame, id_col: str, feat_cols: Sequen
 
     train_lof = lof_of(fit_nbrs)
     cut = train_lof.agg(F.percentile_approx(-F.col("lof"), float(contamination), 100000).alias("offset"))
+    if not novelty:
+        return (train_lof.crossJoin(F.broadcast(cut))
+                .select(F.col(id_col), "lof", (-F.col("lof") < F.col("offset")).cast("int").alias("lof_pred")))
     q_nbrs = materialise(knn(data, train, id_col, feat_cols, k_eff, exclude_self=False))
     scored = lof_of(q_nbrs)
     return (scored.crossJoin(F.broadcast(cut))

@@ -231,40 +231,3 @@ def score_and_export(train: DataFrame, test: DataFrame, feats: Sequence[str] = B
                                           lambda: fit_forest(fit_on, feats, label, 100, None, seed=seed)])
     out = predict_proba(rf, predict_proba(lr, test, feats, "logreg"), feats, "rf")
     return out.select(key, *feats, "logreg_prob", "logreg_pred", "rf_prob", "rf_pred", label)
-
-
-# Tuning trials of the reference tables (model, setting) -- fixed values.
-LOGISTIC_TRIALS = (
-    {"balanced": False, "max_iter": 100, "l1": False, "C": 1.0},
-    {"balanced": True, "max_iter": 100, "l1": False, "C": 1.0},
-    {"balanced": True, "max_iter": 500, "l1": True, "C": 1.0},
-    {"balanced": True, "max_iter": 2000, "l1": False, "C": 0.5},
-)
-FOREST_TRIALS = (
-    {"n_trees": 10, "max_depth": None, "balanced": False},
-    {"n_trees": 50, "max_depth": 10, "balanced": True},
-    {"n_trees": 150, "max_depth": 20, "balanced": False},
-    {"n_trees": 200, "max_depth": 50, "balanced": True},
-)
-
-
-def hyperparameter_trials(train: DataFrame, test: DataFrame, feats: Sequence[str] = BASE_FEATURES,
-                          label: str = LABEL, seed: int = 42, key: str = "user_id") -> DataFrame:
-    """Every trial setting scored on test; one confusion pass over all
-    trials' predictions (columns), then metrics per trial."""
-    from gatewatch.operators.evaluate import confusion, metrics
-
-    train = materialise(train)
-    scored = materialise(test.select(key, *feats, label))
-    jobs = [(f"logistic_trial_{i}", lambda t=t: fit_logistic(train, feats, label, t["balanced"], t["C"],
-                                                             t["max_iter"], t["l1"]))
-            for i, t in enumerate(LOGISTIC_TRIALS, 1)]
-    jobs += [(f"forest_trial_{i}", lambda t=t: fit_forest(train, feats, label, t["n_trees"], t["max_depth"],
-                                                          t["balanced"], seed))
-             for i, t in enumerate(FOREST_TRIALS, 1)]
-    models = parallel(lambda job: job[1](), jobs, workers=4)
-    names = []
-    for (name, _), m in zip(jobs, models):
-        scored = predict_proba(m, scored, feats, name).drop(f"{name}_prob")
-        names.append(f"{name}_pred")
-    return metrics(confusion(scored, label, names))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gatewatch.models import iforest as IF
 from gatewatch.models import lof as LOF
 from gatewatch.models import supervised as M
+from gatewatch.models import trials as T
 from gatewatch.operators import evaluate as EV
 from gatewatch.operators import features as FT
 from gatewatch.operators import scoring as SC
@@ -297,12 +298,40 @@ def _top_risk(spark, d):
 register("top_risk_targets", None, FAM)(_top_risk)
 
 
-def _trials(spark, d):
+def _cert_trials(spark, d):
     train, test = _split(spark, d)
-    return M.hyperparameter_trials(M.smote(train, FEATS), test, FEATS)
+    return T.supervised_trials(M.smote(train, FEATS), test, "cert")
 
 
-register("hyperparameter_trials", None, FAM)(_trials)
+register("hyperparameter_trials", None, FAM)(_cert_trials)
+
+
+def _cert_unsupervised(spark, d):
+    rows = _six_features(spark, d)
+    return T.unsupervised_trials(rows.where("split = 'train'").drop("split"), rows.drop("split"), "cert", SIX)
+
+
+register("unsupervised_trials", None, FAM)(_cert_unsupervised)
+
+
+def _cert_boosting(spark, d):
+    """On the fixed base scores, as the other trials' inputs."""
+    rows = _six_features(spark, d)
+    return T.boosting_trials(rows.where("split = 'train'"), rows.where("split = 'test'"), "cert", SIX)
+
+
+register("boosting_trials", None, FAM)(_cert_boosting)
+
+
+def _linux_trials(spark, d):
+    rows = M.materialise(FT.split_flag(_linux_aug(spark, d)))
+    train, test = rows.where("split = 'train'").drop("split"), rows.where("split = 'test'").drop("split")
+    fit_on = M.smote(train, FEATS)
+    return T.supervised_trials(fit_on, test, "linux").unionByName(T.boosting_trials(fit_on, test, "linux")) \
+        .unionByName(T.unsupervised_trials(train, test, "linux"))
+
+
+register("linux_trials", None, FAM)(_linux_trials)
 
 
 def _meta_comparison(spark, d):
