@@ -143,10 +143,13 @@ def fit_rates(posteriors: DataFrame, weights: list[float], budget: float | None
               max_steps: int = 25) -> tuple[list[list[float]], dict]:
     """Steps for ``rate_of`` from a written table (tokens, posterior).
 
-    ``weights`` are scaled to sum to 1. ``budget`` is the wanted token total;
-    by default the smallest one that thins out no domain. The gap is weighted
-    by the inverse of the domains' token-weighted posterior products, for which
-    a full step is a safe step length.
+    ``weights`` are scaled to sum to 1. ``budget`` is the wanted token total; by
+    default the smallest one (and a thousandth) that thins out no document of
+    a wanted domain: a full step from r = 1 gives ``budget * p . v`` with v the
+    inverse products times the weights, which is 1 or more for every posterior
+    once ``budget * v_d`` is for every domain. The gap is weighted by that inverse
+    (of the domains' token-weighted posterior products), for which a full step
+    is a safe step length.
     """
     k = len(weights)
     w = np.array(weights, float) / sum(weights)
@@ -166,8 +169,9 @@ def fit_rates(posteriors: DataFrame, weights: list[float], budget: float | None
         got = posteriors.agg(*[whole(F.col("tokens") * rate_of(F.col("posterior"), steps) * p[d]).alias(f"e{d}") for d in range(k)]).first()
         totals = np.array([float(got[f"e{d}"] or 0) / UNIT for d in range(k)])
         if target is None:
-            can = w > 0
-            target = w * (budget if budget is not None else (totals[can] / w[can]).max())
+            v = inverse @ w
+            can = (w > 0) & (v > 0)
+            target = w * (budget if budget is not None else 1.001 / v[can].min())
         gap = target - totals
         if np.abs(gap).max() <= tolerance * target.sum() or len(steps) >= max_steps:
             return steps, {"totals": totals.tolist(), "targets": target.tolist()}

@@ -32,10 +32,11 @@ def test_rates_meet_targets_and_equal_brute_force(spark):
     p, t = np.stack(rows.posterior), rows.n_tokens.to_numpy(float)
     totals = (rows.rate.to_numpy() * t) @ p
     assert abs(totals[0] / totals.sum() - 0.5) < 1e-3
-    base = t @ p
-    target = np.full(2, 0.5) * max(base / 0.5)
     m = (p * t[:, None]).T @ p
-    want = descend(p, t, target, np.linalg.inv(m + 1e-6 * np.trace(m) / 2 * np.eye(2)), 1)
+    inverse = np.linalg.inv(m + 1e-6 * np.trace(m) / 2 * np.eye(2))
+    target = np.full(2, 0.5) * 1.001 / (inverse @ [0.5, 0.5]).min()
+    want = descend(p, t, target, inverse, 1)
+    assert rows.rate.min() >= 1 and rows.copies.min() >= 1  # no document is thinned out
     assert np.allclose(rows.rate, want, atol=1e-3)
 
 
