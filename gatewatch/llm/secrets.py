@@ -73,9 +73,9 @@ def pair_odds(labelled: DataFrame) -> DataFrame:
     """pair, odds: log-odds of labelled secrets (1) against false findings (0), smoothed."""
     n = _pairs(labelled.select("candidate", "secret").distinct()).groupBy("pair") \
         .agg(F.sum("secret").alias("s"), F.sum(1 - F.col("secret")).alias("f"))
-    total = n.agg(F.sum("s").alias("ts"), F.sum("f").alias("tf"))
-    return n.crossJoin(F.broadcast(total)).select("pair", (F.log((F.col("s") + 1) / (F.col("ts") + 1500))
-                                                           - F.log((F.col("f") + 1) / (F.col("tf") + 1500))).alias("odds"))
+    total = n.agg(F.sum("s").alias("s"), F.sum("f").alias("f")).first()
+    share = lambda c: F.log((F.col(c) + 1) / F.lit(float((total[c] or 0) + 1500)))
+    return n.select("pair", (share("s") - share("f")).alias("odds"))
 
 
 def with_features(found: DataFrame, pieces: DataFrame, odds: DataFrame) -> DataFrame:
