@@ -143,3 +143,21 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(load_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op4_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS g
+      FROM (SELECT doc_id, h, unnest(range(0, CAST(length(h) AS BIGINT) // 2 - 49)) AS p FROM d WHERE length(h) >= 100)),
+f AS (SELECT g, min(doc_id) AS m FROM w GROUP BY g),
+hit AS (SELECT w.doc_id, p FROM w JOIN f USING (g) WHERE m < w.doc_id),
+new AS (SELECT doc_id, p, CAST(p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50, -1) AS INTEGER) AS n FROM hit),
+run AS (SELECT doc_id, p, sum(n) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM new),
+span AS (SELECT doc_id, k, min(p) AS s, max(p) + 50 AS e FROM run GROUP BY doc_id, k),
+edge AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS b FROM span),
+cut AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(e - s) AS BIGINT) AS n_removed, max(edge.e) AS e,
+               string_agg(substr(h, 2 * b + 1, 2 * (s - b)), '' ORDER BY s) AS kept
+        FROM edge JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) AS BIGINT) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(e, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)"""
