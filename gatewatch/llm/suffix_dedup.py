@@ -19,7 +19,9 @@ bytes). Pairs repeated within a batch are ranked there before the shuffle. A
 rank with more than ``HOT`` pairs in a batch leaves its first pair as a sign;
 the others, and in round 3 all positions of that rank, are ranked window by
 window, each window once per batch, so no sorted group holds all of a hot
-passage. Texts are shuffled once, compressed, by document.
+passage. Round 1's rows travel as packed columns, one blob per batch and
+partition, and are rows again before Spark sorts them. Texts are shuffled once,
+compressed, by document.
 
 Defined results: null text is empty; texts shorter than ``length`` keep all;
 a null doc_id sorts after all others, and rows without one do not cover each
@@ -35,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +46,11 @@ from gatewatch.llm.textbytes import as_binary, mix64, powers, text_chunks
 
 U64 = np.uint64
 GRAM = 20
-HOT = 32
+HOT = 256
+#: ranks keep so many bits: a rank shared by chance only sends more rows on to be compared
+RANK_BITS = 48
+#: text bytes that a task works on at once
+SLICE_BYTES = 8 << 20
 LAST = (1 << 63) - 1
 #: odd multipliers of the two rolling hashes and their inverses modulo 2**64
 MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -63,12 +70,12 @@ def _check(text: bytes) -> int:
     return zlib.crc32(text) & 0x7FFFFFFF
 
 
-def _lists(col: pa.Array, names: list[str]) -> Iterator[list[np.ndarray]]:
-    """The structs of each row of a list column as numpy columns; null is empty."""
+def _lists(col: pa.Array, names: list[str] | None = None) -> Iterator[list[np.ndarray]]:
+    """The numbers, or structs by field, of each row of a list column; null is empty."""
     at = col.value_lengths().fill_null(0).to_numpy()
     ends = np.cumsum(at)
     flat = col.flatten()
-    cols = [flat.field(n).to_numpy() for n in names]
+    cols = [flat.field(n).to_numpy() for n in names] if names else [flat.to_numpy()]
     for lo, hi in zip((ends - at).tolist(), ends.tolist()):
         yield [c[lo:hi] for c in cols]
 
@@ -130,10 +137,12 @@ def _first_of(new: np.ndarray) -> np.ndarray:
 
 
 def _positions(key: np.ndarray, text: pa.Array, length: int, gram: int) -> tuple:
-    """rank, pair, document, place (text check << 32 | position) of all sampled positions of a batch."""
-    out = []
+    """rank, pair, row and position of all sampled positions of a batch, and every row's document and text check."""
+    out, checks = [], []
     reach = length - gram
     for lo, hi, buf, off in text_chunks(text):
+        raw = buf.tobytes()
+        checks += [_check(raw[x:y]) for x, y in zip(off[:-1].tolist(), off[1:].tolist())]
         if len(buf) < length:
             continue
         a, b = Rolling(buf, 0), Rolling(buf, 1)
@@ -142,22 +151,21 @@ def _positions(key: np.ndarray, text: pa.Array, length: int, gram: int) -> tuple
         row = np.searchsorted(off, at, "right") - 1
         left, right = np.maximum(off[row], at - reach), np.minimum(off[row + 1], at + length)
         pair = b(left, right) + mix64(((at - left) << 16 | (right - at)).astype(U64))
-        raw = buf.tobytes()
-        check = np.array([_check(raw[x:y]) for x, y in zip(off[:-1].tolist(), off[1:].tolist())], np.int64)
-        out.append((h[at].view(np.int64), pair.view(np.int64), key[lo:hi][row], check[row] << 32 | (at - off[row])))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.zeros(0, np.int64) for _ in range(4))
+        out.append(((h[at] >> U64(64 - RANK_BITS)).view(np.int64), pair.view(np.int64), row + lo, at - off[row]))
+    found = tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.zeros(0, np.int64) for _ in range(4))
+    return *found, key, np.array(checks, np.int64)
 
 
 def _spread(*keys: np.ndarray) -> np.ndarray:
-    """A key that is almost surely a row's own."""
+    """A key that is almost surely a row's own, and no rank."""
     h = np.zeros(len(keys[0]), U64)
     for k in keys:
         h = mix64(h + k.view(U64) + U64(0x9E3779B97F4A7C15))
-    return h.view(np.int64)
+    return (h >> U64(2) | U64(1 << 62)).view(np.int64)
 
 
-def _local(rank: np.ndarray, pair: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple:
-    """Rows to sort (key, pair, document, place, kind, rank), ranked within the batch as far as possible."""
+def _local(rank: np.ndarray, pair: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sort key and the kind of every row, ranked within the batch as far as possible."""
     kind = np.full(len(rank), PLAIN, np.int8)
     by = np.argsort(rank, kind="stable")
     new = _runs(rank[by])
@@ -176,8 +184,65 @@ def _local(rank: np.ndarray, pair: np.ndarray, doc: np.ndarray, place: np.ndarra
         kind[at] = HOT_ROW
         kind[at[_runs(rank[at])]] = SIGN
     own = kind <= HOT_ROW
-    key = np.where(own, _spread(doc, place), rank)
-    return key, pair, doc, place, kind, rank
+    return np.where(own, _spread(doc, place), rank), kind
+
+
+def _slices(b: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Runs of whole rows with about ``SLICE_BYTES`` of text (column ``at``)."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy().astype(np.int64))
+    lo = 0
+    while lo < b.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + SLICE_BYTES, "right")))
+        yield b.slice(lo, hi - lo)
+        lo = hi
+
+
+def _planes(a: np.ndarray) -> bytes:
+    """An array's bytes, first all lowest ones: neighbours alike pack well."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
+
+
+def _unplane(raw: bytes, at: int, n: int, kind: type) -> tuple[np.ndarray, int]:
+    size = np.dtype(kind).itemsize
+    a = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
+    return np.ascontiguousarray(a.T).reshape(-1).view(kind), at + n * size
+
+
+def _blobs(parts: int, rank, pair, row, pos, docs, checks) -> tuple[list[int], list[bytes]]:
+    """Rows of a batch by the partition of their key: (partitions, packed columns)."""
+    key, kind = _local(rank, pair, docs[row], checks[row] << 32 | pos)
+    part = mix64(key.view(U64)) % U64(parts)
+    by = np.lexsort((key, part))
+    part, key, pair, row, pos, kind = part[by], key[by], pair[by], row[by], pos[by], kind[by]
+    head = np.flatnonzero(_runs(part))
+    pack = zstandard.ZstdCompressor(level=1, write_checksum=False)
+    out = []
+    for lo, hi in zip(head.tolist(), [*head[1:].tolist(), len(part)]):
+        used = np.unique(row[lo:hi])
+        out.append(pack.compress(b"".join([
+            np.array([hi - lo, len(used)], np.int64).tobytes(), _planes(np.diff(key[lo:hi], prepend=0)), _planes(pair[lo:hi]),
+            _planes(np.searchsorted(used, row[lo:hi]).astype(np.uint32)), _planes(pos[lo:hi].astype(np.uint32)), kind[lo:hi].tobytes(),
+            _planes(np.diff(docs[used], prepend=0)), _planes(checks[used].astype(np.uint32))])))
+    return part[head].astype(np.int64).tolist(), out
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed columns -> rows to sort: key, pair, doc, place (text check << 32 | position), kind."""
+    unpack = zstandard.ZstdDecompressor()
+    for b in batches:
+        for blob in b.column(0):
+            raw = unpack.decompress(blob.as_py())
+            n, m = np.frombuffer(raw, np.int64, 2).tolist()
+            key, at = _unplane(raw, 16, n, np.int64)
+            pair, at = _unplane(raw, at, n, np.int64)
+            row, at = _unplane(raw, at, n, np.uint32)
+            pos, at = _unplane(raw, at, n, np.uint32)
+            kind = np.frombuffer(raw, np.int8, n, at)
+            docs, at = _unplane(raw, at + n, m, np.int64)
+            checks, _ = _unplane(raw, at, m, np.uint32)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.cumsum(key)), pa.array(pair), pa.array(np.cumsum(docs)[row]),
+                pa.array(checks[row].astype(np.int64) << 32 | pos), pa.array(kind)], ["key", "pair", "doc", "place", "kind"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list]:
@@ -223,16 +288,15 @@ def _contexts(length: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in (s.slice(i, 1000) for s in batches for i in range(0, s.num_rows, 1000)):
             cold, hot = [], []
-            for doc, check, packed, (place, what, rank) in zip(*(b.column(i).to_pylist() for i in range(3)), _lists(b.column(3), _SAID)):
-                todo = what != COVERED
-                if not todo.any():
+            for doc, check, packed, (place, rank) in zip(*(b.column(i).to_pylist() for i in range(3)), _lists(b.column(4), ["pos", "rank"])):
+                if not len(place):
                     continue
                 text = unpack.decompress(packed)
-                for pos, what, rank in zip((place[todo] & 0xFFFFFFFF).tolist(), what[todo].tolist(), rank[todo].tolist()):
+                for pos, rank in zip(place.tolist(), rank.tolist()):
                     lo, hi = max(0, pos - reach), min(len(text), pos + length)
-                    (cold if what == WINDOWS else hot).append((rank, doc, check << 32 | lo, text[lo:hi]))
+                    (cold if rank >= 0 else hot).append((rank, doc, check << 32 | lo, text[lo:hi]))
             rows = []
             if cold:
                 rank, doc, place, ctx = zip(*cold)
@@ -256,7 +320,6 @@ def _contexts(length: int, gram: int):
 
 
 _ROUND3 = ["g1", "g2", "doc", "place", "done", "ctx"]
-_SAID = ["place", "said", "rank"]
 
 
 def _windows(ctx: pa.Array, length: int) -> tuple:
@@ -308,13 +371,13 @@ def _cut(length: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in (s.slice(i, 1000) for s in batches for i in range(0, s.num_rows, 1000)):
             sizes, found, kept = [], [], []
-            for packed, (place, what, _), (start, end) in zip(b.column(1).to_pylist(), _lists(b.column(2), _SAID), _lists(b.column(3), ["start", "end"])):
+            for packed, (at,), (more,) in zip(b.column(1).to_pylist(), _lists(b.column(2)), _lists(b.column(3))):
                 text = unpack.decompress(packed)
-                at = place[what == COVERED] & 0xFFFFFFFF
-                lo = np.r_[np.maximum(at - reach, 0), start]
-                hi = np.r_[np.minimum(at + length, len(text)), end]
+                at = at.astype(np.int64)
+                lo = np.r_[np.maximum(at - reach, 0), more >> 32]
+                hi = np.r_[np.minimum(at + length, len(text)), more & 0xFFFFFFFF]
                 sizes.append(len(text))
                 if not len(lo):
                     found.append([])
@@ -333,8 +396,8 @@ def _cut(length: int, gram: int):
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, text -> doc_id, doc, check, packed text."""
-    pack = zstandard.ZstdCompressor(level=1, write_checksum=False)
-    for b in batches:
+    pack = zstandard.ZstdCompressor(level=5, write_checksum=False)
+    for b in (s for b in batches for s in _slices(b, 1)):
         texts = as_binary(b.column(1)).to_pylist()
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(0).fill_null(LAST), pa.array([_check(t) for t in texts], pa.int64()),
                                           pa.array([pack.compress(t) for t in texts], pa.binary())], ["doc_id", "doc", "check", "packed"])
@@ -346,22 +409,28 @@ def repeated_passages(docs: DataFrame, length: int = 50, gram: int = GRAM) -> Da
         raise ValueError("0 < gram <= length < 32768")
     text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = _local(*_positions(b.column(0).fill_null(LAST).to_numpy(), b.column(1), length, gram))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows[:5]], ["key", "pair", "doc", "place", "kind"])
+        for b in (s for b in batches for s in _slices(b, 1)):
+            part, blob = _blobs(parts, *_positions(b.column(0).fill_null(LAST).to_numpy(), b.column(1), length, gram))
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blob, pa.binary())], ["part", "blob"])
 
-    ranked = text.mapInArrow(positions, "key bigint, pair bigint, doc bigint, place bigint, kind tinyint") \
-        .repartition("key").sortWithinPartitions("key", "pair", "doc", "place") \
+    ranked = text.mapInArrow(positions, "part int, blob binary").repartitionById(parts, "part").select("blob") \
+        .mapInArrow(_rows, "key bigint, pair bigint, doc bigint, place bigint, kind tinyint") \
+        .sortWithinPartitions("key", "pair", "doc", "place") \
         .mapInArrow(_rank, "doc bigint, place bigint, said tinyint, rank bigint")
-    by_doc = ranked.groupBy("doc", F.shiftright("place", 32).alias("check")) \
-        .agg(F.collect_list(F.struct("place", "said", "rank")).alias("said"))
+    pos = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    rank = F.when(F.col("said") == WINDOWS, F.col("rank")).otherwise(F.lit(-1))
+    by_doc = ranked.groupBy("doc", F.shiftright("place", 32).alias("check")).agg(
+        F.collect_list(F.when(F.col("said") == COVERED, pos)).alias("covered"),
+        F.collect_list(F.when(F.col("said") != COVERED, F.struct(pos.alias("pos"), rank.alias("rank")))).alias("open"))
     packed = text.mapInArrow(_pack, "doc_id bigint, doc bigint, check bigint, packed binary")
-    known = packed.join(by_doc, ["doc", "check"], "left")
-    windows = known.select("doc", "check", "packed", "said") \
+    known = packed.join(by_doc.hint("merge"), ["doc", "check"], "left")
+    windows = known.select("doc", "check", "packed", "covered", "open", "doc_id") \
         .mapInArrow(_contexts(length, gram), "g1 bigint, g2 bigint, doc bigint, place bigint, done boolean, ctx binary") \
         .repartition("g1").sortWithinPartitions("g1", "g2", "doc") \
         .mapInArrow(_rank_windows(length), "doc bigint, check bigint, start bigint, end bigint") \
-        .groupBy("doc", "check").agg(F.collect_list(F.struct("start", "end")).alias("more"))
-    return known.join(windows, ["doc", "check"], "left").select("doc_id", "packed", "said", "more") \
+        .groupBy("doc", "check").agg(F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("end"))).alias("more"))
+    return known.join(windows.hint("merge"), ["doc", "check"], "left").select("doc_id", "packed", "covered", "more") \
         .mapInArrow(_cut(length, gram), "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
