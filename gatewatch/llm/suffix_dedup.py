@@ -432,5 +432,6 @@ def repeated_passages(docs: DataFrame, length: int = 50, gram: int = GRAM) -> Da
         .repartition("g1").sortWithinPartitions("g1", "g2", "doc") \
         .mapInArrow(_rank_windows(length), "doc bigint, check bigint, start bigint, end bigint") \
         .groupBy("doc", "check").agg(F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("end"))).alias("more"))
-    return known.join(windows.hint("merge"), ["doc", "check"], "left").select("doc_id", "packed", "covered", "more") \
+    # ``open`` is asked for here too, so that both uses read one shuffle
+    return known.join(windows.hint("merge"), ["doc", "check"], "left").select("doc_id", "packed", "covered", "more", "open") \
         .mapInArrow(_cut(length, gram), "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
