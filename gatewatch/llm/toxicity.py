@@ -134,7 +134,10 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Callable[[Column], Colu
     slots = [_slots_of(text.join(F.broadcast(x.distinct()), "doc_id", "left_semi")) for x in (pos, unl)]
     if not slots[0] or not slots[1]:
         return none
-    share = [np.bincount(np.concatenate(s), minlength=1 << SLOT_BITS) for s in slots]
+    share = [np.zeros(1 << SLOT_BITS, np.int64) for _ in slots]
+    for count, texts in zip(share, slots):
+        for row in texts:  # a text's slots are distinct
+            count[row] += 1
     n_p, n_u = len(slots[0]), len(slots[1])
     both = (share[0] + share[1] + 1) / (n_p + n_u + 2)
     z = (share[0] / n_p - share[1] / n_u) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
