@@ -7,11 +7,14 @@ unlabelled texts (U) with the class-prior-corrected risk
 
 whose second part is kept from going negative (there the step is turned
 round). Words, and their first 3 to 8 bytes, are hashed to 2**20 slots; the
-slots used are those whose share in P exceeds that in U by ``min_z`` standard
-errors and, with the prior taken off U, is ``min_ratio`` times that in clean text.
+slots used are all whose share in P exceeds that in U by ``min_z`` standard
+errors; what they are worth against clean text is left to the fit.
+
+Equal texts count once, in P, in U and in the prior; a text is toxic if one
+label of one of its documents says so.
 
 Sampling bounds (the only sampled part): at most ``max_positive`` toxic and
-``max_unlabelled`` unlabelled texts, those with the smallest id hash. Whole
+``max_unlabelled`` unlabelled texts, those with the smallest text hash. Whole
 texts are used, and every document is scored in one pass without a shuffle.
 
 Defined results: null text is empty; empty text gets the model's bias;
@@ -30,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatewatch.llm.frames import written
 from gatewatch.llm.textbytes import text_chunks, word_table, words
 
 SLOT_BITS = 20
@@ -70,20 +74,32 @@ def word_slots(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
 
 def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05,
              ridge: float | None = None) -> tuple[np.ndarray, float]:
-    """Adam on the non-negative PU logistic risk of 0/1 rows. Features are
+    """``fit_entries`` of 0/1 rows."""
+    return fit_entries((len(pos), *np.nonzero(pos)), (len(unl), *np.nonzero(unl)), pos.shape[1], prior, steps, rate, ridge)
+
+
+def fit_entries(pos: tuple, unl: tuple, k: int, prior: float, steps: int = 300, rate: float = 0.05,
+                ridge: float | None = None) -> tuple[np.ndarray, float]:
+    """Adam on the non-negative PU logistic risk of 0/1 rows with ``k`` features,
+    given as (rows, row and feature of every 1). Features are
     evidence for the positive class, so weights stay at 0 or more; the mean of
     the later half of the steps is taken, as turned steps make single ones jump."""
-    p, u = (np.c_[x, np.ones(len(x))].astype(np.float32) for x in (pos, unl))
-    w = np.zeros(p.shape[1])
+    def at(x: tuple, w: np.ndarray) -> np.ndarray:
+        return np.bincount(x[1], w[x[2]], minlength=x[0]) + w[-1]
+
+    def back(x: tuple, per_row: np.ndarray) -> np.ndarray:
+        return np.r_[np.bincount(x[2], per_row[x[1]], minlength=k), per_row.sum()] / x[0]
+
+    w = np.zeros(k + 1)
     m, v, mean = np.zeros_like(w), np.zeros_like(w), np.zeros_like(w)
-    keep = np.r_[np.full(len(w) - 1, 0.1 / len(p) if ridge is None else ridge), 0.0]
+    keep = np.r_[np.full(k, 0.1 / pos[0] if ridge is None else ridge), 0.0]
     w[-1] = np.log(prior / (1 - prior))
     for t in range(1, steps + 1):
-        zp, zu = p @ w, u @ w
+        zp, zu = at(pos, w), at(unl, w)
         sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-        gain = -prior * p.T @ (1 - sp) / len(p)
+        gain = -prior * back(pos, 1 - sp)
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        slope = u.T @ su / len(u) - prior * p.T @ sp / len(p)
+        slope = back(unl, su) - prior * back(pos, sp)
         g = (gain + slope if negative >= 0 else -slope) + keep * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-9)
@@ -108,55 +124,45 @@ def _slots_of(rows: DataFrame) -> list[np.ndarray]:
 
 
 def train(docs: DataFrame, labels: DataFrame, may_learn: Callable[[Column], Column] | None = None,
-          prior: float | None = None, max_positive: int = 4000, max_unlabelled: int = 8000,
-          max_features: int = 512, min_z: float = 5.0, min_ratio: float = 100.0) -> ToxicModel:
+          prior: float | None = None, max_positive: int = 4000, max_unlabelled: int = 8000, min_z: float = 5.0) -> ToxicModel:
     """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
     ``may_learn`` says for a doc_id whether its label may be used. ``prior``
-    is the share of toxic texts; by default their share among usable labels.
+    is the share of toxic texts; by default their share among labelled texts.
     """
-    none = ToxicModel(np.full(1 << SLOT_BITS, -1, np.int16), np.zeros(1), 0.0, empty=True)
+    none = ToxicModel(np.full(1 << SLOT_BITS, -1, np.int32), np.zeros(1), 0.0, empty=True)
     use = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     use = (use if may_learn is None else use.where(may_learn(F.col("doc_id")))) \
         .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    sums = use.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("p")).first()
+    mine = docs.where("doc_id IS NOT NULL") if may_learn is None else docs.where(may_learn(F.col("doc_id")))
+    mine = mine.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64(F.lit("nnpu"), "text"))
+    texts = written(mine.select("doc_id", "h").join(use, "doc_id", "left").groupBy("h").agg(F.max("toxic").alias("toxic")), "texts")
+    sums = texts.agg(F.count("toxic").alias("n"), F.sum("toxic").alias("p")).first()
     if not sums["p"]:
         return none
     prior = sums["p"] / sums["n"] if prior is None else prior
     prior = min(max(prior, 1e-3), 0.9)
-    order = F.xxhash64(F.lit("nnpu"), F.col("doc_id"))
-    ids = docs.select("doc_id")
-    if may_learn is not None:
-        ids = ids.where(may_learn(F.col("doc_id")))
-    pos = use.where("toxic = 1").select("doc_id").join(ids.distinct(), "doc_id").orderBy(order).limit(max_positive)
-    unl = ids.orderBy(order).limit(max_unlabelled)
-    text = docs.select("doc_id", "text")
-    slots = [_slots_of(text.join(F.broadcast(x.distinct()), "doc_id", "left_semi")) for x in (pos, unl)]
-    if not slots[0] or not slots[1]:
-        return none
+    slots = []
+    for rows, most in ((texts.where("toxic = 1"), max_positive), (texts, max_unlabelled)):
+        few = rows.select("h").orderBy("h").limit(most)
+        slots.append(_slots_of(mine.select("h", "text").join(F.broadcast(few), "h", "left_semi").dropDuplicates(["h"])))
     share = [np.zeros(1 << SLOT_BITS, np.int64) for _ in slots]
-    for count, texts in zip(share, slots):
-        for row in texts:  # a text's slots are distinct
+    for count, found in zip(share, slots):
+        for row in found:  # a text's slots are distinct
             count[row] += 1
     n_p, n_u = len(slots[0]), len(slots[1])
     both = (share[0] + share[1] + 1) / (n_p + n_u + 2)
     z = (share[0] / n_p - share[1] / n_u) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
-    clean = np.maximum(share[1] / n_u - prior * share[0] / n_p, 0) / (1 - prior)
-    z[clean * min_ratio > share[0] / n_p] = 0
-    best = np.argsort(-z, kind="stable")[:max_features]
-    best = best[z[best] > min_z]
-    if not len(best):
-        best = np.argsort(-z, kind="stable")[:16]
-    feature = np.full(1 << SLOT_BITS, -1, np.int16)
+    best = np.argsort(-z, kind="stable")
+    best = best[:(z > min_z).sum() or 16]
+    feature = np.full(1 << SLOT_BITS, -1, np.int32)
     feature[best] = np.arange(len(best))
     x = []
-    for s in slots:
-        m = np.zeros((len(s), len(best)), np.float32)
-        for i, row in enumerate(s):
-            f = feature[row]
-            m[i, f[f >= 0]] = 1
-        x.append(m)
-    weight, bias = fit_nnpu(x[0], x[1], prior)
+    for found in slots:
+        f = [feature[row] for row in found]
+        f = [y[y >= 0] for y in f]
+        x.append((len(f), np.repeat(np.arange(len(f)), [len(y) for y in f]), np.concatenate(f)))
+    weight, bias = fit_entries(*x, len(best), prior)
     return ToxicModel(feature, weight, bias)
 
 

@@ -63,3 +63,21 @@ def test_defined_edges(spark):
     assert all(0 <= r.score <= 1 for r in tx.score_toxicity(docs, model).collect())
     assert tx.drop_toxic(docs, model, 2.0).collect() == docs.collect()
     assert tx.score_toxicity(docs.limit(0), tx.train(docs.limit(0), none)).collect() == []
+
+
+def test_unlabelled_corpus_more_toxic_than_the_labels(spark):
+    rng = random.Random(5)
+    vile = ["scumX", "VILE", "rotter", "blaggard"]
+    rows, labels = [], []
+    for i in range(2400):
+        words = [f"w{rng.randrange(300)}" for _ in range(rng.randint(10, 40))]
+        bad = rng.random() < (0.1 if i < 1000 else 0.16)
+        rows.append((i, " ".join(words + [rng.choice(vile)] if bad else words), bad))
+        if i < 1000:
+            labels.append((i, int(bad)))
+    rows += [(10_000 + i, "w1 scumX w2", True) for i in range(400)]  # one hot toxic text
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)
+    model = tx.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r.score >= 0.5 for r in tx.score_toxicity(docs, model).collect()}
+    assert sum(got[i] for i, _, bad in rows if bad) > 0.95 * sum(bad for *_, bad in rows)
+    assert sum(got[i] for i, _, bad in rows if not bad) < 0.02 * len(rows)
