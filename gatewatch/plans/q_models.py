@@ -397,7 +397,7 @@ def _metrics_comparison(spark, d):
     merged by model name (J5; a later table wins on a clash)."""
     from gatewatch.operators import anomaly as N
 
-    rules = EV.metrics(EV.confusion(N.detector_flags(login_events(spark, d), 100), "is_attack_ip", N.DETECTORS))
+    rules = EV.metrics(EV.confusion(N.detector_flags(login_events(spark, d), 100, 42), "is_attack_ip", N.DETECTORS))
     meta = _meta_comparison(spark, d)
     linux = _linux_evaluation(spark, d).withColumn("detector", F.concat(F.lit("linux_"), F.col("detector")))
     return EV.merge_metrics(rules, meta, linux)

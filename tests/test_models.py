@@ -218,3 +218,17 @@ def test_base_probabilities_are_held_out(spark):
     assert sorted(got.user_id) == sorted(pdf.user_id)
     gap = got[got.is_attack_ip == 1].rf_prob.mean() - got[got.is_attack_ip == 0].rf_prob.mean()
     assert abs(gap) < 0.1
+
+
+def test_metrics_comparison_builds(spark, monkeypatch):
+    """Its own block is built on the table; the two slow fits, built by their own queries, are stood in for."""
+    from gatewatch.plans import q_models as Q
+    from tests.conftest import SF_SMALL
+
+    other = spark.range(1).selectExpr("'other' AS detector")
+    monkeypatch.setattr(Q, "_meta_comparison", lambda s, d: other)
+    monkeypatch.setattr(Q, "_linux_evaluation", lambda s, d: other)
+    monkeypatch.setattr(Q.EV, "merge_metrics", lambda rules, meta, linux: rules)
+    from gatewatch.operators.anomaly import DETECTORS
+    got = Q._metrics_comparison(spark, SF_SMALL).collect()
+    assert sorted(r.detector for r in got) == sorted(DETECTORS)
