@@ -13,7 +13,7 @@ Sampling bound (the only sampled part): the classifier is fitted on at most
 
 Defined results: null or empty text has no tokens; its posterior is the
 classifier's bias and its rate follows from it; without any usable labelled
-row all posteriors are equal; an empty table gives no rates; repeated rows
+row all posteriors are equal and, without a budget, all rates 1; an empty table gives no rates; repeated rows
 have equal rates; a target domain that no document can belong to stays unmet.
 """
 
@@ -139,6 +139,15 @@ def rate_of(posterior: Column, steps: list[list[float]]) -> Column:
     return reduce(step, steps, F.lit(1.0))
 
 
+def nearest(m: np.ndarray, goal: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """u >= ``least`` that minimises ``u.m.u / 2 - goal.u``, by coordinate descent."""
+    u = least.copy()
+    for _ in range(2000):
+        for d in range(len(u)):
+            u[d] = max(least[d], u[d] + (goal[d] - m[d] @ u) / m[d, d])
+    return u
+
+
 def fit_rates(posteriors: DataFrame, weights: list[float], budget: float | None = None, tolerance: float = 1e-4,
               max_steps: int = 25) -> tuple[list[list[float]], dict]:
     """Steps for ``rate_of`` from a written table (tokens, posterior).
@@ -147,7 +156,11 @@ def fit_rates(posteriors: DataFrame, weights: list[float], budget: float | None
     default the smallest one (and a thousandth) that thins out no document of
     a wanted domain: a full step from r = 1 gives ``budget * p . v`` with v the
     inverse products times the weights, which is 1 or more for every posterior
-    once ``budget * v_d`` is for every domain. The gap is weighted by that inverse
+    once ``budget * v_d`` is for every domain. Where a wanted domain's v is 0 or
+    less (it is confused with another), v is solved with v >= 0, and the rates
+    are ``p . u`` with the u nearest to the targets that is 1 or more for every
+    wanted domain; later steps stop before they bring one below 1. Documents
+    that all have one posterior keep rate 1. The gap is weighted by that inverse
     (of the domains' token-weighted posterior products), for which a full step
     is a safe step length.
     """
@@ -156,26 +169,40 @@ def fit_rates(posteriors: DataFrame, weights: list[float], budget: float | None
     p = [F.col("posterior")[d] for d in range(k)]
     whole = lambda c: F.sum(F.round(c * UNIT).cast("bigint").cast("decimal(38,0)"))
     pairs = [(a, b) for a in range(k) for b in range(a, k)]
-    row = posteriors.agg(*[whole(F.col("tokens") * p[a] * p[b]).alias(f"m{a}_{b}") for a, b in pairs]).first()
+    row = posteriors.agg(*[whole(F.col("tokens") * p[a] * p[b]).alias(f"m{a}_{b}") for a, b in pairs],
+                         *[(F.max(F.when(F.col("tokens") > 0, x)) - F.min(F.when(F.col("tokens") > 0, x))).alias(f"r{d}")
+                           for d, x in enumerate(p)]).first()
     m = np.zeros((k, k))
     for a, b in pairs:
         m[a, b] = m[b, a] = float(row[f"m{a}_{b}"] or 0) / UNIT
     if m.sum() <= 0:
         return [], {"totals": [0.0] * k, "targets": [0.0] * k}
-    inverse = np.linalg.inv(m + 1e-6 * np.trace(m) / k * np.eye(k))
+    if budget is None and k > 1 and all(row[f"r{d}"] <= 2e-6 for d in range(k)):
+        return [], {"totals": m.sum(axis=1).tolist(), "targets": (w * m.sum()).tolist()}
+    ridged = m + 1e-6 * np.trace(m) / k * np.eye(k)
+    inverse = np.linalg.inv(ridged)
+    v = inverse @ w
+    least = (w > 0).astype(float)  # of a domain's rate under the default budget
     steps: list[list[float]] = []
-    target = None
+    thins = budget is None and bool((v[w > 0] <= 0).any())
+    if thins:
+        v = nearest(ridged, w, np.zeros(k))
+        gain = reduce(Column.__add__, [p[d] * F.lit(float(x)) for d, x in enumerate(v)])
+        # what gains under a hundredth of the most gets no part of the budget, only its rate of 1
+        low = posteriors.where("tokens > 0").where(gain > float(v.max()) / 100).agg(F.min(gain)).first()[0]
+        target = w * 1.001 / low
+        steps = [(nearest(ridged, target, least) - 1).tolist()]
+    else:
+        target = w * (budget if budget is not None else 1.001 / v[w > 0].min())
     while True:
         got = posteriors.agg(*[whole(F.col("tokens") * rate_of(F.col("posterior"), steps) * p[d]).alias(f"e{d}") for d in range(k)]).first()
         totals = np.array([float(got[f"e{d}"] or 0) / UNIT for d in range(k)])
-        if target is None:
-            v = inverse @ w
-            can = (w > 0) & (v > 0)
-            target = w * (budget if budget is not None else 1.001 / v[can].min())
         gap = target - totals
-        if np.abs(gap).max() <= tolerance * target.sum() or len(steps) >= max_steps:
+        q = inverse @ gap
+        below = budget is None and bool(((1 + np.sum([*steps, q], axis=0))[w > 0] < 1).any())
+        if np.abs(gap).max() <= tolerance * target.sum() or len(steps) >= max_steps or thins or below:
             return steps, {"totals": totals.tolist(), "targets": target.tolist()}
-        steps.append((inverse @ gap).tolist())
+        steps.append(q.tolist())
 
 
 def copies_of(rate: Column, key: Column) -> Column:

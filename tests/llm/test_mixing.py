@@ -70,3 +70,22 @@ def test_nulls_empty_and_unlabelled(spark):
     assert sorted(r.n_tokens for r in rows) == [0, 0, 2, 2]
     assert mixing.document_rates(docs.limit(0), none, {"a": 1.0}).collect() == []
     assert mixing.resample(docs.limit(0), none, {"a": 1.0}).collect() == []
+
+
+def test_default_budget_keeps_documents_that_cannot_be_told_apart(spark):
+    targets = {"a": 0.5, "b": 0.3, "c": 0.2}
+    docs = made(spark, 60)
+    none = spark.createDataFrame([(-1, "a")], "doc_id long, domain string")
+    rows = mixing.document_rates(docs, none, targets).collect()
+    assert len(rows) == 60 and all(r.rate == 1 and r.copies == 1 for r in rows)
+    assert mixing.resample(docs, none, targets).count() == 60
+
+
+def test_default_budget_keeps_a_confused_domain(spark):
+    rows = [(100, [1.0, 0.0, 0.0])] * 5 + [(100, [0.0, 0.5, 0.5])] * 20 + [(100, [0.0, 0.45, 0.55]), (100, [0.0, 0.2, 0.8])]
+    table = spark.createDataFrame(rows, "tokens long, posterior array<double>")
+    steps, info = mixing.fit_rates(table, [0.5, 0.48, 0.02])
+    rates = [r[0] for r in table.select(mixing.rate_of(table["posterior"], steps)).collect()]
+    assert min(rates) >= 0.999 and max(rates) < 100
+    share = info["totals"][0] / sum(info["totals"])
+    assert share > 0.3  # from 5 of 27; b and c cannot be had apart
