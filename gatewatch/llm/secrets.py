@@ -1,7 +1,9 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
 DataFrame functions only. A candidate is a run of ``MIN_LENGTH`` or more key
-characters inside a white-space-separated word. Its features are its length,
+characters inside a white-space-separated word; a word without one is a
+candidate if it is, or holds, a value of ``MIN_VALUE`` or more characters of any
+kind after a naming word and an assignment (``pwd=..``, ``password: ..``). Its features are its length,
 character transitions (class changes, and the mean log-odds of its character
 pairs between labelled secrets and labelled false findings), dictionary
 coverage (share of its four-letter pieces that occur in frequent words of the
@@ -10,7 +12,10 @@ and the neighbouring words (a naming word, an assignment, quotes). A random
 forest is trained on labelled findings and scores every candidate.
 
 Word counts cover all documents. Sampling bounds: the forest is fitted on at
-most ``max_labelled`` labelled findings, those with the smallest hash; the
+most ``max_labelled`` labelled findings of each kind, secrets and false ones,
+those with the smallest hash, weighted back to the numbers of their kind (a
+kind counts for a hundredth of all at least, so that rare secrets are not
+outweighed); the
 dictionary keeps the ``dictionary`` most frequent words (its pieces, at most
 nine a word, and the character pairs, at most 39 * 39, are what is broadcast).
 
@@ -32,22 +37,35 @@ from gatewatch.llm.frames import written
 
 MIN_LENGTH = 16
 CANDIDATE = rf"[A-Za-z0-9+/_\-]{{{MIN_LENGTH},}}"
+MIN_VALUE = 4
 NAMING = r"(?i)(key|token|secret|passw|pwd|auth|bearer|credential|api)"
+#: a value in the word of its naming word, and what does not belong to a value
+INSIDE = NAMING + r"[A-Za-z0-9_\-]*[\"'`]?[=:]+>?[\"'`]?(.+)$"
+EDGES = r"^[=:>\"'`(]+|[\"'`,;)]+$"
 FEATURES = ["length", "digits", "capitals", "hexes", "distinct", "changes", "pairs", "covered", "separators", "sample_path",
             "naming", "assigned", "quoted", "after_word"]
 
 
+def _value(word: Column, before: Column, before2: Column) -> Column:
+    """The value after a naming word and an assignment, or the empty word."""
+    long = (F.length(word) >= MIN_LENGTH) & word.rlike(CANDIDATE)
+    after = (before.rlike("[=:]$") & F.concat_ws(" ", before2, before).rlike(NAMING)) | (word.rlike("^[=:]") & before.rlike(NAMING))
+    value = F.when(after, word).when(word.rlike("[=:]"), F.regexp_extract(word, INSIDE, 2)).otherwise("")
+    return F.when(long, "").otherwise(F.regexp_replace(value, EDGES, ""))
+
+
 def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
     """doc_id, path, word_no, nth (in the word), word, candidate, before2, before, after."""
     where = F.col(path).cast("string") if path and path in docs.columns else F.lit(None).cast("string")
     words = docs.select("doc_id", F.coalesce(where, F.lit("")).alias("path"), F.split(F.coalesce("text", F.lit("")), r"\s+").alias("words"))
     near = lambda i: F.coalesce(F.get("words", i), F.lit(""))
-    long = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("word_no"))),
-                    lambda x: (F.length(x["word"]) >= MIN_LENGTH) & x["word"].rlike(CANDIDATE))
-    found = F.transform(long, lambda x: F.struct(x["word_no"].alias("word_no"), x["word"].alias("word"), near(x["word_no"] - 2).alias("before2"),
+    long = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("word_no"), _value(w, near(i - 1), near(i - 2)).alias("value"))),
+                    lambda x: (F.length(x["value"]) >= MIN_VALUE) | (F.length(x["word"]) >= MIN_LENGTH) & x["word"].rlike(CANDIDATE))
+    found = F.transform(long, lambda x: F.struct(x["word_no"].alias("word_no"), x["word"].alias("word"), x["value"].alias("value"), near(x["word_no"] - 2).alias("before2"),
                                                  near(x["word_no"] - 1).alias("before"), near(x["word_no"] + 1).alias("after")))
     return words.select("doc_id", "path", F.explode(found).alias("f")).select("doc_id", "path", "f.*") \
-        .select("*", F.posexplode(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))).alias("nth", "candidate"))
+        .select("*", F.posexplode(F.when(F.length("value") >= MIN_VALUE, F.array("value"))
+                                  .otherwise(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0)))).alias("nth", "candidate")).drop("value")
 
 
 def _share(pattern: str) -> Column:
@@ -105,12 +123,18 @@ def train(features: DataFrame, max_labelled: int = 20_000, trees: int = 20, dept
     """The forest, or the constant score if the labelled findings are not of both kinds.
     ``features``: FEATURES and ``secret`` (0 or 1)."""
     order = F.xxhash64("candidate", "doc_id", "word_no", "nth")
-    use = written(features.select(*FEATURES, "secret", order.alias("o")).orderBy("o").limit(max_labelled), "findings")
-    n = use.agg(F.count(F.lit(1)).alias("n"), F.sum("secret").alias("s")).first()
+    n = features.agg(F.count(F.lit(1)).alias("n"), F.sum("secret").alias("s")).first()
     if not n["n"] or n["s"] in (0, n["n"]):
         return float((n["s"] or 0) / max(n["n"], 1))
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(use.coalesce(1).sortWithinPartitions("o"))
-    return RandomForestClassifier(featuresCol="x", labelCol="secret", numTrees=trees, maxDepth=depth, seed=7).fit(rows.select("x", F.col("secret").cast("double")))
+    rows = features.select(*FEATURES, "secret", order.alias("o"))
+    each = [rows.where(F.col("secret") == k).orderBy("o").limit(max_labelled) for k in (0, 1)]
+    use = written(each[0].unionByName(each[1]), "findings")
+    share = [max(x / n["n"], 0.01) for x in (n["n"] - n["s"], n["s"])]
+    weight = [x / min(y, max_labelled) * n["n"] for x, y in zip(share, (n["n"] - n["s"], n["s"]))]
+    least = min(weight)
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(use.coalesce(1).sortWithinPartitions("o")) \
+        .select("x", F.col("secret").cast("double"), F.when(F.col("secret") == 1, weight[1] / least).otherwise(weight[0] / least).alias("weight"))
+    return RandomForestClassifier(featuresCol="x", labelCol="secret", weightCol="weight", numTrees=trees, maxDepth=depth, seed=7).fit(rows)
 
 
 def score(features: DataFrame, model) -> DataFrame:

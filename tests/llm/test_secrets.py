@@ -60,3 +60,21 @@ def test_edges(spark):
     (r,) = secrets.scan(docs, path=None).collect()
     assert (r.doc_id, r.score, r.is_secret) == (None, 0.0, False)
     assert secrets.scan(docs.limit(0)).collect() == []
+
+
+def test_rare_secrets_are_learnt(spark):
+    docs, planted, _ = made(spark)
+    rows = secrets.scan(docs, max_labelled=20).collect()  # of 20 smallest hashes over both kinds few are secrets
+    assert {(r.doc_id, r.candidate) for r in rows if r.is_secret} == planted
+    features = spark.range(3000).selectExpr(
+        *[f"CAST(IF(id = 7, 9, 1) AS double) AS {x}" for x in secrets.FEATURES], "CAST(id = 7 AS int) AS secret",
+        "CAST(id AS string) AS candidate", "id AS doc_id", "1 AS word_no", "0 AS nth")
+    model = secrets.train(features, max_labelled=100)
+    assert [r.doc_id for r in secrets.score(features, model).where("is_secret").collect()] == [7]
+
+
+def test_short_values_after_a_naming_word(spark):
+    text = 'the password = "hunter2!" and pwd=p@ss,w0rd; then API_TOKEN: ab$9 x=short12 plain word: other'
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [r.candidate for r in secrets.candidates(docs).orderBy("word_no").collect()] == ["hunter2!", "p@ss,w0rd", "ab$9"]
+    assert len(secrets.scan(docs, path=None).collect()) == 3
