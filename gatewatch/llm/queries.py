@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gatewatch.llm import chat_format
 from gatewatch.llm import decontaminate as decon
-from gatewatch.llm import fingerprint, mixing, secrets, sharding, simhash, suffix_dedup, toxicity, url_filter
+from gatewatch.llm import fingerprint, mixing, secrets, sharding, simhash, suffix_dedup, token_files, toxicity, url_filter
 from gatewatch.sources.tables import load_table
 
 QUERIES: dict = {}
@@ -161,3 +161,11 @@ cut AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(e - s) AS BIGINT) AS n_remo
 SELECT doc_id, CAST(length(h) AS BIGINT) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
        sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(e, 0) + 1))) AS kept_sha256
 FROM d LEFT JOIN cut USING (doc_id)"""
+
+
+@query
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    manifest = token_files.write_token_files(load_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_token_files(manifest)
