@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatewatch.llm import chat_format
+from gatewatch.llm import chat_format, chat_repair
 from gatewatch.llm import decontaminate as decon
-from gatewatch.llm import fingerprint, mixing, secrets, sharding, simhash, suffix_dedup, token_files, toxicity, url_filter
+from gatewatch.llm import fingerprint, lexical_search, mixing, secrets, sharding, simhash, suffix_dedup, token_files, toxicity, url_filter
 from gatewatch.sources.tables import load_table
 
 QUERIES: dict = {}
@@ -169,3 +169,31 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     manifest = token_files.write_token_files(load_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.read_token_files(manifest)
+
+
+@query
+def op12_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = load_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_repair.summary(turns, chat_repair.damage(turns))
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "benchmark"), top=20)
+
+
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+ORACLES["op13_lexical_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_TERMS} AS w FROM documents),
+n AS (SELECT k, doc_id, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+s AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS l FROM n),
+tf AS (SELECT k, t, count(*) AS tf FROM (SELECT k, unnest(w) AS t FROM d) GROUP BY k, t),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+q AS (SELECT i, item_id, t, count(*) AS c
+      FROM (SELECT i, item_id, unnest(w) AS t FROM (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS w FROM benchmark))
+      GROUP BY i, item_id, t),
+score AS (SELECT i, item_id, k, doc_id, CAST(sum(c * CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT)
+                   * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // l)))) AS BIGINT) AS score
+          FROM q JOIN df USING (t) JOIN tf USING (t) JOIN n USING (k), s GROUP BY i, item_id, k, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS r FROM score WHERE score > 0)
+SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score FROM ranked WHERE r <= 20"""
