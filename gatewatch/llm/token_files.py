@@ -17,11 +17,8 @@ Parquet table, so committed once) says which files count: a lost executor or a
 repeated task leaves files that nobody reads. Files are opened through
 ``pyarrow.fs``, so the shared folder may be in any store it can reach.
 
-Texts are encoded whole. With a byte-level BPE a text is the sequence of its
-pre-tokens, so each distinct pre-token is encoded by the tokenizers library
-once per task and its ids are remembered (at most ``CACHED`` of them, then the
-memory starts anew). Texts with characters outside ``PLAIN``, and all texts of
-any other tokenizer, go through the library as they are.
+Texts are encoded whole; for a byte-level BPE by their distinct pre-tokens
+(``pre_tokens``), in a memory that a Python worker keeps from task to task.
 
 Defined results: null text is empty (the end id only); null doc_ids come
 first; rows under one doc_id are ordered by a hash of their text; repeated
@@ -40,7 +37,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -49,23 +45,18 @@ from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
 from gatewatch.llm.frames import written
+from gatewatch.llm.pre_tokens import Encoder, cuts_by_pre_tokens
 from gatewatch.session import scratch_path
 
 PART_IDS = 1 << 25
 PART_DOCS = 1 << 20
 READ_IDS = 1 << 21
-ENCODE_BYTES = 1 << 22
-CACHED = 300_000
+ENCODE_BYTES = 1 << 20
 EVERY = 256
 BLOCK = 1024
 MAGIC = b"TOKENS01"
 FOOTER = "<8sHHqqqqqqq"
 
-#: how a byte-level tokenizer cuts a text into pre-tokens (fixed by that kind of tokenizer)
-PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: characters whose classes are the same in every Unicode version that either library may use
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\u00a1-\u024f\u2010-\u2027\u2030-\u205e]*")
-
 
 # --- Elias-Fano -----------------------------------------------------------
 
@@ -198,43 +189,7 @@ class TokenReader:
             first += n
 
 
-# --- encoding -------------------------------------------------------------
-
-class Encoder:
-    """Texts -> their ids as little-endian bytes, the end id behind."""
-
-    def __init__(self, spec: str, end_id: int, width: int, cached: int = CACHED):
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_str(spec)
-        self.tok.encode_special_tokens = True
-        self.kind, self.cached = f"<u{width}", cached
-        self.end = np.array([end_id], self.kind).tobytes()
-        cut = json.loads(spec)
-        pre = cut.get("pre_tokenizer") or {}
-        self.by_parts = (cut.get("normalizer") is None and cut.get("truncation") is None and cut.get("padding") is None
-                         and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-                         and cut["model"].get("type") == "BPE" and not cut["model"].get("dropout")
-                         and all(t["special"] for t in cut.get("added_tokens", [])))
-        self.known: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [self.by_parts and PLAIN.fullmatch(t) is not None for t in texts]
-        parts = [PRE_TOKENS.findall(t) if p else [] for t, p in zip(texts, plain)]
-        if len(self.known) > self.cached:
-            self.known = {}
-        new = list({w for ws in parts for w in ws}.difference(self.known))
-        for at in range(0, len(new), 10_000):
-            some = new[at:at + 10_000]
-            self.known.update(zip(some, self._library(some)))
-        rest = iter(self._library([t for t, p in zip(texts, plain) if not p]))
-        get = self.known.__getitem__
-        return [(b"".join(map(get, ws)) if p else next(rest)) + self.end for ws, p in zip(parts, plain)]
-
+# --- on Spark ----------------------------------------------------------------
 
 def _runs_of_rows(column: pa.Array, limit: int = ENCODE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes of text, whole rows each."""
@@ -257,9 +212,10 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, fol
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()  # a vocabulary: of the size of its file, whatever the corpus
-    vocabulary = json.loads(spec)["model"]["vocab"]
-    width = 2 if max(len(vocabulary), end_id + 1) <= 1 << 16 else 4
-    shared = spark.sparkContext.broadcast(spec)
+    tokenizer = json.loads(spec)
+    width = 2 if max(len(tokenizer["model"]["vocab"]) + len(tokenizer.get("added_tokens", [])), end_id + 1) <= 1 << 16 else 4
+    by_parts = cuts_by_pre_tokens(tokenizer)
+    shared = spark.sparkContext.broadcast({"spec": spec})  # also holds the worker's encoder
     folder = (folder or scratch_path(spark, "tokens")).rstrip("/")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +227,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, fol
             files.append({"part": part, "seq": len(files), "file": name, "n_docs": len(out.sizes), "n_ids": out.n_ids})
 
         for b in batches:
-            encoder = encoder or Encoder(shared.value, end_id, width)
+            if encoder is None:
+                held = shared.value
+                encoder = held["encoder"] = held.get("encoder") or Encoder(held["spec"], end_id, width, by_parts)
             for lo, hi in _runs_of_rows(b.column(1)):
                 ids = b.column(0)[lo:hi].to_pylist()
                 texts = [t or "" for t in b.column(1)[lo:hi].to_pylist()]

@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from gatewatch.llm import pre_tokens as pt
 from gatewatch.llm import queries as q
 from gatewatch.llm import token_files as tf
 from gatewatch.sources.tables import load_table
@@ -46,17 +47,40 @@ def test_empty_sequence():
 def test_pre_tokens_give_the_ids_of_the_whole_text():
     with open(PATH, encoding="utf-8") as f:
         spec = f.read()
-    tok, enc = Tokenizer.from_file(PATH), tf.Encoder(spec, 0, 2, cached=50)
+    tok, enc = Tokenizer.from_file(PATH), pt.Encoder(spec, 0, 2, pt.cuts_by_pre_tokens(json.loads(spec)), bits=15)
     assert enc.by_parts
     rng = random.Random(5)
-    letters = ["a", "B", "é", "ß", "1", "²", "½", " ", "  ", "\n", "\t", "\r", "'s", "'ll", "'", "-", "_", "…", "—", "“", " ", "\u0085",
-               "\x0b", "\x1c", "中", " ", "😀", "x" * 40, "<|endoftext|>"[:6], "́"]
+    letters = ["a", "B", "é", "ß", "1", "²", "½", " ", "  ", "\n", "\t", "\r", "'s", "'ll", "'", "'re", "'", "r", "e", "l", "-", "_", "…", "—", "“", " ", "\u0085",
+               "\x0b", "\x1c", "中", " ", "😀", "x" * 40, "×", "¹", "€", "<|endoftext|>"[:6], "́"]
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    plain = [x for x in letters if pt.PLAIN.fullmatch(x)]
+    texts += ["".join(rng.choice(plain) for _ in range(rng.randint(0, 30))) for _ in range(20_000)]
     for at in range(0, len(texts), 100):
         for t, got in zip(texts[at:at + 100], enc.encode(texts[at:at + 100])):
             assert np.frombuffer(got, "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids + [0], repr(t)
     other = json.loads(spec) | {"normalizer": {"type": "Lowercase"}}
-    assert not tf.Encoder(json.dumps(other), 0, 2).by_parts
+    assert not pt.cuts_by_pre_tokens(other)
+    whole = pt.Encoder(json.dumps(other), 0, 2, False)
+    assert np.frombuffer(whole.encode(["ABC d"])[0], "<u2").tolist() == tok.encode("abc d", add_special_tokens=False).ids + [0]
+
+
+def test_memory_forgets_the_least_used(monkeypatch):
+    rng = random.Random(7)
+    m, known = pt.Memory(8, "<u2"), {}
+    for _ in range(400):
+        keys = {rng.randrange(1, 1 << 62) << 1 | 1 for _ in range(10)} | set(rng.sample(sorted(known), min(3, len(known))))
+        a = np.array(sorted(keys), np.uint64)
+        slot = m.find(a, a * np.uint64(3))
+        for k, s in zip(a.tolist(), slot.tolist()):
+            assert s < 0 or m.gather(np.array([s])).tolist() == known[k]
+        new = a[slot < 0]
+        ids = [np.array([rng.randrange(99) for _ in range(rng.randint(1, 4))], "<u2") for _ in new]
+        known |= {k: i.tolist() for k, i in zip(new.tolist(), ids)}
+        m.add(new, new * np.uint64(3), [i.tobytes() for i in ids])
+        slot = m.find(a, a * np.uint64(3))
+        assert m.n <= 128
+        held = slot >= 0
+        assert held[np.isin(a, new)].all()
 
 
 def test_query_equals_encoding_one_by_one(spark):
