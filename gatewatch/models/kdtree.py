@@ -15,6 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatewatch.session import Shared
+
 LEAF = -1
 
 
@@ -95,19 +97,19 @@ def with_leaf(df: DataFrame, tree, feats: Sequence[str]) -> DataFrame:
 
 def fit(points: DataFrame, feats: Sequence[str], leaf_rows: int, sample_rows: int = 50_000) -> Tree:
     """Rounds of (sample the oversized leaves, split them, count again)."""
-    sc, feats = points.sparkSession.sparkContext, list(feats)
+    spark, feats = points.sparkSession, list(feats)
     tree = Tree(len(feats))
     big = {0: points.count()}
     draw = F.pmod(F.xxhash64(*feats), F.lit(1 << 30)) / F.lit(float(1 << 30))
     while big := {leaf: n for leaf, n in big.items() if n > leaf_rows}:
-        shared = sc.broadcast(tree)
+        shared = Shared(spark, tree)
         share = min(1.0, sample_rows / sum(big.values()))
         routed = with_leaf(points.select(*feats), shared, feats).where(F.col("leaf").isin(list(big)))
         sample = routed.where(draw < share).toPandas()
         for leaf, rows in sample.groupby("leaf"):
             cap = max(1, int(leaf_rows * len(rows) / big[leaf] / 2))
             tree.grow(int(leaf), rows[feats].to_numpy(np.float64), cap)
-        shared = sc.broadcast(tree)
+        shared = Shared(spark, tree)
         counts = with_leaf(points.select(*feats), shared, feats).groupBy("leaf").count().where(F.col("count") > leaf_rows).collect()
         now = {r["leaf"]: r["count"] for r in counts}
         if now == big:  # a sample that met too few rows: draw more

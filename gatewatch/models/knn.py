@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatewatch.models import kdtree
+from gatewatch.session import Shared
 
 LEAF_ROWS = 4096
 BLOCK_BYTES = 32 << 20  # of one block of differences
@@ -87,7 +88,7 @@ def knn(queries: DataFrame, ref: DataFrame, id_col: str, feat_cols: Sequence[str
     first = Window.partitionBy(*feats).orderBy(id_col)
     points = materialise(r_rows.withColumn("gw_n", F.row_number().over(first)).where(F.col("gw_n") <= need)
                          .groupBy(*feats).agg(F.array_sort(F.collect_list(id_col)).alias("ids")))
-    tree = queries.sparkSession.sparkContext.broadcast(kdtree.fit(points, feats, max(leaf_rows, 2)))
+    tree = Shared(queries.sparkSession, kdtree.fit(points, feats, max(leaf_rows, 2)))
     placed = materialise(kdtree.with_leaf(points, tree, feats))
     asked = materialise(kdtree.with_leaf(q_rows.select(*feats).distinct(), tree, feats))
     near = materialise(_search(asked, placed, feats, need, leaf_rows))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 
@@ -60,3 +61,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = shared_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+class Shared:
+    """A broadcast whose value may hold objects of this package. Spark pickles
+    broadcasts by reference, so workers would need the package on their path;
+    here the value travels by value, as functions do, and each worker builds it
+    once, whatever the number of tasks."""
+
+    def __init__(self, spark: SparkSession, value) -> None:
+        self._sent = spark.sparkContext.broadcast({"raw": cloudpickle.dumps(value)})
+
+    @property
+    def value(self):
+        held = self._sent.value
+        if "value" not in held:
+            held["value"] = cloudpickle.loads(held["raw"])
+            del held["raw"]
+        return held["value"]
