@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gatewatch.llm import queries as q
 from gatewatch.llm.decontaminate import decontaminate
-from gatewatch.llm.frames import written
+from gatewatch.llm.frames import tidy, written
 from gatewatch.llm.mixing import resample
 from gatewatch.llm.sharding import assign_shards
 from gatewatch.llm.simhash import keep_one
@@ -45,8 +45,17 @@ def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return assign_shards(docs, "doc_id", q.SHARDS)
 
 
-STAGES = [("toxicity", toxicity), ("simhash_near_dedup", near_duplicates), ("decontamination", benchmark_spans),
-          ("mixing", mixing), ("sharding", sharding)]
+def tidied(stage):
+    """``stage`` after the driver has let go of what the stages before left there."""
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        tidy(spark)
+        return stage(spark, docs, sf_dir)
+    return run_stage
+
+
+STAGES = [(name, tidied(stage)) for name, stage in (
+    ("toxicity", toxicity), ("simhash_near_dedup", near_duplicates), ("decontamination", benchmark_spans),
+    ("mixing", mixing), ("sharding", sharding))]
 
 #: learned scores, linked components and fitted rates have no SQL form
 ORACLE_SQL = None

@@ -1,11 +1,15 @@
 """Benchmark decontamination with a generalised suffix automaton of test items.
 
-The automaton over the items' word sequences is built once on the driver (the
-benchmark must stay under ``max_words``, else ``ValueError``: split it and run
-the parts one after the other) and shipped to the tasks. Each task streams the
-words of its documents through it, tracking the longest match that ends at
-each word; matches of ``window`` words, and whole items that are shorter, are
-hits. No shuffle: one pass over the documents.
+The automaton over the items' word sequences is built on the driver and shipped
+to the tasks. Each task streams the words of its documents through it, tracking
+the longest match that ends at each word; matches of ``window`` words, and whole
+items that are shorter, are hits. No shuffle: one pass over the documents.
+
+An automaton holds about ``max_words`` words. A larger benchmark is dealt by a
+hash to several: an item longer than that is cut into pieces that overlap by
+``window - 1`` words, so every window is in one piece. Each automaton takes one
+pass, which adds its hits to those of the passes before (written in between),
+so memory is that of one automaton whatever the size of the benchmark.
 
 Stretches that cannot hold a match are skipped exactly: every two neighbouring
 words of a match of two or more words are neighbours in some item, so the
@@ -18,7 +22,6 @@ each; repeated documents are judged row by row; an empty benchmark hits nothing.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,9 +30,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from gatewatch.llm.frames import spare, written
 from gatewatch.llm.textbytes import as_binary, text_chunks, word_table, words
+from gatewatch.session import Shared
 
+#: words of one automaton, which takes about a kilobyte a word while it is built
+MAX_WORDS = 200_000
 BIGRAM_BITS = 22
 PAIR = np.uint64(0xD6E8FEB86659FD93)
 
@@ -120,11 +128,9 @@ def item_words(texts: list[str | None]) -> list[list[int]]:
     return out
 
 
-def build_automaton(items: list[tuple[object, str | None]], window: int = 10, max_words: int = 2_000_000) -> Automaton:
+def build_automaton(items: list[tuple[object, str | None]], window: int = 10) -> Automaton:
     a = Automaton(window)
     seqs = [(str(i), s) for (i, _), s in zip(items, item_words([t for _, t in items])) if s]
-    if (total := sum(len(s) for _, s in seqs)) > max_words:
-        raise ValueError(f"benchmark of {total} words; at most {max_words} are broadcast: run it in parts")
     for _, s in seqs:
         last = 0
         for w in s:
@@ -180,12 +186,15 @@ def _stretches(a: Automaton, h: np.ndarray, row: np.ndarray) -> list[tuple[int,
     return out
 
 
-def scan(a: Automaton, column: pa.Array) -> Iterator[tuple[int, set, list[tuple[int, int]], int]]:
-    """Per row: words, items that occur, hit runs as byte spans, hit words."""
+def scan(a: Automaton, column: pa.Array, before: list | None = None) -> Iterator[tuple[int, set, list, int, list]]:
+    """Per row: words, items that occur, hit runs as byte spans, hit words, and
+    hit runs as word numbers (first, end, first, end, ...). ``before`` holds, per
+    row, the runs and items that another automaton found."""
     table = word_table()
     for lo, hi, buf, off in text_chunks(column):
         start, end, row, h = words(buf, off, table)
         n_words = np.bincount(row, minlength=hi - lo)
+        ahead = np.cumsum(n_words) - n_words
         mark = np.zeros(len(h) + 1, np.int32)
         found: dict[int, set] = {}
         for b, e in _stretches(a, h, row):
@@ -193,35 +202,101 @@ def scan(a: Automaton, column: pa.Array) -> Iterator[tuple[int, set, list[tuple[
                 mark[b + j - m] += 1
                 mark[b + j] -= 1
                 found.setdefault(int(row[b]), set()).update(ids)
+        for r in range(hi - lo) if before else ():
+            runs, items = before[lo + r]
+            if runs:
+                np.add.at(mark, ahead[r] + np.array(runs[::2]), 1)
+                np.add.at(mark, ahead[r] + np.array(runs[1::2]), -1)
+                found.setdefault(r, set()).update(items)
         hit = np.cumsum(mark[:-1]) > 0
         n_hit = np.bincount(row[hit], minlength=hi - lo) if len(h) else np.zeros(hi - lo, np.int64)
         spans: dict[int, list] = {}
+        places: dict[int, list] = {}
         at = np.flatnonzero(hit)
         if len(at):
             new = np.flatnonzero(np.r_[True, (np.diff(at) > 1) | (np.diff(row[at]) > 0)])
             for x, y in zip(at[new].tolist(), at[np.r_[new[1:] - 1, len(at) - 1]].tolist()):
                 r = int(row[x])
                 spans.setdefault(r, []).append((int(start[x] - off[r]), int(end[y] - off[r])))
+                places.setdefault(r, []).extend((int(x - ahead[r]), int(y + 1 - ahead[r])))
         for r in range(hi - lo):
-            yield int(n_words[r]), found.get(r, set()), spans.get(r, []), int(n_hit[r])
+            yield int(n_words[r]), found.get(r, set()), spans.get(r, []), int(n_hit[r]), places.get(r, [])
 
 
-def read_benchmark(benchmark: DataFrame, max_words: int) -> list[tuple[object, str | None]]:
-    """The items, after a distributed size check (a word takes two bytes with its gap)."""
-    size = benchmark.agg(F.sum(F.length(F.col("text").cast("binary"))).alias("b")).first()["b"] or 0
-    if size > 64 * max_words:
-        raise ValueError(f"benchmark of {size} bytes is too large to broadcast: run it in parts")
-    return [(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").collect()]
+def item_pieces(benchmark: DataFrame, window: int, max_words: int) -> DataFrame:
+    """item (string), text, n words: items of up to ``max_words`` words whole, longer ones in overlapping pieces."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, step = word_table(), max(max_words - window + 1, 1)
+        for b in batches:
+            ids, at = b.column(0).to_pylist(), 0
+            for lo, hi, buf, off in text_chunks(b.column(1)):
+                start, end, row, _ = words(buf, off, table)
+                edge = np.searchsorted(row, np.arange(hi - lo + 1)).tolist()
+                out: tuple[list, list, list] = ([], [], [])
+                for r, (x, y) in enumerate(zip(edge[:-1], edge[1:])):
+                    for k in range(x, max(y - window + 1, x + 1) if y > x else x, step):
+                        last = min(y, k + step + window - 1)
+                        for column, value in zip(out, (ids[at + r], buf[start[k]:end[last - 1]].tobytes().decode(), last - k)):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.int64()))], ["item", "text", "n"])
+                at += hi - lo
+
+    return benchmark.select(F.col("item_id").cast("string"), "text").where("text IS NOT NULL") \
+        .mapInArrow(run, "item string, text string, n bigint")
+
+
+def automata(benchmark: DataFrame, window: int, max_words: int) -> Iterator[Automaton]:
+    """One automaton of about ``max_words`` words at a time; at least one."""
+    pieces = item_pieces(benchmark, window, max_words)
+    parts = max(1, -(-(pieces.agg(F.sum("n")).first()[0] or 0) // max_words))
+    if parts > 1:
+        pieces = written(pieces, "items")
+    for k in range(parts):
+        rows = pieces if parts == 1 else pieces.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k)
+        yield build_automaton(sorted((str(r["item"]), r["text"]) for r in rows.select("item", "text").collect()), window)
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, window: int, max_words: int) -> tuple[Automaton, DataFrame, str, str]:
+    """The last automaton, and ``docs`` with what all others found: columns of runs and of items, if there are others."""
+    runs, items = spare(docs, "_runs"), spare(docs, "_items")
+    every = automata(benchmark, window, max_words)
+    a = next(every)
+    for later in every:
+        docs, a = written(_add_hits(docs, a, runs, items), "hits"), later
+    return a, docs, runs, items
+
+
+def _before(b: pa.RecordBatch, runs: str, items: str) -> list | None:
+    if runs not in b.schema.names:
+        return None
+    return list(zip(b.column(runs).to_pylist(), b.column(items).to_pylist()))
+
+
+def _add_hits(docs: DataFrame, a: Automaton, runs: str, items: str) -> DataFrame:
+    shared = Shared(docs.sparkSession, a)
+    at = docs.columns.index("text")
+    names = [c for c in docs.columns if c not in (runs, items)]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = list(scan(shared.value, b.column(at), _before(b, runs, items)))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array([r[4] for r in rows], pa.list_(pa.int32())),
+                                              pa.array([sorted(r[1]) for r in rows], pa.list_(pa.string()))], [*names, runs, items])
 
-def match_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words: int = 2_000_000) -> DataFrame:
+    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField(runs, T.ArrayType(T.IntegerType())),
+                           T.StructField(items, T.ArrayType(T.StringType()))])
+    return docs.mapInArrow(run, schema)
+
+
+def match_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words: int = MAX_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted strings), spans (byte offsets, end exclusive) per row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(build_automaton(read_benchmark(benchmark, max_words), window, max_words))
+    a, docs, was_runs, was_items = _passes(docs.select("doc_id", "text"), benchmark, window, max_words)
+    shared = Shared(docs.sparkSession, a)
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = list(scan(shared.value, b.column(1)))
+            rows = list(scan(shared.value, b.column(1), _before(b, was_runs, was_items)))
             yield pa.RecordBatch.from_arrays([
                 b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()),
                 pa.array([sorted(r[1]) for r in rows], pa.list_(pa.string())),
@@ -229,25 +304,28 @@ def match_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_wor
                 ["doc_id", "n_words", "n_hit", "items", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
+    return docs.mapInArrow(
         run, f"doc_id {kind}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,end:bigint>>")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5,
-                  max_words: int = 2_000_000) -> DataFrame:
+                  max_words: int = MAX_WORDS) -> DataFrame:
     """``docs`` (all its columns) with hit spans cut out of ``text``.
 
     A document of which more than ``max_coverage`` of the words are hit goes;
     of the others the bytes from the first to the last word of each hit run go,
     and ``n_chars``, if there is one, is counted anew. Untouched rows stay as they are.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(build_automaton(read_benchmark(benchmark, max_words), window, max_words))
-    at = docs.columns.index("text")
-    chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    schema, names = docs.schema, docs.columns
+    a, docs, was_runs, was_items = _passes(docs, benchmark, window, max_words)
+    shared = Shared(docs.sparkSession, a)
+    at = names.index("text")
+    chars = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = list(scan(shared.value, b.column(at)))
+            rows = list(scan(shared.value, b.column(at), _before(b, was_runs, was_items)))
+            b = b.select(names)
             cut = {i: r[2] for i, r in enumerate(rows) if r[3]}
             if cut:
                 raw = as_binary(b.column(at).take(pa.array(list(cut)))).to_pylist()
@@ -264,8 +342,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
                 b = b.filter(pa.array([r[3] <= max_coverage * r[0] for r in rows]))
             yield b
 
-    return docs.mapInArrow(run, docs.schema)
-
-
-def items_digest(items) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    return docs.mapInArrow(run, schema)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+
+from pyspark.sql import DataFrame, SparkSession
 
 from gatewatch.session import scratch_path
 
@@ -21,3 +23,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets go of what earlier work left on the driver: Spark drops the shuffles
+    and broadcasts of frames that nothing refers to once the JVM has collected them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

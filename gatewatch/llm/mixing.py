@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from gatewatch.llm.frames import spare, written
 from gatewatch.llm.textbytes import text_chunks, word_table, words
+from gatewatch.session import Shared
 
 SLOT_BITS = 11
 STATS = 6
@@ -79,7 +80,7 @@ def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def fit_softmax(x: np.ndarray, y: np.ndarray, k: int, steps: int = 300, rate: float = 0.1,
                 ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    x = np.c_[x, np.ones(len(x))].astype(np.float32)
+    x = np.concatenate([x.astype(np.float32, copy=False), np.ones((len(x), 1), np.float32)], axis=1)
     w = np.zeros((x.shape[1], k), np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
     hot = np.eye(k, dtype=np.float32)[y]
@@ -105,18 +106,26 @@ def train_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], max_
             x = [r for _, f in features(b.column(1)) for r in f.astype(np.float32)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["domain", "x"])
 
-    got = docs.select("doc_id", "text").join(F.broadcast(use), "doc_id").select("domain", "text") \
-        .mapInArrow(run, "domain string, x binary").collect()
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, x = [], []
+        for b in batches:
+            y += [domains.index(d) for d in b.column(0).to_pylist()]
+            x += [np.frombuffer(raw, np.float32) for raw in b.column(1).to_pylist()]
+        if x:
+            w, bias = fit_softmax(np.stack(x), np.array(y), len(domains))
+            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([bias.tobytes()], pa.binary())], ["w", "bias"])
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(use), "doc_id").select("domain", "text").mapInArrow(run, "domain string, x binary")
+    # one task fits the bounded sample, in an order of its own; the driver sees the weights
+    got = rows.repartition(1).sortWithinPartitions("domain", "x").mapInArrow(fit, "w binary, bias binary").collect()
     if not got:
         return DomainModel(domains, np.zeros((width, len(domains))), np.zeros(len(domains)))
-    got.sort(key=lambda r: (r["domain"], r["x"]))
-    x = np.stack([np.frombuffer(r["x"], np.float32) for r in got])
-    return DomainModel(domains, *fit_softmax(x, np.array([domains.index(r["domain"]) for r in got]), len(domains)))
+    return DomainModel(domains, np.frombuffer(got[0]["w"]).reshape(width, len(domains)), np.frombuffer(got[0]["bias"]))
 
 
 def with_posteriors(docs: DataFrame, model: DomainModel, tokens: str, posterior: str) -> DataFrame:
     """``docs`` and two more columns: word count and posteriors. No shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gatewatch.llm.components import components
 from gatewatch.llm.frames import spare, written
@@ -66,15 +67,15 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) per row of ``docs``. No shuffle."""
+def fingerprints(docs: DataFrame, size: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and fp (the 64 bits as a signed long) per row of ``docs``. No shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = [fingerprint(shingle_hashes(t.as_py(), size)) for t in as_binary(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            fp = [fingerprint(shingle_hashes(t.as_py(), size)) for t in as_binary(b.column(len(keep)))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.array(fp, np.uint64).view(np.int64))], [*keep, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
+    rows = docs.select(*keep, "text")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.LongType())]))
 
 
 def pivots(n: int = PIVOTS) -> list[int]:
@@ -130,14 +131,20 @@ def hex_digits(fp: Column) -> Column:
 
 def keep_one(docs: DataFrame, size: int = 3, max_bits: int = 2) -> DataFrame:
     """``docs`` (all its columns), one row of each group: that of its smallest
-    doc_id; of repeated rows with that id the first by text hash. Rows without
-    an id stay, but for repeats of the same text."""
-    dup = near_duplicates(docs.where("doc_id IS NOT NULL"), size, max_bits)
-    key, n = spare(docs, "_id"), spare(docs, "_n")
-    keep = dup.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    by_id = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    by_text = Window.partitionBy("text").orderBy(F.lit(1))
-    known = docs.where("doc_id IS NOT NULL").withColumn(n, F.row_number().over(by_id)).where(F.col(n) == 1)
-    known = known.join(keep, known["doc_id"] == keep[key], "left_semi")
-    nameless = docs.where("doc_id IS NULL").withColumn(n, F.row_number().over(by_text)).where(F.col(n) == 1)
-    return known.unionByName(nameless).drop(n)
+    doc_id (rows without one come last), then of its smallest content key.
+
+    Groups are of texts and not of ids: every row takes part by a 128-bit key of
+    its doc_id and text, so rows without an id and unlike texts under one id are
+    kept or dropped by their own fingerprints. Of rows that repeat doc_id and
+    text one stays."""
+    key, n = spare(docs, "_key"), spare(docs, "_n")
+    own = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.coalesce("text", F.lit(""))).cast("binary"))
+    keyed = docs.withColumn(key, F.unhex(own))
+    fps = written(fingerprints(keyed, size, ("doc_id", key)), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(key).alias("key")))
+    reps = written(fps.groupBy("fp").agg(first.alias("first")), "fp_first")
+    found = components(near_fingerprints(reps.select("fp"), max_bits))
+    linked = reps.join(found, reps["fp"] == found["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
+    stay = linked.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias(key))
+    again = Window.partitionBy(key).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    return keyed.join(stay, key, "left_semi").withColumn(n, F.row_number().over(again)).where(F.col(n) == 1).drop(key, n)

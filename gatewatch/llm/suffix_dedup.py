@@ -32,7 +32,6 @@ cut may fall inside a character, so the rest is returned as binary.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatewatch.llm.frames import written
 from gatewatch.llm.textbytes import as_binary, mix64, powers, text_chunks
 
 U64 = np.uint64
@@ -65,11 +65,6 @@ def byte_table(seed: int) -> np.ndarray:
     return mix64(np.arange(256, dtype=U64) + U64(1 + 256 * seed))
 
 
-def _check(text: bytes) -> int:
-    """31 bits that tell rows apart that share a doc_id."""
-    return zlib.crc32(text) & 0x7FFFFFFF
-
-
 def _lists(col: pa.Array, names: list[str] | None = None) -> Iterator[list[np.ndarray]]:
     """The numbers, or structs by field, of each row of a list column; null is empty."""
     at = col.value_lengths().fill_null(0).to_numpy()
@@ -136,13 +131,11 @@ def _first_of(new: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
 
 
-def _positions(key: np.ndarray, text: pa.Array, length: int, gram: int) -> tuple:
-    """rank, pair, row and position of all sampled positions of a batch, and every row's document and text check."""
-    out, checks = [], []
+def _positions(key: np.ndarray, check: np.ndarray, text: pa.Array, length: int, gram: int) -> tuple:
+    """rank, pair, row and position of all sampled positions of a batch, and every row's document and text number."""
+    out = []
     reach = length - gram
     for lo, hi, buf, off in text_chunks(text):
-        raw = buf.tobytes()
-        checks += [_check(raw[x:y]) for x, y in zip(off[:-1].tolist(), off[1:].tolist())]
         if len(buf) < length:
             continue
         a, b = Rolling(buf, 0), Rolling(buf, 1)
@@ -153,7 +146,7 @@ def _positions(key: np.ndarray, text: pa.Array, length: int, gram: int) -> tuple
         pair = b(left, right) + mix64(((at - left) << 16 | (right - at)).astype(U64))
         out.append(((h[at] >> U64(64 - RANK_BITS)).view(np.int64), pair.view(np.int64), row + lo, at - off[row]))
     found = tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.zeros(0, np.int64) for _ in range(4))
-    return *found, key, np.array(checks, np.int64)
+    return *found, key, check
 
 
 def _spread(*keys: np.ndarray) -> np.ndarray:
@@ -389,31 +382,55 @@ def _cut(length: int, gram: int):
                 lo, hi = lo[new].tolist(), hi[np.r_[np.flatnonzero(new)[1:] - 1, len(hi) - 1]].tolist()
                 found.append([{"start": x, "end": y} for x, y in zip(lo, hi)])
                 kept.append(b"".join(text[x:y] for x, y in zip([0, *hi], [*lo, len(text)])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(found, spans), pa.array(kept, pa.binary())],
-                                             ["doc_id", "n_bytes", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(found, spans), pa.array(kept, pa.binary()), b.column(5)],
+                                             ["doc_id", "n_bytes", "spans", "kept", "copies"])
     return run
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> doc_id, doc, check, packed text."""
+    """doc_id, text, check, copies -> doc_id, doc, check, copies, packed text."""
     pack = zstandard.ZstdCompressor(level=5, write_checksum=False)
     for b in (s for b in batches for s in _slices(b, 1)):
         texts = as_binary(b.column(1)).to_pylist()
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(0).fill_null(LAST), pa.array([_check(t) for t in texts], pa.int64()),
-                                          pa.array([pack.compress(t) for t in texts], pa.binary())], ["doc_id", "doc", "check", "packed"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(0).fill_null(LAST), b.column(2), b.column(3),
+                                          pa.array([pack.compress(t) for t in texts], pa.binary())], ["doc_id", "doc", "check", "copies", "packed"])
+
+
+def _numbered(text: DataFrame) -> DataFrame:
+    """doc_id, text, check, copies: every distinct (doc_id, text) once, where ids
+    are missing or used again; ``check`` tells the texts under one doc_id apart.
+    It is 0 for a doc_id of one row, and else a number that no other text has."""
+    shared = written(text.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id IS NULL OR n > 1").select("doc_id"), "shared_ids")
+    plain = text.withColumns({"check": F.lit(0).cast("bigint"), "copies": F.lit(1).cast("bigint")})
+    if shared.isEmpty():
+        return plain
+    odd = text.join(shared, text["doc_id"].eqNullSafe(shared["doc_id"]), "left_semi")
+    once = written(odd.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))
+                   .withColumn("at", F.monotonically_increasing_id()), "shared_texts")
+    part = F.shiftright("at", 33)
+    before, ahead = [], 1
+    for p, n in sorted(once.groupBy(part.alias("p")).count().collect()):
+        before.append((p, ahead))
+        ahead += n
+    if ahead > 1 << 31:
+        raise ValueError("more than 2**31 distinct texts without a doc_id of their own")
+    first = text.sparkSession.createDataFrame(before, "p bigint, ahead bigint")
+    number = F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("ahead")
+    once = once.join(F.broadcast(first), part == F.col("p")).select("doc_id", "text", number.alias("check"), "copies")
+    return plain.join(shared, text["doc_id"].eqNullSafe(shared["doc_id"]), "left_anti").unionByName(once)
 
 
 def repeated_passages(docs: DataFrame, length: int = 50, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, spans (removed), kept (the other bytes) per row of ``docs``."""
     if not 0 < gram <= length < 1 << 15:
         raise ValueError("0 < gram <= length < 32768")
-    text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    text = _numbered(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (s for b in batches for s in _slices(b, 1)):
-            part, blob = _blobs(parts, *_positions(b.column(0).fill_null(LAST).to_numpy(), b.column(1), length, gram))
+            part, blob = _blobs(parts, *_positions(b.column(0).fill_null(LAST).to_numpy(), b.column(2).to_numpy(), b.column(1), length, gram))
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blob, pa.binary())], ["part", "blob"])
 
     ranked = text.mapInArrow(positions, "part int, blob binary").repartitionById(parts, "part").select("blob") \
@@ -425,13 +442,14 @@ def repeated_passages(docs: DataFrame, length: int = 50, gram: int = GRAM) -> Da
     by_doc = ranked.groupBy("doc", F.shiftright("place", 32).alias("check")).agg(
         F.collect_list(F.when(F.col("said") == COVERED, pos)).alias("covered"),
         F.collect_list(F.when(F.col("said") != COVERED, F.struct(pos.alias("pos"), rank.alias("rank")))).alias("open"))
-    packed = text.mapInArrow(_pack, "doc_id bigint, doc bigint, check bigint, packed binary")
+    packed = text.mapInArrow(_pack, "doc_id bigint, doc bigint, check bigint, copies bigint, packed binary")
     known = packed.join(by_doc.hint("merge"), ["doc", "check"], "left")
-    windows = known.select("doc", "check", "packed", "covered", "open", "doc_id") \
+    windows = known.select("doc", "check", "packed", "covered", "open", "doc_id", "copies") \
         .mapInArrow(_contexts(length, gram), "g1 bigint, g2 bigint, doc bigint, place bigint, done boolean, ctx binary") \
         .repartition("g1").sortWithinPartitions("g1", "g2", "doc") \
         .mapInArrow(_rank_windows(length), "doc bigint, check bigint, start bigint, end bigint") \
         .groupBy("doc", "check").agg(F.collect_list(F.shiftleft("start", 32).bitwiseOR(F.col("end"))).alias("more"))
     # ``open`` is asked for here too, so that both uses read one shuffle
-    return known.join(windows.hint("merge"), ["doc", "check"], "left").select("doc_id", "packed", "covered", "more", "open") \
-        .mapInArrow(_cut(length, gram), "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    return known.join(windows.hint("merge"), ["doc", "check"], "left").select("doc_id", "packed", "covered", "more", "open", "copies") \
+        .mapInArrow(_cut(length, gram), "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary, copies bigint") \
+        .select("doc_id", "n_bytes", "spans", "kept", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).drop("col")

@@ -49,7 +49,14 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=U64)
 
 
-_CACHE: dict[int, np.ndarray] = {}
+class _Tables(dict):
+    """Tables by base; a process makes its own, so none travels with a function."""
+
+    def __reduce__(self):
+        return _Tables, ()
+
+
+_CACHE: dict[int, np.ndarray] = _Tables()
 
 
 def powers(base: int, n: int) -> np.ndarray:

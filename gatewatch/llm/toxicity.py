@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from gatewatch.llm.frames import written
 from gatewatch.llm.textbytes import text_chunks, word_table, words
+from gatewatch.session import Shared
 
 SLOT_BITS = 20
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
@@ -109,18 +110,40 @@ def fit_entries(pos: tuple, unl: tuple, k: int, prior: float, steps: int = 300,
     return mean[:-1], float(mean[-1])
 
 
-def _slots_of(rows: DataFrame) -> list[np.ndarray]:
-    """Distinct slots of each of a bounded number of whole texts."""
+def _with_slots(rows: DataFrame, side: int) -> DataFrame:
+    """side, h and the distinct slots of each of a bounded number of whole texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for n, row, slot in word_slots(b.column(0)):
+            for n, row, slot in word_slots(b.column(1)):
                 key = np.unique(row << SLOT_BITS | slot)
                 per = np.searchsorted(key >> SLOT_BITS, np.arange(n + 1))
                 out += [(key[x:y] & ((1 << SLOT_BITS) - 1)).astype(np.int32) for x, y in zip(per[:-1], per[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in out], pa.binary())], ["slots"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), side), pa.int32()), b.column(0),
+                                              pa.array([x.tobytes() for x in out], pa.binary())], ["side", "h", "slots"])
 
-    return [np.frombuffer(r["slots"], np.int32) for r in rows.select("text").mapInArrow(run, "slots binary").collect()]
+    return rows.select("h", "text").mapInArrow(run, "side int, h bigint, slots binary")
+
+
+def fit_slots(slots: list[list[np.ndarray]], prior: float, min_z: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """(slots used, their weights, bias) from the slots of every toxic and every unlabelled text."""
+    share = [np.zeros(1 << SLOT_BITS, np.int32) for _ in slots]
+    for count, found in zip(share, slots):
+        for row in found:  # a text's slots are distinct
+            count[row] += 1
+    n_p, n_u = len(slots[0]), len(slots[1])
+    both = (share[0] + share[1] + 1) / (n_p + n_u + 2)
+    z = (share[0] / n_p - share[1] / n_u) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
+    best = np.argsort(-z, kind="stable")
+    best = best[:(z > min_z).sum() or 16]
+    feature = np.full(1 << SLOT_BITS, -1, np.int32)
+    feature[best] = np.arange(len(best))
+    x = []
+    for found in slots:
+        f = [feature[row] for row in found]
+        f = [y[y >= 0] for y in f]
+        x.append((len(f), np.repeat(np.arange(len(f)), [len(y) for y in f]), np.concatenate(f)))
+    return best, *fit_entries(*x, len(best), prior)
 
 
 def train(docs: DataFrame, labels: DataFrame, may_learn: Callable[[Column], Column] | None = None,
@@ -129,6 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Callable[[Column], Colu
 
     ``may_learn`` says for a doc_id whether its label may be used. ``prior``
     is the share of toxic texts; by default their share among labelled texts.
+    The fit runs in one task over the bounded sample, in the order of the text
+    hashes; only the weights come to the driver.
     """
     none = ToxicModel(np.full(1 << SLOT_BITS, -1, np.int32), np.zeros(1), 0.0, empty=True)
     use = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
@@ -142,33 +167,32 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Callable[[Column], Colu
         return none
     prior = sums["p"] / sums["n"] if prior is None else prior
     prior = min(max(prior, 1e-3), 0.9)
-    slots = []
-    for rows, most in ((texts.where("toxic = 1"), max_positive), (texts, max_unlabelled)):
+    sides = []
+    for side, (rows, most) in enumerate(((texts.where("toxic = 1"), max_positive), (texts, max_unlabelled))):
         few = rows.select("h").orderBy("h").limit(most)
-        slots.append(_slots_of(mine.select("h", "text").join(F.broadcast(few), "h", "left_semi").dropDuplicates(["h"])))
-    share = [np.zeros(1 << SLOT_BITS, np.int64) for _ in slots]
-    for count, found in zip(share, slots):
-        for row in found:  # a text's slots are distinct
-            count[row] += 1
-    n_p, n_u = len(slots[0]), len(slots[1])
-    both = (share[0] + share[1] + 1) / (n_p + n_u + 2)
-    z = (share[0] / n_p - share[1] / n_u) / np.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
-    best = np.argsort(-z, kind="stable")
-    best = best[:(z > min_z).sum() or 16]
-    feature = np.full(1 << SLOT_BITS, -1, np.int32)
-    feature[best] = np.arange(len(best))
-    x = []
-    for found in slots:
-        f = [feature[row] for row in found]
-        f = [y[y >= 0] for y in f]
-        x.append((len(f), np.repeat(np.arange(len(f)), [len(y) for y in f]), np.concatenate(f)))
-    weight, bias = fit_entries(*x, len(best), prior)
-    return ToxicModel(feature, weight, bias)
+        sides.append(_with_slots(mine.select("h", "text").join(F.broadcast(few), "h", "left_semi").dropDuplicates(["h"]), side))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots: list[list[np.ndarray]] = [[], []]
+        for b in batches:
+            for side, raw in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                slots[side].append(np.frombuffer(raw, np.int32))
+        if slots[0] and slots[1]:
+            best, weight, bias = fit_slots(slots, prior, min_z)
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, best], pa.int64()), pa.array(np.r_[bias, weight])], ["slot", "weight"])
+
+    found = sides[0].union(sides[1]).repartition(1).sortWithinPartitions("side", "h") \
+        .mapInArrow(fit, "slot bigint, weight double").collect()
+    if not found:
+        return none
+    feature, used = np.full(1 << SLOT_BITS, -1, np.int32), [r for r in found if r["slot"] >= 0]
+    feature[[r["slot"] for r in used]] = np.arange(len(used))
+    return ToxicModel(feature, np.array([r["weight"] for r in used]), next(r["weight"] for r in found if r["slot"] < 0))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
     """doc_id, score per row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -181,7 +205,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -> DataFrame:
     """``docs`` (all its columns) without the rows that score ``threshold`` or more."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,7 +34,7 @@ def test_automaton_equals_brute_force():
         items = [(k, text(rng.randint(0, 8))) for k in range(rng.randint(0, 5))]
         docs = [text(rng.randint(0, 30)) for _ in range(5)] + [None, "", "!?"]
         a = dc.build_automaton(items, window)
-        for t, (n, ids, _, hit) in zip(docs, dc.scan(a, pa.array(docs, pa.string()))):
+        for t, (n, ids, _, hit, _) in zip(docs, dc.scan(a, pa.array(docs, pa.string()))):
             assert (n, ids, hit) == brute(t, items, window)
 
 
@@ -67,9 +67,23 @@ def test_cutting(tables):
     assert got == sorted([(1, first, len(first)), (3, None, 5), (4, "", None), (6, "nothing", 7), (6, "nothing", 7), (None, "! é ÉÉ", 6)], key=str)
 
 
-def test_empty_tables_and_size_bound(tables):
+def test_empty_tables(tables):
     docs, items = tables
     assert dc.match_spans(docs.limit(0), items).collect() == []
     assert all(r.n_hit == 0 for r in dc.match_spans(docs, items.limit(0)).collect())
-    with pytest.raises(ValueError):
-        dc.match_spans(docs, items, max_words=5)
+
+
+@pytest.mark.parametrize("max_words", [1, 3, 12, 60])
+def test_many_automata_equal_one(spark, max_words):
+    """Items dealt to automata of a few words, long ones in pieces: the same hits, items and texts."""
+    rng = random.Random(max_words)
+    text = lambda n: rng.choice([" ", "-", ". "]).join(rng.choice("abcde") for _ in range(n))
+    docs = spark.createDataFrame([(k, text(rng.randint(0, 60)), 5) for k in range(40)] + [(None, None, 0)], "doc_id long, text string, n_chars long") \
+        .selectExpr("*", "'r' AS `_runs`")
+    rows = [(k, text(rng.randint(0, 9))) for k in range(6)] + [(9, text(40)), (9, "e d"), (None, "a a b"), (11, None)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    got = {r.doc_id: (r.n_words, set(r["items"]), r.n_hit) for r in dc.match_spans(docs, items, 4, max_words).collect()}
+    known = [(i, t) for i, t in rows if t is not None]
+    assert got == {r.doc_id: brute(r.text, known, 4) for r in docs.collect()}
+    whole = sorted((tuple(r) for r in dc.decontaminate(docs, items, 4).collect()), key=str)
+    assert sorted((tuple(r) for r in dc.decontaminate(docs, items, 4, max_words=max_words).collect()), key=str) == whole

@@ -84,8 +84,26 @@ def test_keep_one(spark):
     docs = made()
     df = spark.createDataFrame([(*d, "x", k) for k, d in enumerate(docs)], "doc_id long, text string, _n string, N_CHARS int")
     kept = simhash.keep_one(df).collect()
-    fps = [(i, print_of(t)) for i, t in docs if i is not None]
-    want = sorted({g for g in groups(fps, 2)})
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == want
-    assert sorted(r.text for r in kept if r.doc_id is None) == ["one", "zz yy"]
+    fps = [print_of(t) for _, t in docs]
+    root = list(range(len(docs)))
+    for i in range(len(docs)):  # links once each; the smaller number is the root
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= 2:
+                x, y = root[i], root[j]
+                root = [y if r == x else r for r in root]
+    by = {}
+    for (i, t), r in zip(docs, root):
+        by.setdefault(r, []).append((i is None, i or 0, t or ""))
+    got = {}
+    for r in kept:
+        got.setdefault(root[r.N_CHARS], []).append((r.doc_id is None, r.doc_id or 0))
+    assert got == {r: [min(rows)[:2]] for r, rows in by.items()}
     assert simhash.keep_one(df.limit(0)).collect() == []
+
+
+def test_keep_one_with_reused_and_missing_ids(spark):
+    """A text goes only for a near text that stays, whatever the ids."""
+    a, b, c = ("one two three four five six seven", "alpha beta gamma delta epsilon zeta", "ein zwei drei vier fuenf sechs")
+    rows = [(1, a), (1, b), (2, a), (None, b), (None, c), (None, c), (3, None), (4, ""), (1, a)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(1, a), (1, b), (0, c), (3, "")])

@@ -67,3 +67,23 @@ def test_extra_columns(spark):
     df = spark.createDataFrame([(1, "x" * 80, 1, "k"), (2, "y" + "x" * 60, 2, "k")], "doc_id long, text string, spans int, KEPT string")
     got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.repeated_passages(df, 50).collect()}
     assert got == {1: b"x" * 80, 2: b"y"}
+
+
+def test_missing_and_reused_ids_with_one_checksum(spark):
+    """Texts under one id, or none, are told apart by numbers of their own and not by a hash."""
+    import zlib
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(60))
+    tail = {}
+    while True:  # two tails after which the texts have equal 31-bit checks
+        t = "".join(rng.choice("qrstuvwxyz") for _ in range(37))
+        for key, text in (("p", passage + t), ("o", t + "unrelated" + t)):
+            seen = tail.setdefault(key, {})
+            seen[zlib.crc32(text.encode()) & 0x7FFFFFFF] = text
+        same = tail["p"].keys() & tail["o"].keys()
+        if same or len(tail["p"]) > 150_000:
+            break
+    pairs = [(tail["p"][k], tail["o"][k]) for k in same] or [(passage + "q", "unrelated" * 9)]
+    for twice in (None, 5):
+        docs = [(1, passage + "!")] + [(twice, t) for pair in pairs for t in pair] + [(twice, pairs[0][0])] * 30
+        assert run(spark, docs, 50, 20) == brute(docs, 50)
