@@ -1,11 +1,10 @@
 """Per-entity and per-event features.
 
-Skew: every per-user *window* here is bounded by time as well as by user.
-A user holding a third of all rows is split into time chunks; each chunk
-is summarised by a window partitioned on (user, chunk) and the chunk
-summaries are folded per user. Only the chunk summaries -- one row per
-(user, chunk), i.e. bounded by the time span / chunk width -- are ever
-grouped per user, never the user's raw rows.
+Skew: what needs a user's events in time order (W1-W3 and the session features)
+scans rows dealt to ranges of (user, time, event id), so a user with a third of
+all rows, even of a single day, is spread over many tasks; see
+:mod:`gatewatch.operators.ordered_scan`. Everything else is a partial+final
+aggregate. Only one summary per (user, partition) is ever grouped per user.
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 
 from gatewatch.functions.noise import std_normal, uniform
 from gatewatch.functions.scalar import coerce_double, safe_ratio, unusual_hour
+from gatewatch.operators import ordered_scan as scan
 
 USER = "user_id"
 DAY = 86400
@@ -100,56 +100,28 @@ def class_weights(df: DataFrame, label: str = "is_attack_ip", out: str = "weight
 
 
 # ------------------------------------------------------------- W1
-def recent_failed_counts(le: DataFrame, widths: Mapping[str, int] | None = None,
-                         bucket_seconds: int | None = None) -> DataFrame:
-    """Per event, failed attempts of the same user in ``[t - w, t]``
-    (both ends inclusive, peers included) for each width (seconds).
-
-    Range join by time bucket: failed rows are replicated into the next
-    ``ceil(w_max / B)`` buckets, every event probes its own bucket, and a
-    RANGE window partitioned by (user, bucket) counts the failed copies.
-    Partitions are bounded by time, so a hot user spreads over many tasks."""
-    widths = dict(widths or {"recent_failed_5m": 300, "recent_failed_30m": 1800,
-                             "recent_failed_24h": DAY})
-    wmax = max(widths.values())
-    b_us = int((bucket_seconds or wmax) * 1_000_000)
-    reach = math.ceil(wmax * 1_000_000 / b_us)
-    base = le.select("event_id", USER, "event_time", failed_flag().alias("gw_f"),
-                     F.floor(epoch_us() / F.lit(b_us)).alias("gw_b"))
-    probes = base.withColumn("gw_probe", F.lit(True))
-    # failed rows also visit the next `reach` buckets (own bucket: counted as probes)
-    copies = (base.where("gw_f")
-              .select(F.lit(None).cast("bigint").alias("event_id"), USER, "event_time", "gw_f",
-                      F.explode(F.sequence(F.col("gw_b") + 1, F.col("gw_b") + F.lit(reach))).alias("gw_b"))
-              .withColumn("gw_probe", F.lit(False)))
-    both = probes.unionByName(copies)
-    cols = [F.expr(f"sum(CAST(gw_f AS INT)) OVER (PARTITION BY {USER}, gw_b ORDER BY event_time "
-                   f"RANGE BETWEEN INTERVAL {int(w)} SECONDS PRECEDING AND CURRENT ROW)")
-            .cast("bigint").alias(name) for name, w in widths.items()]
-    return both.select("event_id", USER, "gw_probe", *cols).where("gw_probe").drop("gw_probe")
-
+WIDTHS = {"recent_failed_5m": 300, "recent_failed_30m": 1800, "recent_failed_24h": DAY}
 
-# ------------------------------------------------------------- W2
-def _chunk(chunk_seconds: int) -> Column:
-    return F.floor(epoch_us() / F.lit(int(chunk_seconds) * 1_000_000))
 
+def recent_failed_counts(le: DataFrame, widths: Mapping[str, int] | None = None, pieces: int | None = None) -> DataFrame:
+    """Per event, failed attempts of the same user in ``[t - w, t]``
+    (both ends inclusive, peers included) for each width (seconds). An event
+    without a time has no window: its counts are NULL. ``pieces`` is the number
+    of time ranges that the rows are dealt to; it changes the work only."""
+    widths = dict(widths or WIDTHS)
+    rows = le.select(USER, "event_id", epoch_us().alias("us"), failed_flag().alias("f"))
+    found = scan.recent_counts(rows.where("us IS NOT NULL"), widths, pieces).select("event_id", USER, *widths)
+    timeless = rows.where("us IS NULL").select("event_id", USER, *[F.lit(None).cast("bigint").alias(n) for n in widths])
+    return found.unionByName(timeless)
 
-def consecutive_failed(le: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
-    """Longest run of consecutive failures per user in time order
-    (ties by ``event_id``); users without failures get 0.
 
-    Chunk summaries (length, leading run, trailing run, longest inner run,
-    all-failed) come from one window on (user, chunk); an ordered fold of
-    the summaries per user -- an associative run-length monoid evaluated by
-    ``aggregate`` on the JVM -- joins runs across chunk borders."""
-    rows = le.where(F.col(USER).isNotNull()).select(USER, "event_id", "event_time", failed_flag().alias("f"),
-                                                    _chunk(chunk_seconds).alias("chunk"))
-    spec = f"PARTITION BY {USER}, chunk ORDER BY event_time, event_id"
-    return _consecutive_from_rows(rows, spec)
+# ------------------------------------------------------------- W2
+def _failures_in_order(le: DataFrame) -> DataFrame:
+    return le.where(F.col(USER).isNotNull()).select(USER, "event_id", epoch_us().alias("us"), failed_flag().alias("f"))
 
 
-def longest_run(chunks: Column) -> Column:
-    """Fold time-ordered chunk summaries ``(len, prefix, suffix, maxrun, full)``
+def longest_run(pieces: Column) -> Column:
+    """Fold time-ordered summaries ``(len, prefix, suffix, maxrun, full)``
     into the longest run: an associative run-length monoid evaluated on the
     JVM by ``aggregate`` (no Python, no per-row state across tasks)."""
     init = F.struct(F.lit(0).cast("bigint").alias("cur"), F.lit(0).cast("bigint").alias("best"))
@@ -160,62 +132,39 @@ def longest_run(chunks: Column) -> Column:
                         F.greatest(acc["best"], x["maxrun"],
                                    F.when(x["full"], joined).otherwise(acc["cur"] + x["prefix"])).alias("best"))
 
-    return F.aggregate(chunks, init, step, lambda a: a["best"])
-
-
-def _consecutive_from_rows(rows: DataFrame, spec: str) -> DataFrame:
-    # pass 1: row number inside the chunk
-    numbered = rows.withColumn("rn", F.expr(f"row_number() OVER ({spec})"))
-    # pass 2 (same partitioning and order -> same sort, same Window exec):
-    # last non-failed row number so far
-    numbered = numbered.withColumn(
-        "last_nf", F.expr(f"max(CASE WHEN NOT f THEN rn END) OVER ({spec} "
-                          f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
-    run_here = F.when(F.col("f"), F.col("rn") - F.coalesce(F.col("last_nf"), F.lit(0))).otherwise(F.lit(0))
-    chunks = (numbered.groupBy(USER, "chunk")
-              .agg(F.count(F.lit(1)).alias("len"),
-                   F.max(run_here).alias("maxrun"),
-                   F.min(F.when(~F.col("f"), F.col("rn"))).alias("first_nf"),
-                   F.max(F.when(~F.col("f"), F.col("rn"))).alias("last_nf_all")))
-    summ = chunks.select(
-        USER, "chunk",
-        F.struct(F.col("chunk").alias("chunk"),
-                 F.col("len").cast("bigint").alias("len"),
-                 (F.coalesce(F.col("first_nf"), F.col("len") + 1) - 1).cast("bigint").alias("prefix"),
-                 (F.col("len") - F.coalesce(F.col("last_nf_all"), F.lit(0))).cast("bigint").alias("suffix"),
-                 F.col("maxrun").cast("bigint").alias("maxrun"),
-                 F.col("first_nf").isNull().alias("full")).alias("s"))
-    return (summ.groupBy(USER)
-            .agg(F.sort_array(F.collect_list("s")).alias("chunks"))
-            .select(USER, longest_run(F.col("chunks")).alias("consecutive_failed_attempts")))
+    return F.aggregate(pieces, init, step, lambda a: a["best"])
+
+
+def fold_runs(summaries: DataFrame) -> DataFrame:
+    """W2 and W3 per user from ``run_summaries``: the summaries of a user, one
+    per partition that holds rows of it, in order. A gap across a border runs
+    from the last failure of any piece before to the first of this one."""
+    minute = F.lit(scan.MINUTE)
+    before = F.expr(f"max(last_fail) OVER (PARTITION BY {USER} ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+    border = F.when(F.col("first_fail").isNotNull() & F.col("before").isNotNull(),
+                    F.floor((F.col("first_fail") - F.col("before")) / minute))
+    per_user = summaries.withColumn("before", before).groupBy(USER).agg(
+        F.sort_array(F.collect_list(F.struct("part", "len", "prefix", "suffix", "maxrun", "full"))).alias("runs"),
+        (F.sum("gsum") + F.coalesce(F.sum(border), F.lit(0))).alias("tot"), (F.sum("gcnt") + F.count(border)).alias("n"))
+    return per_user.select(USER, longest_run(F.col("runs")).alias("consecutive_failed_attempts"),
+                           F.when(F.col("n") == 0, F.lit(0.0)).otherwise(F.col("tot") / F.col("n")).alias("avg_failed_gap"))
+
+
+def consecutive_failed(le: DataFrame, pieces: int | None = None) -> DataFrame:
+    """Longest run of consecutive failures per user in time order
+    (ties by ``event_id``); users without failures get 0."""
+    return fold_runs(scan.run_summaries(_failures_in_order(le), pieces)).select(USER, "consecutive_failed_attempts")
 
 
 # ------------------------------------------------------------- W3
-def avg_failed_gap(le: DataFrame, chunk_seconds: int = DAY) -> DataFrame:
+def avg_failed_gap(le: DataFrame, pieces: int | None = None) -> DataFrame:
     """Mean of whole-minute gaps between consecutive failures per user
-    (fewer than two failures -> 0). Gaps inside a chunk come from ``lag``
-    over (user, chunk); the gap across a chunk border from ``lag`` over the
-    per-(user, chunk) summaries, which are few per user."""
-    fails = le.where(failed_flag() & F.col(USER).isNotNull()).select(USER, "event_id", "event_time",
-                                           epoch_us().alias("us"), _chunk(chunk_seconds).alias("chunk"))
-    spec = f"PARTITION BY {USER}, chunk ORDER BY event_time, event_id"
-    gaps = fails.withColumn("prev_us", F.expr(f"lag(us) OVER ({spec})"))
-    minute = F.lit(60_000_000)
-    inner = (gaps.groupBy(USER, "chunk")
-             .agg(F.sum(F.floor((F.col("us") - F.col("prev_us")) / minute)).alias("gsum"),
-                  F.count("prev_us").alias("gcnt"),
-                  F.min("us").alias("first_us"), F.max("us").alias("last_us")))
-    border = inner.withColumn(
-        "prev_last", F.expr(f"lag(last_us) OVER (PARTITION BY {USER} ORDER BY chunk)"))
-    per_user = (border.groupBy(USER)
-                .agg((F.coalesce(F.sum("gsum"), F.lit(0))
-                      + F.coalesce(F.sum(F.floor((F.col("first_us") - F.col("prev_last")) / minute)), F.lit(0)))
-                     .alias("tot"),
-                     (F.sum("gcnt") + F.count("prev_last")).alias("n")))
-    users = le.where(F.col(USER).isNotNull()).select(USER).distinct()
-    return (users.join(per_user, USER, "left")
-            .select(USER, F.when(F.coalesce(F.col("n"), F.lit(0)) == 0, F.lit(0.0))
-                    .otherwise(F.col("tot") / F.col("n")).alias("avg_failed_gap")))
+    (fewer than two failures -> 0; a failure without a time has no gap). Only
+    failures are dealt and sorted."""
+    rows = _failures_in_order(le)
+    users = rows.select(USER).distinct()
+    gaps = fold_runs(scan.run_summaries(rows.where("f"), pieces))
+    return users.join(gaps, USER, "left").select(USER, F.coalesce("avg_failed_gap", F.lit(0.0)).alias("avg_failed_gap"))
 
 
 # ------------------------------------------------------------- W4, F8, F11
@@ -363,99 +312,37 @@ def last_event_flags(le: DataFrame) -> DataFrame:
         (F.col("dev_newest") == last_t).cast("int").alias("is_new_device"))
 
 
-def session_features(le: DataFrame, chunk_seconds: int = DAY, widths: Mapping[str, int] | None = None,
-                     include_universal: bool = False) -> DataFrame:
-    """The 11 session features per user from raw events, in two passes.
-
-    Pass 1 -- one shuffle by (user, day chunk), one sort: failed rows of the
-    previous ``ceil(w_max / chunk)`` chunks join each chunk as copies, so the
-    same window partition serves W1 (RANGE frames over event time) and the
-    W2/W3 running state (ROWS frames over the chunk's own rows). A per-chunk
-    summary carries run lengths, gap sums, the latest event and the
-    universal-feature partial sums; the summaries (bounded by the time span
-    / chunk width per user) are folded per user.
+def session_features(le: DataFrame, widths: Mapping[str, int] | None = None, include_universal: bool = False,
+                     pieces: int | None = None) -> DataFrame:
+    """The 11 session features per user from raw events.
 
-    Pass 2 -- one stacked aggregate over (user, ip | device): distinct counts
-    and the newest first-sighting per user, which equals the latest event
-    exactly when the latest event's ip (device) is new.
+    W1-W3 come from scans of (user, time) ranges (:mod:`ordered_scan`), one of
+    them for the runs and gaps and one for the peaks of the recent counts; the
+    latest event and the universal-feature sums from one aggregate per user; the
+    distinct counts and the newest first sighting, which equals the latest event
+    exactly when the latest event's ip (device) is new, from one stacked
+    aggregate over (user, ip | device). All are joined per user.
 
     ``recent_failed_*`` per user is the peak over the user's events; the
     other features as named. ``include_universal`` adds login_freq,
     failed_count, unique_ips, avg_rtt and the majority label."""
-    widths = dict(widths or {"recent_failed_5m": 300, "recent_failed_30m": 1800,
-                             "recent_failed_24h": DAY})
-    wmax = max(widths.values())
-    b_us = int(chunk_seconds) * 1_000_000
-    reach = math.ceil(wmax / chunk_seconds)
-    ev = le.where(F.col(USER).isNotNull()).select(
-        USER, "event_id", "event_time", "ip", "device", "rtt_ms", "is_attack", failed_flag().alias("f"),
-        F.coalesce(~F.col("success"), F.lit(False)).alias("gw_fc"), epoch_us().alias("us"),
-        unusual_hour("event_time").alias("uh"))
-    ev = ev.withColumn("b", F.floor(F.col("us") / F.lit(b_us)))
-    probes = ev.withColumn("hit", F.lit(0))
-    copies = (ev.where("f").select(USER, "event_time", "us", F.lit(True).alias("f"),
-                                   F.explode(F.sequence(F.col("b") + 1, F.col("b") + F.lit(reach))).alias("b"))
-              .withColumn("hit", F.lit(1)))
-    both = probes.unionByName(copies, allowMissingColumns=True)
-    rows_spec = f"PARTITION BY {USER}, b ORDER BY event_time, event_id"
-    run = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    w = (both
-         .withColumn("prn", F.expr(f"count(CASE WHEN hit = 0 THEN 1 END) OVER ({rows_spec} {run})"))
-         .withColumn("last_nf", F.expr(f"max(CASE WHEN hit = 0 AND NOT f THEN prn END) OVER ({rows_spec} {run})"))
-         .withColumn("prev_fail", F.expr(f"max(CASE WHEN hit = 0 AND f THEN us END) OVER ({rows_spec} "
-                                         f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")))
-    for name, sec in widths.items():
-        w = w.withColumn(name, F.expr(
-            f"sum(CAST(f AS INT)) OVER (PARTITION BY {USER}, b ORDER BY event_time "
-            f"RANGE BETWEEN INTERVAL {int(sec)} SECONDS PRECEDING AND CURRENT ROW)").cast("bigint"))
-    p = w.where(F.col("hit") == 0)
-    minute = F.lit(60_000_000)
-    gap = F.when(F.col("f") & F.col("prev_fail").isNotNull(), F.floor((F.col("us") - F.col("prev_fail")) / minute))
-    chunks = p.groupBy(USER, "b").agg(
-        F.count(F.lit(1)).alias("len"),
-        F.max(F.when(F.col("f"), F.col("prn") - F.coalesce(F.col("last_nf"), F.lit(0))).otherwise(0)).alias("maxrun"),
-        F.min(F.when(~F.col("f"), F.col("prn"))).alias("first_nf"),
-        F.max(F.when(~F.col("f"), F.col("prn"))).alias("last_nf_all"),
-        F.sum(gap).alias("gsum"), F.count(gap).alias("gcnt"),
-        F.min(F.when(F.col("f"), F.col("us"))).alias("first_fail"),
-        F.max(F.when(F.col("f"), F.col("us"))).alias("last_fail"),
-        F.count_if("gw_fc").alias("failed_cnt"),
-        F.sum(F.col("rtt_ms").cast("decimal(18,6)")).alias("rtt_sum"), F.count("rtt_ms").alias("rtt_n"),
-        F.sum(F.col("is_attack").cast("int")).alias("lab_sum"), F.count("is_attack").alias("lab_n"),
-        *[F.max(n).alias(n) for n in widths],
-        F.max(F.struct("event_time", "event_id", "uh")).alias("last"))
-    chunks = chunks.withColumn("prev_last", F.expr(
-        f"max(last_fail) OVER (PARTITION BY {USER} ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"))
-    border = F.when(F.col("first_fail").isNotNull() & F.col("prev_last").isNotNull(),
-                    F.floor((F.col("first_fail") - F.col("prev_last")) / minute))
-    summ = F.struct(F.col("b").alias("chunk"), F.col("len").cast("bigint").alias("len"),
-                    (F.coalesce(F.col("first_nf"), F.col("len") + 1) - 1).cast("bigint").alias("prefix"),
-                    (F.col("len") - F.coalesce(F.col("last_nf_all"), F.lit(0))).cast("bigint").alias("suffix"),
-                    F.col("maxrun").cast("bigint").alias("maxrun"), F.col("first_nf").isNull().alias("full"))
-    per_user = chunks.groupBy(USER).agg(
-        F.sort_array(F.collect_list(summ)).alias("chunks"),
-        (F.coalesce(F.sum("gsum"), F.lit(0)) + F.coalesce(F.sum(border), F.lit(0))).alias("gap_tot"),
-        (F.sum("gcnt") + F.count(border)).alias("gap_n"),
-        F.sum("len").alias("login_freq"), F.sum("failed_cnt").alias("failed_count"),
-        (F.sum("rtt_sum").cast("double") / F.sum("rtt_n")).alias("avg_rtt"),
-        F.when(F.sum("lab_sum") * 2 > F.sum("lab_n"), F.lit(1)).otherwise(F.lit(0)).alias("is_attack_ip"),
-        *[F.max(n).alias(n) for n in widths],
-        F.max("last").alias("last"))
-
-    seen = newest_first_sightings(ev)
+    widths = dict(widths or WIDTHS)
+    ev = le.where(F.col(USER).isNotNull())
+    rows = _failures_in_order(le)
+    runs = fold_runs(scan.run_summaries(rows, pieces))
+    peaks = scan.recent_counts(rows.where("us IS NOT NULL"), widths, pieces, (), peaks=True)
+    per_user = ev.groupBy(USER).agg(
+        F.count(F.lit(1)).alias("login_freq"), F.count_if(F.coalesce(~F.col("success"), F.lit(False))).alias("failed_count"),
+        exact_avg("rtt_ms").alias("avg_rtt"), label_mode().alias("is_attack_ip"),
+        F.max(F.struct("event_time", "event_id", unusual_hour("event_time").alias("uh"))).alias("last"))
     last_t = F.struct(F.col("last.event_time").alias("event_time"), F.col("last.event_id").alias("event_id"))
-    out = per_user.join(seen, USER, "left").select(
+    return per_user.join(runs, USER).join(peaks, USER, "left").join(newest_first_sightings(ev), USER, "left").select(
         USER,
         (F.col("login_freq") - F.col("failed_count")).alias("success_count"),
         safe_ratio(F.col("failed_count"), F.col("login_freq") - F.col("failed_count")).alias("failed_success_ratio"),
         F.col("last.uh").alias("unusual_login_hour"),
         (F.col("ip_newest") == last_t).cast("int").alias("is_new_ip"),
         (F.col("dev_newest") == last_t).cast("int").alias("is_new_device"),
-        longest_run(F.col("chunks")).alias("consecutive_failed_attempts"),
-        *[F.col(n) for n in widths],
-        F.when(F.coalesce(F.col("gap_n"), F.lit(0)) == 0, F.lit(0.0))
-        .otherwise(F.col("gap_tot") / F.col("gap_n")).alias("avg_failed_gap"),
-        "unique_devices",
+        "consecutive_failed_attempts", *widths, "avg_failed_gap", "unique_devices",
         *([F.col("login_freq"), F.col("failed_count"), F.col("unique_ips"), F.col("avg_rtt"), F.col("is_attack_ip")]
           if include_universal else []))
-    return out

@@ -61,7 +61,7 @@ register("recent_failed_counts", with_le() + f"SELECT event_id, user_id, {_W1_SQ
     lambda spark, d: FT.recent_failed_counts(login_events(spark, d)))
 
 register("recent_failed_counts_fine_buckets", with_le() + f"SELECT event_id, user_id, {_W1_SQL} FROM le", FAM)(
-    lambda spark, d: FT.recent_failed_counts(login_events(spark, d), bucket_seconds=3600))
+    lambda spark, d: FT.recent_failed_counts(login_events(spark, d), pieces=64))
 
 W2_CTE = f"""o AS (SELECT user_id, {FAILED} AS f,
         row_number() OVER (PARTITION BY user_id ORDER BY event_time, event_id)
@@ -74,7 +74,7 @@ cf AS (SELECT user_id, CAST(COALESCE(MAX(CASE WHEN f THEN n END), 0) AS BIGINT)
 register("consecutive_failed", with_le(W2_CTE) + "SELECT * FROM cf", FAM)(
     lambda spark, d: FT.consecutive_failed(login_events(spark, d)))
 register("consecutive_failed_hour_chunks", with_le(W2_CTE) + "SELECT * FROM cf", FAM)(
-    lambda spark, d: FT.consecutive_failed(login_events(spark, d), chunk_seconds=3600))
+    lambda spark, d: FT.consecutive_failed(login_events(spark, d), pieces=64))
 
 W3_CTE = f"""fl AS (SELECT user_id, epoch_us(event_time) AS us,
                lag(epoch_us(event_time)) OVER (PARTITION BY user_id ORDER BY event_time, event_id) AS p
@@ -87,7 +87,7 @@ ag AS (SELECT gu.user_id, CASE WHEN COALESCE(n, 0) = 0 THEN 0.0 ELSE tot / n END
 register("avg_failed_gap", with_le(W3_CTE) + "SELECT * FROM ag", FAM)(
     lambda spark, d: FT.avg_failed_gap(login_events(spark, d)))
 register("avg_failed_gap_hour_chunks", with_le(W3_CTE) + "SELECT * FROM ag", FAM)(
-    lambda spark, d: FT.avg_failed_gap(login_events(spark, d), chunk_seconds=3600))
+    lambda spark, d: FT.avg_failed_gap(login_events(spark, d), pieces=64))
 
 W4_SQL = """SELECT event_id, user_id,
   CAST(row_number() OVER (PARTITION BY user_id, ip ORDER BY event_time, event_id) = 1 AS INTEGER) AS is_new_ip,
@@ -214,4 +214,4 @@ SELECT event_id, CASE WHEN list_contains(['10.0.0.' || (k * 3) % 100, '10.0.0.'
        THEN 0 ELSE 1 END AS is_new_ip FROM kk""", FAM)(_given_arrays)
 
 register("session_features_hour_chunks", REGISTRY["session_features"].sql, FAM)(
-    lambda spark, d: FT.session_features(login_events(spark, d), chunk_seconds=3600))
+    lambda spark, d: FT.session_features(login_events(spark, d), pieces=64))
