@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatewatch.session import scratch_path
+
 USER = "user_id"
 
 
@@ -159,13 +161,20 @@ def top_active_users(le: DataFrame, limit: int = 100) -> DataFrame:
     return top_k(activity_with_label(le), limit, col="total")
 
 
-def user_activity(le: DataFrame) -> DataFrame:
-    """Events, failures and the any-label per user: the one aggregate both
-    top-N sides of J1 are cut from (each side keeps only the columns it
-    needs after column pruning)."""
+def user_activity(le: DataFrame, **more: Column) -> DataFrame:
+    """Events, failures and the any-label per user (and ``more`` aggregates)."""
     return le.groupBy(USER).agg(F.count(F.lit(1)).alias("total"),
                                 F.count_if(~F.col("success")).alias("failed"),
-                                label_any(le).alias("is_attack_ip"))
+                                label_any(le).alias("is_attack_ip"), *[c.alias(n) for n, c in more.items()])
+
+
+def written_activity(le: DataFrame, **more: Column) -> DataFrame:
+    """``user_activity`` written once: what is cut from it more than once reads
+    the log once."""
+    act = user_activity(le, **more)
+    path = scratch_path(le.sparkSession, "activity")
+    act.write.parquet(path)
+    return le.sparkSession.read.schema(act.schema).parquet(path)
 
 
 def top_failed_from(activity: DataFrame, limit: int = 100) -> DataFrame:
@@ -173,15 +182,20 @@ def top_failed_from(activity: DataFrame, limit: int = 100) -> DataFrame:
     return top_k(activity.where(F.col("failed") > 0).select(USER, F.col("failed").alias("count")), limit)
 
 
+def users_with_failed_from(activity: DataFrame, limit: int = 100) -> DataFrame:
+    """J1 on a written ``user_activity``."""
+    users = top_k(activity.select(USER, "total", "is_attack_ip"), limit, col="total")
+    failed = top_failed_from(activity, limit)
+    return (users.join(F.broadcast(failed), USER, "left")
+            .select(USER, "total", "is_attack_ip",
+                    F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count")))
+
+
 def users_with_failed(le: DataFrame, limit: int = 100) -> DataFrame:
     """Top-N users by activity LEFT JOIN top-N users by failures.
 
     Both sides are truncated separately, so a user outside the second top-N
     counts as 0. The right side is at most ``limit`` rows -- a proven bound --
-    so broadcasting it is safe at any data size."""
-    act = user_activity(le)
-    users = top_k(act.select(USER, "total", "is_attack_ip"), limit, col="total")
-    failed = top_failed_from(act, limit)
-    return (users.join(F.broadcast(failed), USER, "left")
-            .select(USER, "total", "is_attack_ip",
-                    F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count")))
+    so broadcasting it is safe at any data size. Both are cut from one aggregate
+    that is written, so the log is read once."""
+    return users_with_failed_from(written_activity(le), limit)

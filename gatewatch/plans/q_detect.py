@@ -111,11 +111,13 @@ register("noise_flip_rate", _fliprate_sql(), FAM)(
 def flags_ctes(limit: int = 100, sfx: str = "") -> str:
     """CTEs (after the ``le`` adapter) ending in ``fl{sfx}``: per top-N user,
     every detector flag."""
-    lap = S.laplace("user_id", 1.0, 42, "detectors.laplace|latest|1.0")
-    gau = S.std_normal("user_id", 42, "detectors.gaussian|latest|1.0")
-    ml = S.laplace("user_id", 1.0, 42, "detectors.ml|latest|1.0")
+    key = f"concat_ws('|', {'j' + sfx}.user_id, gw_state)"
+    lap = S.laplace(key, 1.0, 42, "detectors.laplace|failed|1.0")
+    gau = S.std_normal(key, 42, "detectors.gaussian|failed|1.0")
+    ml = S.laplace(key, 1.0, 42, "detectors.ml|failed|1.0")
     u, f, s, j, x = (n + sfx for n in ("u", "f", "s", "j", "x"))
-    return f"""{u} AS (SELECT user_id, COUNT(*) AS total, COALESCE(BOOL_OR(is_attack), false) AS is_attack_ip
+    return f"""{S.state_cte(name="st" + sfx)},
+{u} AS (SELECT user_id, COUNT(*) AS total, COALESCE(BOOL_OR(is_attack), false) AS is_attack_ip
       FROM le GROUP BY user_id ORDER BY total DESC, user_id ASC LIMIT {limit}),
 {f} AS (SELECT user_id, COUNT(*) AS count FROM le WHERE NOT success GROUP BY user_id
       ORDER BY count DESC, user_id ASC LIMIT {limit}),
@@ -125,7 +127,7 @@ def flags_ctes(limit: int = 100, sfx: str = "") -> str:
 {x} AS (SELECT {j}.*, cnt + {lap} AS lap, cnt + {gau} AS gau,
                CASE WHEN {s}.sd IS NULL OR {s}.sd = 0 THEN 0.0 ELSE (cnt - {s}.m) / {s}.sd END AS z,
                cnt + {ml} AS dpc
-        FROM {j}, {s}),
+        FROM {j}, {s}, st{sfx}),
 fl{sfx} AS (SELECT user_id, is_attack_ip, lap >= 3 AS laplace_anomaly, gau >= 3 AS gaussian_anomaly,
        abs(z) >= 2 AS zscore_anomaly, lap >= 5 AS anomaly_detection_5, lap >= 10 AS anomaly_detection_10,
        {S.logistic('cnt')} >= 0.5 AS logreg_pred, {S.stump('cnt')} = 1 AS rf_pred,

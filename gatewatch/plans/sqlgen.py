@@ -68,3 +68,11 @@ def stump(x_sql: str) -> str:
 
 FAILED = "c AS (SELECT user_id, COUNT(*) AS count FROM le WHERE NOT success GROUP BY user_id)"
 LOGONS = "c AS (SELECT user_id, COUNT(*) AS count FROM le WHERE activity = 'Logon' GROUP BY user_id)"
+
+
+def state_cte(rel: str = "le", name: str = "st") -> str:
+    """The state of the log: latest time, rows, sum of 52-bit row digests."""
+    parts = ["CAST(event_id AS VARCHAR)", "user_id", "CAST(epoch_us(event_time) AS VARCHAR)", "CAST(success AS VARCHAR)", "activity"]
+    h = "sha256(concat_ws('|', " + ", ".join(f"coalesce({p}, '-')" for p in parts) + "))"
+    return f"""{name} AS (SELECT concat_ws('|', CAST(coalesce(MAX(epoch_us(event_time)), 0) AS VARCHAR), CAST(COUNT(*) AS VARCHAR),
+          CAST(coalesce(SUM(CAST(('0x' || substr({h}, 1, 13)) AS BIGINT)), 0) AS VARCHAR)) AS gw_state FROM {rel})"""
