@@ -51,7 +51,7 @@ def _grow(feat_cols, seed, psi, key):
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["gw_tree"].iloc[0])
-        pdf = pdf.sort_values(["gw_h", key]).head(psi)  # of the tasks' smallest, the smallest
+        pdf = pdf.sort_values(["gw_h", key]).head(psi)  # of those below the limit, the smallest
         x = pdf[list(feat_cols)].to_numpy(dtype=np.float64)
         rng = np.random.default_rng([int(seed), tree])
         rows = []
@@ -81,42 +81,54 @@ def _grow(feat_cols, seed, psi, key):
     return build
 
 
+def _hash_limit(psi: int, n: int) -> int:
+    """Hashes below this are of about ``psi + 8 sqrt(psi) + 32`` of ``n`` rows: fewer than
+    ``psi`` are below it with a probability under 1e-14."""
+    return int(min(1.0, (psi + 8 * math.sqrt(psi) + 32) / max(n, 1)) * (1 << 63))
+
+
+def tree_samples(train: DataFrame, feats: list[str], n_trees: int, psi: int, n: int, seed, key: str) -> DataFrame:
+    """``key, feats, gw_tree, gw_h``: for every tree the rows whose (row, tree) hash is
+    below a limit set from the count, so a tree's group has ``psi`` rows and a few
+    more, whatever the number of tasks. A tree that is short of rows (a chance of
+    1e-14, or rows that share a key) gets a limit of its own."""
+    from gatewatch.models.supervised import materialise
+
+    kind = train.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, " + ", ".join(f"`{c}` double" for c in feats) + ", gw_tree int, gw_h bigint"
+    rows = train.select(key, *[F.col(c).cast("double").alias(c) for c in feats])
+
+    def draw(limits: dict[int, int]) -> DataFrame:
+        def run(batches):
+            for pdf in batches:
+                own = pd.util.hash_pandas_object(pdf[key].astype(str), index=False).to_numpy()
+                for t, limit in limits.items():
+                    h = _tree_hash(own, t, seed)
+                    at = np.flatnonzero(h < np.uint64(limit))
+                    if len(at):
+                        yield pdf.iloc[at].assign(gw_tree=np.int32(t), gw_h=h[at].astype(np.int64))
+        return rows.mapInPandas(run, schema)
+
+    limits = {t: _hash_limit(psi, n) for t in range(n_trees)}
+    while True:
+        sample = materialise(draw(limits))
+        have = {r["gw_tree"]: r["count"] for r in sample.groupBy("gw_tree").count().collect()}
+        short = [t for t in limits if have.get(t, 0) < psi and limits[t] < 1 << 63]
+        if not short:
+            return sample
+        limits |= {t: min(4 * limits[t], 1 << 63) for t in short}
+
+
 def fit(train: DataFrame, feat_cols: Sequence[str], n_trees: int = 150, max_samples: int = 256,
         seed=42, key: str = "user_id") -> tuple[pd.DataFrame, int]:
     """-> (node table as pandas, psi). The node table is the bounded model.
 
     One sampling law at every size: tree ``t`` takes the ``psi`` rows with the
     smallest hash of (row, tree), so trees are independent samples without
-    replacement that may overlap, as in the paper. Each task keeps only its
-    own ``psi`` smallest per tree before the shuffle, so a tree's group holds
-    ``psi`` rows a task at most and the data moved does not grow with rows."""
+    replacement that may overlap, as in the paper."""
     n = train.count()
     psi = int(min(max_samples, n))
-    feats = list(feat_cols)
-    kind = train.schema[key].dataType.simpleString()
-
-    def smallest(batches):
-        """Per tree, the psi rows of this partition with the smallest hashes."""
-        kept = None
-        for pdf in batches:
-            rows = pdf if kept is None else pd.concat([kept[0], pdf], ignore_index=True)
-            own = pd.util.hash_pandas_object(rows[key].astype(str), index=False).to_numpy()
-            use, picks = np.zeros(len(rows), bool), []
-            for t in range(n_trees):
-                h = _tree_hash(own, t, seed)
-                at = np.argpartition(h, psi - 1)[:psi] if len(h) > psi else np.arange(len(h))
-                use[at] = True
-                picks.append((at, h[at]))
-            place = np.cumsum(use) - 1
-            kept = rows[use].reset_index(drop=True), [(place[at], h) for at, h in picks]
-        if kept is not None:
-            for t, (at, h) in enumerate(kept[1]):
-                yield kept[0].iloc[at].assign(gw_tree=np.int32(t), gw_h=h.astype(np.int64))
-
-    schema = f"`{key}` {kind}, " + ", ".join(f"`{c}` double" for c in feats)
-    sample = train.select(key, *[F.col(c).cast("double").alias(c) for c in feats]) \
-        .mapInPandas(smallest, schema + ", gw_tree int, gw_h bigint")
-
+    sample = tree_samples(train, list(feat_cols), n_trees, psi, n, seed, key)
     nodes = sample.groupBy("gw_tree").applyInPandas(_grow(feat_cols, seed, psi, key), NODE_SCHEMA)
     return nodes.toPandas(), psi
 

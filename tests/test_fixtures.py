@@ -216,13 +216,21 @@ def test_account_actions_vs_sequential_fold(spark, seed):
     rnd = random.Random(seed)
     names = ["alice", " bob ", "carol", "admin", "dave"]
     acts = [(i, rnd.choice(["register", "register", "delete", "change_role", "suspend", "activate"]),
-             rnd.choice(names), rnd.choice(["USER", "ANALYST"])) for i in range(40)]
+             rnd.choice(names), rnd.choice(["USER", "ANALYST"])) for i in range(120)]
     _brute_accounts.seen = False
     expect = _brute_accounts(acts, {})
     empty = spark.createDataFrame([], AC.USERS_SCHEMA)
-    got = {r["username"]: (r["role"], r["suspended"]) for r in
-           AC.apply_user_actions(empty, spark.createDataFrame(acts, AC.ACTIONS_SCHEMA)).collect()}
-    assert got == expect
+    for pieces in (None, 1, 6, 50):
+        df = AC.apply_user_actions(empty, spark.createDataFrame(acts, AC.ACTIONS_SCHEMA).repartition(3), pieces=pieces)
+        assert {r["username"]: (r["role"], r["suspended"]) for r in df.collect()} == expect
+
+
+def test_a_hot_accounts_actions_are_spread_and_never_joined(spark):
+    acts = spark.createDataFrame([(i, ("register", "delete", "suspend")[i % 3], "hot", "USER") for i in range(3000)], AC.ACTIONS_SCHEMA)
+    coded = acts.selectExpr("username", "seq", "CAST(seq % 3 + 1 AS INT) AS code", "role")
+    assert len({r.part for r in AC.summarise_actions(coded, 12).collect()}) == 12
+    df = AC.apply_user_actions(spark.createDataFrame([(1, "other", "", "", "USER", False)], AC.USERS_SCHEMA), acts)
+    assert {(r.username, r.role, r.suspended) for r in df.collect()} == {("other", "USER", False)}
 
 
 def test_account_actions_with_existing_users(spark):
