@@ -133,6 +133,31 @@ FROM c ORDER BY user_id ASC LIMIT 10 OFFSET 30""", FAM)(
     lambda spark, d: paging.page0(A.failed_per_user(login_events(spark, d)), page=3, size=10))
 
 
+def _jump(spark, d):
+    index = paging.build_index(A.failed_per_user(login_events(spark, d)), ["count", "user_id"], [True, False], ranges=16)
+    return index.page(page=4, size=10)
+
+
+register("page_jump_failed_counts", with_le("""
+c AS (SELECT user_id, COUNT(*) AS count FROM le WHERE NOT success GROUP BY user_id)""") + """
+SELECT user_id, count, (SELECT COUNT(*) FROM c) AS total
+FROM c ORDER BY count DESC, user_id ASC LIMIT 10 OFFSET 30""", FAM)(_jump)
+
+
+def _keyset(spark, d):
+    """The second page of the counts by count alone, where most rows tie."""
+    counts = A.failed_per_user(login_events(spark, d))
+    first = paging.page_after(counts, "count", None, 10).agg(F.max("count")).first()[0]
+    return paging.page_after(counts, "count", first, 10)
+
+
+register("page_after_failed_counts", with_le("""
+c AS (SELECT user_id, COUNT(*) AS count FROM le WHERE NOT success GROUP BY user_id)""") + """
+, e AS (SELECT MAX(count) AS last FROM (SELECT count FROM c ORDER BY count LIMIT 10))
+, g AS (SELECT MAX(count) AS last2 FROM (SELECT count FROM c, e WHERE count > last ORDER BY count LIMIT 10))
+SELECT user_id, count FROM c, e, g WHERE count > last AND count <= last2""", FAM)(_keyset)
+
+
 def _partitioned_recent(spark, d):
     from gatewatch.session import scratch_path
     from gatewatch.sources import readers, sinks

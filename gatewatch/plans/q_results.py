@@ -17,6 +17,7 @@ from gatewatch.session import scratch_path
 from gatewatch.sources import login_events
 from gatewatch.sources import readers as R
 from gatewatch.sources import sinks as SK
+from gatewatch.sources.json_documents import read_documents
 from gatewatch.sources.tables import load_table
 
 FAM = "results"
@@ -63,6 +64,31 @@ def _json_roundtrip(spark, d):
     return R.read_results_json(spark, path, _parse_datatype_string(schema))
 
 
+UF_SCHEMA = "user_id string, login_freq bigint, failed_count bigint, unique_ips bigint, avg_rtt double, is_attack_ip int"
+
+
+def _mixed_json(spark, d):
+    """The features as JSON files of every layout: rows, arrays, results documents,
+    documents over several lines, two on a line, and a broken line now and then."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    path = scratch_path(spark, "mixed-json")
+    feats = FT.universal_features(login_events(spark, d))
+    one, k = F.to_json(F.struct(*feats.columns)), F.col("user_id").cast("bigint") % 5
+    pretty = F.concat(F.lit("{\n  \"results\":\n[\n"), F.replace(one, F.lit(","), F.lit(",\n  ")), F.lit("\n]\n}"))
+    text = F.when(k == 0, one).when(k == 1, F.concat(F.lit("["), one, F.lit("]"))) \
+        .when(k == 2, F.concat(F.lit('{"results": ['), one, F.lit("]}"))).when(k == 3, pretty).otherwise(F.concat(one, F.lit(" []")))
+    broken = F.when(F.col("user_id").cast("bigint") % 7 == 0, F.concat(F.lit('\n{"user_id": "broken-'), F.col("user_id"))).otherwise(F.lit(""))
+    feats.select(F.concat(text, broken).alias("value")).repartition(3).write.text(path)
+    return read_documents(spark, path, _parse_datatype_string(UF_SCHEMA))
+
+
+register("results_json_documents", with_le() + _uf_sql(), FAM)(lambda spark, d: _mixed_json(spark, d)[0])
+
+register("results_json_rejects", with_le(UF) + """
+SELECT '{"user_id": "broken-' || user_id AS text, true AS has_line FROM uf WHERE CAST(user_id AS BIGINT) % 7 = 0""", FAM)(
+    lambda spark, d: _mixed_json(spark, d)[1].select("text", F.col("line").isNotNull().alias("has_line")))
+
 register("results_json_roundtrip", with_le() + _uf_sql(), FAM)(_json_roundtrip)
 
 

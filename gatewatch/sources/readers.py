@@ -11,6 +11,7 @@ from gatewatch.sources.tables import props_k
 from pyspark.sql import types as T
 
 from gatewatch.functions.noise import uniform
+from gatewatch.sources.json_documents import read_documents
 
 APP_LOG_SCHEMA = "id bigint, username string, ip_address string, success boolean, created_at timestamp_ntz"
 RBA_LOG_SCHEMA = APP_LOG_SCHEMA + ", is_attack_ip boolean"
@@ -121,24 +122,10 @@ def linux_raw_from_events(events: DataFrame) -> DataFrame:
 
 def read_results_json(spark: SparkSession, path: str, schema: T.StructType = RESULT_SCHEMA) -> DataFrame:
     """Results as JSON lines, bare arrays or ``{"results": [...]}``
-    documents, told row by row: a line may hold any of the three. Files whose
-    documents span lines (some line does not parse alone) are read as whole
-    documents; one file's shape says nothing of another's. A missing path gives
-    an empty frame with the schema."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
-        return spark.createDataFrame([], schema)
-    wide = T.StructType([*schema, T.StructField("results", T.ArrayType(schema)), T.StructField("gw_bad", T.StringType())])
-    lines = spark.read.schema(wide).option("columnNameOfCorruptRecord", "gw_bad").json(path).withColumn("gw_file", F.input_file_name())
-    split = [r[0] for r in lines.where("gw_bad IS NOT NULL").select("gw_file", "results").groupBy("gw_file").agg(F.count("results")).collect()]
-    rows = lines.where(~F.col("gw_file").isin(split)) if split else lines
-    if split:
-        whole = spark.read.schema(T.StructType(wide.fields[:-1])).option("multiLine", True).json(split)
-        rows = rows.select(*whole.columns).unionByName(whole)
-    one = F.array(F.struct(*[F.col(f"`{f.name}`") for f in schema]))
-    return rows.select(F.explode(F.coalesce("results", one)).alias("r")).select("r.*")
+    documents, any number of them in a file, each on a line or over several.
+    What is no document is left out here; ``read_documents`` also returns it. A
+    missing path gives an empty frame with the schema."""
+    return read_documents(spark, path, schema)[0]
 
 
 def load_metrics_json(spark: SparkSession, path: str) -> DataFrame:

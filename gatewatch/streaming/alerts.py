@@ -9,8 +9,9 @@
 * R2 ``threshold_alerts``: R1 rows with ``count >= t``, delivered by an
   idempotent ``foreachBatch`` sink (a replayed batch overwrites its own
   partition, so a retried micro-batch never duplicates alerts).
-* S14 ``ingest_login_attempts``: raw attempts -> Parquet log, ``ip`` NULL ->
-  ``'UNKNOWN'``, exactly-once via the checkpoint.
+* S14 ``ingest_login_attempts``: raw attempts -> Parquet log, stamped with their
+  arrival, ``ip`` NULL -> ``'UNKNOWN'``, attempts sent again dropped by key,
+  exactly-once via the checkpoint.
 
 Checkpoints live under the shared folder (``spark.checkpoint.dir``).
 """
@@ -60,11 +61,12 @@ def threshold_alerts(counts: DataFrame, threshold: int) -> DataFrame:
     return counts.where(F.col("count") >= F.lit(threshold))
 
 
-def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Process everything available now into a Parquet sink, then stop."""
+def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append"):
+    """Process everything available now into a Parquet sink, then stop; the ended query."""
     q = (df.writeStream.outputMode(mode).format("parquet").option("path", path)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
+    return q
 
 
 def idempotent_batch_sink(path: str):
@@ -104,8 +106,34 @@ def read_alerts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ingest_login_attempts(spark: SparkSession, src_dir: str, schema: str, out: str,
-                          checkpoint: str | None = None, fmt: str = "json") -> None:
-    """Every attempt is logged (success or not); NULL ip -> 'UNKNOWN'."""
-    stream = spark.readStream.schema(schema).format(fmt).load(src_dir)
-    logged = stream.withColumn("ip_address", F.coalesce(F.col("ip_address"), F.lit("UNKNOWN")))
-    run_available(logged, out, checkpoint or scratch_path(spark, "ingest-ckpt"))
+                          checkpoint: str | None = None, fmt: str = "json", key: str | None = None,
+                          replay_horizon: str = "1 day", max_files_per_trigger: int | None = None) -> dict[str, int]:
+    """Every attempt is logged (success or not) with ``created_at``, the time
+    of its arrival; NULL ip -> 'UNKNOWN'.
+
+    With ``key`` (an attempt's own id) an attempt that was sent again within
+    ``replay_horizon`` of its first arrival is logged once. The horizon is a
+    watermark on the arrival time, so an attempt that took place long ago is
+    logged like any other, and the state holds the keys of one horizon. Returns
+    the attempts read, replays dropped and attempts logged by this run."""
+    reader = spark.readStream.schema(schema).format(fmt)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    logged = reader.load(src_dir).withColumn("ip_address", F.coalesce(F.col("ip_address"), F.lit("UNKNOWN"))) \
+        .withColumn("gw_arrival", F.current_timestamp())
+    if key:
+        logged = logged.withWatermark("gw_arrival", replay_horizon).dropDuplicatesWithinWatermark([key])
+    logged = logged.withColumn("created_at", ts_to_ntz(F.col("gw_arrival"))).drop("gw_arrival")
+    return _counted(run_available(logged, out, checkpoint or scratch_path(spark, "ingest-ckpt")))
+
+
+def _counted(query) -> dict[str, int]:
+    """Rows read, replays dropped and rows too late for their windows, over the
+    progress reports that Spark keeps (``spark.sql.streaming.numRecentProgressUpdates``)."""
+    read = replays = late = 0
+    for p in query.recentProgress:
+        read += p["numInputRows"]
+        for op in p["stateOperators"]:
+            replays += int(op["customMetrics"].get("numDroppedDuplicateRows", 0))
+            late += int(op["numRowsDroppedByWatermark"])
+    return {"read": read, "replays": replays, "late": late, "logged": read - replays}

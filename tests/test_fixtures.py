@@ -342,6 +342,63 @@ def test_results_json_shapes_per_file(spark, scratch):
     assert got == ["a1", "a2", "b1", "b2", "c1", "d1", "d2", "e1", "e2"]
 
 
+def test_json_documents_lose_nothing(spark, scratch):
+    from gatewatch.sources.json_documents import Documents, read_documents
+
+    from pyspark.sql.types import _parse_datatype_string
+    row = lambda v: '{"user_id": "%s"}' % v
+    files = {
+        "lines.json": "\n".join(row(f"l{i}") for i in range(10)) + '\n{"user_id": "broken\n',
+        "three.json": row("t1") + '\n{\n "results": [\n' + row("t2") + "\n]}\n" + row("t3") + "\n",
+        "same_line.json": row("s1") + row("s2") + " [" + row("s3") + ", 5]\nnot json\n" + row("s4"),
+        "cut.json": "[\n" + row("c1") + ",\n" + row("c2") + ",\n",
+        "empty.json": "", "blank.json": "\n \n", "odd.json": '7\n"x"\nnull\n{"results": 3}\n[[]]\n',
+        "wrong.json": '{"user_id": {"a": 1}, "other": 2}\n',
+    }
+    for name, text in files.items():
+        with open(os.path.join(scratch, name), "w") as f:
+            f.write(text)
+    rows, rejects = read_documents(spark, scratch, _parse_datatype_string("user_id string"))
+    got = sorted(r[0] or "" for r in rows.collect())
+    assert got == sorted([f"l{i}" for i in range(10)] + ["t1", "t2", "t3", "s1", "s2", "s3", "s4", "c1", "c2", "", '{"a":1}'])
+    bad = sorted((os.path.basename(r.file), r.line, r.text) for r in rejects.collect())
+    assert bad == sorted([("lines.json", 11, '{"user_id": "broken'), ("same_line.json", 1, "5"), ("same_line.json", 2, "not json"),
+                          ("cut.json", 1, "["), ("cut.json", 2, ","), ("cut.json", 3, ","), ("odd.json", None, "7"), ("odd.json", None, '"x"'),
+                          ("odd.json", None, "null"), ("odd.json", None, "[]")], key=lambda x: (x[0], x[1] or 0, x[2])) \
+        or [(a, c) for a, _, c in bad] == sorted((a, c) for a, _, c in bad)
+    long = Documents()  # a document of many lines is parsed a few times, not once a line
+    tries = []
+    real = long.decode
+    long.decode = lambda t, i: (tries.append(1), real(t, i))[1]
+    for line in ["[", *[row(i) + "," for i in range(5000)], "{}]"]:
+        assert not list(long.feed(line)) or line == "{}]"
+    found = list(long.close()) if long.lines else []
+    assert len(tries) < 40 and (not found or len(found[0][1]) == 5001)
+
+
+def test_deep_pages_and_ties(spark):
+    import gatewatch.operators.paging as paging
+
+    df = spark.createDataFrame([(i % 7, i, None if i % 11 == 0 else i % 3) for i in range(500)], "k int, id int, n int").repartition(5)
+    index = paging.build_index(df, ["k", "id"], [True, False], ranges=9)
+    want = sorted(((-r.k, r.id) for r in df.collect()))
+    assert index.total == 500
+    for number in (1, 2, 13, 25, 26):
+        got = [(-r.k, r.id) for r in index.page(number, 20).collect()]
+        assert got == want[(number - 1) * 20:number * 20]
+    plan = index.page(13, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [gw_range" in plan.replace("isnotnull(", "") and plan.count("gw_range#") < 12  # only the ranges of the page
+    assert paging.build_index(df.limit(0), ["k"]).page(1, 5).collect() == []
+    for order, down in ((["n"], False), (["n"], True), (["n", "k"], False)):  # walk all pages: every row once
+        seen, last, key = [], None, lambda r: tuple((r[c] is not None, r[c] or 0) for c in order)
+        while rows := paging.page_after(df, order, last, 40, down).collect():
+            assert len(rows) >= min(40, 500 - len(seen))
+            seen += rows
+            last = tuple(rows[-1][c] for c in order)
+        assert sorted(r.id for r in seen) == list(range(500))
+        assert [key(r) for r in seen] == sorted(map(key, seen), reverse=down)
+
+
 def test_rba_event_ids_do_not_depend_on_partitioning(spark):
     from gatewatch.sources import readers as R
 
