@@ -30,14 +30,18 @@ def _cols(keys) -> list[Column]:
     return [(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]
 
 
-def uniform(keys, seed, stream: str | None = None) -> Column:
+def uniform_bits(keys, seed, stream: str | None = None) -> Column:
+    """The 52 bits of the draw, as a bigint."""
     parts = [F.lit(str(seed))]
     if stream is not None:
         parts.append(F.lit(str(stream)))
     parts += _cols(keys)
     h = F.sha2(F.concat_ws("|", *parts), 256)
-    n = F.conv(F.substring(h, 1, 13), 16, 10).cast("double")
-    return (n + F.lit(0.5)) / F.lit(TWO_52)
+    return F.conv(F.substring(h, 1, 13), 16, 10).cast("bigint")
+
+
+def uniform(keys, seed, stream: str | None = None) -> Column:
+    return (uniform_bits(keys, seed, stream).cast("double") + F.lit(0.5)) / F.lit(TWO_52)
 
 
 def release_stream(mechanism: str, release: str, epsilon: float) -> str:

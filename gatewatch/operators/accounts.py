@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewatch.operators import ordered_scan as scan
-from gatewatch.session import scratch_path
+from gatewatch.session import write_once
 from gatewatch.sources.tables import props_k
 
 USERS_SCHEMA = ("user_id bigint, username string, email string, password_hash string, "
@@ -85,9 +85,7 @@ def apply_user_actions(users: DataFrame, actions: DataFrame, protect_admin: bool
     acts = actions.select(F.trim("username").alias("username"), F.col("seq").cast("bigint").alias("seq"), code.alias("code"), "role").where("code IS NOT NULL AND seq IS NOT NULL")
     if protect_admin:
         acts = acts.where(~((F.col("code") == DELETE) & F.col("username").eqNullSafe("admin")))
-    path = scratch_path(users.sparkSession, "action_summaries")
-    summarise_actions(acts, pieces).write.parquet(path)
-    parts = users.sparkSession.read.schema(f"username string, {SUMMARY}").parquet(path)
+    parts = write_once(summarise_actions(acts, pieces), "action_summaries")
     init = users.select(F.trim("username").alias("username"), F.col("role").alias("init_role"),
                         F.coalesce("suspended", F.lit(False)).alias("init_susp"),
                         F.lit(True).alias("init"))

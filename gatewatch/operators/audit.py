@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatewatch.session import scratch_path
+from gatewatch.session import write_once
 
 USER = "user_id"
 
@@ -171,10 +171,7 @@ def user_activity(le: DataFrame, **more: Column) -> DataFrame:
 def written_activity(le: DataFrame, **more: Column) -> DataFrame:
     """``user_activity`` written once: what is cut from it more than once reads
     the log once."""
-    act = user_activity(le, **more)
-    path = scratch_path(le.sparkSession, "activity")
-    act.write.parquet(path)
-    return le.sparkSession.read.schema(act.schema).parquet(path)
+    return write_once(user_activity(le, **more), "activity")
 
 
 def top_failed_from(activity: DataFrame, limit: int = 100) -> DataFrame:

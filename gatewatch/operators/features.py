@@ -15,9 +15,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatewatch.functions.noise import std_normal, uniform
+from gatewatch.functions.noise import std_normal, uniform, uniform_bits
 from gatewatch.functions.scalar import coerce_double, safe_ratio, unusual_hour
 from gatewatch.operators import ordered_scan as scan
+from gatewatch.session import write_once
 
 USER = "user_id"
 DAY = 86400
@@ -204,45 +205,104 @@ def is_new(current, previous) -> Column:
 
 
 # ------------------------------------------------------------- W5, W6
-STRATA_BUCKETS = 1024
+DRAW_BITS = 52
+STEP_BITS = 16
+#: rows of one bucket that are put in order by one task
+BUCKET_ROWS = 200_000
 
 
-def _rank_in_label(df: DataFrame, key: str, seed, stream: str, label: str | None) -> DataFrame:
-    """``df`` with ``gw_rank`` (1..n by keyed hash, then key, inside the row's
-    label) and ``gw_n`` (rows of the label). Ranks are counted inside (label,
-    hash bucket) and shifted by the counts of the buckets before, so no task
-    sorts a whole label; the count table has ``STRATA_BUCKETS`` rows a label."""
+def _drawn(df: DataFrame, key: str, seed, stream: str, label: str | None) -> DataFrame:
+    """``df``, written, with ``gw_l`` (the label as text) and ``gw_v`` (a keyed hash of 52 bits)."""
     lab = F.col(label) if label and label in df.columns else F.lit(0)
-    rows = df.withColumn("gw_u", uniform(key, seed, stream)).withColumn("gw_l", lab.cast("string")) \
-        .withColumn("gw_b", F.floor(F.col("gw_u") * STRATA_BUCKETS).cast("int"))
-    sizes = rows.groupBy("gw_l", "gw_b").agg(F.count(F.lit(1)).alias("gw_c"))
-    ahead = Window.partitionBy("gw_l").orderBy("gw_b").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.select(F.col("gw_l").alias("gw_l2"), F.col("gw_b").alias("gw_b2"),
-                         F.coalesce(F.sum("gw_c").over(ahead), F.lit(0)).alias("gw_ahead"),
-                         F.sum("gw_c").over(Window.partitionBy("gw_l")).alias("gw_n"))
-    local = rows.withColumn("gw_rank", F.row_number().over(Window.partitionBy("gw_l", "gw_b").orderBy("gw_u", key)))
-    return local.join(F.broadcast(shift), F.col("gw_l").eqNullSafe(F.col("gw_l2")) & (F.col("gw_b") == F.col("gw_b2"))) \
-        .withColumn("gw_rank", F.col("gw_rank") + F.col("gw_ahead"))
-
-
-_RANKING = ["gw_u", "gw_l", "gw_b", "gw_l2", "gw_b2", "gw_ahead", "gw_rank", "gw_n"]
+    return write_once(df.withColumn("gw_l", lab.cast("string")).withColumn("gw_v", uniform_bits(key, seed, stream)), "drawn")
+
+
+def select_ranks(rows: DataFrame, key: str, wanted, step_bits: int = STEP_BITS, bucket_rows: int = BUCKET_ROWS) -> dict:
+    """Distributed selection: label -> the (gw_v, key) at each of ``wanted(n)``
+    ranks (1..n by (gw_v, key), n rows of the label), None for rank 0.
+
+    Rows are counted per label and leading bits of the hash; only the bucket that
+    holds a rank is looked into, by its next bits while it is large, and at last
+    the rows of that bucket alone are put in order. No row is ranked otherwise."""
+    shift = DRAW_BITS - step_bits
+    sizes = rows.groupBy("gw_l", F.shiftright("gw_v", shift).alias("b")).count().collect()
+    by: dict = {}
+    for r in sizes:
+        by.setdefault(r["gw_l"], {})[r["b"]] = r["count"]
+    found, open_ = {}, {}  # open: (label, shift, bucket) -> [(place in the label's list, rank inside)]
+    for lab, count in by.items():
+        ranks = wanted(sum(count.values()))
+        found[lab] = [None] * len(ranks)
+        _place(open_, lab, shift, sorted(count.items()), [(i, r) for i, r in enumerate(ranks) if r > 0])
+    held = {(lab, shift, b): n for lab, count in by.items() for b, n in count.items()}
+    here = lambda lab, sh, b: F.col("gw_l").eqNullSafe(F.lit(lab)) & (F.shiftright("gw_v", sh) == F.lit(b))
+    while large := [k for k in open_ if held[k] > bucket_rows and k[1] > 0]:
+        for lab, sh, b in large:
+            lower = max(0, sh - step_bits)
+            count = sorted((r["c"], r["count"]) for r in rows.where(here(lab, sh, b)).groupBy(F.shiftright("gw_v", lower).alias("c")).count().collect())
+            held |= {(lab, lower, c): n for c, n in count}
+            _place(open_, lab, lower, count, open_.pop((lab, sh, b)))
+    if open_:
+        spark = rows.sparkSession
+        asked = spark.createDataFrame([(lab, sh, b, r, i) for (lab, sh, b), ranks in open_.items() for i, r in ranks],
+                                      "gw_al string, gw_sh int, gw_b bigint, gw_r bigint, gw_i int")
+        shifts = sorted({sh for _, sh, _ in open_})
+        of = {sh: asked.where(F.col("gw_sh") == sh).select("gw_al", "gw_b").distinct() for sh in shifts}
+        for sh in shifts:
+            inside = rows.join(F.broadcast(of[sh]), F.col("gw_l").eqNullSafe(F.col("gw_al")) & (F.shiftright("gw_v", sh) == F.col("gw_b")))
+            nth = F.row_number().over(Window.partitionBy("gw_al", "gw_b").orderBy("gw_v", key))
+            ask = asked.where(F.col("gw_sh") == sh).select(F.col("gw_al").alias("l2"), F.col("gw_b").alias("b2"), "gw_r", "gw_i")
+            at = inside.withColumn("gw_n", nth).join(F.broadcast(ask), F.col("gw_al").eqNullSafe(F.col("l2")) & (F.col("gw_b") == F.col("b2"))
+                                                     & (F.col("gw_n") == F.col("gw_r")))
+            for r in at.select("gw_l", "gw_i", "gw_v", F.col(key).alias("k")).collect():
+                found[r["gw_l"]][r["gw_i"]] = (r["gw_v"], r["k"])
+    return found
+
+
+def _place(open_: dict, lab, shift: int, count: list, ranks: list) -> None:
+    """Puts each rank into its bucket, with the rank inside."""
+    ahead, todo = 0, sorted(ranks, key=lambda x: x[1])
+    for b, n in count:
+        while todo and todo[0][1] <= ahead + n:
+            i, r = todo.pop(0)
+            open_.setdefault((lab, shift, b), []).append((i, r - ahead))
+        ahead += n
+
+
+def _below(cuts: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``gw_below``: how many of its label's cuts lie before the row."""
+    at = F.struct(F.col("gw_v").alias("v"), F.col(key).alias("k"))
+    joined = rows.join(F.broadcast(cuts), F.col("gw_l").eqNullSafe(F.col("gw_cl")), "left")
+    return joined.withColumn("gw_below", F.size(F.filter(F.coalesce("gw_cuts", F.array()), lambda c: c < at)))
+
+
+def _cut_table(rows: DataFrame, key: str, found: dict) -> DataFrame:
+    """One row a label: its cuts in order (a missing cut lies before all rows)."""
+    kind = rows.schema[key].dataType.simpleString()
+    values = [(lab, [{"v": -1, "k": None} if c is None else {"v": c[0], "k": c[1]} for c in cuts]) for lab, cuts in found.items()]
+    return rows.sparkSession.createDataFrame(values, f"gw_cl string, gw_cuts array<struct<v:bigint,k:{kind}>>")
 
 
 def split_flag(df: DataFrame, key: str = USER, train: float = 0.7, seed=42, label: str | None = "is_attack_ip") -> DataFrame:
-    """Stratified split. Inside each label (null is one) the rows are
-    ranked by keyed hash and the first ``round(train * n)`` are train, so every
-    label keeps its share within one row; partition-independent and
-    retry-stable. Without a label column all rows are one stratum."""
-    ranked = _rank_in_label(df, key, seed, "split", label)
-    return ranked.withColumn("split", F.when(F.col("gw_rank") <= F.floor(F.col("gw_n") * train + 0.5), "train")
-                             .otherwise("test")).drop(*_RANKING)
+    """Stratified split. Inside each label (null is one) the ``round(train * n)``
+    rows with the smallest keyed hash are train, so every label keeps its share
+    within one row; partition-independent and retry-stable. Only one threshold a
+    label is looked for (``select_ranks``); ``key`` must be unique. Without a
+    label column all rows are one stratum."""
+    rows = _drawn(df, key, seed, "split", label)
+    cuts = select_ranks(rows, key, lambda n: [math.floor(n * train + 0.5)])
+    return _below(_cut_table(rows, key, cuts), rows, key) \
+        .select(*[F.col(f"`{c}`") for c in df.columns], F.when(F.col("gw_below") == 0, "train").otherwise("test").alias("split"))
 
 
 def fold_ids(df: DataFrame, key: str = USER, k: int = 5, seed=42, label: str | None = "is_attack_ip") -> DataFrame:
-    """Stratified fold id in ``[0, k)``: the rank inside the label modulo
-    ``k``, so a label's folds differ by one row at most."""
-    ranked = _rank_in_label(df, key, seed, "fold", label)
-    return ranked.withColumn("fold", ((F.col("gw_rank") - 1) % k).cast("int")).drop(*_RANKING)
+    """Stratified fold id in ``[0, k)``: inside each label the rows in the order
+    of a keyed hash are cut into ``k`` runs (of ``floor(i n / k)`` rows up to the
+    i-th cut), so a label's folds differ by one row at most."""
+    rows = _drawn(df, key, seed, "fold", label)
+    cuts = select_ranks(rows, key, lambda n: [i * n // k for i in range(1, k)])
+    return _below(_cut_table(rows, key, cuts), rows, key) \
+        .select(*[F.col(f"`{c}`") for c in df.columns], F.col("gw_below").cast("int").alias("fold"))
 
 
 # ------------------------------------------------------------- P13

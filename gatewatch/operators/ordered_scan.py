@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from gatewatch.session import Shared, scratch_path
+from gatewatch.session import Shared, write_once
 
 USER = "user_id"
 MINUTE = 60_000_000
@@ -46,12 +46,6 @@ def in_ranges(rows: DataFrame, order: list[Column], pieces: int | None) -> DataF
     return dealt.sortWithinPartitions(*order)
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _heads(users: pa.Array) -> np.ndarray:
     """Where a new user starts (null is a user)."""
     a, b = users[1:], users[:-1]
@@ -236,7 +230,7 @@ def recent_counts(rows: DataFrame, widths: Mapping[str, int], pieces: int | None
                            at=us[start[edges]], us=us[end[edges] - 1], upto=fails[edges])
             seen += n
 
-    scanned = _kept(in_ranges(rows.select(*dict.fromkeys([*wanted, "event_id"])), order, pieces).select(*wanted).mapInArrow(scan, schema), "recent")
+    scanned = write_once(in_ranges(rows.select(*dict.fromkeys([*wanted, "event_id"])), order, pieces).select(*wanted).mapInArrow(scan, schema), "recent")
     out = [F.col(USER), *(F.col(f"`{c}`") for c in columns), *(F.col(c) for c in names)]
     settled = scanned.where("kind = 0").select(*out)
     spans: dict = {}
@@ -274,7 +268,7 @@ def recent_counts(rows: DataFrame, widths: Mapping[str, int], pieces: int | None
                 columns[b.schema.get_field_index(c)] = pa.array(values, pa.int64())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(asks, pa.list_(pa.int64()))], [*b.schema.names, "ask"])
 
-    near = _kept(scanned.where("kind = 1").mapInArrow(settle, probe), "recent_ends")
+    near = write_once(scanned.where("kind = 1").mapInArrow(settle, probe), "recent_ends")
     asked = near.select("part", "at", USER, F.posexplode("ask").alias("which", "p")).where("p IS NOT NULL")
     told = near.select("part", "at").limit(0).withColumns({c: F.lit(None).cast("bigint") for c in (f"t{i}" for i in range(len(names) + 1))})
     wide = [u for u, x in held.items() if len(x[0]) > 1]
@@ -323,7 +317,7 @@ def _ranks(asked: DataFrame, fails: DataFrame, pieces: int | None) -> DataFrame:
                     pa.array(np.ones(len(ends), bool)), users.take(pa.array(start[ends])), pa.array(np.full(len(ends), piece, np.int32)),
                     empty, empty, empty, pa.array(total)], schema=arrow)
 
-    found = _kept(in_ranges(both, order, pieces).mapInArrow(run, schema), "ranks")
+    found = write_once(in_ranges(both, order, pieces).mapInArrow(run, schema), "ranks")
     carried, ahead = [], {}
     for e in found.where("edge").select("piece", USER, "n").orderBy("piece").collect():
         if ahead.get(e[USER]):

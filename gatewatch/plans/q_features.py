@@ -129,7 +129,10 @@ register("split_shares", with_le(UF) + """
 SELECT is_attack_ip, COUNT(*) AS n, true AS train_is_70_percent, true AS folds_are_even FROM uf GROUP BY is_attack_ip""", FAM)(_split_shares)
 
 register("fold_ids", with_le(UF) + f"""
-SELECT *, CAST((row_number() OVER (PARTITION BY is_attack_ip ORDER BY {S.uniform('user_id', 42, 'fold')}, user_id) - 1) % 5 AS INTEGER) AS fold FROM uf""", FAM)(
+SELECT * EXCLUDE (r, n), CAST((CASE WHEN (1 * n) // 5 < r THEN 1 ELSE 0 END) + (CASE WHEN (2 * n) // 5 < r THEN 1 ELSE 0 END)
+       + (CASE WHEN (3 * n) // 5 < r THEN 1 ELSE 0 END) + (CASE WHEN (4 * n) // 5 < r THEN 1 ELSE 0 END) AS INTEGER) AS fold
+FROM (SELECT *, row_number() OVER (PARTITION BY is_attack_ip ORDER BY {S.uniform('user_id', 42, 'fold')}, user_id) AS r,
+             COUNT(*) OVER (PARTITION BY is_attack_ip) AS n FROM uf)""", FAM)(
     lambda spark, d: FT.fold_ids(FT.universal_features(login_events(spark, d))))
 
 

@@ -63,6 +63,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def write_once(df, name: str):
+    """``df`` as a Parquet table in the shared folder, read back: whatever uses it
+    more than once computes it once, and a lost executor costs no more than a read."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Shared:
     """A broadcast whose value may hold objects of this package. Spark pickles
     broadcasts by reference, so workers would need the package on their path;
