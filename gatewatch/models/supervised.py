@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -139,56 +138,25 @@ def dense_index(df: DataFrame, key: str, out: str) -> DataFrame:
         "*", (F.col("gw_off") + F.col("gw_local")).alias(out)).drop("gw_pid", "gw_off", "gw_local")
 
 
-def platt(scores: DataFrame, score_col: str, label: str = LABEL):
-    """Sigmoid calibration with Platt's smoothed targets: each row becomes
-    a positive with weight t and a negative with weight 1-t."""
-    cnt = {r[0]: r[1] for r in scores.groupBy(F.col(label).cast("int")).count().collect()}
-    n_pos, n_neg = cnt.get(1, 0), cnt.get(0, 0)
-    t_pos, t_neg = (n_pos + 1.0) / (n_pos + 2.0), 1.0 / (n_neg + 2.0)
-    t = F.when(F.col(label).cast("int") == 1, F.lit(t_pos)).otherwise(F.lit(t_neg))
-    base = scores.select(F.col(score_col).cast("double").alias("gw_s"), t.alias("gw_t"))
-    two = base.select("gw_s", F.lit(1.0).alias("gw_label"), F.col("gw_t").alias("gw_w")).unionByName(
-        base.select("gw_s", F.lit(0.0).alias("gw_label"), (F.lit(1.0) - F.col("gw_t")).alias("gw_w")))
-    lr = LogisticRegression(featuresCol="features", labelCol="gw_label", weightCol="gw_w", regParam=0.0,
-                            maxIter=100, standardization=False)
-    m = lr.fit(assemble(two, ["gw_s"]))
-    return float(m.coefficients[0]), float(m.intercept)
-
-
 def calibrated_boosting(train: DataFrame, data: DataFrame, feats: Sequence[str], label: str = LABEL,
                         folds: int = 5, n_iter: int = 100, max_depth: int = 4, step: float = 0.05,
                         seed: int = 42, key: str = "user_id") -> DataFrame:
     """M5: boosted trees with positive weight neg/pos; per fold fit on the
     other folds, Platt-calibrate on the held-out fold; average the folds'
-    calibrated probabilities. -> ``data`` + ``meta_prob``."""
+    calibrated probabilities. -> ``data`` + ``meta_prob``. All folds are boosted
+    together (:mod:`boosting`), and calibrated together."""
+    from gatewatch.models import boosting as B
     from gatewatch.operators.evaluate import positive_weight
 
     spw = positive_weight(train, label).first()[0]
-    tr = fold_ids(train, key, folds, seed).withColumn(
-        "gw_w", F.when(F.col(label).cast("int") == 1, F.lit(float(spw))).otherwise(F.lit(1.0)))
-    tr = materialise(_label(assemble(tr, feats), label))
-    scored = materialise(assemble(data, feats).select(key, "features"))
-
-    def one_fold(f):
-        fit_part = tr.where(F.col("fold") != f)
-        held = tr.where(F.col("fold") == f)
-        if held.limit(1).count() == 0:
-            return None
-        gbt = GBTClassifier(featuresCol="features", labelCol="gw_label", weightCol="gw_w", maxIter=n_iter,
-                            maxDepth=max_depth, stepSize=step, seed=seed)
-        m = gbt.fit(fit_part)
-        h = m.transform(held).withColumn("gw_p", vector_to_array("probability")[1])
-        a, b = platt(h, "gw_p", label)
-        raw = vector_to_array("probability")[1]
-        return m.transform(scored).select(
-            key, (F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a) * raw + F.lit(b))))).alias(f"gw_p{f}"))
-
-    probs = [p for p in parallel(one_fold, range(folds)) if p is not None]
-    out = probs[0]
-    for p in probs[1:]:
-        out = out.join(p, key)
-    mean = sum((F.col(c) for c in out.columns if c.startswith("gw_p")), F.lit(0.0)) / F.lit(float(len(probs)))
-    return data.join(out.select(key, mean.alias("meta_prob")), key)
+    rows = materialise(fold_ids(train, key, folds, seed))
+    tracks = [B.Track(step, max_depth, float(spw), f) for f in range(folds)]
+    model = B.fit(rows, feats, tracks, label, "fold", n_iter)
+    fits = B.platt_all(B.with_probabilities(rows, feats, model, "gw_p"), "gw_p", label, "fold", folds)
+    used = [f for f in range(folds) if f in {r[0] for r in rows.select("fold").distinct().collect()}] or [0]
+    p = [F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(fits[f][0]) * F.get("gw_p", F.lit(f)) + F.lit(fits[f][1])))) for f in used]
+    return B.with_probabilities(data, feats, model, "gw_p") \
+        .withColumn("meta_prob", sum(p[1:], p[0]) / F.lit(float(len(p)))).drop("gw_p")
 
 
 def stacking(train: DataFrame, data: DataFrame, feats: Sequence[str], label: str = LABEL,

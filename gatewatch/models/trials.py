@@ -8,11 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatewatch.models import boosting as B
 from gatewatch.models import iforest as IF
 from gatewatch.models import lof as LOF
 from gatewatch.models import supervised as M
@@ -64,19 +63,14 @@ def supervised_trials(train: DataFrame, test: DataFrame, table: str, feats: Sequ
 
 def boosting_trials(train: DataFrame, test: DataFrame, table: str, feats: Sequence[str] = M.BASE_FEATURES, label: str = M.LABEL,
                     rounds: int = 100, seed: int = 42, key: str = "user_id") -> DataFrame:
-    rows = M.materialise(M.assemble(train, feats).withColumn("gw_label", F.col(label).cast("double")))
-    scored = M.materialise(M.assemble(test, feats).select(key, "features", label))
-
-    def fit(s):
-        weighted = rows.withColumn("gw_w", F.when(F.col("gw_label") == 1, F.lit(float(s[2]))).otherwise(F.lit(1.0)))
-        return GBTClassifier(featuresCol="features", labelCol="gw_label", weightCol="gw_w", maxIter=rounds, maxDepth=s[1],
-                             stepSize=s[0], seed=seed).fit(weighted)
-
-    names = [f"boosting_{i}" for i in range(1, len(BOOSTING[table]) + 1)]
-    for name, s, model in zip(names, BOOSTING[table], M.parallel(fit, BOOSTING[table])):
-        scored = model.transform(scored).withColumn(f"{name}_pred", (vector_to_array("probability")[1] >= s[3]).cast("int")) \
-            .drop("rawPrediction", "probability", "prediction")
-    return _report(scored, label, names)
+    """All settings are tracks of one boosting: a pass over the rows serves them all."""
+    tracks = [B.Track(rate, depth, float(positive)) for rate, depth, positive, _ in BOOSTING[table]]
+    model = B.fit(train, feats, tracks, label, rounds=rounds)
+    names = [f"boosting_{i}" for i in range(1, len(tracks) + 1)]
+    scored = B.with_probabilities(test.select(key, *feats, label), feats, model, "gw_p")
+    for i, (name, s) in enumerate(zip(names, BOOSTING[table])):
+        scored = scored.withColumn(f"{name}_pred", (F.get("gw_p", F.lit(i)) >= s[3]).cast("int"))
+    return _report(M.materialise(scored), label, names)
 
 
 def unsupervised_trials(train: DataFrame, data: DataFrame, table: str, feats: Sequence[str] = M.BASE_FEATURES,

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatewatch.models import boosting as B
 from gatewatch.models import iforest as IF
 from gatewatch.models import lof as LOF
 from gatewatch.models import supervised as M
@@ -134,6 +135,44 @@ def _meta(spark, d):
 register("calibrated_boosting", None, FAM)(_meta)
 
 
+# Two rounds of stumps on fixed edges, for which SQL can say the whole fit.
+STUMP_EDGES = {"failed_count": [2, 5, 8, 11, 14, 17, 20, 25], "login_freq": [10, 20, 40, 60, 80, 100, 120], "unique_ips": [5, 10, 20, 40, 60]}
+
+
+def _stumps(spark, d):
+    feats = FT.universal_features(login_events(spark, d))
+    model = B.fit(feats, list(STUMP_EDGES), [B.Track(0.3, 1, 2.0), B.Track(0.5, 1, 1.0)], rounds=2, edges=list(STUMP_EDGES.values()))
+    return B.with_probabilities(feats, list(STUMP_EDGES), model, "p") \
+        .select("user_id", F.round(F.get("p", F.lit(0)), 6).alias("prob_weighted"), F.round(F.get("p", F.lit(1)), 6).alias("prob_plain"))
+
+
+def _stump_rounds_sql(name: str, rate: float, positive: float) -> str:
+    """CTEs up to ``{name}2``: user_id, is_attack_ip, features and margin after two rounds."""
+    cuts = " UNION ALL ".join(f"SELECT {i} AS f, {j} AS b, {v} AS cut" for i, e in enumerate(STUMP_EDGES.values()) for j, v in enumerate(e))
+    value = "CASE f " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(STUMP_EDGES)) + " END"
+    unit, out = float(B.UNIT), []
+    for r in (1, 2):
+        src = f"(SELECT *, 0.0 AS m FROM uf)" if r == 1 else f"{name}1"  # noqa: F541
+        w = f"(CASE WHEN is_attack_ip = 1 THEN {positive} ELSE 1.0 END)"
+        out.append(f"""{name}g{r} AS (SELECT *, round({w} * (1.0 / (1.0 + exp(-m)) - is_attack_ip) * {unit}) / {unit} AS g,
+          round({w} / (1.0 + exp(-m)) * (1.0 - 1.0 / (1.0 + exp(-m))) * {unit}) / {unit} AS h FROM {src}),
+{name}t{r} AS (SELECT SUM(g) AS tg, SUM(h) AS th FROM {name}g{r}),
+{name}c{r} AS (SELECT f, b, cut, SUM(CASE WHEN {value} <= cut THEN g ELSE 0 END) AS lg, SUM(CASE WHEN {value} <= cut THEN h ELSE 0 END) AS lh
+          FROM {name}g{r}, ({cuts}) GROUP BY f, b, cut),
+{name}b{r} AS (SELECT * FROM {name}c{r}, {name}t{r} WHERE lh >= 1 AND th - lh >= 1
+          AND lg * lg / (lh + 1) + (tg - lg) * (tg - lg) / (th - lh + 1) - tg * tg / (th + 1) > 1e-9
+          ORDER BY round(lg * lg / (lh + 1) + (tg - lg) * (tg - lg) / (th - lh + 1) - tg * tg / (th + 1), 9) DESC, f, b LIMIT 1),
+{name}{r} AS (SELECT x.* EXCLUDE (m, g, h), m + coalesce(CASE WHEN {value} <= cut THEN -{rate} * lg / (lh + 1)
+          ELSE -{rate} * (b.tg - lg) / (b.th - lh + 1) END, -{rate} * t.tg / (t.th + 1)) AS m
+          FROM {name}g{r} x CROSS JOIN {name}t{r} t LEFT JOIN {name}b{r} b ON true)""")
+    return ",\n".join(out)
+
+
+register("boosted_stumps", SQ.with_le(UF_SQL, _stump_rounds_sql("a", 0.3, 2.0), _stump_rounds_sql("z", 0.5, 1.0)) + """
+SELECT a2.user_id, round(1.0 / (1.0 + exp(-a2.m)), 6) AS prob_weighted, round(1.0 / (1.0 + exp(-z2.m)), 6) AS prob_plain
+FROM a2 JOIN z2 ON a2.user_id = z2.user_id""", FAM)(_stumps)
+
+
 def _linux_aug(spark, d):
     lin = R.normalise_rba(R.normalise_linux(R.linux_raw_from_events(load_table(spark, d, "events"))))
     return FT.augment_overlap(FT.impute_mean(FT.universal_features(lin, key="ip", label="any")))
