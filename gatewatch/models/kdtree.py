@@ -1,10 +1,14 @@
-"""A kd-tree over distinct points, grown until every leaf is small.
+"""A kd-tree over distinct points in two levels.
 
-``grow`` splits a sample at medians of the widest dimension. ``fit`` counts
-all points per leaf and splits every leaf that still holds more than
-``leaf_rows`` by a sample of its own rows, so the bound holds for the points
-and not only for the sample. Points must be distinct, so a leaf can always be
-split. The tree is a model of about ``2 n / leaf_rows`` nodes, broadcast.
+The upper level is broadcast. It is grown by rounds -- count all points per leaf,
+split every leaf over ``leaf_rows`` by a sample of its own rows, count again -- so
+the bound holds for the points and not only for the sample; but it never has more
+than about ``MAX_LEAVES`` leaves: beyond that its leaves grow with the points, and
+what the driver holds and broadcasts does not. The lower level is built inside
+the task that holds a leaf's points, from those points (``knn``).
+
+``grow`` splits at medians of the widest dimension. Points must be distinct, so a
+leaf can always be split.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from pyspark.sql import functions as F
 from gatewatch.session import Shared
 
 LEAF = -1
+#: leaves of the upper level: at 6 dimensions about 20 MB of broadcast tree
+MAX_LEAVES = 1 << 16
 
 
 class Tree:
@@ -95,11 +101,12 @@ def with_leaf(df: DataFrame, tree, feats: Sequence[str]) -> DataFrame:
     return df.mapInPandas(run, schema + ", leaf bigint")
 
 
-def fit(points: DataFrame, feats: Sequence[str], leaf_rows: int, sample_rows: int = 50_000) -> Tree:
+def fit(points: DataFrame, feats: Sequence[str], leaf_rows: int, sample_rows: int = 50_000, max_leaves: int = MAX_LEAVES) -> Tree:
     """Rounds of (sample the oversized leaves, split them, count again)."""
     spark, feats = points.sparkSession, list(feats)
     tree = Tree(len(feats))
     big = {0: points.count()}
+    leaf_rows = max(leaf_rows, -(-4 * big[0] // max_leaves))  # leaves end between a quarter of this and this
     draw = F.pmod(F.xxhash64(*feats), F.lit(1 << 30)) / F.lit(float(1 << 30))
     while big := {leaf: n for leaf, n in big.items() if n > leaf_rows}:
         shared = Shared(spark, tree)

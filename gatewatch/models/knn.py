@@ -3,7 +3,8 @@
 One method at every size. Equal reference points become one point with its
 ``k + 1`` smallest ids, equal query points one query, so copies cost nothing.
 The points are dealt to the leaves of a kd-tree whose leaves are all bounded
-(:mod:`gatewatch.models.kdtree`):
+(:mod:`gatewatch.models.kdtree`, the upper level; a task splits a large leaf by a
+tree of its own):
 
 1. every query looks for neighbours in its own leaf, which gives a radius;
 2. it visits the other leaves that its ball reaches, found down the tree;
@@ -31,24 +32,63 @@ BLOCK_BYTES = 32 << 20  # of one block of differences
 
 def _nearest(q: np.ndarray, x: np.ndarray, ids: list, k: int) -> tuple[list, list]:
     """Per query the ``k`` (distance, id) smallest among points that hold several ids each."""
+    if not len(q) or not len(x):
+        return [[] for _ in range(len(q))], [[] for _ in range(len(q))]
+    point = np.repeat(np.arange(len(x)), [len(i) for i in ids])
+    names = np.array([n for i in ids for n in i], dtype=object)
+    order = np.argsort(names, kind="stable")
+    point, names = point[order], names[order]  # columns in the order of ids
     out_i, out_d = [], []
-    step = max(1, BLOCK_BYTES // (8 * max(1, x.size)))
+    step = max(1, BLOCK_BYTES // (8 * max(1, max(x.size, len(names)))))
     for s in range(0, len(q), step):
-        d = np.sqrt(((q[s:s + step, None, :] - x[None, :, :]) ** 2).sum(axis=2))
-        cut = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.inf)
-        for row, c in zip(d, cut):
-            best = sorted((row[j], i) for j in np.flatnonzero(row <= c) for i in ids[j])[:k]
-            out_d.append([float(v) for v, _ in best])
-            out_i.append([i for _, i in best])
+        d = np.sqrt(((q[s:s + step, None, :] - x[None, :, :]) ** 2).sum(axis=2))[:, point]
+        some = np.broadcast_to(np.arange(d.shape[1]), d.shape)
+        if d.shape[1] > k:
+            cut = np.partition(d, k - 1, axis=1)[:, k - 1]
+            most = int((d <= cut[:, None]).sum(axis=1).max())  # the k-th and what ties with it
+            if most < d.shape[1]:
+                some = np.sort(np.argpartition(d, most - 1, axis=1)[:, :most], axis=1)
+        near = np.take_along_axis(d, some, axis=1)
+        by = np.argsort(near, axis=1, kind="stable")[:, :k]  # ties stay in the order of ids
+        out_d += np.take_along_axis(near, by, axis=1).tolist()
+        out_i += names[np.take_along_axis(some, by, axis=1)].tolist()
     return out_i, out_d
 
 
+def _nearest_in_leaf(q: np.ndarray, x: np.ndarray, ids: list, k: int, rows: int) -> tuple[list, list]:
+    """``_nearest`` through the lower level: a tree over this leaf's own points."""
+    if len(x) <= rows or not len(q):
+        return _nearest(q, x, ids, k)
+    tree = kdtree.Tree(x.shape[1])
+    tree.grow(0, x, rows)
+    at, home = tree.route(x), tree.route(q)
+    found: list = [[] for _ in range(len(q))]
+    inside = {leaf: np.flatnonzero(at == leaf) for leaf in np.unique(at).tolist()}
+
+    def look(leaf: int, who: np.ndarray) -> None:
+        mine = inside.get(leaf)
+        if mine is None or not len(who):
+            return
+        i, d = _nearest(q[who], x[mine], [ids[j] for j in mine.tolist()], k)
+        for w, names, dists in zip(who.tolist(), i, d):
+            found[w] = sorted([*found[w], *zip(dists, names)])[:k]
+
+    for leaf in np.unique(home).tolist():
+        look(leaf, np.flatnonzero(home == leaf))
+    radius = np.array([f[-1][0] if len(f) >= k else np.inf for f in found])
+    for leaf, who in tree.near(q, radius):
+        look(leaf, who[home[who] != leaf])
+    return [[n for _, n in f] for f in found], [[d for d, _ in f] for f in found]
+
+
 def _search(queries: DataFrame, points: DataFrame, feats: list[str], k: int, leaf_rows: int) -> DataFrame:
     """``queries`` (feats, leaf) against the points of their leaf: feats, i, d.
     Leaves with many queries are searched in several groups."""
     sc = queries.sparkSession.sparkContext
-    # one number per leaf: bounded like the tree
-    chunks = sc.broadcast({r["leaf"]: -(-r["count"] // leaf_rows) for r in queries.groupBy("leaf").count().collect()})
+    # one number per leaf: bounded like the tree. A group of queries is as large as
+    # the leaf at least, so the copies of a leaf's points are no more rows than its queries
+    held = {r["leaf"]: max(leaf_rows, r["count"]) for r in points.groupBy("leaf").count().collect()}
+    chunks = sc.broadcast({r["leaf"]: -(-r["count"] // held.get(r["leaf"], leaf_rows)) for r in queries.groupBy("leaf").count().collect()})
 
     def spread(batches):
         for pdf in batches:
@@ -66,8 +106,7 @@ def _search(queries: DataFrame, points: DataFrame, feats: list[str], k: int, lea
     p = points.mapInPandas(spread, base + ", ids array<string>, leaf bigint, chunk bigint")
 
     def local(qdf: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        i, d = _nearest(qdf[feats].to_numpy(np.float64), pdf[feats].to_numpy(np.float64), [list(x) for x in pdf["ids"]], k) \
-            if len(qdf) and len(pdf) else ([[]] * len(qdf), [[]] * len(qdf))
+        i, d = _nearest_in_leaf(qdf[feats].to_numpy(np.float64), pdf[feats].to_numpy(np.float64), [list(x) for x in pdf["ids"]], k, leaf_rows)
         return qdf[feats].assign(i=pd.Series(i, dtype=object, index=qdf.index), d=pd.Series(d, dtype=object, index=qdf.index))
 
     return q.groupBy("leaf", "chunk").cogroup(p.groupBy("leaf", "chunk")) \
@@ -75,10 +114,10 @@ def _search(queries: DataFrame, points: DataFrame, feats: list[str], k: int, lea
 
 
 def knn(queries: DataFrame, ref: DataFrame, id_col: str, feat_cols: Sequence[str], k: int,
-        exclude_self: bool = False, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+        exclude_self: bool = False, leaf_rows: int = LEAF_ROWS, max_leaves: int = kdtree.MAX_LEAVES) -> DataFrame:
     """``id_col, nbr_ids array<string>, nbr_dists array<double>`` per query row,
-    neighbours by (distance, id). Ids are compared as strings. ``leaf_rows``
-    changes the work, not the result."""
+    neighbours by (distance, id). Ids are compared as strings. ``leaf_rows`` and
+    ``max_leaves`` change the work, not the result."""
     from gatewatch.models.supervised import materialise
 
     feats = list(feat_cols)
@@ -88,7 +127,7 @@ def knn(queries: DataFrame, ref: DataFrame, id_col: str, feat_cols: Sequence[str
     first = Window.partitionBy(*feats).orderBy(id_col)
     points = materialise(r_rows.withColumn("gw_n", F.row_number().over(first)).where(F.col("gw_n") <= need)
                          .groupBy(*feats).agg(F.array_sort(F.collect_list(id_col)).alias("ids")))
-    tree = Shared(queries.sparkSession, kdtree.fit(points, feats, max(leaf_rows, 2)))
+    tree = Shared(queries.sparkSession, kdtree.fit(points, feats, max(leaf_rows, 2), max_leaves=max_leaves))
     placed = materialise(kdtree.with_leaf(points, tree, feats))
     asked = materialise(kdtree.with_leaf(q_rows.select(*feats).distinct(), tree, feats))
     near = materialise(_search(asked, placed, feats, need, leaf_rows))

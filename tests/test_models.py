@@ -150,8 +150,8 @@ def test_calibrated_boosting_probabilities(spark, outliers):
     assert out["meta_prob"].to_numpy()[y == 1].mean() > out["meta_prob"].to_numpy()[y == 0].mean() + 0.3
 
 
-@pytest.mark.parametrize("leaf_rows", [30, 100, 4096])
-def test_knn_exact_with_heavy_duplicates_and_ties(spark, leaf_rows):
+@pytest.mark.parametrize("leaf_rows,max_leaves", [(30, 1 << 16), (100, 1 << 16), (4096, 1 << 16), (30, 8), (10, 1)])
+def test_knn_exact_with_heavy_duplicates_and_ties(spark, leaf_rows, max_leaves):
     rng = np.random.default_rng(3)
     x = np.round(rng.normal(size=(600, 3)), 1)  # a coarse grid: many equal distances
     x[:200] = [1.0, 2.0, 3.0]                   # a third of all rows share one vector
@@ -159,14 +159,15 @@ def test_knn_exact_with_heavy_duplicates_and_ties(spark, leaf_rows):
     pdf = pd.DataFrame(x, columns=["a", "b", "c"])
     pdf.insert(0, "id", ids)
     df = spark.createDataFrame(pdf).repartition(5)
-    got = knn(df, df, "id", ["a", "b", "c"], 7, exclude_self=True, leaf_rows=leaf_rows).toPandas().set_index("id").loc[ids]
+    got = knn(df, df, "id", ["a", "b", "c"], 7, exclude_self=True, leaf_rows=leaf_rows, max_leaves=max_leaves) \
+        .toPandas().set_index("id").loc[ids]
     d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
     for i in range(len(x)):
         want = sorted((d[i, j], ids[j]) for j in range(len(x)) if j != i)[:7]
         assert list(got.iloc[i]["nbr_ids"]) == [n for _, n in want]
         assert np.allclose(got.iloc[i]["nbr_dists"], [v for v, _ in want])
     q = spark.createDataFrame(pd.DataFrame({"id": [f"q{i}" for i in range(50)], **{c: np.round(rng.normal(size=50), 1) for c in "abc"}}))
-    got_q = knn(q, df, "id", ["a", "b", "c"], 5, leaf_rows=leaf_rows).toPandas().set_index("id")
+    got_q = knn(q, df, "id", ["a", "b", "c"], 5, leaf_rows=leaf_rows, max_leaves=max_leaves).toPandas().set_index("id")
     for r in q.toPandas().itertuples():
         dq = np.sqrt(((x - np.array([r.a, r.b, r.c])) ** 2).sum(-1))
         assert list(got_q.loc[r.id, "nbr_ids"]) == [n for _, n in sorted(zip(dq, ids))[:5]]
@@ -178,6 +179,18 @@ def test_knn_of_few_and_no_points(spark):
     assert got == {"a": ["b"], "b": ["a"]}
 
 
+def test_the_broadcast_tree_does_not_grow_with_the_points(spark):
+    from gatewatch.models import kdtree
+
+    rng = np.random.default_rng(1)
+    sizes = []
+    for n in (5_000, 40_000):
+        pts = spark.createDataFrame(pd.DataFrame(rng.normal(size=(n, 2)), columns=["a", "b"]))
+        tree = kdtree.fit(pts, ["a", "b"], leaf_rows=10, sample_rows=2_000, max_leaves=64)
+        sizes.append(sum(f == kdtree.LEAF for f in tree.feat))
+    assert max(sizes) <= 64
+
+
 @pytest.mark.parametrize("n", [4_000, 16_000])
 def test_kdtree_leaves_are_bounded_at_any_size(spark, n):
     """The sample stays the same while the points grow."""
