@@ -9,6 +9,7 @@ per-detector scans.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -120,25 +121,32 @@ def merge_metrics(*tables: DataFrame, key: str = "detector") -> DataFrame:
 
 def agreement(frames: dict[str, DataFrame], truth: DataFrame, key: str = "user_id",
               truth_col: str = "is_attack_ip") -> DataFrame:
-    """Align detectors by key (full outer join, never by position),
-    with ground truth; a user missing from a detector counts as not flagged."""
-    out = truth.select(key, F.col(truth_col).cast("int").alias(truth_col))
-    for name, f in frames.items():
-        out = out.join(f.select(key, F.col(name).cast("int").alias(name)), key, "full_outer")
-    flags = [F.coalesce(F.col(n), F.lit(0)) for n in frames]
-    return out.select(key, F.coalesce(F.col(truth_col), F.lit(0)).alias(truth_col),
-                      *[f.alias(n) for f, n in zip(flags, frames)],
-                      sum(flags, F.lit(0)).alias("votes"))
+    """Align detectors by key (as a full outer join would, never by position),
+    with ground truth; a user missing from a detector counts as not flagged. The
+    frames are stacked and grouped by key once: one shuffle, whatever their
+    number. Of repeated keys in a frame the highest flag counts; null is a key."""
+    tables = {truth_col: truth, **frames}
+    parts = [f.select(F.col(key).alias(key), *[(F.col(n) if n == name else F.lit(None)).cast("int").alias(n) for n in tables])
+             for name, f in tables.items()]
+    out = reduce(DataFrame.unionByName, parts).groupBy(key).agg(*[F.coalesce(F.max(n), F.lit(0)).alias(n) for n in tables])
+    return out.select(key, truth_col, *frames, sum((F.col(n) for n in frames), F.lit(0)).alias("votes"))
 
 
 def threshold_sweep(scores: DataFrame, score: str, truth: str,
                     thresholds: Sequence[float] = tuple(round(0.1 * i, 1) for i in range(1, 11))) -> DataFrame:
-    """Precision / recall at each threshold (``score >= t``). The
-    threshold list is exploded per row (Generate) into one grouped count."""
-    arr = F.array(*[F.lit(float(t)) for t in thresholds])
-    x = scores.select(F.col(score).alias("gw_s"), _b(truth).alias("gw_t"), F.explode(arr).alias("threshold"))
-    pred = F.col("gw_s") >= F.col("threshold")
-    conf = x.groupBy("threshold").agg(
-        F.count_if(pred & F.col("gw_t")).alias("tp"), F.count_if(pred & ~F.col("gw_t")).alias("fp"),
-        F.count_if(~pred & F.col("gw_t")).alias("fn"), F.count_if(~pred & ~F.col("gw_t")).alias("tn"))
+    """Precision / recall at each threshold (``score >= t``). A row is
+    counted once, in the bin of the thresholds that it reaches; the counts at a
+    threshold are the sums of the bins from it on, over a table of one row a
+    threshold. A null score reaches none; a row without a truth is not counted,
+    nor is one of a null score among the negatives."""
+    cuts = sorted({float(t) for t in thresholds})
+    reached = reduce(Column.__add__, [(F.col(score) >= F.lit(t)).cast("int") for t in cuts])
+    n = lambda on: F.count_if(on)
+    t = _b(truth)
+    bins = scores.groupBy(reached.alias("gw_bin")).agg(n(t).alias("pos"), n(~t).alias("neg")).where("gw_bin IS NOT NULL")
+    table = F.array(*[F.struct(F.lit(i + 1).alias("i"), F.lit(c).alias("threshold")) for i, c in enumerate(cuts)])
+    each = bins.select("pos", "neg", "gw_bin", F.explode(table).alias("c")).select("pos", "neg", (F.col("gw_bin") >= F.col("c.i")).alias("on"), "c.threshold")
+    total = lambda col, on: F.coalesce(F.sum(F.when(on, F.col(col))), F.lit(0)).cast("bigint")
+    conf = each.groupBy("threshold").agg(total("pos", F.col("on")).alias("tp"), total("neg", F.col("on")).alias("fp"),
+                                         total("pos", ~F.col("on")).alias("fn"), total("neg", ~F.col("on")).alias("tn"))
     return metrics(conf)
