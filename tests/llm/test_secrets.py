@@ -78,3 +78,29 @@ def test_short_values_after_a_naming_word(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert [r.candidate for r in secrets.candidates(docs).orderBy("word_no").collect()] == ["hunter2!", "p@ss,w0rd", "ab$9"]
     assert len(secrets.scan(docs, path=None).collect()) == 3
+
+
+PUBLIC = ["see commit 9fceb02d0ae598e95dc970b74767f19372d61af8 for details", "session 123e4567-e89b-12d3-a456-426614174000 was closed",
+          "deployed build-20240311-a1b2c3d to production today", "read /articles/2024/03/winter-travel-guide/ next",
+          "the file src/main/java/util/StringHelper2 was moved", "sha256: e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855 ok",
+          "version: release_2024_03_11_candidate7 is out"]
+
+
+def test_public_strings_are_not_flagged(spark):
+    _, planted, rows = made(spark)
+    extra = [(1000 + i, t, "src/a") for i, t in enumerate(PUBLIC)]
+    docs = spark.createDataFrame(rows + extra, "doc_id long, text string, source string")
+    got = secrets.scan(docs).collect()
+    assert {r.doc_id for r in got if r.doc_id >= 1000} == {r[0] for r in extra}
+    assert [(r.candidate, r.score) for r in got if r.doc_id >= 1000 and r.is_secret] == []
+    assert {(r.doc_id, r.candidate) for r in got if r.is_secret} == planted
+
+
+def test_a_very_long_word_is_linear(spark):
+    import time
+    _, _, rows = made(spark)
+    long = "".join(random.Random(3).choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1_000_000))
+    docs = spark.createDataFrame(rows + [(2000, f"data {long} end", None)], "doc_id long, text string, source string")
+    began = time.time()
+    got = [r for r in secrets.scan(docs).collect() if r.doc_id == 2000]
+    assert len(got) == 1 and len(got[0].candidate) == 1_000_000 and time.time() - began < 60
