@@ -1,20 +1,30 @@
 """Soft-membership mixing: document rates whose expected domain token totals meet targets.
 
 A softmax classifier, trained on labelled rows, gives every document posteriors
-over the domains. Rates r_i >= 0 minimise the weighted squared gap between the
-expected totals ``sum_i r_i * tokens_i * p_id`` and ``weight_d * budget`` by
-projected gradient steps from r = 1. A step changes r_i by ``p_i . q`` for one
-vector q of a few numbers, so a document's rate is replayed from the list of
-steps: one small table of tokens and posteriors is written, and a step is one
-sum over it. Sums are of fixed-point integers, so they do not depend on order.
+over the domains. With the expected totals ``e(r) = sum_i r_i tokens_i p_i`` and
+the targets ``g = weight * budget`` the rates minimise
+
+    (e(r) - g) . W (e(r) - g) / 2    subject to    r_i >= least
+
+by projected gradient steps from r = 1 (``least`` is 0, or 1 where every document
+is to stay). W is the inverse of ``sum_i tokens_i p_i p_i'``, so gaps are measured
+by how hard a domain's total is to move; the gradient is taken per token, for
+which 1 is the reciprocal of the largest curvature and thus the step length. A
+step is ``r_i = max(least, y_i + p_i . q)`` for one vector ``q = W (g - e(y))``, where y
+goes a share of the last move beyond r (acceleration, begun anew when the objective
+rises). So a document's rate is replayed from the list of steps: one small table of
+tokens and posteriors is written, and a step is one sum over it. Sums are of fixed-point
+integers, so they do not depend on order. At the optimum ``p_i . q`` is 0 for every
+document above ``least`` and not above 0 for the others.
 
 Sampling bound (the only sampled part): the classifier is fitted on at most
 ``max_labelled`` labelled texts, those with the smallest id hash.
 
 Defined results: null or empty text has no tokens; its posterior is the
-classifier's bias and its rate follows from it; without any usable labelled
-row all posteriors are equal and, without a budget, all rates 1; an empty table gives no rates; repeated rows
-have equal rates; a target domain that no document can belong to stays unmet.
+classifier's bias and its rate follows from it; where all documents have one
+posterior (no usable labelled row) and there is no budget, all rates are 1; an
+empty table gives no rates; repeated rows have equal rates; a target domain that
+no document can belong to stays unmet.
 """
 
 from __future__ import annotations
@@ -140,38 +150,33 @@ def with_posteriors(docs: DataFrame, model: DomainModel, tokens: str, posterior:
     return docs.mapInArrow(run, schema)
 
 
-def rate_of(posterior: Column, steps: list[list[float]]) -> Column:
-    """The rate after the given steps: from 1, each adds p . q and stops at 0."""
-    def step(rate: Column, q: list[float]) -> Column:
-        move = reduce(Column.__add__, [posterior[d] * F.lit(float(x)) for d, x in enumerate(q)])
-        return F.greatest(F.lit(0.0), rate + move)
-    return reduce(step, steps, F.lit(1.0))
+def _replay(posterior: Column, steps: list[list[float]], least: float) -> Column:
+    """(rate, the rate before) after the given steps ``[*q, ahead]``."""
+    k = len(steps[0]) - 1
+    every = F.array(*[F.array(*[F.lit(float(x)) for x in q]) for q in steps])
+    one = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("was"))
 
+    def step(s: Column, q: Column) -> Column:
+        at = s["r"] + q[k] * (s["r"] - s["was"])
+        move = reduce(Column.__add__, [posterior[d] * q[d] for d in range(k)])
+        return F.struct(F.greatest(F.lit(float(least)), at + move).alias("r"), s["r"].alias("was"))
+    return F.aggregate(every, one, step)
 
-def nearest(m: np.ndarray, goal: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """u >= ``least`` that minimises ``u.m.u / 2 - goal.u``, by coordinate descent."""
-    u = least.copy()
-    for _ in range(2000):
-        for d in range(len(u)):
-            u[d] = max(least[d], u[d] + (goal[d] - m[d] @ u) / m[d, d])
-    return u
 
+def rate_of(posterior: Column, steps: list[list[float]], least: float = 0.0) -> Column:
+    """The rate after the given steps: from 1, each goes a share ``ahead`` of the
+    last move on, adds p . q and stops at ``least``."""
+    return _replay(posterior, steps, least)["r"] if steps else F.lit(1.0)
 
-def fit_rates(posteriors: DataFrame, weights: list[float], budget: float | None = None, tolerance: float = 1e-4,
-              max_steps: int = 25) -> tuple[list[list[float]], dict]:
+
+def fit_rates(posteriors: DataFrame, weights: list[float], budget: float | None = None, least: float = 0.0, tolerance: float = 1e-5,
+              max_steps: int = 40) -> tuple[list[list[float]], dict]:
     """Steps for ``rate_of`` from a written table (tokens, posterior).
 
     ``weights`` are scaled to sum to 1. ``budget`` is the wanted token total; by
-    default the smallest one (and a thousandth) that thins out no document of
-    a wanted domain: a full step from r = 1 gives ``budget * p . v`` with v the
-    inverse products times the weights, which is 1 or more for every posterior
-    once ``budget * v_d`` is for every domain. Where a wanted domain's v is 0 or
-    less (it is confused with another), v is solved with v >= 0, and the rates
-    are ``p . u`` with the u nearest to the targets that is 1 or more for every
-    wanted domain; later steps stop before they bring one below 1. Documents
-    that all have one posterior keep rate 1. The gap is weighted by that inverse
-    (of the domains' token-weighted posterior products), for which a full step
-    is a safe step length.
+    default the smallest for which no wanted domain has to shrink, the greatest
+    of ``e_d(1) / weight_d``. Steps end when a step moves no total by more than
+    ``tolerance`` of the budget. The second result has the totals and the targets.
     """
     k = len(weights)
     w = np.array(weights, float) / sum(weights)
@@ -179,39 +184,48 @@ def fit_rates(posteriors: DataFrame, weights: list[float], budget: float | None
     whole = lambda c: F.sum(F.round(c * UNIT).cast("bigint").cast("decimal(38,0)"))
     pairs = [(a, b) for a in range(k) for b in range(a, k)]
     row = posteriors.agg(*[whole(F.col("tokens") * p[a] * p[b]).alias(f"m{a}_{b}") for a, b in pairs],
+                         *[whole(F.col("tokens") * x).alias(f"e{d}") for d, x in enumerate(p)],
                          *[(F.max(F.when(F.col("tokens") > 0, x)) - F.min(F.when(F.col("tokens") > 0, x))).alias(f"r{d}")
                            for d, x in enumerate(p)]).first()
     m = np.zeros((k, k))
     for a, b in pairs:
         m[a, b] = m[b, a] = float(row[f"m{a}_{b}"] or 0) / UNIT
+    totals = np.array([float(row[f"e{d}"] or 0) / UNIT for d in range(k)])
     if m.sum() <= 0:
         return [], {"totals": [0.0] * k, "targets": [0.0] * k}
     if budget is None and k > 1 and all(row[f"r{d}"] <= 2e-6 for d in range(k)):
-        return [], {"totals": m.sum(axis=1).tolist(), "targets": (w * m.sum()).tolist()}
-    ridged = m + 1e-6 * np.trace(m) / k * np.eye(k)
-    inverse = np.linalg.inv(ridged)
-    v = inverse @ w
-    least = (w > 0).astype(float)  # of a domain's rate under the default budget
+        return [], {"totals": totals.tolist(), "targets": (w * totals.sum()).tolist()}
+    inverse = np.linalg.inv(m + 1e-6 * np.trace(m) / k * np.eye(k))
+    target = w * (budget if budget is not None else (totals[w > 0] / w[w > 0]).max())
     steps: list[list[float]] = []
-    thins = budget is None and bool((v[w > 0] <= 0).any())
-    if thins:
-        v = nearest(ridged, w, np.zeros(k))
-        gain = reduce(Column.__add__, [p[d] * F.lit(float(x)) for d, x in enumerate(v)])
-        # what gains under a hundredth of the most gets no part of the budget, only its rate of 1
-        low = posteriors.where("tokens > 0").where(gain > float(v.max()) / 100).agg(F.min(gain)).first()[0]
-        target = w * 1.001 / low
-        steps = [(nearest(ridged, target, least) - 1).tolist()]
-    else:
-        target = w * (budget if budget is not None else 1.001 / v[w > 0].min())
+    ahead, pace, last = 0.0, 1.0, np.inf
     while True:
-        got = posteriors.agg(*[whole(F.col("tokens") * rate_of(F.col("posterior"), steps) * p[d]).alias(f"e{d}") for d in range(k)]).first()
-        totals = np.array([float(got[f"e{d}"] or 0) / UNIT for d in range(k)])
         gap = target - totals
+        if gap @ inverse @ gap > last and ahead:  # went too far: from the last rates again
+            ahead, pace = 0.0, 1.0
+            totals = _totals(posteriors, steps, 0.0, least)
+            gap = target - totals
+        last = gap @ inverse @ gap
         q = inverse @ gap
-        below = budget is None and bool(((1 + np.sum([*steps, q], axis=0))[w > 0] < 1).any())
-        if np.abs(gap).max() <= tolerance * target.sum() or len(steps) >= max_steps or thins or below:
-            return steps, {"totals": totals.tolist(), "targets": target.tolist()}
-        steps.append(q.tolist())
+        if len(steps) >= max_steps:
+            break
+        steps.append([*q.tolist(), ahead])
+        faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
+        ahead, pace = (pace - 1) / faster, faster
+        before, totals = totals, _totals(posteriors, steps, ahead, least)
+        if np.abs(totals - before).max() <= tolerance * target.sum():
+            break
+    return steps, {"totals": totals.tolist(), "targets": target.tolist()}
+
+
+def _totals(posteriors: DataFrame, steps: list[list[float]], ahead: float, least: float) -> np.ndarray:
+    """Expected domain totals at the rates after ``steps`` and a share ``ahead`` of the last move."""
+    k = len(steps[0]) - 1
+    s = F.col("gw_s")
+    row = posteriors.withColumn("gw_s", _replay(F.col("posterior"), steps, least)) \
+        .select("posterior", (F.col("tokens") * (s["r"] + F.lit(float(ahead)) * (s["r"] - s["was"])) * UNIT).alias("t")) \
+        .agg(*[F.sum(F.round(F.col("t") * F.col("posterior")[d]).cast("bigint").cast("decimal(38,0)")) for d in range(k)]).first()
+    return np.array([float(x or 0) / UNIT for x in row])
 
 
 def copies_of(rate: Column, key: Column) -> Column:
@@ -221,12 +235,12 @@ def copies_of(rate: Column, key: Column) -> Column:
 
 
 def document_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None,
-                   max_labelled: int = 4000) -> DataFrame:
+                   least: float = 0.0, max_labelled: int = 4000) -> DataFrame:
     """doc_id, domain (the likeliest), n_tokens, posterior, rate, copies per row of ``docs``."""
     model = train_domains(docs, labelled, list(targets), max_labelled)
     table = written(with_posteriors(docs.select("doc_id", "text"), model, "tokens", "posterior").drop("text"), "posteriors")
-    steps, _ = fit_rates(table, list(targets.values()), budget)
-    rate = rate_of(F.col("posterior"), steps)
+    steps, _ = fit_rates(table, list(targets.values()), budget, least)
+    rate = rate_of(F.col("posterior"), steps, least)
     names = F.array(*[F.lit(d) for d in targets])
     return table.select("doc_id", names[F.array_position("posterior", F.array_max("posterior")).cast("int") - 1].alias("domain"),
                         F.col("tokens").alias("n_tokens"), "posterior", rate.alias("rate"),
@@ -234,12 +248,13 @@ def document_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, floa
 
 
 def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None,
-             max_labelled: int = 4000) -> DataFrame:
-    """``docs`` (all its columns), every row as often as its rate says."""
+             least: float = 1.0, max_labelled: int = 4000) -> DataFrame:
+    """``docs`` (all its columns), every row as often as its rate says: at least
+    once, unless ``least`` is lower."""
     model = train_domains(docs, labelled, list(targets), max_labelled)
     t, p, c = (spare(docs, x) for x in ("_tokens", "_posterior", "_copy"))
-    table = written(with_posteriors(docs.select("text"), model, "tokens", "posterior").drop("text"), "posteriors")
-    steps, _ = fit_rates(table, list(targets.values()), budget)
-    n = copies_of(rate_of(F.col(p), steps), F.col("doc_id"))
+    table = written(with_posteriors(docs.select("text"), model, t, p).drop("text"), "posteriors")
+    steps, _ = fit_rates(table.select(F.col(t).alias("tokens"), F.col(p).alias("posterior")), list(targets.values()), budget, least)
+    n = copies_of(rate_of(F.col(p), steps, least), F.col("doc_id"))
     each = with_posteriors(docs, model, t, p).withColumn(c, F.explode(F.array_repeat(F.lit(1), n)))
     return each.select(*[F.col(f"`{x}`") for x in docs.columns])

@@ -14,41 +14,58 @@ def made(spark, n=200):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
 
 
-def descend(p, t, target, inverse, steps):
-    """Brute force: every document's rate kept, plain projected steps."""
-    r = np.ones(len(p))
-    for _ in range(steps):
-        gap = target - (r * t) @ p
-        r = np.maximum(0, r + p @ (inverse @ gap))
+def replay(p, steps, least):
+    """The rates of all documents after the steps, kept one by one."""
+    r = was = np.ones(len(p))
+    for *q, ahead in steps:
+        r, was = np.maximum(least, r + ahead * (r - was) + p @ np.array(q)), r
     return r
 
 
+def inverse_of(p, t):
+    m = (p * t[:, None]).T @ p
+    return np.linalg.inv(m + 1e-6 * np.trace(m) / p.shape[1] * np.eye(p.shape[1]))
+
+
 def test_rates_meet_targets_and_equal_brute_force(spark):
     docs = made(spark)
     labelled = docs.selectExpr("doc_id", "lang AS domain").where("doc_id % 2 = 0")
-    rows = mixing.document_rates(docs, labelled, {"a": 0.5, "b": 0.5}).toPandas().sort_values("doc_id")
+    rows = mixing.document_rates(docs, labelled, {"a": 0.5, "b": 0.5}, least=1.0).toPandas().sort_values("doc_id")
     truth = dict(docs.select("doc_id", "lang").collect())
     assert all(rows.domain == [truth[i] for i in rows.doc_id])
     p, t = np.stack(rows.posterior), rows.n_tokens.to_numpy(float)
     totals = (rows.rate.to_numpy() * t) @ p
     assert abs(totals[0] / totals.sum() - 0.5) < 1e-3
-    m = (p * t[:, None]).T @ p
-    inverse = np.linalg.inv(m + 1e-6 * np.trace(m) / 2 * np.eye(2))
-    target = np.full(2, 0.5) * 1.001 / (inverse @ [0.5, 0.5]).min()
-    want = descend(p, t, target, inverse, 1)
     assert rows.rate.min() >= 1 and rows.copies.min() >= 1  # no document is thinned out
-    assert np.allclose(rows.rate, want, atol=1e-3)
-
-
-def test_projection_stops_at_zero(spark):
-    table = spark.createDataFrame([(100, [1.0, 0.0]), (100, [0.5, 0.5]), (0, [0.0, 1.0])], "tokens long, posterior array<double>")
-    steps, info = mixing.fit_rates(table, [0.0, 1.0], budget=50.0, max_steps=25)
-    rates = [r[0] for r in table.select(mixing.rate_of(table["posterior"], steps)).collect()]
-    assert min(rates) >= 0 and len(steps) > 1
-    p, t = np.array([[1, 0], [.5, .5], [0, 1.]]), np.array([100, 100, 0.])
-    best = min((((np.array([a, b]) * t[:2]) @ p[:2] - [0, 50]) @ np.linalg.inv((p * t[:, None]).T @ p) @ ((np.array([a, b]) * t[:2]) @ p[:2] - [0, 50]), a, b)
-               for a in np.arange(0, 1.5, .02) for b in np.arange(0, 1.5, .02))
-    assert abs(rates[0] - best[1]) < 0.05 and abs(rates[1] - best[2]) < 0.05
+    target = np.full(2, 0.5) * (t @ p / 0.5).max()
+    pull = p @ (inverse_of(p, t) @ (target - totals))
+    assert (np.abs(pull[rows.rate > 1 + 1e-9]) < 1e-3).all()
+
+
+def table_of(spark, seed, n=400):
+    """Documents of four domains that the posteriors confuse."""
+    rng = np.random.default_rng(seed)
+    p = rng.dirichlet([0.4] * 4, n).round(6)
+    t = rng.integers(0, 500, n)
+    rows = [(int(a), [float(x) for x in b]) for a, b in zip(t, p)]
+    return p, t.astype(float), spark.createDataFrame(rows, "tokens long, posterior array<double>").repartition(3)
+
+
+def test_projection_acts_and_the_optimum_holds(spark):
+    """The conditions of the optimum: no pull on a rate above the bound, none upwards on one at it."""
+    for seed, weights, share, least in ((1, [0.6, 0.4, 0.0, 0.0], 0.5, 0.0), (2, [0.7, 0.1, 0.1, 0.1], 0.8, 0.0), (3, [0.25, 0.25, 0.25, 0.25], 1.5, 1.0)):
+        p, t, table = table_of(spark, seed)
+        steps, info = mixing.fit_rates(table, weights, share * t.sum(), least, tolerance=1e-6, max_steps=30)
+        got = table.select("tokens", "posterior", mixing.rate_of(table["posterior"], steps, least).alias("r")).toPandas()
+        p, t, r = np.stack(got.posterior), got.tokens.to_numpy(float), got.r.to_numpy()
+        assert np.allclose(r, replay(p, steps, least), atol=1e-9)
+        target = np.array(weights) * share * t.sum()
+        gap = lambda x: (target - (x * t) @ p) @ inverse_of(p, t) @ (target - (x * t) @ p)
+        pull, low = p @ (inverse_of(p, t) @ (target - (r * t) @ p)), r <= least + 1e-9
+        assert (np.abs(pull[~low]) < 0.02).all() and (pull[low] < 0.02).all(), (seed, np.abs(pull[~low]).max())
+        assert gap(r) < 1e-2 * gap(np.ones(len(r)))
+        if weights[-1] == 0:
+            assert low.sum() > 100  # many rates reach 0
 
 
 def test_resample_keeps_columns_and_counts(spark):
@@ -56,7 +73,7 @@ def test_resample_keeps_columns_and_counts(spark):
     labelled = docs.selectExpr("doc_id", "lang AS domain")
     got = mixing.resample(docs, labelled, {"a": 0.5, "b": 0.5})
     assert got.columns == docs.columns
-    rates = mixing.document_rates(docs, labelled, {"a": 0.5, "b": 0.5}).select("doc_id", "copies").collect()
+    rates = mixing.document_rates(docs, labelled, {"a": 0.5, "b": 0.5}, least=1.0).select("doc_id", "copies").collect()
     assert dict(got.groupBy("doc_id").count().collect()) == {i: c for i, c in rates if c}
     again = mixing.resample(docs.repartition(7), labelled, {"a": 0.5, "b": 0.5})
     assert sorted(map(str, got.collect())) == sorted(map(str, again.collect()))
@@ -81,11 +98,12 @@ def test_default_budget_keeps_documents_that_cannot_be_told_apart(spark):
     assert mixing.resample(docs, none, targets).count() == 60
 
 
-def test_default_budget_keeps_a_confused_domain(spark):
+def test_a_confused_domain_keeps_its_documents(spark):
     rows = [(100, [1.0, 0.0, 0.0])] * 5 + [(100, [0.0, 0.5, 0.5])] * 20 + [(100, [0.0, 0.45, 0.55]), (100, [0.0, 0.2, 0.8])]
     table = spark.createDataFrame(rows, "tokens long, posterior array<double>")
-    steps, info = mixing.fit_rates(table, [0.5, 0.48, 0.02])
-    rates = [r[0] for r in table.select(mixing.rate_of(table["posterior"], steps)).collect()]
-    assert min(rates) >= 0.999 and max(rates) < 100
-    share = info["totals"][0] / sum(info["totals"])
-    assert share > 0.3  # from 5 of 27; b and c cannot be had apart
+    steps, info = mixing.fit_rates(table, [0.5, 0.48, 0.02], least=1.0)
+    got = table.select("tokens", "posterior", mixing.rate_of(table["posterior"], steps, 1.0).alias("r")).toPandas()
+    p, t, r = np.stack(got.posterior), got.tokens.to_numpy(float), got.r.to_numpy()
+    pull = p @ (inverse_of(p, t) @ (np.array(info["targets"]) - (r * t) @ p))
+    assert r.min() >= 1 and (np.abs(pull[r > 1 + 1e-9]) < 0.05 * r.max()).all()  # b and c cannot be had apart: the optimum misses both
+    assert info["totals"][0] / sum(info["totals"]) > 5 / 27
