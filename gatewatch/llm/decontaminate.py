@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gatewatch.llm.frames import spare, written
-from gatewatch.llm.textbytes import as_binary, text_chunks, word_table, words
+from gatewatch.llm.textbytes import as_binary, slices, text_chunks, word_table, words
 from gatewatch.session import Shared
 
 #: words of one automaton, which takes about a kilobyte a word while it is built
@@ -278,7 +278,7 @@ def _add_hits(docs: DataFrame, a: Automaton, runs: str, items: str) -> DataFrame
     names = [c for c in docs.columns if c not in (runs, items)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, at):
             rows = list(scan(shared.value, b.column(at), _before(b, runs, items)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array([r[4] for r in rows], pa.list_(pa.int32())),
                                               pa.array([sorted(r[1]) for r in rows], pa.list_(pa.string()))], [*names, runs, items])
@@ -295,7 +295,7 @@ def match_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_wor
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             rows = list(scan(shared.value, b.column(1), _before(b, was_runs, was_items)))
             yield pa.RecordBatch.from_arrays([
                 b.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()),
@@ -323,7 +323,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     chars = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, at):
             rows = list(scan(shared.value, b.column(at), _before(b, was_runs, was_items)))
             b = b.select(names)
             cut = {i: r[2] for i, r in enumerate(rows) if r[3]}

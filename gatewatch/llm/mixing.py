@@ -39,13 +39,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatewatch.llm.frames import spare, written
-from gatewatch.llm.textbytes import text_chunks, word_table, words
+from gatewatch.llm.textbytes import slices, text_chunks, word_table, words
 from gatewatch.session import Shared
 
 SLOT_BITS = 11
 STATS = 6
 #: fixed-point units of a token in the sums
 UNIT = 1000
+#: steps after which the rates are written
+KEEP = 5
 
 
 @dataclass
@@ -139,7 +141,7 @@ def with_posteriors(docs: DataFrame, model: DomainModel, tokens: str, posterior:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, at):
             n, p = shared.value.posteriors(b.column(at))
             ends = pa.array(np.arange(len(n) + 1) * p.shape[1], pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(p.ravel()))],
@@ -150,11 +152,11 @@ def with_posteriors(docs: DataFrame, model: DomainModel, tokens: str, posterior:
     return docs.mapInArrow(run, schema)
 
 
-def _replay(posterior: Column, steps: list[list[float]], least: float) -> Column:
-    """(rate, the rate before) after the given steps ``[*q, ahead]``."""
+def _replay(posterior: Column, steps: list[list[float]], least: float, rate: Column | None = None, was: Column | None = None) -> Column:
+    """(rate, the rate before) after the given steps ``[*q, ahead]``, from 1 or from the rates given."""
     k = len(steps[0]) - 1
     every = F.array(*[F.array(*[F.lit(float(x)) for x in q]) for q in steps])
-    one = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("was"))
+    one = F.struct((F.lit(1.0) if rate is None else rate).alias("r"), (F.lit(1.0) if was is None else was).alias("was"))
 
     def step(s: Column, q: Column) -> Column:
         at = s["r"] + q[k] * (s["r"] - s["was"])
@@ -169,8 +171,8 @@ def rate_of(posterior: Column, steps: list[list[float]], least: float = 0.0) ->
     return _replay(posterior, steps, least)["r"] if steps else F.lit(1.0)
 
 
-def fit_rates(posteriors: DataFrame, weights: list[float], budget: float | None = None, least: float = 0.0, tolerance: float = 1e-5,
-              max_steps: int = 40) -> tuple[list[list[float]], dict]:
+def fit_rates(posteriors: DataFrame, weights: list[float], budget: float | None = None, least: float = 0.0, tolerance: float = 1e-4,
+              max_steps: int = 30) -> tuple[list[list[float]], dict]:
     """Steps for ``rate_of`` from a written table (tokens, posterior).
 
     ``weights`` are scaled to sum to 1. ``budget`` is the wanted token total; by
@@ -198,12 +200,13 @@ def fit_rates(posteriors: DataFrame, weights: list[float], budget: float | None
     inverse = np.linalg.inv(m + 1e-6 * np.trace(m) / k * np.eye(k))
     target = w * (budget if budget is not None else (totals[w > 0] / w[w > 0]).max())
     steps: list[list[float]] = []
+    state, kept = posteriors.select("tokens", "posterior", F.lit(1.0).alias("rate"), F.lit(1.0).alias("was")), 0
     ahead, pace, last = 0.0, 1.0, np.inf
     while True:
         gap = target - totals
         if gap @ inverse @ gap > last and ahead:  # went too far: from the last rates again
             ahead, pace = 0.0, 1.0
-            totals = _totals(posteriors, steps, 0.0, least)
+            totals = _totals(state, steps[kept:], 0.0, least, k)
             gap = target - totals
         last = gap @ inverse @ gap
         q = inverse @ gap
@@ -212,18 +215,31 @@ def fit_rates(posteriors: DataFrame, weights: list[float], budget: float | None
         steps.append([*q.tolist(), ahead])
         faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
         ahead, pace = (pace - 1) / faster, faster
-        before, totals = totals, _totals(posteriors, steps, ahead, least)
+        before, totals = totals, _totals(state, steps[kept:], ahead, least, k)
+        if len(steps) - kept == KEEP:  # a pass replays few steps
+            state, kept = _advanced(state, steps[kept:], least), len(steps)
         if np.abs(totals - before).max() <= tolerance * target.sum():
             break
     return steps, {"totals": totals.tolist(), "targets": target.tolist()}
 
 
-def _totals(posteriors: DataFrame, steps: list[list[float]], ahead: float, least: float) -> np.ndarray:
-    """Expected domain totals at the rates after ``steps`` and a share ``ahead`` of the last move."""
-    k = len(steps[0]) - 1
+def _moved(state: DataFrame, steps: list[list[float]], least: float) -> DataFrame:
+    """tokens, posterior, rate, was after some more steps."""
+    if not steps:
+        return state
     s = F.col("gw_s")
-    row = posteriors.withColumn("gw_s", _replay(F.col("posterior"), steps, least)) \
-        .select("posterior", (F.col("tokens") * (s["r"] + F.lit(float(ahead)) * (s["r"] - s["was"])) * UNIT).alias("t")) \
+    return state.withColumn("gw_s", _replay(F.col("posterior"), steps, least, F.col("rate"), F.col("was"))) \
+        .select("tokens", "posterior", s["r"].alias("rate"), s["was"].alias("was"))
+
+
+def _advanced(state: DataFrame, steps: list[list[float]], least: float) -> DataFrame:
+    return written(_moved(state, steps, least), "rates")
+
+
+def _totals(state: DataFrame, steps: list[list[float]], ahead: float, least: float, k: int) -> np.ndarray:
+    """Expected domain totals at the rates after ``steps`` and a share ``ahead`` of the last move."""
+    at = F.col("rate") + F.lit(float(ahead)) * (F.col("rate") - F.col("was"))
+    row = _moved(state, steps, least).select("posterior", (F.col("tokens") * at * UNIT).alias("t")) \
         .agg(*[F.sum(F.round(F.col("t") * F.col("posterior")[d]).cast("bigint").cast("decimal(38,0)")) for d in range(k)]).first()
     return np.array([float(x or 0) / UNIT for x in row])
 

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from gatewatch.llm.components import components
 from gatewatch.llm.frames import spare, written
-from gatewatch.llm.textbytes import as_binary, mix64
+from gatewatch.llm.textbytes import as_binary, mix64, slices
 
 PIVOTS = 12
 CELL = 8
@@ -70,7 +70,7 @@ def fingerprint(hashes: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, size: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` and fp (the 64 bits as a signed long) per row of ``docs``. No shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, len(keep)):
             fp = [fingerprint(shingle_hashes(t.as_py(), size)) for t in as_binary(b.column(len(keep)))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.array(fp, np.uint64).view(np.int64))], [*keep, "fp"])
 

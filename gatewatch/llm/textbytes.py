@@ -43,6 +43,21 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
         lo = hi
 
 
+SLICE_BYTES = 8 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], at: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of whole rows with about ``limit`` bytes of text (column ``at``), so
+    that what a task holds does not hang on how long the texts of a batch happen to be."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + limit, "right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(max(n, 1), base, U64)
     out[0] = 1

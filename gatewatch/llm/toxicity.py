@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatewatch.llm.frames import written
-from gatewatch.llm.textbytes import text_chunks, word_table, words
+from gatewatch.llm.textbytes import slices, text_chunks, word_table, words
 from gatewatch.session import Shared
 
 SLOT_BITS = 20
@@ -195,7 +195,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
     shared = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.score(b.column(1)), pa.float64())],
                                              ["doc_id", "score"])
 
@@ -209,7 +209,7 @@ def drop_toxic(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -> Da
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, at):
             yield b.filter(pa.array(shared.value.score(b.column(at)) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
