@@ -201,6 +201,13 @@ def _six_features(spark, d):
     return M.materialise(FT.split_flag(scored))
 
 
+def _six_trained(spark, d):
+    """The same inputs with the trained base models' probabilities, each row's from
+    models that its own label did not reach."""
+    scored = _held_out_probs(FT.universal_features(login_events(spark, d)))
+    return M.materialise(FT.split_flag(scored.select("user_id", *SIX, "is_attack_ip")))
+
+
 def _iforest(spark, d, feats=None):
     allf = _six_features(spark, d) if feats is None else feats
     return IF.isolation_forest(allf.where("split = 'train'"), allf, SIX).join(allf.select("user_id", "is_attack_ip"), "user_id")
@@ -314,7 +321,7 @@ SELECT user_id, vote AS iso_pred, CASE WHEN CAST(user_id AS BIGINT) % 3 = 0 THEN
 
 
 def _unsup(spark, d):
-    feats = _six_features(spark, d)
+    feats = _six_trained(spark, d)
     iso = _iforest(spark, d, feats).select("user_id", "iso_pred", "is_attack_ip")
     lof = _lof(spark, d, feats).select("user_id", "lof_pred")
     return SK.publish_unsupervised(iso.join(lof, "user_id", "full_outer"))
@@ -331,7 +338,7 @@ register("unsupervised_metrics", None, FAM)(_unsup_metrics)
 
 
 def _top_risk(spark, d):
-    return A.top_k(_iforest(spark, d), 100, col="if_score")
+    return A.top_k(_iforest(spark, d, _six_trained(spark, d)), 100, col="if_score")
 
 
 register("top_risk_targets", None, FAM)(_top_risk)
@@ -346,7 +353,7 @@ register("hyperparameter_trials", None, FAM)(_cert_trials)
 
 
 def _cert_unsupervised(spark, d):
-    rows = _six_features(spark, d)
+    rows = _six_trained(spark, d)
     return T.unsupervised_trials(rows.where("split = 'train'").drop("split"), rows.drop("split"), "cert", SIX)
 
 
@@ -354,9 +361,9 @@ register("unsupervised_trials", None, FAM)(_cert_unsupervised)
 
 
 def _cert_boosting(spark, d):
-    """On the fixed base scores, as the other trials' inputs."""
-    rows = _six_features(spark, d)
-    return T.boosting_trials(rows.where("split = 'train'"), rows.where("split = 'test'"), "cert", SIX)
+    """On the meta model's 17 inputs, the base probabilities among them."""
+    rows = M.materialise(FT.split_flag(_meta_inputs(spark, d), seed=7))
+    return T.boosting_trials(rows.where("split = 'train'"), rows.where("split = 'test'"), "cert", META_FEATURES)
 
 
 register("boosting_trials", None, FAM)(_cert_boosting)
