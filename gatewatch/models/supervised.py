@@ -1,7 +1,7 @@
 """Supervised models on per-entity feature tables.
 
-MLlib estimators run distributed; the wrappers add the reference's
-conventions: balanced class weights, sklearn-equivalent L2 strength,
+MLlib's regression and :mod:`forest` run distributed; the wrappers add the
+reference's conventions: balanced class weights, sklearn-equivalent L2 strength,
 SMOTE oversampling, sigmoid (Platt) calibration per fold, out-of-fold
 stacking, and a parameter grid evaluated with one-pass confusion counts.
 """
@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewatch.functions.noise import uniform
+from gatewatch.models import forest
 from gatewatch.models.knn import knn
 from gatewatch.operators.features import class_weights, fold_ids
 
@@ -48,17 +49,15 @@ def fit_logistic(train: DataFrame, feats: Sequence[str], label: str = LABEL, bal
 
 def fit_forest(train: DataFrame, feats: Sequence[str], label: str = LABEL, n_trees: int = 100,
                max_depth: int | None = None, balanced: bool = True, seed: int = 42):
-    """M4: ``max_depth=None`` (unlimited) becomes 30, Spark's maximum."""
-    data = class_weights(train, label, "gw_w") if balanced else train.withColumn("gw_w", F.lit(1.0))
-    data = _label(assemble(data, feats), label)
-    rf = RandomForestClassifier(featuresCol="features", labelCol="gw_label", weightCol="gw_w",
-                                numTrees=n_trees, maxDepth=min(max_depth or 30, 30),
-                                featureSubsetStrategy="sqrt", seed=seed)
-    return rf.fit(data)
+    """M4: ``max_depth=None`` (unlimited) becomes 30. Fitted and kept as a table (:mod:`forest`)."""
+    return forest.fit(train, feats, label, n_trees, min(max_depth or forest.MAX_DEPTH, forest.MAX_DEPTH), balanced, seed)
 
 
 def predict_proba(model, df: DataFrame, feats: Sequence[str], prefix: str) -> DataFrame:
     """Adds ``{prefix}_prob`` (P(class 1)) and ``{prefix}_pred`` (prob >= .5)."""
+    if isinstance(model, forest.Forest):
+        return forest.with_probability(df, model, f"{prefix}_prob") \
+            .withColumn(f"{prefix}_pred", (F.col(f"{prefix}_prob") >= 0.5).cast("int"))
     out = model.transform(assemble(df, feats, "features"))
     prob = F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0))  # one-class fits have no class 1
     return (out.withColumn(f"{prefix}_prob", prob)
