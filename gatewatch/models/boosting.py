@@ -2,10 +2,11 @@
 
 Rows are binned once and written. A *track* is one ensemble: its own rows (all
 but one fold, say), learning rate, depth and weight of the positives. All tracks
-grow together: a pass over the written rows sums gradients and Hessians per
-(track, node, feature, bin), and the driver picks every node's best split from
-these sums, whose number does not depend on the rows. A tree of depth d takes d
-passes, whatever the number of tracks.
+grow together, in one barrier stage: every task holds its rows' bins and margins,
+sums gradients and Hessians per (track, node, feature, bin), and hands its sums to
+the other tasks (``allGather``); with the whole sums, whose number does not depend
+on the rows, each task picks the same best split of every node. So a level of a
+tree costs one exchange, not a job, and the rows are read once.
 
     gain = GL^2 / (HL + l) + GR^2 / (HR + l) - G^2 / (H + l),  leaf = -rate G / (H + l)
 
@@ -14,14 +15,18 @@ their own that goes to the better side. Ties take the first feature, then the
 lowest bin. Sums are of whole numbers (``UNIT`` a unit), so they do not depend
 on the order of rows or tasks; the margins start at 0.
 
-Margins are kept with the rows and brought up to date every ``KEEP`` rounds by
-writing them anew, so a pass evaluates few trees, and a lost executor costs a
-read of the last table.
+A task takes about ``ROWS`` rows, at some 50 bytes and 50 a track each, since an
+exchange takes a second, however small; the tasks are
+no more than half of the cluster's slots, since a barrier stage must run at once.
+Nodes whose sums are too many for one exchange are taken in blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import base64
+import pickle
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,8 +38,10 @@ from gatewatch.session import Shared, write_once
 
 BINS = 64
 MISSING = 255
-KEEP = 20
+KEEP = 20  # rounds whose trees are summed before they are added to the margins
 UNIT = 1 << 20
+ROWS = 500_000  # of one task
+EXCHANGE_BYTES = 32 << 20  # sums that all tasks receive at once
 
 
 @dataclass
@@ -58,15 +65,19 @@ class Tree:
     def route(self, x: np.ndarray) -> np.ndarray:
         """The leaf of every row of bins."""
         at = np.zeros(len(x), np.int64)
+        while self.descend(x, at):
+            pass
+        return at
+
+    def descend(self, x: np.ndarray, at: np.ndarray) -> bool:
+        """Moves the rows at inner nodes to their children; whether there were any."""
         feature, cut, missing, left = (np.array(c) for c in (self.feature, self.bin, self.missing, self.left))
-        while True:
-            inner = np.flatnonzero(feature[at] >= 0)
-            if not len(inner):
-                return at
-            node = at[inner]
-            b = x[inner, feature[node]]
-            goes = np.where(b == MISSING, missing[node], b <= cut[node])
-            at[inner] = left[node] + ~goes
+        inner = np.flatnonzero(feature[at] >= 0)
+        node = at[inner]
+        b = x[inner, feature[node]]
+        goes = np.where(b == MISSING, missing[node], b <= cut[node])
+        at[inner] = left[node] + ~goes
+        return len(inner) > 0
 
     def split(self, node: int, feature: int, cut: int, missing: bool, left: float, right: float) -> None:
         self.feature[node], self.bin[node], self.missing[node], self.left[node] = feature, cut, missing, len(self.feature)
@@ -120,19 +131,17 @@ def _matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:
 
 
 def binned(df: DataFrame, feats: Sequence[str], label: str, fold: str | None, model: Ensemble) -> DataFrame:
-    """y, fold, bins and margins (zeros) per row, written."""
+    """y, fold and bins per row, written."""
     shared, n = Shared(df.sparkSession, model), len(feats)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = bytes(8 * len(shared.value.tracks))
         for b in batches:
             x = shared.value.bins(_columns(b, 2, n))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary()),
-                                              pa.array([empty] * b.num_rows, pa.binary())], ["y", "fold", "bins", "margins"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["y", "fold", "bins"])
 
     rows = df.where(F.col(label).isNotNull()).select(F.col(label).cast("int").alias("y"), (F.col(fold) if fold else F.lit(0)).cast("int").alias("fold"),
                                                      *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(feats)])
-    return write_once(rows.mapInArrow(run, "y int, fold int, bins binary, margins binary"), "binned")
+    return write_once(rows.mapInArrow(run, "y int, fold int, bins binary"), "binned")
 
 
 def best_split(g: np.ndarray, h: np.ndarray, ridge: float, min_hessian: float) -> tuple | None:
@@ -154,95 +163,109 @@ def best_split(g: np.ndarray, h: np.ndarray, ridge: float, min_hessian: float) -
 
 
 def fit(train: DataFrame, feats: Sequence[str], tracks: Sequence[Track], label: str = "is_attack_ip", fold: str | None = None,
-        rounds: int = 100, ridge: float = 1.0, min_hessian: float = 1.0, bins: int = BINS, edges: list | None = None) -> Ensemble:
-    """Boosts all ``tracks`` at once; ``train`` has ``feats``, ``label`` (0/1) and ``fold``."""
+        rounds: int = 100, ridge: float = 1.0, min_hessian: float = 1.0, bins: int = BINS, edges: list | None = None, tasks: int | None = None) -> Ensemble:
+    """Boosts all ``tracks`` at once; ``train`` has ``feats``, ``label`` (0/1) and ``fold``.
+    ``tasks`` changes the work, not the result."""
     feats, tracks = list(feats), list(tracks)
     model = Ensemble([np.asarray(e, float) for e in edges] if edges is not None else quantile_edges(train, feats, bins), tracks, [[] for _ in tracks])
     if max((len(e) for e in model.edges), default=0) >= MISSING:
         raise ValueError("at most 254 edges a feature")
-    width = max(len(e) for e in model.edges) + 2  # bins 0 .. edges, and the missing
-    state, kept = binned(train, feats, label, fold, model), 0
+    state = binned(train, feats, label, fold, model)
+    if tasks is None:
+        tasks = max(1, min(-(-state.count() // ROWS), train.sparkSession.sparkContext.defaultParallelism // 2))
+    shared, n_feats, keep, exchange = Shared(train.sparkSession, model), len(feats), KEEP, EXCHANGE_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import BarrierTaskContext
+
+        context = BarrierTaskContext.get()
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), _matrix(b.column(2), np.uint8, n_feats)) for b in batches]
+        parts.append((np.empty(0, np.int32), np.empty(0, np.int32), np.empty((0, n_feats), np.uint8)))
+        y, folds, x = (np.concatenate(c) for c in zip(*parts))
+        del parts
+
+        def whole(sums: np.ndarray) -> np.ndarray:
+            if tasks == 1:
+                return sums
+            sent = context.allGather(base64.b64encode(zlib.compress(sums.tobytes(), 1)).decode())
+            return sum(np.frombuffer(zlib.decompress(base64.b64decode(m)), np.int64) for m in sent).reshape(sums.shape)
+
+        trees = _boost(x, y, folds, shared.value, rounds, ridge, min_hessian, keep, exchange // tasks ** 2, whole)
+        if context.partitionId() == 0:
+            values = [[(t.feature, t.bin, t.missing, t.left, t.value) for t in ts] for ts in trees]
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(pickle.dumps(values))], pa.binary())], ["trees"])
+
+    found = state.repartition(tasks).mapInArrow(run, "trees binary", barrier=True).collect()[0]  # all tasks: a barrier stage cannot run in part
+    model.trees = [[Tree(*t) for t in ts] for ts in pickle.loads(zlib.decompress(found["trees"]))]
+    return model
+
+
+def _boost(x: np.ndarray, y: np.ndarray, folds: np.ndarray, model: Ensemble, rounds: int, ridge: float, min_hessian: float, keep: int,
+           block_bytes: int, whole: Callable[[np.ndarray], np.ndarray]) -> list[list[Tree]]:
+    """A task's part of the boosting: the trees of every track. ``whole`` adds up all tasks' sums."""
+    tracks, width = model.tracks, max(len(e) for e in model.edges) + 2  # bins 0 .. edges, and the missing
+    cells = np.ascontiguousarray(np.where(x == MISSING, width - 1, x).T)
+    at_once = max(1, block_bytes // (16 * len(cells) * width))
+    weight = [np.where(y == 1, t.positive, 1.0) for t in tracks]
+    use = [folds != t.without for t in tracks]
+    margins, since = np.zeros((2, len(tracks), len(x)))
+    out: list[list[Tree]] = [[] for _ in tracks]
     for r in range(rounds):
         trees = [Tree() for _ in tracks]
-        open_ = {(k, 0) for k in range(len(tracks))}  # nodes that may be split
+        at = [np.zeros(len(x), np.int64) for _ in tracks]
+        slopes = []
+        for k, w in enumerate(weight):
+            p = _sigmoid(margins[k] + since[k])
+            slopes.append((np.rint(w * (p - y) * UNIT), np.rint(w * p * (1 - p) * UNIT)))
+        open_ = [(k, 0) for k in range(len(tracks))]  # nodes that may be split
         known: dict = {}  # (track, node) -> (G, H)
         depth = 0
         while open_:
-            sums = _histograms(state, model, kept, trees, sorted(open_), len(feats), width)
-            todo = set()
-            for k, node in sorted(open_):
-                g, h = sums[k, node]
-                if node == 0:
-                    known[k, 0] = g[0].sum(), h[0].sum()
-                    trees[k].value[0] = -tracks[k].rate * known[k, 0][0] / (known[k, 0][1] + ridge)
-                found = best_split(g, h, ridge, min_hessian)
-                if found is None:
-                    continue
-                _, f, cut, missing, lg, lh = found
-                rg, rh = known[k, node][0] - lg, known[k, node][1] - lh
-                at = len(trees[k].feature)
-                trees[k].split(node, f, cut, missing, -tracks[k].rate * lg / (lh + ridge), -tracks[k].rate * rg / (rh + ridge))
-                known |= {(k, at): (lg, lh), (k, at + 1): (rg, rh)}
-                if depth + 1 < tracks[k].depth:
-                    todo |= {(k, n) for n, x in ((at, lh), (at + 1, rh)) if x >= 2 * min_hessian}
-            open_, depth = todo, depth + 1
-        for k, t in enumerate(trees):
-            model.trees[k].append(t)
-        if (r + 1) % KEEP == 0 and r + 1 < rounds:
-            state, kept = _advanced(state, model, kept, len(feats)), r + 1
-    return model
-
-
-def _histograms(state: DataFrame, model: Ensemble, kept: int, trees: list, nodes: list, n_feats: int, width: int) -> dict:
-    """(track, node) -> sums of gradients and Hessians [feature, bin]."""
-    shared = Shared(state.sparkSession, (model, trees))
-    tracks, size = model.tracks, n_feats * width
-    place = {n: i for i, n in enumerate(nodes)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent, growing = shared.value
-        total = np.zeros((2, len(place) * size))
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = _matrix(b.column(2), np.uint8, n_feats)
-            m = _matrix(b.column(3), np.float64, len(tracks)) + sent.margins(x, kept)
-            y, fold = b.column(0).to_numpy(), b.column(1).to_numpy()
-            cell = np.arange(n_feats) * width + np.where(x == MISSING, width - 1, x)
-            for k, t in enumerate(tracks):
-                leaf = growing[k].route(x)
-                slot = np.full(len(growing[k].feature), -1)
-                for (a, node), i in place.items():
-                    if a == k:
-                        slot[node] = i
-                on = np.flatnonzero((slot[leaf] >= 0) & (fold != t.without))
-                p, w = _sigmoid(m[on, k]), np.where(y[on] == 1, t.positive, 1.0)
-                at = (slot[leaf[on]][:, None] * size + cell[on]).ravel()
-                for into, value in zip(total, (w * (p - y[on]), w * p * (1 - p))):
-                    into += np.bincount(at, np.repeat(np.rint(value * UNIT), n_feats), minlength=into.size)
-        used = np.flatnonzero(total.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0, used].astype(np.int64)), pa.array(total[1, used].astype(np.int64))],
-                                         ["cell", "g", "h"])
-
-    sums = state.mapInArrow(run, "cell bigint, g bigint, h bigint").groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
-    out = np.zeros((2, len(nodes) * size))
-    cells = sums.column("cell").to_numpy()
-    for into, c in zip(out, ("g", "h")):
-        into[cells] = sums.column(c).to_numpy() / UNIT
-    out = out.reshape(2, len(nodes), n_feats, width)
-    return {n: (out[0, i], out[1, i]) for n, i in place.items()}
-
-
-def _advanced(state: DataFrame, model: Ensemble, kept: int, n_feats: int) -> DataFrame:
-    """``state`` with margins of all trees so far, written."""
-    shared, n = Shared(state.sparkSession, model), len(model.tracks)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            m = _matrix(b.column(3), np.float64, n) + shared.value.margins(_matrix(b.column(2), np.uint8, n_feats), kept)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([r.tobytes() for r in m], pa.binary())], b.schema.names)
-
-    return write_once(state.mapInArrow(run, state.schema), "margins")
+            todo = []
+            for s in range(0, len(open_), at_once):
+                block = open_[s:s + at_once]
+                sums = whole(_histograms(cells, width, block, trees, at, use, slopes)) / UNIT
+                for (k, node), (g, h) in zip(block, sums.swapaxes(0, 1)):
+                    if node == 0:
+                        known[k, 0] = g[0].sum(), h[0].sum()
+                        trees[k].value[0] = -tracks[k].rate * known[k, 0][0] / (known[k, 0][1] + ridge)
+                    found = best_split(g, h, ridge, min_hessian)
+                    if found is None:
+                        continue
+                    _, f, cut, missing, lg, lh = found
+                    rg, rh = known[k, node][0] - lg, known[k, node][1] - lh
+                    new = len(trees[k].feature)
+                    trees[k].split(node, f, cut, missing, -tracks[k].rate * lg / (lh + ridge), -tracks[k].rate * rg / (rh + ridge))
+                    known |= {(k, new): (lg, lh), (k, new + 1): (rg, rh)}
+                    if depth + 1 < tracks[k].depth:
+                        todo += [(k, n) for n, c in ((new, lh), (new + 1, rh)) if c >= 2 * min_hessian]
+            for tree, leaf in zip(trees, at):
+                tree.descend(x, leaf)
+            open_, depth = sorted(todo), depth + 1
+        for k, tree in enumerate(trees):
+            out[k].append(tree)
+            since[k] += np.array(tree.value)[at[k]]
+        if (r + 1) % keep == 0:
+            margins += since
+            since[:] = 0
+    return out
+
+
+def _histograms(cells: np.ndarray, width: int, nodes: list, trees: list, at: list, use: list, slopes: list) -> np.ndarray:
+    """Sums of gradients and Hessians [2, node, feature, bin] of one task's rows."""
+    out = np.zeros((2, len(nodes), len(cells), width), np.int64)
+    for k in sorted({k for k, _ in nodes}):
+        mine = [i for i, n in enumerate(nodes) if n[0] == k]
+        slot = np.full(len(trees[k].feature), -1)
+        slot[[nodes[i][1] for i in mine]] = np.arange(len(mine))
+        on = np.flatnonzero((slot[at[k]] >= 0) & use[k])
+        start = slot[at[k][on]] * width
+        values = [v[on] for v in slopes[k]]
+        for f, c in enumerate(cells):
+            key = start + c[on]
+            for into, v in zip(out, values):
+                into[mine[0]:mine[-1] + 1, f] = np.bincount(key, v, len(mine) * width).reshape(-1, width)
+    return out
 
 
 def with_probabilities(df: DataFrame, feats: Sequence[str], model: Ensemble, out: str) -> DataFrame:

@@ -90,3 +90,21 @@ def test_one_class_and_empty(spark, table):
     assert all(r.p[0] < 0.5 for r in B.with_probabilities(df, ["a", "b"], one, "p").collect())
     none = B.fit(df.limit(0), ["a"], [B.Track()], rounds=2)
     assert {r.p[0] for r in B.with_probabilities(df, ["a"], none, "p").collect()} == {0.5}
+
+
+@pytest.mark.parametrize("tasks", [1, 2])
+def test_rounds_are_not_jobs(spark, table, monkeypatch, tasks):
+    """A level of a tree was a job; now all rounds are one stage, also in blocks of few nodes."""
+    _, _, df = table
+    monkeypatch.setattr(B, "EXCHANGE_BYTES", 1 << 16)
+    feats, tracks, jobs = ["a", "b", "c"], [B.Track(0.3, 3, 2.0, 0), B.Track(0.5, 2)], []
+    for rounds in (1, 2):
+        group = f"boosting-{tasks}-{rounds}"
+        spark.sparkContext.setJobGroup(group, group)
+        model = B.fit(df, feats, tracks, fold="fold", rounds=rounds, tasks=tasks)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+    spark.sparkContext.setJobGroup("other", "other")
+    assert jobs[0] == jobs[1]
+    monkeypatch.undo()
+    whole = B.fit(df, feats, tracks, fold="fold", rounds=2, tasks=1)
+    assert [t.value for ts in whole.trees for t in ts] == [t.value for ts in model.trees for t in ts]
