@@ -111,11 +111,23 @@ class Ensemble:
         return out
 
 
+def _quantiles(feats: Sequence[str], bins: int) -> list:
+    share = [i / bins for i in range(1, bins)]
+    return [F.percentile_approx(F.nanvl(F.col(c).cast("double"), F.lit(None)), share, 10_000).alias(f"q{i}") for i, c in enumerate(feats)]
+
+
+def _distinct(quantiles: Sequence) -> list[np.ndarray]:
+    return [np.unique(np.array(q if q is not None else [], float)) for q in quantiles]
+
+
 def quantile_edges(df: DataFrame, feats: Sequence[str], bins: int = BINS) -> list[np.ndarray]:
     """Per feature the distinct values at up to ``bins - 1`` quantiles; a value is in the bin of the first edge not below it."""
-    share = [i / bins for i in range(1, bins)]
-    row = df.agg(*[F.percentile_approx(F.nanvl(F.col(c).cast("double"), F.lit(None)), share, 10_000).alias(f"q{i}") for i, c in enumerate(feats)]).first()
-    return [np.unique(np.array(q if q is not None else [], float)) for q in row]
+    return _distinct(df.agg(*_quantiles(feats, bins)).first())
+
+
+def edges_by(df: DataFrame, by: str, feats: Sequence[str], bins: int = BINS) -> dict:
+    """``quantile_edges`` of the rows of every value of ``by``, of which there are few."""
+    return {r[0]: _distinct(r[1:]) for r in df.groupBy(by).agg(*_quantiles(feats, bins)).collect()}
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:

@@ -12,6 +12,9 @@
 * Score: the distinct cells of the rows, in bounded chunks, are cogrouped with the
   trees, a group adds up its trees' votes, and the rows take their cell's mean.
 
+Several training sets, told apart by a column ``by``, get a forest each in the same
+jobs; a row is scored by the forest of its own value.
+
 Nothing but the bin edges passes the driver. Cells are sorted and votes are whole
 numbers, so the result does not depend on the order of rows or tasks.
 """
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gatewatch.models.boosting import _columns, _matrix, quantile_edges
+from gatewatch.models.boosting import _columns, _matrix, edges_by
 from gatewatch.session import write_once
 
 BINS = 32
@@ -40,9 +43,9 @@ UNIT = 1 << 44  # votes are summed as whole numbers
 
 @dataclass
 class Forest:
-    """``trees``: a row a tree, its nodes as packed arrays."""
+    """``trees``: a row a tree, its nodes as packed arrays; ``edges`` per training set."""
     trees: DataFrame
-    edges: list
+    edges: dict
     feats: list
     groups: int
 
@@ -55,17 +58,22 @@ def _bins(columns: Sequence[np.ndarray], edges: Sequence[np.ndarray]) -> np.ndar
     return out
 
 
-def _with_cell(df: DataFrame, feats: Sequence[str], edges: Sequence[np.ndarray]) -> DataFrame:
-    """``df`` and ``gw_cell``, the row's bins."""
+def _with_cell(df: DataFrame, feats: Sequence[str], edges: dict) -> DataFrame:
+    """``df`` and ``gw_cell``, the row's bins by the edges of its ``gw_by``."""
     n, width = len(feats), len(df.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cell = pa.array([r.tobytes() for r in _bins(_columns(b, width, n), edges)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:width], cell], [*b.schema.names[:width], "gw_cell"])
+            of, columns = b.column(width + n).to_numpy(zero_copy_only=False), _columns(b, width, n)
+            x = np.zeros((b.num_rows, n), np.uint8)
+            for key, e in edges.items():
+                at = np.flatnonzero(of == key)
+                x[at] = _bins([c[at] for c in columns], e)
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array([r.tobytes() for r in x], pa.binary())], [*b.schema.names[:width], "gw_cell"])
 
     schema = T.StructType([*df.schema, T.StructField("gw_cell", T.BinaryType())])
-    return df.select("*", *[F.col(f"`{c}`").cast("double").alias(f"gw_x{i}") for i, c in enumerate(feats)]).mapInArrow(run, schema)
+    return df.select("*", *[F.col(f"`{c}`").cast("double").alias(f"gw_x{i}") for i, c in enumerate(feats)], F.col("gw_by").alias("gw_of")) \
+        .mapInArrow(run, schema)
 
 
 def grow_tree(x: np.ndarray, n0: np.ndarray, n1: np.ndarray, weights: tuple[float, float], max_depth: int, width: int,
@@ -131,42 +139,48 @@ def route(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, left: np.ndarray)
     return at
 
 
-def fit(train: DataFrame, feats: Sequence[str], label: str, n_trees: int, max_depth: int, balanced: bool, seed: int) -> Forest:
-    """``label`` is 0 or 1; ``balanced`` weighs a class of n_c rows by n / (classes n_c)."""
+def _by(by: str | None):
+    return (F.col(by) if by else F.lit(0)).cast("int").alias("gw_by")
+
+
+def fit(train: DataFrame, feats: Sequence[str], label: str, n_trees: int, max_depth: int, balanced: bool, seed: int, by: str | None = None) -> Forest:
+    """``label`` is 0 or 1; ``balanced`` weighs a class of n_c rows by n / (classes n_c).
+    With ``by`` (a whole number) the rows of every value get a forest of their own."""
     feats, groups = list(feats), min(n_trees, GROUPS)
     rows = write_once(train.where(F.col(label).isNotNull()).select(
-        *[F.col(c).cast("double").alias(c) for c in feats], F.col(label).cast("int").alias("gw_y")), "fit_on")
-    edges = quantile_edges(rows, feats, BINS)
-    width = max(len(e) for e in edges) + 1
-    cells = write_once(_with_cell(rows, feats, edges).groupBy("gw_cell").agg(
+        _by(by), *[F.col(c).cast("double").alias(c) for c in feats], F.col(label).cast("int").alias("gw_y")), "fit_on")
+    edges = edges_by(rows, "gw_by", feats, BINS)
+    cells = write_once(_with_cell(rows, feats, edges).groupBy("gw_by", "gw_cell").agg(
         F.sum(1 - F.col("gw_y")).alias("n0"), F.sum("gw_y").alias("n1")), "cells")
-    schema = "tree int, feature binary, cut binary, left binary, share binary"
+    schema = "gw_by int, tree int, feature binary, cut binary, left binary, share binary"
 
     def grow(key: tuple, table: pa.Table) -> pa.Table:
+        own = key[0].as_py()
+        width = max(len(e) for e in edges[own]) + 1
         x = _matrix(table.column("gw_cell"), np.uint8, len(feats))
         order = np.lexsort(x.T)
         x, n0, n1 = x[order], table.column("n0").to_numpy()[order], table.column("n1").to_numpy()[order]
         counts = np.array([n0.sum(), n1.sum()])
         weights = tuple(counts.sum() / ((counts > 0).sum() * np.maximum(counts, 1))) if balanced else (1.0, 1.0)
         found = []
-        for t in range(key[0].as_py(), n_trees, groups):
+        for t in range(key[1].as_py(), n_trees, groups):
             rng = np.random.default_rng([seed, t])
             b0, b1 = rng.poisson(n0), rng.poisson(n1)
             if b0.any() or b1.any():  # a tree that drew no row has no vote
-                found.append((t, *[c.tobytes() for c in grow_tree(x, b0, b1, weights, max_depth, width, rng)]))
-        return pa.table([pa.array(c, k) for c, k in zip(list(zip(*found)) or [()] * 5, [pa.int32(), *[pa.binary()] * 4])],
-                        ["tree", "feature", "cut", "left", "share"])
+                found.append((own, t, *[c.tobytes() for c in grow_tree(x, b0, b1, weights, max_depth, width, rng)]))
+        return pa.table([pa.array(c, k) for c, k in zip(list(zip(*found)) or [()] * 6, [pa.int32(), pa.int32(), *[pa.binary()] * 4])],
+                        ["gw_by", "tree", "feature", "cut", "left", "share"])
 
     dealt = cells.withColumn("gw_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    return Forest(write_once(dealt.groupBy("gw_g").applyInArrow(grow, schema), "forest"), edges, feats, groups)
+    return Forest(write_once(dealt.groupBy("gw_by", "gw_g").applyInArrow(grow, schema), "forest"), edges, feats, groups)
 
 
-def with_probability(df: DataFrame, model: Forest, out: str) -> DataFrame:
+def with_probability(df: DataFrame, model: Forest, out: str, by: str | None = None) -> DataFrame:
     """``df`` and ``out``: the mean of the trees' shares of class 1 (0 without any tree)."""
-    marked = write_once(_with_cell(df, model.feats, model.edges), "marked")
-    cells = write_once(marked.select("gw_cell").distinct(), "asked")
+    marked = write_once(_with_cell(df.select("*", _by(by)), model.feats, model.edges), "marked")
+    cells = write_once(marked.select("gw_by", "gw_cell").distinct(), "asked")
     chunks, n = max(1, -(-cells.count() // CHUNK_CELLS)), len(model.feats)
-    asked = cells.select("gw_cell", F.pmod(F.xxhash64("gw_cell"), F.lit(chunks)).cast("int").alias("gw_chunk"),
+    asked = cells.select("gw_by", "gw_cell", F.pmod(F.xxhash64("gw_cell"), F.lit(chunks)).cast("int").alias("gw_chunk"),
                          F.explode(F.sequence(F.lit(0), F.lit(model.groups - 1))).alias("gw_g"))
     trees = model.trees.select("*", (F.col("tree") % model.groups).alias("gw_g"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("gw_chunk"))
 
@@ -177,9 +191,10 @@ def with_probability(df: DataFrame, model: Forest, out: str) -> DataFrame:
         for i in range(forest.num_rows):
             feature, cut, left, share = (np.frombuffer(forest.column(c)[i].as_py(), k) for c, k in kinds.items())
             votes += np.rint(share * UNIT).astype(np.int64)[route(x, feature, cut, left)]
-        return pa.table([cell.column("gw_cell"), pa.array(votes), pa.array(np.full(len(x), forest.num_rows, np.int64))], ["gw_cell", "gw_votes", "gw_n"])
+        return pa.table([cell.column("gw_by"), cell.column("gw_cell"), pa.array(votes), pa.array(np.full(len(x), forest.num_rows, np.int64))],
+                        ["gw_by", "gw_cell", "gw_votes", "gw_n"])
 
-    keys = ["gw_g", "gw_chunk"]
-    found = asked.groupBy(*keys).cogroup(trees.groupBy(*keys)).applyInArrow(vote, "gw_cell binary, gw_votes bigint, gw_n bigint")
-    mean = found.groupBy("gw_cell").agg((F.sum("gw_votes") / F.lit(float(UNIT)) / F.nullif(F.sum("gw_n"), F.lit(0))).alias(out))
-    return marked.join(mean, "gw_cell", "left").select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(F.col(out), F.lit(0.0)).alias(out))
+    keys = ["gw_by", "gw_g", "gw_chunk"]
+    found = asked.groupBy(*keys).cogroup(trees.groupBy(*keys)).applyInArrow(vote, "gw_by int, gw_cell binary, gw_votes bigint, gw_n bigint")
+    mean = found.groupBy("gw_by", "gw_cell").agg((F.sum("gw_votes") / F.lit(float(UNIT)) / F.nullif(F.sum("gw_n"), F.lit(0))).alias(out))
+    return marked.join(mean, ["gw_by", "gw_cell"], "left").select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(F.col(out), F.lit(0.0)).alias(out))

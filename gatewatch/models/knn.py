@@ -12,6 +12,9 @@ tree of its own):
 
 Neighbours are ordered by (distance, id), also across leaves. A group holds
 one leaf of points and at most about ``leaf_rows`` queries.
+
+Several reference sets, told apart by a column ``by``, are searched in the same
+jobs: they share the tree, and a leaf's number holds the set's.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from gatewatch.session import Shared
 
 LEAF_ROWS = 4096
 BLOCK_BYTES = 32 << 20  # of one block of differences
+SET_BITS = 32  # a leaf's number is (set << SET_BITS) + leaf of the tree
 
 
 def _nearest(q: np.ndarray, x: np.ndarray, ids: list, k: int) -> tuple[list, list]:
@@ -82,7 +86,7 @@ def _nearest_in_leaf(q: np.ndarray, x: np.ndarray, ids: list, k: int, rows: int)
 
 
 def _search(queries: DataFrame, points: DataFrame, feats: list[str], k: int, leaf_rows: int) -> DataFrame:
-    """``queries`` (feats, leaf) against the points of their leaf: feats, i, d.
+    """``queries`` (feats, leaf) against the points of their leaf: feats, leaf, i, d.
     Leaves with many queries are searched in several groups."""
     sc = queries.sparkSession.sparkContext
     # one number per leaf: bounded like the tree. A group of queries is as large as
@@ -107,48 +111,52 @@ def _search(queries: DataFrame, points: DataFrame, feats: list[str], k: int, lea
 
     def local(qdf: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
         i, d = _nearest_in_leaf(qdf[feats].to_numpy(np.float64), pdf[feats].to_numpy(np.float64), [list(x) for x in pdf["ids"]], k, leaf_rows)
-        return qdf[feats].assign(i=pd.Series(i, dtype=object, index=qdf.index), d=pd.Series(d, dtype=object, index=qdf.index))
+        return qdf[[*feats, "leaf"]].assign(i=pd.Series(i, dtype=object, index=qdf.index), d=pd.Series(d, dtype=object, index=qdf.index))
 
     return q.groupBy("leaf", "chunk").cogroup(p.groupBy("leaf", "chunk")) \
-        .applyInPandas(local, base + ", i array<string>, d array<double>")
+        .applyInPandas(local, base + ", leaf bigint, i array<string>, d array<double>")
 
 
 def knn(queries: DataFrame, ref: DataFrame, id_col: str, feat_cols: Sequence[str], k: int,
-        exclude_self: bool = False, leaf_rows: int = LEAF_ROWS, max_leaves: int = kdtree.MAX_LEAVES) -> DataFrame:
+        exclude_self: bool = False, leaf_rows: int = LEAF_ROWS, max_leaves: int = kdtree.MAX_LEAVES, by: str | None = None) -> DataFrame:
     """``id_col, nbr_ids array<string>, nbr_dists array<double>`` per query row,
     neighbours by (distance, id). Ids are compared as strings. ``leaf_rows`` and
-    ``max_leaves`` change the work, not the result."""
+    ``max_leaves`` change the work, not the result. With ``by`` (a small whole number,
+    also returned) a row's neighbours are those of its own set."""
     from gatewatch.models.supervised import materialise
 
     feats = list(feat_cols)
-    prep = lambda df: df.select(F.col(id_col).cast("string").alias(id_col), *[F.col(c).cast("double").alias(c) for c in feats])
+    keys, own_set = ["gw_set", *feats], (F.col(by) if by else F.lit(0)).cast("bigint").alias("gw_set")
+    prep = lambda df: df.select(own_set, F.col(id_col).cast("string").alias(id_col), *[F.col(c).cast("double").alias(c) for c in feats])
     q_rows, r_rows = materialise(prep(queries)), prep(ref)
     need = k + 1 if exclude_self else k
-    first = Window.partitionBy(*feats).orderBy(id_col)
+    first = Window.partitionBy(*keys).orderBy(id_col)
     points = materialise(r_rows.withColumn("gw_n", F.row_number().over(first)).where(F.col("gw_n") <= need)
-                         .groupBy(*feats).agg(F.array_sort(F.collect_list(id_col)).alias("ids")))
-    tree = Shared(queries.sparkSession, kdtree.fit(points, feats, max(leaf_rows, 2), max_leaves=max_leaves))
-    placed = materialise(kdtree.with_leaf(points, tree, feats))
-    asked = materialise(kdtree.with_leaf(q_rows.select(*feats).distinct(), tree, feats))
+                         .groupBy(*keys).agg(F.array_sort(F.collect_list(id_col)).alias("ids")))
+    places = materialise(points.select(*feats).distinct()) if by else points
+    tree = Shared(queries.sparkSession, kdtree.fit(places, feats, max(leaf_rows, 2), max_leaves=max_leaves))
+    in_set = lambda df: kdtree.with_leaf(df, tree, feats).withColumn("leaf", F.shiftleft("gw_set", SET_BITS) + F.col("leaf"))
+    placed = materialise(in_set(points).drop("gw_set"))
+    asked = materialise(in_set(q_rows.select(*keys).distinct()).drop("gw_set"))
     near = materialise(_search(asked, placed, feats, need, leaf_rows))
     radius = F.when(F.size("d") >= need, F.element_at("d", -1)).otherwise(F.lit(float("inf")))
 
     def visits(batches):
         for pdf in batches:
-            x = pdf[feats].to_numpy(np.float64)
+            x, sets = pdf[feats].to_numpy(np.float64), pdf["leaf"].to_numpy() >> SET_BITS << SET_BITS
             home = tree.value.route(x)
             for leaf, rows in tree.value.near(x, pdf["r"].to_numpy(np.float64)):
                 rows = rows[home[rows] != leaf]
                 if len(rows):
-                    yield pdf.iloc[rows][feats].assign(leaf=np.int64(leaf))
+                    yield pdf.iloc[rows][feats].assign(leaf=sets[rows] + leaf)
 
     base = ", ".join(f"`{f}` double" for f in feats)
     lists = near
     if len(tree.value.feat) > 1:  # else there is no other leaf
-        away = materialise(near.select(*feats, radius.alias("r")).mapInPandas(visits, base + ", leaf bigint"))
+        away = materialise(near.select(*feats, "leaf", radius.alias("r")).mapInPandas(visits, base + ", leaf bigint"))
         lists = near.unionByName(_search(away, placed, feats, need, leaf_rows))
-    merged = lists.select(*feats, F.arrays_zip("d", "i").alias("z")).groupBy(*feats) \
+    merged = lists.select(F.shiftright("leaf", SET_BITS).alias("gw_set"), *feats, F.arrays_zip("d", "i").alias("z")).groupBy(*keys) \
         .agg(F.slice(F.array_sort(F.flatten(F.collect_list("z"))), 1, need).alias("z"))
     z = F.filter("z", lambda e: e["i"] != F.col(id_col)) if exclude_self else F.col("z")
-    return q_rows.join(merged, feats).withColumn("z", F.slice(z, 1, k)) \
-        .select(id_col, F.col("z.i").alias("nbr_ids"), F.col("z.d").alias("nbr_dists"))
+    return q_rows.join(merged, keys).withColumn("z", F.slice(z, 1, k)) \
+        .select(*([F.col("gw_set").alias(by)] if by else []), id_col, F.col("z.i").alias("nbr_ids"), F.col("z.d").alias("nbr_dists"))

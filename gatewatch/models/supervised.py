@@ -9,11 +9,12 @@ stacking, and a parameter grid evaluated with one-pass confusion counts.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatewatch.functions.noise import uniform
@@ -48,15 +49,16 @@ def fit_logistic(train: DataFrame, feats: Sequence[str], label: str = LABEL, bal
 
 
 def fit_forest(train: DataFrame, feats: Sequence[str], label: str = LABEL, n_trees: int = 100,
-               max_depth: int | None = None, balanced: bool = True, seed: int = 42):
+               max_depth: int | None = None, balanced: bool = True, seed: int = 42, by: str | None = None):
     """M4: ``max_depth=None`` (unlimited) becomes 30. Fitted and kept as a table (:mod:`forest`)."""
-    return forest.fit(train, feats, label, n_trees, min(max_depth or forest.MAX_DEPTH, forest.MAX_DEPTH), balanced, seed)
+    return forest.fit(train, feats, label, n_trees, min(max_depth or forest.MAX_DEPTH, forest.MAX_DEPTH), balanced, seed, by)
 
 
-def predict_proba(model, df: DataFrame, feats: Sequence[str], prefix: str) -> DataFrame:
-    """Adds ``{prefix}_prob`` (P(class 1)) and ``{prefix}_pred`` (prob >= .5)."""
+def predict_proba(model, df: DataFrame, feats: Sequence[str], prefix: str, by: str | None = None) -> DataFrame:
+    """Adds ``{prefix}_prob`` (P(class 1)) and ``{prefix}_pred`` (prob >= .5); ``by``
+    names the column that tells which of a forest's training sets scores a row."""
     if isinstance(model, forest.Forest):
-        return forest.with_probability(df, model, f"{prefix}_prob") \
+        return forest.with_probability(df, model, f"{prefix}_prob", by) \
             .withColumn(f"{prefix}_pred", (F.col(f"{prefix}_prob") >= 0.5).cast("int"))
     out = model.transform(assemble(df, feats, "features"))
     prob = F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0))  # one-class fits have no class 1
@@ -72,31 +74,51 @@ def smote(train: DataFrame, feats: Sequence[str], label: str = LABEL, k: int = 5
     over a dense index of the minority, the neighbour (one of the k nearest
     minority rows) and ``u`` from keyed hashes. ``k = min(k, n_min - 1)``;
     with <= 1 minority row the input is returned unchanged."""
-    counts = {r[0]: r[1] for r in train.groupBy(label).count().collect()}  # <= 2 rows
-    if len(counts) < 2:
+    made = _synthetic(train.select("*", F.lit(0).alias("gw_by")), "gw_by", feats, label, k, seed, key)
+    if made is None:
         return train
-    minority = min(counts, key=lambda c: (counts[c], c))
-    n_min, n_maj = counts[minority], max(counts.values())
-    need = n_maj - n_min
-    if n_min <= 1 or need == 0:
-        return train
-    k_eff = min(k, n_min - 1)
-    mino = train.where(F.col(label) == minority)
-    nbrs = knn(mino, mino, key, feats, k_eff, exclude_self=True)
-    idx = dense_index(mino.select(key), key, "gw_idx")
-    spark = train.sparkSession
-    gen = (spark.range(need).withColumn("gw_idx", F.col("id") % F.lit(n_min))
-           .withColumn("gw_pick", F.floor(uniform("id", seed, "smote.nbr") * k_eff).cast("int"))
-           .withColumn("gw_gap", uniform("id", seed, "smote.gap")))
-    base = idx.join(nbrs, key).join(mino.select(key, *feats), key)
-    g = gen.join(base, "gw_idx").withColumn("gw_nbr", F.element_at("nbr_ids", F.col("gw_pick") + 1))
-    other = mino.select(F.col(key).alias("gw_nbr"), *[F.col(c).alias(f"gw_n_{c}") for c in feats])
-    syn = g.join(other, "gw_nbr").select(
-        F.concat(F.lit("smote-"), F.col("id").cast("string")).alias(key),
+    return materialise(train.select(key, *[F.col(c).cast("double") for c in feats], label).unionByName(made.drop("gw_by")))
+
+
+def smote_by(train: DataFrame, by: str, feats: Sequence[str], label: str = LABEL, k: int = 5, seed=42,
+             key: str = "user_id") -> DataFrame:
+    """``smote`` of the rows of every value of ``by`` (a small whole number), all in the same jobs."""
+    rows = train.select(by, key, *[F.col(c).cast("double") for c in feats], label)
+    made = _synthetic(rows, by, feats, label, k, seed, key)
+    return materialise(rows if made is None else rows.unionByName(made))
+
+
+def _synthetic(train: DataFrame, by: str, feats: Sequence[str], label: str, k: int, seed, key: str) -> DataFrame | None:
+    """The rows that ``smote`` adds, with ``by``; None if there are none."""
+    counts: dict = {}
+    for r in train.groupBy(by, label).count().collect():  # a few rows a value
+        counts.setdefault(r[0], {})[r[1]] = r[2]
+    plan = []  # value, its minority label, rows of it, rows to make
+    for own, count in sorted(counts.items()):
+        if len(count) < 2:
+            continue
+        minority = min(count, key=lambda c: (count[c], c))
+        n_min, need = count[minority], max(count.values()) - count[minority]
+        if n_min > 1 and need > 0:
+            plan.append((own, minority, n_min, need))
+    if not plan:
+        return None
+    kind, spark = train.schema[label].dataType, train.sparkSession
+    mino = train.where(reduce(Column.__or__, [(F.col(by) == own) & (F.col(label) == minority) for own, minority, _, _ in plan]))
+    nbrs = knn(mino, mino, key, feats, max(min(k, n_min - 1) for _, _, n_min, _ in plan), exclude_self=True, by=by)
+    idx, gen, ahead = dense_index(mino.select(by, key), [by, key], "gw_idx"), [], 0
+    for own, minority, n_min, need in plan:
+        gen.append(spark.range(need).select("id", F.lit(own).cast(train.schema[by].dataType).alias(by), (F.col("id") % F.lit(n_min) + F.lit(ahead)).alias("gw_idx"),
+                                            F.floor(uniform("id", seed, "smote.nbr") * min(k, n_min - 1)).cast("int").alias("gw_pick"),
+                                            uniform("id", seed, "smote.gap").alias("gw_gap"), F.lit(minority).cast(kind).alias("gw_label")))
+        ahead += n_min
+    base = idx.join(nbrs, [by, key]).join(mino.select(by, key, *feats), [by, key])
+    g = reduce(DataFrame.unionByName, gen).join(base, [by, "gw_idx"]).withColumn("gw_nbr", F.element_at("nbr_ids", F.col("gw_pick") + 1))
+    other = mino.select(by, F.col(key).alias("gw_nbr"), *[F.col(c).alias(f"gw_n_{c}") for c in feats])
+    return g.join(other, [by, "gw_nbr"]).select(
+        by, F.concat(F.lit("smote-"), F.col("id").cast("string")).alias(key),
         *[(F.col(c) + F.col("gw_gap") * (F.col(f"gw_n_{c}") - F.col(c))).alias(c) for c in feats],
-        F.lit(minority).cast(train.schema[label].dataType).alias(label))
-    keep = train.select(key, *[F.col(c).cast("double") for c in feats], label)
-    return materialise(keep.unionByName(syn))
+        F.col("gw_label").alias(label))
 
 
 def parallel(fn, items, workers: int = 5):
@@ -119,7 +141,7 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def dense_index(df: DataFrame, key: str, out: str) -> DataFrame:
+def dense_index(df: DataFrame, key: str | Sequence[str], out: str) -> DataFrame:
     """0..n-1 in key order without a single-partition window: range
     partitioning, per-partition counts (one row per partition), offsets
     from those counts, then a local row number."""
@@ -128,11 +150,12 @@ def dense_index(df: DataFrame, key: str, out: str) -> DataFrame:
     from gatewatch.session import shared_dir
 
     shared_dir(df.sparkSession)
-    parts = df.repartitionByRange(key).withColumn("gw_pid", F.spark_partition_id())
+    key = [key] if isinstance(key, str) else list(key)
+    parts = df.repartitionByRange(*key).withColumn("gw_pid", F.spark_partition_id())
     parts = parts.checkpoint()  # stable partition contents under retries
     sizes = parts.groupBy("gw_pid").count()
     offs = sizes.select("gw_pid", (F.sum("count").over(Window.orderBy("gw_pid")) - F.col("count")).alias("gw_off"))
-    local = parts.withColumn("gw_local", F.row_number().over(Window.partitionBy("gw_pid").orderBy(key)) - 1)
+    local = parts.withColumn("gw_local", F.row_number().over(Window.partitionBy("gw_pid").orderBy(*key)) - 1)
     return local.join(F.broadcast(offs), "gw_pid").select(
         "*", (F.col("gw_off") + F.col("gw_local")).alias(out)).drop("gw_pid", "gw_off", "gw_local")
 

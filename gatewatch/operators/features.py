@@ -206,7 +206,8 @@ def is_new(current, previous) -> Column:
 
 # ------------------------------------------------------------- W5, W6
 DRAW_BITS = 52
-STEP_BITS = 16
+#: bits looked at in a step: the driver gets 1 << STEP_BITS counts a label and bucket, at any number of rows
+STEP_BITS = 10
 #: rows of one bucket that are put in order by one task
 BUCKET_ROWS = 200_000
 

@@ -3,7 +3,7 @@ iterative fits -- checked by row counts here and by brute-force tests)."""
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,21 +93,21 @@ register("supervised_metrics", None, FAM)(_base_metrics)
 
 def _held_out_probs(feats, folds: int = 5):
     """``feats`` with base-model probabilities that no row's own label reached:
-    per stratified fold, both models are fitted on the other folds."""
+    per stratified fold, both models are fitted on the other folds. The folds are
+    a column, so their oversampling, forests and scores are the same few jobs."""
     rows = M.materialise(FT.fold_ids(feats, k=folds, seed=11))
-
-    def one(f):
-        fit_on = M.smote(rows.where(F.col("fold") != f).drop("fold"), FEATS)
-        held = rows.where(F.col("fold") == f).drop("fold")
-        lr, rf = M.fit_logistic(fit_on, FEATS), M.fit_forest(fit_on, FEATS, n_trees=100)
-        return M.predict_proba(rf, M.predict_proba(lr, held, FEATS, "logreg"), FEATS, "rf")
-
-    return reduce(DataFrame.unionByName, M.parallel(one, range(folds)))
+    others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold"))
+    fit_on = M.smote_by(rows.withColumn("without", F.explode(others)), "without", FEATS)
+    rf, *lrs = M.parallel(lambda job: job(), [lambda: M.fit_forest(fit_on, FEATS, n_trees=100, by="without"),
+                                              *[partial(M.fit_logistic, fit_on.where(F.col("without") == f).drop("without"), FEATS) for f in range(folds)]], folds + 1)
+    held = reduce(DataFrame.unionByName, [M.predict_proba(lr, rows.where(F.col("fold") == f), FEATS, "logreg") for f, lr in enumerate(lrs)])
+    return M.predict_proba(rf, held, FEATS, "rf", by="fold").drop("fold")
 
 
 def _meta_inputs(spark, d):
     le = login_events(spark, d)
-    return _held_out_probs(FT.universal_features(le)).join(FT.session_features(le), "user_id")
+    scored, session = M.parallel(lambda job: job(), [lambda: _held_out_probs(FT.universal_features(le)), lambda: FT.session_features(le)])
+    return scored.join(session, "user_id")
 
 
 # The meta model's input names.
