@@ -51,7 +51,7 @@ from gatewatch.session import scratch_path
 PART_IDS = 1 << 25
 PART_DOCS = 1 << 20
 READ_IDS = 1 << 21
-ENCODE_BYTES = 1 << 20
+ENCODE_BYTES = 1 << 18  # a worker holds some 60 bytes for each of these
 EVERY = 256
 BLOCK = 1024
 MAGIC = b"TOKENS01"

@@ -1,9 +1,11 @@
 import json
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -127,3 +129,18 @@ def test_empty_table_and_key_type(spark):
     assert tf.read_token_files(tf.write_token_files(docs, PATH)).collect() == []
     with pytest.raises(TypeError):
         tf.write_token_files(docs.selectExpr("'a' AS doc_id", "text"), PATH)
+
+
+def test_a_run_of_texts_holds_little():
+    with open(PATH, encoding="utf-8") as f:
+        spec = f.read()
+    enc = pt.Encoder(spec, 0, 2, pt.cuts_by_pre_tokens(json.loads(spec)), bits=15)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice((" the", " of", " 12", ", and", "\n", " don't")) for _ in range(500)) for _ in range(1500)]
+    tracemalloc.start()
+    got = [ids for lo, hi in tf._runs_of_rows(pa.array(texts)) for ids in enc.encode(texts[lo:hi])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak - sum(map(len, got)) < 40 << 20
+    tok = Tokenizer.from_file(PATH)
+    assert [np.frombuffer(x, "<u2").tolist() for x in got[:20]] == [tok.encode(t, add_special_tokens=False).ids + [0] for t in texts[:20]]
