@@ -46,6 +46,8 @@ SLOT_BITS = 11
 STATS = 6
 #: fixed-point units of a token in the sums
 UNIT = 1000
+#: texts of one dense block of features, 16 KB each: short texts must not make it large
+BLOCK_ROWS = 256
 #: steps after which the rates are written
 KEEP = 5
 
@@ -77,7 +79,7 @@ def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     kind = np.zeros((256, STATS - 1), np.float64)
     kind[0x30:0x3A, 0] = kind[0x41:0x5B, 1] = kind[0x80:, 3] = kind[0x0A, 4] = 1
     kind[0x21:0x30, 2] = kind[0x3A:0x41, 2] = kind[0x5B:0x61, 2] = kind[0x7B:0x7F, 2] = 1
-    for lo, hi, buf, off in text_chunks(column):
+    for lo, hi, buf, off in text_chunks(column, rows=BLOCK_ROWS):
         n = hi - lo
         start, end, row, h = words(buf, off, table)
         slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)

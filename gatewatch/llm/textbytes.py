@@ -27,8 +27,9 @@ def as_binary(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_binary()), b"")
 
 
-def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """``(lo, hi, buf, off)``: rows lo..hi-1, their bytes, and hi-lo+1 offsets into ``buf``."""
+def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES, rows: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``(lo, hi, buf, off)``: rows lo..hi-1, their bytes, and hi-lo+1 offsets into ``buf``;
+    at most ``rows`` rows, for users that hold something wide per row."""
     col = as_binary(column)
     n = len(col)
     if not n:
@@ -38,7 +39,7 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     lo = 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1)
+        hi = min(max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1), lo + (rows or n))
         yield lo, hi, raw[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
         lo = hi
 

@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 
 from gatewatch.llm import mixing
 
@@ -107,3 +110,16 @@ def test_a_confused_domain_keeps_its_documents(spark):
     pull = p @ (inverse_of(p, t) @ (np.array(info["targets"]) - (r * t) @ p))
     assert r.min() >= 1 and (np.abs(pull[r > 1 + 1e-9]) < 0.05 * r.max()).all()  # b and c cannot be had apart: the optimum misses both
     assert info["totals"][0] / sum(info["totals"]) > 5 / 27
+
+
+def test_many_short_texts_do_not_make_a_large_block():
+    model = mixing.DomainModel(["a", "b"], np.random.default_rng(3).random(((1 << mixing.SLOT_BITS) + mixing.STATS, 2)), np.zeros(2))
+    column = pa.array(["alpha beta", "uno dos tres"] * 5000 + [None, ""])
+    tracemalloc.start()
+    n, p = model.posteriors(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20
+    assert n.tolist() == [2, 3] * 5000 + [0, 0]
+    alone = [model.posteriors(pa.array([t]))[1][0] for t in ("alpha beta", "uno dos tres")]
+    np.testing.assert_allclose(p[:10000].reshape(5000, 2, 2), np.broadcast_to(alone, (5000, 2, 2)), atol=1e-6)
