@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gatewatch.llm import queries as q
 from gatewatch.llm.decontaminate import decontaminate
-from gatewatch.llm.frames import tidy, written
+from gatewatch.llm.frames import written
 from gatewatch.llm.mixing import resample
 from gatewatch.llm.sharding import assign_shards
 from gatewatch.llm.simhash import keep_one
 from gatewatch.llm.toxicity import drop_toxic, train
+from gatewatch.session import tidy
 from gatewatch.sources.tables import load_table
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatewatch.models.knn import knn
+from gatewatch.session import tidy
 
 EPS = 1e-10
 SALTS = 8
@@ -63,6 +64,7 @@ def lof_scores(train: DataFrame, data: DataFrame, id_col: str, feat_cols: Sequen
     if not novelty:
         return (train_lof.crossJoin(F.broadcast(cut))
                 .select(F.col(id_col), "lof", (-F.col("lof") < F.col("offset")).cast("int").alias("lof_pred")))
+    tidy(train.sparkSession)  # two searches' plans at once are much for the driver
     q_nbrs = materialise(knn(data, train, id_col, feat_cols, k_eff, exclude_self=False))
     scored = lof_of(q_nbrs)
     return (scored.crossJoin(F.broadcast(cut))

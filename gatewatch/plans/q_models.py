@@ -20,6 +20,7 @@ from gatewatch.operators import audit as A
 from gatewatch.plans import sqlgen as SQ
 from gatewatch.plans.catalog import register
 from gatewatch.plans.q_features import SPLIT_SQL, UF as UF_SQL
+from gatewatch.session import tidy
 from gatewatch.sources import login_events
 from gatewatch.sources import readers as R
 from gatewatch.sources import sinks as SK
@@ -98,8 +99,10 @@ def _held_out_probs(feats, folds: int = 5):
     rows = M.materialise(FT.fold_ids(feats, k=folds, seed=11))
     others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold"))
     fit_on = M.smote_by(rows.withColumn("without", F.explode(others)), "without", FEATS)
+    tidy(rows.sparkSession)  # the searches before it and the fits leave hundreds of plans on the driver
     rf, *lrs = M.parallel(lambda job: job(), [lambda: M.fit_forest(fit_on, FEATS, n_trees=100, by="without"),
                                               *[partial(M.fit_logistic, fit_on.where(F.col("without") == f).drop("without"), FEATS) for f in range(folds)]], folds + 1)
+    tidy(rows.sparkSession)
     held = reduce(DataFrame.unionByName, [M.predict_proba(lr, rows.where(F.col("fold") == f), FEATS, "logreg") for f, lr in enumerate(lrs)])
     return M.predict_proba(rf, held, FEATS, "rf", by="fold").drop("fold")
 
@@ -322,7 +325,9 @@ SELECT user_id, vote AS iso_pred, CASE WHEN CAST(user_id AS BIGINT) % 3 = 0 THEN
 
 def _unsup(spark, d):
     feats = _six_trained(spark, d)
+    tidy(spark)
     iso = _iforest(spark, d, feats).select("user_id", "iso_pred", "is_attack_ip")
+    tidy(spark)
     lof = _lof(spark, d, feats).select("user_id", "lof_pred")
     return SK.publish_unsupervised(iso.join(lof, "user_id", "full_outer"))
 

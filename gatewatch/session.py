@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -71,6 +72,14 @@ def write_once(df, name: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets go of what earlier work left on the driver: Spark drops the shuffles
+    and broadcasts of frames that nothing refers to once the JVM has collected them,
+    and the JVM gives back heap and compiled plans that it no longer needs."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Shared:
     """A broadcast whose value may hold objects of this package. Spark pickles
     broadcasts by reference, so workers would need the package on their path;
